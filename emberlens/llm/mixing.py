@@ -53,7 +53,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epo
     after = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(1))
     s = s.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    s = s.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
+    s = s.withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything))
     target = F.when(F.col("cap") < F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"), F.col("cap").cast("double")).otherwise(F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
     return s.select("source", "source_size", target.alias("target"))
 
