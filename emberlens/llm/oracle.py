@@ -107,3 +107,14 @@ g AS (
          string_agg(role, ' ' ORDER BY turn, role, text) AS roles FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
        regexp_full_match(roles, '(system )?user( assistant user)*( assistant)?') AS valid FROM g"""
+
+SQL["op4_decontaminate"] = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS words FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT kind, id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5),
+s AS (SELECT DISTINCT kind, id, words[i] || ' ' || words[i+1] || ' ' || words[i+2] || ' ' || words[i+3] || ' ' || words[i+4] AS g FROM p),
+n AS (SELECT id AS item_id, count(*) AS n_item_shingles FROM s WHERE kind = 'i' GROUP BY id),
+m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i USING (g) WHERE d.kind = 'd' AND i.kind = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles AS containment FROM m JOIN n USING (item_id)
+WHERE n_shared * 1000 >= n_item_shingles * 800"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlens.llm import oracle
 from emberlens.llm.chat_format import digest_chats, format_chats
+from emberlens.llm.decontaminate import find_leaks
 from emberlens.llm.mixing import mix
 from emberlens.llm.secret_ledger import digest_findings, scan_versions
 from emberlens.llm.url_reputation import judge_urls
@@ -22,6 +23,10 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = scan_versions(table(spark, sf_dir, "documents"), None, path_col="doc_id", version_col=None)
     return digest_findings(findings)
