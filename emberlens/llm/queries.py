@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlens.llm import oracle
 from emberlens.llm.chat_format import digest_chats, format_chats
 from emberlens.llm.decontaminate import find_leaks
+from emberlens.llm.impact_search import top_k
 from emberlens.llm.mixing import mix
 from emberlens.llm.secret_ledger import digest_findings, scan_versions
 from emberlens.llm.url_reputation import judge_urls
@@ -32,6 +33,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_findings(findings)
 
 
+def op7_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
