@@ -11,6 +11,7 @@ from emberlens.llm import oracle
 from emberlens.llm.chat_format import digest_chats, format_chats
 from emberlens.llm.decontaminate import find_leaks
 from emberlens.llm.impact_search import top_k
+from emberlens.llm.language_id import identify_documents
 from emberlens.llm.mixing import mix
 from emberlens.llm.secret_ledger import digest_findings, scan_versions
 from emberlens.llm.url_reputation import judge_urls
@@ -20,6 +21,10 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
