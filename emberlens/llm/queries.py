@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlens.llm import oracle
 from emberlens.llm.chat_format import digest_chats, format_chats
 from emberlens.llm.decontaminate import find_leaks
+from emberlens.llm.html_extract import extract_pages
 from emberlens.llm.impact_search import top_k
 from emberlens.llm.language_id import identify_documents
 from emberlens.llm.mixing import mix
@@ -29,6 +30,10 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
