@@ -15,6 +15,7 @@ from emberlens.llm.impact_search import top_k
 from emberlens.llm.language_id import identify_documents
 from emberlens.llm.mixing import mix
 from emberlens.llm.secret_ledger import digest_findings, scan_versions
+from emberlens.llm.token_counts import count_tokens, revision
 from emberlens.llm.url_reputation import judge_urls
 from emberlens.session import table
 
@@ -59,6 +60,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_chats(format_chats(chats.unionByName(probe)))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), revision(F.col("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
