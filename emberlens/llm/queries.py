@@ -12,6 +12,7 @@ from emberlens.llm.chat_format import digest_chats, format_chats
 from emberlens.llm.decontaminate import find_leaks
 from emberlens.llm.html_extract import extract_pages
 from emberlens.llm.impact_search import top_k
+from emberlens.llm.jaccard_join import jaccard_components
 from emberlens.llm.language_id import identify_documents
 from emberlens.llm.mixing import mix
 from emberlens.llm.secret_ledger import digest_findings, scan_versions
@@ -44,6 +45,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_findings(findings)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
