@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from emberlens.session import build_session  # noqa: E402
+from emberlens.session import build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     return s
