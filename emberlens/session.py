@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,14 +49,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by the cluster in spark.checkpoint.dir.
 
-    The cluster names the folder in spark.checkpoint.dir. Only where that is unset, as in local
-    tests, a folder of our own is used.
+    Only where that is unset, as in local tests, a folder of our own is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
         sc.setCheckpointDir(Path(tempfile.gettempdir(), f"emberlens-{os.getpid()}").as_uri())
+        named = sc.getCheckpointDir()
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that lost executors cost no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new table of the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
