@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlens.session import cut_lineage
+
 WIDTH, THRESHOLD = 5, 0.8
 WORD = r"[\p{L}\p{M}\p{N}]+"
 #: Sketch or item rows up to which they are broadcast, some 100 bytes each; beyond it they are shuffled.
@@ -71,9 +73,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
     words = d.select("doc_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= width)
     probes = words.select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - width)).alias("i"))
     probes = probes.select("doc_id", shingle_hash(F.col("words"), F.col("i"), width).alias("h")).where(F.col("h") <= (top if top is not None else -(2**63)))
-    met = probes.join(F.broadcast(sketch) if small else sketch, "h").select("doc_id", "item_id").distinct()
-    kept = met.join(F.broadcast(full) if small else full, "item_id")
-    pairs = kept.join(d, "doc_id").select("doc_id", "item_id", "shingles", "n", distinct_shingles(words_of(F.col("text")), width).alias("own"))
+    met = cut_lineage(probes.join(F.broadcast(sketch) if small else sketch, "h").select("doc_id", "item_id").distinct())
+    few = met.count() <= broadcast_rows
+    # the generator keeps the words a column, which a lambda function would compute for every shingle anew
+    texts = d.join(F.broadcast(met) if few else met, "doc_id").select("doc_id", "item_id", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    pairs = texts.join(F.broadcast(full) if small else full, "item_id").select("doc_id", "item_id", "shingles", "n", distinct_shingles(F.col("words"), width).alias("own"))
     pairs = pairs.select("doc_id", "item_id", F.col("n").cast("bigint").alias("n_item_shingles"), F.size(F.array_intersect("shingles", "own")).cast("bigint").alias("n_shared"))
     # as integers, so that both sides of the threshold are exact
     pairs = pairs.where(F.col("n_shared") * 1000 >= F.col("n_item_shingles") * round(threshold * 1000))
@@ -81,7 +85,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
     return best.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
     """The documents without any leak, with all their columns; null ids and texts stay."""
-    leaky = find_leaks(docs, items, **how).select("doc_id").distinct()
-    return docs.join(leaky, "doc_id", "left_anti").select(docs.columns)
+    leaky = cut_lineage(find_leaks(docs, items, broadcast_rows=broadcast_rows, **how).select("doc_id").distinct())
+    return docs.join(F.broadcast(leaky) if leaky.count() <= broadcast_rows else leaky, "doc_id", "left_anti").select(docs.columns)
