@@ -297,9 +297,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return answered.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents of which one stays of each component, that with the smallest id; of rows with
-    one id and one text one stays. Rows with null id stay."""
-    kept = jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **how) -> DataFrame:
+    """The documents of which one stays of each component, that with the smallest id; of rows that
+    repeat an id one stays. Rows with null id stay."""
+    parts = cut_lineage(jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col).isNotNull()))
+    gone = cut_lineage(parts.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, id_col, "left_anti").select(docs.columns)
+    again = parts.groupBy(id_col).agg(F.count("*").alias("k")).where("k > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(again, id_col, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -215,3 +215,12 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     training = learn(docs, learnable(F.col("doc_id")))
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return identify(d, training, carry=("doc_id", "held_out"))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents in which a language is found, with all their columns; those without a letter go."""
+    training = learn(docs, learnable(F.col("doc_id")))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    d = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").alias("text"))
+    kept = identify(d, training, carry=tuple(names)).where(F.col("lang_pred") != UND)
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

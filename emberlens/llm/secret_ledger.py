@@ -17,7 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlens.session import cut_lineage
+
 RULE_VERSION = "2"
+#: Blobs with findings up to which these are broadcast, some 200 bytes each.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -118,3 +122,18 @@ def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
     end = F.aggregate(spans, empty, step)
     return F.when(F.size(spans) > 0, F.concat(end["out"], F.substring(text, end["at"] + 1, F.char_length(text)))).otherwise(text)
+
+
+def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with every finding masked in text, and n_chars of the texts that changed set anew."""
+    addressed = docs.select("*", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_blob"))
+    scanned = scan_unseen(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")), ledger)
+    known = scanned if ledger is None else scanned.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
+    hits = cut_lineage(known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
+    few = hits.count() <= broadcast_rows
+    d = addressed.join(F.broadcast(hits) if few else hits, "_blob", "left")
+    text = F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
+    return d.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
