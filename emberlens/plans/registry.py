@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("flow", "text")
+MODULES = ("flow", "text", "evidence")
 
 
 def _parts():
