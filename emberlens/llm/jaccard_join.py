@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlens.llm.components import components
-from emberlens.llm.shingles import batches_of, distinct, hash_shingles, mix
+from emberlens.llm.shingles import chunks_of, distinct, hash_shingles, mix
 from emberlens.session import cut_lineage
 
 WIDTH, PERCENT = 4, 85
@@ -44,9 +44,9 @@ Batches = Iterator[pa.RecordBatch]
 
 def _sets(b: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingles) of a batch."""
-    for first, chunk in batches_of(b.column("text").to_pylist()):
-        h, at = hash_shingles(chunk, width)
-        for i in range(len(chunk)):
+    for first, raw, bounds in chunks_of(b.column("text")):
+        h, at = hash_shingles(raw, bounds, width)
+        for i in range(len(bounds) - 1):
             yield first + i, distinct(h[at[i] : at[i + 1]])
 
 
@@ -97,7 +97,7 @@ def _prints(width: int, bits: int) -> Callable:
             for _, s in _sets(b, width):
                 held.append(_print_of(s, bits))
                 size += len(s)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:

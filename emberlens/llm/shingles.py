@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -39,37 +40,45 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def batches_of(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, encoded texts) of some BATCH_BYTES each."""
-    first, chunk, size = 0, [], 0
-    for i, t in enumerate(texts):
-        chunk.append((t or "").encode("utf-8", "surrogatepass"))
-        size += len(chunk[-1]) + 1
-        if size >= BATCH_BYTES:
-            yield first, chunk
-            first, chunk, size = i + 1, [], 0
-    if chunk:
-        yield first, chunk
-
-
-def hash_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """All shingle hashes in order, repeats and all, and where each text's begin (one more at the end)."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+def chunks_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, bounds of the texts in them) of some BATCH_BYTES each, or of one
+    text. The bytes are those of the Arrow array; a null text has none."""
+    n = len(texts)
+    if not n:
+        return
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BATCH_BYTES, side="right")) - 1)
+        j = min(j, n)
+        yield i, data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        i = j
+
+
+def hash_shingles(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingle hashes in order, repeats and all, and where each text's begin (one more at the end).
+    raw: the UTF-8 bytes of all texts; bounds: where each begins (one more at the end)."""
+    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    head, tail = word.copy(), word.copy()
+    head[1:] &= ~word[:-1]
+    tail[:-1] &= ~word[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(raw))]
+    head[inner] = word[inner]
+    tail[inner - 1] = word[inner - 1]
+    begin, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
     lower = raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
-    edge = np.diff(blank.astype(np.int8), prepend=np.int8(1))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(raw)), out=sums[1:])
-    words = mix((sums[end] - sums[begin]) * _power("down", _INVERSE, len(raw))[begin])
+    words = mix((sums[end] - sums[begin]) * _power("down", _INVERSE, len(raw) + 1)[begin])
     del sums
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     first = np.searchsorted(begin, bounds)  # of each text's words
     n_words = np.diff(first)
     n = len(words)
     rolled = np.zeros(max(0, n - width + 1), dtype=np.uint64)
-    for k in range(width):
-        rolled = rolled * _STEP + words[k : n - width + 1 + k] if len(rolled) else rolled
+    for k in range(width if len(rolled) else 0):
+        rolled = rolled * _STEP + words[k : n - width + 1 + k]
     rolled = mix(rolled, 1)
     counts = np.where(n_words >= width, n_words - width + 1, (n_words > 0).astype(n_words.dtype))
     starts = np.concatenate([[0], np.cumsum(counts)])
@@ -78,9 +87,9 @@ def hash_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
     full = np.repeat(n_words >= width, counts)
     out[full] = rolled[at[full]]
     for i in np.flatnonzero((n_words > 0) & (n_words < width)):
-        h = np.uint64(n_words[i])
+        h = int(n_words[i])
         for w in words[first[i] : first[i + 1]]:
-            h = np.uint64((int(h) * int(_STEP) + int(w)) % (1 << 64))
+            h = (h * int(_STEP) + int(w)) % (1 << 64)
         out[starts[i]] = mix(np.array([h], dtype=np.uint64), 2)[0]
     return out, starts
 
