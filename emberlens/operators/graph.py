@@ -186,4 +186,4 @@ def dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
     o = objects.select(F.lit("o").alias("kind"), F.col("oid").alias("a"), F.lit(None).cast("string").alias("b"), F.col("shallow").cast("bigint").alias("size"))
     e = edges.select(F.lit("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("bigint").alias("size"))
     r = roots.select(F.lit("r").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("bigint").alias("size"))
-    return o.unionByName(e).unionByName(r).groupBy(F.lit(1)).applyInArrow(lambda t: _dominate(t), "node string, parent string, depth bigint, retained bigint")
+    return o.unionByName(e).unionByName(r).withColumn("heap", F.lit(1)).groupBy("heap").applyInArrow(lambda t: _dominate(t), "node string, parent string, depth bigint, retained bigint")
