@@ -26,11 +26,15 @@ def build_session(app: str = "emberlens", cpus: str | int = "*", **conf: str) ->
     return b.getOrCreate()
 
 
+ROWS_PER_BATCH = 1_000
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run, once for each application."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
+        # the default would send tens of megabytes of text to a worker at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
