@@ -27,11 +27,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DOCS_PER_LANG, CHARS_PER_LANG = 64, 60_000
-BLOCK, BATCH_CHARS, MAX_LETTERS = 512, 2_000_000, 250
+DOCS_PER_LANG, CHARS_PER_LANG = 64, 40_000
+BLOCK, BATCH_CHARS, MAX_LETTERS = 512, 1_000_000, 250
 UND = "und"
 
 
@@ -110,16 +111,19 @@ class CrossParser:
         self.tables = [self._table(t, code) for _, _, t in training.languages]
 
     def _table(self, text: str, code: dict[str, int]) -> np.ndarray:
-        """Entry: 2 * width * next state, plus 1 where a phrase ends before the character."""
+        """Entry: 2 * width * next state, plus 1 where a phrase begins with the character. The root is left
+        at once; a state behind all others follows a character that the training text lacks."""
         states = suffix_automaton(text)
-        t = np.full((len(states), self.width), -1, dtype=np.int64)
+        kind = np.int32 if (len(states) + 1) * self.width < 2**29 else np.int64
+        t = np.full((len(states) + 1, self.width), -1, dtype=kind)
         for s, out in enumerate(states):
             for c, to in out.items():
                 t[s, code.get(c, 1)] = to
-        root = np.where(t[0] < 0, 0, t[0])
-        missing = t < 0
-        t = np.where(missing, root[None, :], t) * (2 * self.width) + missing
-        return t.astype(np.int32 if t.max() < 2**31 else np.int64).ravel()
+        begin = np.where(t[0] < 0, kind(len(states)), t[0])
+        fresh = t < 0
+        t = np.where(fresh, begin[None, :], t) * kind(2 * self.width)
+        fresh[0] = False
+        return (t + fresh).astype(kind, copy=False).ravel()
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language (-1: none) and score of each text."""
@@ -164,41 +168,45 @@ def parser_of(training: Training) -> CrossParser:
     return CrossParser(training)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    chunk, chars = [], 0
-    for t in texts:
-        chunk.append(t or "")
-        chars += len(chunk[-1]) + 1
-        if chars >= BATCH_CHARS:
-            yield chunk
-            chunk, chars = [], 0
-    if chunk:
-        yield chunk
+def _chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in lists of some BATCH_CHARS bytes each, or of one text; null texts are empty."""
+    sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+    i = 0
+    while i < len(texts):
+        done = int(sizes[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(sizes, done + BATCH_CHARS, side="right")))
+        yield [t or "" for t in texts.slice(i, j - i).to_pylist()]
+        i = j
 
 
-def predict_batches(training: Training):
-    """For mapInArrow: the column ``text`` of a batch is replaced by lang_pred and score."""
+def predict_batches(training: Training, keep_text: bool = False):
+    """For mapInArrow: lang_pred and score are added to a batch, and its column ``text`` goes unless kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(training)
         names = pa.array([*parser.langs, UND])
         for b in batches:
             best, score = [np.empty(0, int)], [np.empty(0)]
-            for chunk in _chunks(b.column("text").to_pylist()):
+            for chunk in _chunks(b.column("text")):
                 i, s = parser.parse(chunk)
                 best.append(i), score.append(s)
             i, s = np.concatenate(best), np.concatenate(score)
-            rest = [n for n in b.schema.names if n != "text"]
+            rest = [n for n in b.schema.names if keep_text or n != "text"]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], names.take(pa.array(np.where(i < 0, len(parser.langs), i))), pa.array(s)], [*rest, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, training: Training, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry columns, lang_pred, score of every row."""
-    d = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("text")) if text_col not in carry else docs.select(*carry)
-    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in carry if c != "text")
-    return d.mapInArrow(predict_batches(training), f"{kinds}, lang_pred string, score double")
+def identify(docs: DataFrame, training: Training, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), known_only: bool = False) -> DataFrame:
+    """carry columns, lang_pred, score of every row, or of those in which a language is found. Where
+    known_only, the carried columns alone, which may then have any names."""
+    names = [f"c{i}" for i in range(len(carry))]
+    named = {c: "text" if c == text_col else n for c, n in zip(carry, names, strict=True)}
+    d = docs.select(*[F.col(c).alias(n) for c, n in named.items()], *([] if text_col in carry else [F.col(text_col).alias("text")]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if text_col in carry or f.name != "text")
+    out = d.mapInArrow(predict_batches(training, text_col in carry), f"{kinds}, lang_pred string, score double")
+    carried = [F.col(n).alias(c) for c, n in named.items()]
+    return out.where(F.col("lang_pred") != UND).select(carried) if known_only else out.select(*carried, "lang_pred", "score")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -220,7 +228,4 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents in which a language is found, with all their columns; those without a letter go."""
     training = learn(docs, learnable(F.col("doc_id")))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    d = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col("text").alias("text"))
-    kept = identify(d, training, carry=tuple(names)).where(F.col("lang_pred") != UND)
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return identify(docs, training, carry=tuple(docs.columns), known_only=True)
