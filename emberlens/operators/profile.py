@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from emberlens.functions.text import bucket
 
-IN_THREAD = Window.partitionBy("thread_id").orderBy("o1", "o2")
 # fixed values: upper bounds of gaps in seconds with their labels, and the gap thresholds
 GAPS = ((0.1, "<100ms"), (1.0, "<1s"), (5.0, "<5s"), (30.0, "<30s"), (300.0, "<300s"))
 THRESHOLDS = (1.0, 5.0, 30.0)
@@ -24,8 +23,9 @@ def bounds(records: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
 
 def with_gaps(records: DataFrame) -> DataFrame:
     """records with the last known time and the last site of their thread, and the gap in seconds."""
-    before = IN_THREAD.rowsBetween(Window.unboundedPreceding, -1)
-    d = records.withColumns({"prev_ms": F.last("ts_ms", ignorenulls=True).over(before), "prev_site": F.lag("call_site").over(IN_THREAD)})
+    in_thread = Window.partitionBy("thread_id").orderBy("o1", "o2")
+    before = in_thread.rowsBetween(Window.unboundedPreceding, -1)
+    d = records.withColumns({"prev_ms": F.last("ts_ms", ignorenulls=True).over(before), "prev_site": F.lag("call_site").over(in_thread)})
     return d.withColumn("gap_s", F.greatest(F.col("ts_ms") - F.col("prev_ms"), F.lit(0)) / 1000)
 
 
@@ -39,7 +39,7 @@ def gap_histogram(records: DataFrame) -> DataFrame:
 def entry_terminal(records: DataFrame, thresholds: Sequence[float] = THRESHOLDS) -> DataFrame:
     """Per threshold and call site: first (after a gap or first of its thread), mid, last (before a gap
     or last of its thread)."""
-    d = with_gaps(records).withColumn("is_last", F.lead("o1").over(IN_THREAD).isNull())
+    d = with_gaps(records).withColumn("is_last", F.lead("o1").over(Window.partitionBy("thread_id").orderBy("o1", "o2")).isNull())
     d = d.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     opens = F.col("gap_s").isNull() | (F.col("gap_s") > F.col("threshold"))
     marks = F.array(

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IN_FLOW = Window.partitionBy("flow_key").orderBy("o1", "o2")
-BEFORE = IN_FLOW.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_flow() -> WindowSpec:
+    """The records of a flow in arrival order."""
+    return Window.partitionBy("flow_key").orderBy("o1", "o2")
 
 
 def group_key(records: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -36,16 +38,16 @@ def _has_group(pattern: str) -> bool:
 def idle_gap(records: DataFrame, gap_ms: int, terminals: Sequence[str] = ()) -> DataFrame:
     """A new episode where more than gap_ms passed since the last known time; clocks that run
     backwards and unknown times pass no time. Closed episodes saw a terminal site."""
-    last = F.last("ts_ms", ignorenulls=True).over(BEFORE)
+    last = F.last("ts_ms", ignorenulls=True).over(in_flow().rowsBetween(Window.unboundedPreceding, -1))
     starts = F.coalesce((F.col("ts_ms") - last > gap_ms).cast("int"), F.lit(0))
-    d = records.withColumn("_new", starts).withColumn("ep", F.sum("_new").over(IN_FLOW)).drop("_new")
+    d = records.withColumn("_new", starts).withColumn("ep", F.sum("_new").over(in_flow())).drop("_new")
     return d.withColumn("closing", _among("call_site", terminals))
 
 
 def entry_marker(records: DataFrame, entries: Sequence[str], terminals: Sequence[str] = ()) -> DataFrame:
     """An episode opens at an entry site and ends at the next or with its first terminal site;
     records outside of episodes go."""
-    d = records.withColumn("ep", F.sum(_among("call_site", entries).cast("int")).over(IN_FLOW)).where("ep > 0")
+    d = records.withColumn("ep", F.sum(_among("call_site", entries).cast("int")).over(in_flow())).where("ep > 0")
     d = d.withColumn("closing", _among("call_site", terminals))
     earlier = Window.partitionBy("flow_key", "ep").orderBy("o1", "o2").rowsBetween(Window.unboundedPreceding, -1)
     return d.withColumn("_done", F.coalesce(F.sum(F.col("closing").cast("int")).over(earlier), F.lit(0))).where("_done = 0").drop("_done")

@@ -22,9 +22,9 @@ MAX_BYTES = 10 * 1024 * 1024
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Section tables of JSON snapshots, one document a file, each with the file as ``snapshot``."""
-    fields = ", ".join(f"{k}: array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split() for x in v.split(', ')))}>>" for k, v in SECTIONS.items())
-    schema = f"{fields}, connections: struct<current: long, peak: long, max_limit: long>, meta: struct<engine: string, version: string, db_size_bytes: long, is_delta: boolean, collected_at: string>"
-    d = spark.read.schema(schema.replace(": ", " ", 0)).option("multiLine", "true").json(path).withColumn("snapshot", F.col("_metadata.file_path"))
+    fields = ", ".join(f"{k} array<struct<{', '.join(f'{n}: {t}' for n, t in (x.split() for x in v.split(', ')))}>>" for k, v in SECTIONS.items())
+    schema = f"{fields}, connections struct<current: long, peak: long, max_limit: long>, meta struct<engine: string, version: string, db_size_bytes: long, is_delta: boolean, collected_at: string>"
+    d = spark.read.schema(schema).option("multiLine", "true").json(path).withColumn("snapshot", F.col("_metadata.file_path"))
     out = {k: d.select("snapshot", F.inline(k)) for k in SECTIONS}
     out["indexes"] = out["indexes"].withColumns({"columns": index_columns(F.col("definition")), "method": F.coalesce(F.nullif(F.lower(F.regexp_extract("definition", r"(?i)\busing\s+(\w+)", 1)), F.lit("")), F.lit("btree"))})
     for k in ("connections", "meta"):
