@@ -29,7 +29,12 @@ from emberlens.llm.url_reputation import host_of
 from emberlens.session import cut_lineage
 
 BROADCAST_HOSTS = 200_000
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: A tag with quoted values that may hold angle brackets, or else up to the next bracket; possessive, so
+#: that broken markup costs no more than its length.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]{0,2000}"|'[^']{0,2000}'|[^<>"'])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
+    re.S,
+)
 ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
