@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("flow", "text", "evidence", "heap", "db", "ingest")
+MODULES = ("flow", "text", "evidence", "heap", "db", "ingest", "more")
 
 
 def _parts():
