@@ -92,7 +92,8 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules: tu
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "path", version_col: str | None = "version", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(findings of every path and version, ledger rows to append)."""
     addressed = address(versions, path_col, version_col, text_col)
-    added = scan_unseen(addressed, ledger, rules, rule_version)
+    # written before it is joined: it joins on its own, so that a blob with very many paths can be split
+    added = cut_lineage(scan_unseen(addressed, ledger, rules, rule_version))
     known = added if ledger is None else added.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans"))
     return addressed.select("path", "version", "blob").join(known, "blob"), added
 
