@@ -24,6 +24,8 @@ from emberlens.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, FAN = 3, 256
 EPOCHS = 3
+#: Sources up to which their budgets are broadcast, some 100 bytes each; beyond it the join is shuffled.
+BROADCAST_SOURCES = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -100,7 +102,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
         at = cut_lineage(at)
     edge = at.select("slot", F.col("prefix").alias("edge"), "before")
 
-    each = d.withColumn("slot", slot).join(sources.drop("source"), "slot").join(edge, "slot")
+    plan = cut_lineage(sources.drop("source").join(edge, "slot"))
+    few = plan.count() <= BROADCAST_SOURCES
+    each = d.withColumn("slot", slot).join(F.broadcast(plan) if few else plan, "slot")
     outside = each.where(F.col("cell") != F.col("edge")).withColumn("part", F.when(F.col("cell") < F.col("edge"), F.col("size")).otherwise(0))
     in_order = Window.partitionBy("slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = each.where(F.col("cell") == F.col("edge"))
