@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlens.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 1000
 KAPPA_RANGE = (1.0, 10_000.0)
@@ -93,6 +95,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label_suffixes: S
     blocked ones, posterior mean and lower bound of the blocked rate."""
     domain, suffix = registered_domain(F.col("host"), two_label_suffixes)
     hosts = outcomes.groupBy("host").agg(F.count("blocked").alias("n"), F.count_if("blocked").alias("b")).withColumns({"domain": domain, "suffix": suffix})
+    hosts = cut_lineage(hosts)  # every level and its prior read this
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
