@@ -276,3 +276,115 @@ def src_synthetic(spark, sf):
     d = spark.range(n).select(F.lit("t").alias("flow_key"), F.lit("t").alias("thread_id"), (F.col("id") * 10).alias("ts_ms"), F.when(F.col("id") % 50 == 0, "in").otherwise("step").alias("call_site"), F.lit("INFO").alias("level"), F.lit("").alias("message"), F.col("id").alias("o1"), F.col("id").alias("o2"))
     e = SEG.episodes(SEG.entry_marker(d, ["in"]))
     return e.agg(F.sum("n_records").alias("lines"), F.count("*").alias("entries"))
+
+
+# ---- files that only the driver can write: a few small ones, put into the shared folder
+
+
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """A small file in the shared folder, written through Spark's file systems."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
+def nation_dump(spark: SparkSession, sf: str) -> bytes:
+    """A heap dump in which regions hold arrays of their nations."""
+    import struct
+
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 nations
+    i = lambda x: x.to_bytes(8, "big")
+    rec = lambda tag, body: bytes([tag]) + struct.pack(">II", 0, len(body)) + body
+    names = {1: b"com/acme/Region", 2: b"com/acme/Nation", 3: b"nations"}
+    out = b"JAVA PROFILE 1.0.2\0" + struct.pack(">IQ", 8, 0) + b"".join(rec(1, i(k) + v) for k, v in names.items())
+    out += b"".join(rec(2, struct.pack(">I", c) + i(0x10 * c) + struct.pack(">I", 0) + i(c)) for c in (1, 2))
+    heap = b""
+    for c, fields in ((1, [(3, 2)]), (2, [])):
+        heap += b"\x20" + i(0x10 * c) + struct.pack(">I", 0) + i(0) * 6 + struct.pack(">IHHH", 0, 0, 0, len(fields)) + b"".join(i(n) + bytes([k]) for n, k in fields)
+    for r in sorted({x.n_regionkey for x in rows}):
+        own = [0x2000 + x.n_nationkey for x in rows if x.n_regionkey == r]
+        heap += b"\x21" + i(0x1000 + r) + struct.pack(">I", 0) + i(0x10) + struct.pack(">I", 8) + i(0x3000 + r)
+        heap += b"\x22" + i(0x3000 + r) + struct.pack(">II", 0, len(own)) + i(0x20) + b"".join(map(i, own))
+        heap += b"\x05" + i(0x1000 + r)
+    for x in rows:
+        heap += b"\x21" + i(0x2000 + x.n_nationkey) + struct.pack(">I", 0) + i(0x20) + struct.pack(">I", 0)
+    return out + rec(0x1C, heap) + rec(0x2C, b"")
+
+
+@query("SELECT 'com.acme.Nation' AS class_name, 'instance' AS kind, count(*) AS n, (count(*) * 16)::BIGINT AS bytes FROM nation UNION ALL SELECT 'com.acme.Region', 'instance', count(DISTINCT n_regionkey), (count(DISTINCT n_regionkey) * 16)::BIGINT FROM nation UNION ALL SELECT 'com.acme.Nation', 'object_array', count(*), sum(b)::BIGINT FROM (SELECT ceil((16 + 4 * count(*)) / 8) * 8 AS b FROM nation GROUP BY n_regionkey)")
+def src_hprof(spark, sf):
+    from emberlens.sources import hprof
+
+    t = hprof.tables_of(hprof.read_dumps(spark, put(spark, "n.hprof", nation_dump(spark, sf))))
+    j = t["objects"].where("kind <> 'class'").join(t["classes"].select(F.col("cid").alias("class_id"), F.col("name").alias("class_name")), "class_id")
+    return j.groupBy("class_name", "kind").agg(F.count("*").alias("n"), F.sum("shallow").alias("bytes"))
+
+
+@query("SELECT 'hprof' AS format UNION ALL SELECT 'gzip' UNION ALL SELECT 'phd' UNION ALL SELECT 'javacore'")
+def src_heap_format(spark, sf):
+    from emberlens.sources.hprof import heap_format
+
+    heads = [nation_dump(spark, sf)[:64], b"\x1f\x8b\x08", b"\x00\x14portable heap dump", b"0SECTION       TITLE\n1TISIGINFO"]
+    return spark.createDataFrame([(heap_format(h),) for h in heads], "format string")
+
+
+@query("SELECT 'A.java' AS name UNION ALL SELECT 'B.kt'")
+def src_source_tree(spark, sf):
+    a = put(spark, "A.java", b"package x; class A {}")
+    root = a.rsplit("/", 1)[0]
+    jvm = spark.sparkContext._jvm
+    for name in ("B.kt", "build/C.java", "notes.txt"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+        out.write(bytearray(b"class X"))
+        out.close()
+    return snapshots.read_sources(spark, root).select(F.substring_index("path", "/", -1).alias("name"))
+
+
+@query("SELECT 'RUNNABLE' AS state, count(*) FILTER (c_custkey % 2 = 1) AS n FROM customer UNION ALL SELECT 'BLOCKED', count(*) FILTER (c_custkey % 2 = 0) FROM customer")
+def src_thread_dump(spark, sf):
+    d = dump_lines(spark, sf).coalesce(1).sortWithinPartitions("c_custkey").select("value")
+    return thread_dump.threads(S.read_lines(spark, _written(d, spark))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'java.lang.OutOfMemoryError' END AS exception FROM events")
+def fn_exception(spark, sf):
+    names = F.regexp_extract_all("value", F.lit(server_log.EXCEPTION), F.lit(1))
+    return server_lines(spark, sf).select("event_id", F.when(F.size(names) > 0, F.element_at(names, -1)).alias("exception"))
+
+
+@query("SELECT event_id, event_type = 'error' AS error FROM events")
+def fn_is_error(spark, sf):
+    return server_lines(spark, sf).select("event_id", T.is_error(F.col("value")).alias("error"))
+
+
+@query("WITH " + PE._GCL + " SELECT line_no, CASE form WHEN 0 THEN 12.0 WHEN 1 THEN ('1.' || c)::DOUBLE ELSE (a || '.5')::DOUBLE END AS ts_s FROM gl WHERE form < 3")
+def fn_gc_ts(spark, sf):
+    d = PE.gc_lines(spark, sf)
+    one = d.withColumn("log", F.col("line_no").cast("string"))
+    return G.events(one).select(F.col("log").cast("bigint").alias("line_no"), "ts_s")
+
+
+@query("SELECT p_partkey, p_brand FROM part")
+def sink_artifact(spark, sf):
+    path = snapshots.write_artifact(table(spark, sf, "part").select("p_partkey", "p_brand"), f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}", "a1")
+    return spark.read.parquet(path)
+
+
+@query("SELECT 'signup' AS entry_sites, 43200000 AS idle_gap_ms, 2 AS signature_k, 1.2::DOUBLE AS timing_factor, 2.0::DOUBLE AS rarity_weight")
+def src_yaml_config(spark, sf):
+    from emberlens.config import FlowConfig
+
+    c = FlowConfig.from_mapping({"segmentation": {"entryCallSites": ["signup"], "idleGapMillis": 43_200_000}, "clustering": {"signatureK": 2}, "detection": {"timingFactor": 1.2}, "ranking": {"weights": {"rarity": 2.0}}})
+    return spark.createDataFrame([(",".join(c.entry_sites), c.idle_gap_ms, c.signature_k, c.timing_factor, c.rarity_weight)], "entry_sites string, idle_gap_ms int, signature_k int, timing_factor double, rarity_weight double")
+
+
+@query("SELECT 'dominators' AS stage, CASE WHEN (SELECT count(*) FROM customer) > 1000 THEN 'skipped' ELSE 'run' END AS status UNION ALL SELECT 'waste', 'run'")
+def hp_gating(spark, sf):
+    n = table(spark, sf, "customer").count()
+    limits = {"dominators": 1000, "waste": None}
+    return spark.createDataFrame([(k, "skipped" if v is not None and n > v else "run") for k, v in limits.items()], "stage string, status string")

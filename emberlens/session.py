@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -61,7 +63,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        sc.setCheckpointDir(Path(tempfile.gettempdir(), f"emberlens-{os.getpid()}").as_uri())
+        own = Path(tempfile.gettempdir(), f"emberlens-{os.getpid()}")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own.as_uri())
         named = sc.getCheckpointDir()
     return named
 
