@@ -388,3 +388,34 @@ def hp_gating(spark, sf):
     n = table(spark, sf, "customer").count()
     limits = {"dominators": 1000, "waste": None}
     return spark.createDataFrame([(k, "skipped" if v is not None and n > v else "run") for k, v in limits.items()], "stage string, status string")
+
+
+_FIELDS = "package com.acme;\nclass A {\n  private static final java.util.Map<String, Integer> cache = null;\n  protected int size;\n  // private int no;\n  void run(int a) {\n    if (a > 0) {\n      go();\n    }\n  }\n  void go() { }\n}"
+
+
+def _fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.concat(F.lit("/A"), F.col("n_nationkey").cast("string")).alias("path"), F.lit(_FIELDS).alias("source"))
+
+
+@query("SELECT '/A' || n_nationkey AS path, unnest(['cache', 'size']) AS field FROM nation")
+def src_field(spark, sf):
+    return snapshots.fields(_fixed(spark, sf)).select("path", "field")
+
+
+@query("SELECT '/A' || n_nationkey AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'run' ELSE 'size' END AS method, 6 AS first_line, 5 AS lines FROM nation WHERE n_nationkey % 2 = 0")
+def src_context(spark, sf):
+    k = F.col("n_nationkey")
+    w = table(spark, sf, "nation").select(F.concat(F.lit("/A"), k.cast("string")).alias("path"), F.when(k % 2 == 0, "run").otherwise("size").alias("method"))
+    return snapshots.method_context(_fixed(spark, sf), w).select("path", "method", "first_line", F.size(F.split("body", "\n")).alias("lines"))
+
+
+@query("SELECT p_partkey, p_name AS value FROM part")
+def fn_display_value(spark, sf):
+    wide = F.col("p_partkey") % 2
+    sample = F.when(wide == 1, F.hex(F.encode("p_name", "UTF-16LE"))).otherwise(F.hex(F.encode("p_name", "ISO-8859-1")))
+    return table(spark, sf, "part").select("p_partkey", snapshots.display_value(sample, wide).alias("value"))
+
+
+@query()
+def sink_report_text(spark, sf):
+    return spark.createDataFrame([(snapshots.report_text(PF._ranking(spark, sf)),)], "text string")

@@ -87,6 +87,37 @@ def references(sources: DataFrame, classes: DataFrame) -> DataFrame:
     return j.where(known).select("path", "class_name", F.when(has("new ", F.col("simple")), "new").when(has("import ", F.col("class_name")), "import").otherwise("use").alias("kind"))
 
 
+def fields(sources: DataFrame) -> DataFrame:
+    """path, field, type of the fields that files declare with a modifier, lexically."""
+    p = r"(?m)^\s*(?:(?:public|protected|private|static|final|volatile|transient)\s+)+([\w<>\[\],.?]+(?:\s*<[^;=]*>)?)\s+(\w+)\s*(?:=|;)"
+    s = masked(F.col("source"))
+    pairs = F.arrays_zip(F.regexp_extract_all(s, F.lit(p), F.lit(1)).alias("type"), F.regexp_extract_all(s, F.lit(p), F.lit(2)).alias("field"))
+    return sources.select("path", F.explode(pairs).alias("x")).select("path", "x.field", "x.type")
+
+
+def method_context(sources: DataFrame, wanted: DataFrame, most: int = 200) -> DataFrame:
+    """path, method, first_line, body of the methods asked for (path, method): from the declaring line to
+    the brace that closes it, at most so many lines."""
+    d = sources.join(wanted, "path").withColumn("l", F.split("source", "\n"))
+    decl = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), (F.rlike(x, F.concat(F.lit("\\b"), F.col("method"), F.lit("\\s*\\([^;]*$"))) & ~x.rlike(r"^\s*(?:return|new|//)")).alias("hit"))), lambda x: x["hit"])
+    d = d.withColumn("at", F.get(decl, F.lit(0))["i"]).where("at is not null").withColumn("part", F.slice("l", F.col("at") + 1, most))
+    braces = lambda x: F.length(F.regexp_replace(x, "[^{]", "")) - F.length(F.regexp_replace(x, "[^}]", ""))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + braces(x)
+        opened = a["opened"] | x.contains("{")
+        return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), opened.alias("opened"), (a["n"] + 1).alias("n"), (opened & (depth <= 0)).alias("done")))
+
+    n = F.aggregate("part", zero, step, lambda a: a["n"])
+    return d.select("path", "method", (F.col("at") + 1).alias("first_line"), F.array_join(F.slice("part", F.lit(1), n), "\n").alias("body"))
+
+
+def display_value(sample: Column, coder: Column) -> Column:
+    """Text of the sampled bytes (hex) of a string: one byte a character for coder 0, two for coder 1."""
+    return F.when(coder == 1, F.decode(F.unhex(sample), "UTF-16LE")).otherwise(F.decode(F.unhex(sample), "ISO-8859-1"))
+
+
 def lookup(found: DataFrame, classes: DataFrame) -> DataFrame:
     """class_name, path where exactly one file declares the class."""
     t = found.where("kind = 'type'").select(F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("class_name"), "path").distinct()
