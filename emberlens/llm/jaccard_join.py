@@ -97,7 +97,7 @@ def _prints(width: int, bits: int) -> Callable:
             for _, s in _sets(b, width):
                 held.append(_print_of(s, bits))
                 size += len(s)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -250,7 +250,7 @@ class JaccardJoin:
         """Links (u, v) between ids that generate all components; also sets ``rows`` (id, n, rep)."""
         outline = cut_lineage(self.texts.mapInArrow(_outline(self.width), "id bigint, n bigint, k1 bigint, k2 bigint"))
         known = outline.where("id is not null and n > 0")
-        reps = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+        reps = cut_lineage(known.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
         self.rows = cut_lineage(outline.join(reps, ["k1", "k2"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")))
         known = self.rows.where("rep is not null")
         many = known.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("id")
