@@ -48,6 +48,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login signin sidebar sidebars sidenav aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager paging toolbar share sharing social related recommended recommendations teaser teasers outbrain taboola comment comments commentlist disqus respond reply replies discussion footer header masthead topbar copyright legal search skip tags tagcloud meta byline".split()
 )
+#: Prefixes of class names that tell a state of an element, not what it is.
+STATES = ("has-", "no-", "is-", "with-", "js-", "without-")
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 #: A start tag of the key closes an open element of the values, up to the nearest of the stops.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
@@ -86,7 +88,10 @@ class Page:
                 else:
                     drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             if names and tag not in ("body", "html", "main"):
-                by_words = any(w.lower() in DROP_WORDS for n in names for w in WORDS.findall(n))
+                tokens = [t for n in names for t in n.split() if not t.lower().startswith(STATES)]
+                if tag == "article":  # what kind it is comes first; the rest tells its state
+                    tokens = tokens[:1]
+                by_words = any(w.lower() in DROP_WORDS for t in tokens for w in WORDS.findall(t))
         first = css.split()[0] if css.split() else ""
         self.parent.append(top)
         self.tag.append(tag)

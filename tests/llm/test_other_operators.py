@@ -113,6 +113,12 @@ def test_page_without_article():
     assert page.path(page.best()) == "body.has-sidebar/div/div.post-#"
 
 
+def test_states_in_class_names_drop_nothing():
+    html = '<body><div class="wrap has-sidebar no-comments"><article class="post comments-open"><p>kept</p></article><article class="comment"><p>said</p></article></div>'
+    page = Page(html)
+    assert page.text(page.best()) == "kept"
+
+
 def test_broken_and_odd_pages():
     for html in ("", "plain text", "<p>", "<<<", "</div></p>", "<div><p>a", "<a href='x>y'>z", "<script>never closed", "<!-- open", "&amp", "<p>a<p>b</article></body>", "<table><tr><td>x<td>y</table>", "<b" * 3000):
         page = Page(html)
