@@ -96,8 +96,9 @@ def _pairs(text: Column) -> Column:
 def payload(text: Column) -> Column:
     """All pairs as a map without quotes, later keys before earlier ones."""
     pairs = F.transform(_pairs(strip_ts(F.coalesce(text, F.lit("")))), lambda p: F.struct(p["k"].alias("k"), F.trim(p["v"], F.lit('"')).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    # bound to a variable, which a lambda function would otherwise compute for every element anew
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return F.transform(F.array(pairs), lambda ps: F.map_from_entries(last(ps)))[0]
 
 
 def significant_payload(text: Column) -> Column:
