@@ -20,6 +20,10 @@ from emberlens.llm.secret_ledger import redact_documents
 from emberlens.session import ship_package, table, write_table
 
 
+#: Near copies of the stage: shingles of so many words, similar from so many hundredths on.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, in which no language can be told, go."""
     ship_package(spark)
@@ -29,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by similar shingle sets the document with the smallest id stays."""
     ship_package(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

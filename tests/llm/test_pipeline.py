@@ -56,6 +56,17 @@ def test_stages_take_odd_tables(spark, sf_dir):
         assert out.count() <= 4
 
 
+def test_near_copies_go_from_a_similarity_of_eight_tenths(spark):
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    base, other = words(0, 304), words(1, 304)
+    rows = [(1, " ".join(base)), (2, " ".join(base + words(2, 66))), (3, " ".join(other)), (4, " ".join(other + words(3, 80)))]
+    j = lambda a, b: len(a & b) / len(a | b)
+    near, far = (j(shingles(rows[k][1], 5), shingles(rows[k + 1][1], 5)) for k in (0, 2))
+    assert 0.815 < near < 0.825 and 0.785 < far < 0.8
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3, 4]
+
+
 def test_registered():
     q = __spark_entry__.queries()
     assert "pipeline" in q and all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 11))
