@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.functions.text import is_user_code
+from emberlens.session import cut_lineage
 
 BUCKET_S, BEFORE_S, AFTER_S = 600, 7_200, 1_200
+#: Capture times up to which they are broadcast; more are joined by time buckets.
+BROADCAST_CAPTURES = 1_000
 
 
 def search(events: DataFrame, filters: Mapping[str, str] | None = None, text: str | None = None, since: str | None = None, until: str | None = None, after: int = 0, limit: int = 100) -> DataFrame:
@@ -97,6 +100,20 @@ def minutes_phrase(ts: Column, capture: Column) -> Column:
     return F.when(F.abs(d) < 1, "less than a minute from capture").when(d < 0, F.concat(n.cast("string"), F.lit(" min before capture"))).otherwise(F.concat(n.cast("string"), F.lit(" min after capture")))
 
 
+def near_captures(events: DataFrame, captures: DataFrame, window_s: int, few: int = BROADCAST_CAPTURES) -> DataFrame:
+    """The events within the window of any capture."""
+    at = cut_lineage(captures.select("at").where("at is not null").distinct())
+    span = F.expr(f"interval {window_s} seconds")
+    within = lambda c: (F.col("ts") >= F.col(c) - span) & (F.col("ts") <= F.col(c) + span)
+    if at.count() <= few:
+        return events.join(F.broadcast(at), within("at"), "left_semi")
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / max(1, window_s))
+    # of a bucket as wide as the window, the first and last capture decide for it and its neighbours
+    ends = at.groupBy(bucket("at").alias("b")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    ends = ends.select("first", "last", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("bucket"))
+    return events.join(ends, (bucket("ts") == F.col("bucket")) & (within("first") | within("last")), "left_semi")
+
+
 def incident_matches(events: DataFrame, frames: DataFrame, classes: DataFrame, threads: DataFrame, captures: DataFrame | None = None, window_s: int = 300) -> DataFrame:
     """Events that touch the evidence: a frame or logger of a class of interest, a thread name, or an
     out-of-memory error; within the window of a capture where times are aligned, and without regard
@@ -115,9 +132,7 @@ def incident_matches(events: DataFrame, frames: DataFrame, classes: DataFrame, t
     g = u.groupBy("id").agg(*[F.max(x).alias(x) for x in ("by_frame", "by_logger", "by_thread", "by_oom")])
     if captures is None:
         return g.withColumn("aligned", F.lit(False))
-    span = F.expr(f"interval {window_s} seconds")
-    # captures are few, so the range join is a broadcast one
-    near = events.join(F.broadcast(captures.select("at").limit(1000)), (F.col("ts") >= F.col("at") - span) & (F.col("ts") <= F.col("at") + span), "left_semi").select("id").withColumn("near", F.lit(True))
+    near = near_captures(events, captures, window_s).select("id").withColumn("near", F.lit(True))
     d = g.join(near, "id", "left").withColumn("aligned", F.coalesce("near", F.lit(False))).drop("near")
     any_near = d.agg(F.coalesce(F.max("aligned"), F.lit(False)).alias("x")).select("x").scalar()
     return d.where(F.col("aligned") | ~any_near)
