@@ -53,7 +53,6 @@ STATES = ("has-", "no-", "is-", "with-", "js-", "without-")
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 #: A start tag of the key closes an open element of the values, up to the nearest of the stops.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
-DOMINANT = 0.7
 
 
 class Page:
@@ -176,8 +175,8 @@ class Page:
         return "/".join(reversed(steps))
 
     def best(self) -> int:
-        """The article with most text, else the main element, else the deepest container that still
-        dominates all containers around it."""
+        """The article with most text, else the main element, else the deepest container outside of
+        which no text is left that is neither boilerplate nor links."""
         for kind in ("article", "main"):
             named = [i for i, t in enumerate(self.tag) if t == kind and not self.drop[i] and self.mass[i]]
             if named:
@@ -189,24 +188,24 @@ class Page:
         at = found = 0
         while at in inner:
             child = max(inner[at], key=lambda i: (self.mass[i], -i))
-            if self.mass[child] < DOMINANT * self.mass[at]:
+            if self.mass[child] < self.mass[at]:
                 break
             at = child
             if self.tag[at] in CONTAINER and self.tag[at] not in ("ul", "ol", "dl", "table", "tbody", "tr", "li", "dd", "blockquote"):
                 found = at
         return found
 
-    def at_path(self, path: str) -> int:
-        """The element with most text at a path, or -1."""
+    def at_path(self, path: str) -> list[int]:
+        """The elements with text at a path, in page order."""
         last = path.rpartition("/")[2].partition(".")[0]
-        found = [i for i, t in enumerate(self.tag) if t == last and not self.drop[i] and self.path(i) == path]
-        return max(found, key=lambda i: (self.mass[i], -i)) if found else -1
+        return [i for i, t in enumerate(self.tag) if t == last and not self.drop[i] and self.mass[i] and self.path(i) == path]
 
-    def text(self, top: int) -> str:
+    def text(self, *tops: int) -> str:
         inside = [False] * len(self.tag)
-        inside[top] = True
-        for i in range(top + 1, len(self.tag)):
-            inside[i] = inside[self.parent[i]]
+        for i in tops:
+            inside[i] = True
+        for i in range(1, len(self.tag)):
+            inside[i] = inside[i] or inside[self.parent[i]]
         blocks, part = [], []
         for i, t in [*self.texts, (-1, "")]:
             if i < 0:
@@ -236,8 +235,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append("")
                 continue
             page = Page(source)
-            at = page.at_path(path) if path else -1
-            texts.append(page.text(at if at >= 0 and page.mass[at] else page.best()))
+            at = page.at_path(path) if path else []
+            if not at:
+                best = page.best()
+                at = page.at_path(page.path(best)) or [best]
+            texts.append(page.text(*at))
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 

@@ -141,3 +141,16 @@ def test_hosts_agree_on_a_path(spark):
         assert (by[51], by[52], by[53], by[54]) == ("alone", "", "", "other")
         assert all(r.n_chars == len(r.text) for r in got)
     assert extract_pages(d.limit(0)).count() == 0
+
+
+def test_text_beside_the_largest_child_stays():
+    page = Page('<body><nav>site</nav><h1>Title</h1><p>lead</p><div class="body"><p>' + "text " * 100 + "</p></div><footer>foot</footer></body>")
+    assert page.text(page.best()) == "Title\nlead\n" + ("text " * 100).strip()
+
+
+def test_all_elements_at_the_winning_path(spark):
+    one = '<body><div class="wrap"><div class="section"><p>{}</p></div></div></body>'
+    three = '<body><div class="wrap">' + "".join(f'<div class="section"><p>{t}</p></div>' for t in ("first part", "second", "the third of them")) + "</div></body>"
+    rows = [(i, f"http://s.org/{i}", one.format("alone " * 50)) for i in range(3)] + [(9, "http://s.org/9", three)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 9").first()
+    assert got.text == "first part\nsecond\nthe third of them"
