@@ -21,6 +21,7 @@ def build_session(app: str = "emberlens", cpus: str | int = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for k, v in conf.items():
@@ -28,7 +29,7 @@ def build_session(app: str = "emberlens", cpus: str | int = "*", **conf: str) ->
     return b.getOrCreate()
 
 
-ROWS_PER_BATCH = 1_000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1_000, 16 << 20
 _shipped: set[str] = set()
 
 
@@ -37,6 +38,7 @@ def ship_package(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10_000:
         # the default would send tens of megabytes of text to a worker at once
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -63,6 +65,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         own = Path(tempfile.gettempdir(), f"emberlens-{os.getpid()}")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own.as_uri())
@@ -76,9 +80,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """The path of a new table in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new table of the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more, in whatever store it is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
