@@ -1,5 +1,10 @@
 """Thread-dump analytics over threads (dump, name, tid, state, daemon, cpu_ms, elapsed_s, stack array of
-Class.method, held array of addresses, waits_for address)."""
+Class.method, held array of addresses, waits_for address; where known id, nid, and ord, the place of a
+thread in its dump).
+
+held has the monitors of a thread but for those it waits on, and its synchronizers; waits_for is the
+monitor or synchronizer that it wants, whatever its state, and null for a wait that a notification ends.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ from emberlens.operators import graph
 # fixed values: frames that tell what a waiting thread waits for
 DB_POOL = ("java.sql.", "com.zaxxer.hikari", "org.apache.tomcat.jdbc", "org.apache.commons.dbcp", "org.hibernate.", "oracle.jdbc", "com.mysql.", "org.postgresql.")
 HTTP_POOL = ("org.apache.http", "okhttp3.", "java.net.http", "feign.", "org.springframework.web.client.RestTemplate")
+IDLE = ("ThreadPoolExecutor.getTask", "ForkJoinPool.awaitWork", "ReferenceQueue.remove", "Finalizer$FinalizerThread.run", "ScheduledThreadPoolExecutor$DelayedWorkQueue.take")
 SOCKET_READ = ("socketRead", "SocketDispatcher.read", "Net.poll", "SocketInputStream.read")
 
 
@@ -29,20 +35,37 @@ def stack_groups(threads: DataFrame, least: int = 2) -> DataFrame:
     return g.where(F.col("n") >= least)
 
 
+def identity(threads: DataFrame) -> Column:
+    """What a thread is known by in its dump: tid, id or nid, whichever is there first, else its name."""
+    parts = [F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in ("tid", "id", "nid") if k in threads.columns]
+    return F.coalesce(*parts, F.concat(F.lit("name:"), F.col("name")))
+
+
 def blocked_by(threads: DataFrame) -> DataFrame:
-    """dump, waiter, holder, address: a waiting thread and who holds its lock, the last name on conflict."""
-    held = threads.select("dump", F.col("name").alias("holder"), F.explode("held").alias("address")).groupBy("dump", "address").agg(F.max("holder").alias("holder"))
-    w = threads.where("state = 'BLOCKED' and waits_for is not null").select("dump", F.col("name").alias("waiter"), F.col("waits_for").alias("address"))
-    return w.join(held, ["dump", "address"]).where("waiter <> holder").select("dump", "waiter", "holder", "address")
+    """dump, waiter, holder, address, waiter_id, holder_id: a thread that wants a lock and who holds it; of
+    several holders the last of the dump."""
+    place = F.col("ord") if "ord" in threads.columns else F.lit(0)
+    t = threads.withColumn("me", identity(threads)).withColumn("place", place)
+    held = t.select("dump", "name", "me", "place", F.explode("held").alias("address"))
+    held = held.groupBy("dump", "address").agg(F.max(F.struct("place", "name", "me")).alias("h")).select("dump", "address", F.col("h.name").alias("holder"), F.col("h.me").alias("holder_id"))
+    w = t.where("waits_for is not null").select("dump", F.col("name").alias("waiter"), F.col("me").alias("waiter_id"), F.col("waits_for").alias("address"))
+    return w.join(held, ["dump", "address"]).where("waiter_id <> holder_id").select("dump", "waiter", "holder", "address", "waiter_id", "holder_id")
+
+
+def _steps(chains: DataFrame) -> DataFrame:
+    """One step of each waiter: dump, waiter_id, waiter, holder_id."""
+    first = chains.groupBy("dump", "waiter_id").agg(F.min(F.struct("holder_id", "waiter")).alias("s"))
+    return first.select("dump", "waiter_id", F.col("s.waiter").alias("waiter"), F.col("s.holder_id").alias("holder_id"))
 
 
 def deadlocks(chains: DataFrame) -> DataFrame:
-    """dump, cycle, members of each cycle of waiting threads."""
-    step = chains.select(F.concat_ws("\u0001", "dump", "waiter").alias("node"), F.concat_ws("\u0001", "dump", "holder").alias("next"))
-    c = graph.cycles(step.groupBy("node").agg(F.min("next").alias("next")))
-    part = lambda x, i: F.get(F.split(F.col(x), "\u0001"), F.lit(i))
-    c = c.select(part("node", 0).alias("dump"), part("node", 1).alias("name"), part("cycle", 1).alias("cycle"))
-    return c.groupBy("dump", "cycle").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("members"))
+    """dump, cycle (its least name), members of each cycle of waiting threads."""
+    steps = graph.cut_lineage(_steps(chains))
+    key = lambda c: F.concat_ws("\u0001", "dump", c)
+    c = graph.cycles(steps.select(key("waiter_id").alias("node"), key("holder_id").alias("next")))
+    named = c.join(steps.select(key("waiter_id").alias("node"), "dump", F.col("waiter").alias("name")), "node")
+    g = named.groupBy("dump", "cycle").agg(F.min("name").alias("least"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("members"))
+    return g.select("dump", F.col("least").alias("cycle"), "members")
 
 
 def contention(threads: DataFrame, least: int = 3, critical: int = 10) -> DataFrame:
@@ -51,7 +74,7 @@ def contention(threads: DataFrame, least: int = 3, critical: int = 10) -> DataFr
 
 
 def _any_frame(frames: Column, words: Sequence[str]) -> Column:
-    pattern = "|".join(w.replace(".", r"\.") for w in words)
+    pattern = "|".join(w.replace(".", r"\.").replace("$", r"\$") for w in words)
     return F.exists(frames, lambda f: f.rlike(pattern))
 
 
@@ -69,19 +92,20 @@ def hotspots(threads: DataFrame, top: int = 3, share: float = 0.15) -> DataFrame
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("dump").orderBy(F.desc("n"), "signature"))).where(F.col("rank") <= top)
 
 
-def chain_lengths(chains: DataFrame, longest: int = 20) -> DataFrame:
+def chain_lengths(chains: DataFrame) -> DataFrame:
     """dump, waiter, length: threads on the way from a waiter to the end of its chain, cycles cut off."""
-    step = chains.groupBy("dump", "waiter").agg(F.min("holder").alias("holder"))
-    d = step.select("dump", "waiter", F.col("holder").alias("at"), F.array("waiter", "holder").alias("path"))
-    for _ in range(longest - 2):
-        ahead = step.select("dump", F.col("waiter").alias("at"), F.col("holder").alias("far"))
-        d = d.join(ahead, ["dump", "at"], "left").withColumn("go", F.coalesce(F.col("far").isNotNull() & ~F.array_contains("path", F.col("far")), F.lit(False)))
-        d = d.select("dump", "waiter", F.when(F.col("go"), F.col("far")).otherwise(F.col("at")).alias("at"), F.when(F.col("go"), F.concat("path", F.array("far"))).otherwise(F.col("path")).alias("path"), "go")
-        d = graph.cut_lineage(d)
-        if d.where("go").isEmpty():
-            break
-        d = d.drop("go")
-    return d.select("dump", "waiter", F.size("path").alias("length"))
+    step = graph.cut_lineage(_steps(chains))
+    ahead = step.select("dump", F.col("waiter_id").alias("at"), F.col("holder_id").alias("far"))
+    front = graph.cut_lineage(step.select("dump", "waiter_id", "waiter", F.col("holder_id").alias("at"), F.array("waiter_id", "holder_id").alias("path")))
+    done = None
+    while True:
+        j = front.join(ahead, ["dump", "at"], "left").withColumn("go", F.coalesce(F.col("far").isNotNull() & ~F.array_contains("path", F.col("far")), F.lit(False)))
+        j = graph.cut_lineage(j)
+        over = j.where("not go").select("dump", "waiter", F.size("path").alias("length"))
+        done = over if done is None else done.unionByName(over)
+        front = j.where("go").select("dump", "waiter_id", "waiter", F.col("far").alias("at"), F.concat("path", F.array("far")).alias("path"))
+        if front.isEmpty():
+            return done
 
 
 def pools(threads: DataFrame, least: int = 3) -> DataFrame:
@@ -116,11 +140,21 @@ def coverage(threads: DataFrame) -> DataFrame:
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Threads of one identity (tid, name), unique on both sides, with the same stack and state, not idle,
-    while time passed and cpu didn't run backwards: stuck."""
-    key = ["tid", "name"]
-    one = lambda d, s: d.groupBy(*key).agg(F.count("*").alias("k"), *[F.first(c).alias(f"{s}_{c}") for c in ("state", "stack", "cpu_ms", "elapsed_s")]).where("k = 1").drop("k")
-    j = one(before, "a").join(one(after, "b"), key)
-    same = (F.col("a_state") == F.col("b_state")) & (F.col("a_stack") == F.col("b_stack")) & (F.size("a_stack") > 0) & ~F.col("a_state").isin("TIMED_WAITING", "WAITING")
-    moved = (F.col("b_elapsed_s") > F.col("a_elapsed_s")) & (F.col("b_cpu_ms") >= F.col("a_cpu_ms"))
-    return j.where(same & moved).select(*key, F.col("a_state").alias("state"), (F.col("b_cpu_ms") - F.col("a_cpu_ms")).alias("cpu_delta_ms"), (F.col("b_elapsed_s") - F.col("a_elapsed_s")).alias("elapsed_delta_s"))
+    """Threads of one identity, unique on both sides, with the same stack and state, none of whose frames
+    tells an idle worker, while neither time nor cpu ran backwards as far as they are known: stuck.
+
+    classification: persistent_wait of waiting threads, active_repeated_stack of those that used cpu, else
+    repeated_stack. Whether two captures may be compared is decided by ``evidence.compatible``.
+    """
+    cols = ("name", "state", "stack", "cpu_ms", "elapsed_s")
+
+    def one(d: DataFrame, side: str) -> DataFrame:
+        g = d.withColumn("identity", identity(d)).groupBy("identity").agg(F.count("*").alias("k"), F.first(F.struct(*cols)).alias("t"))
+        return g.where("k = 1").select("identity", *[F.col(f"t.{c}").alias(f"{side}_{c}") for c in cols])
+
+    j = one(before, "a").join(one(after, "b"), "identity")
+    same = (F.col("a_state") == F.col("b_state")) & (F.col("a_stack") == F.col("b_stack")) & (F.size("a_stack") > 0) & ~_any_frame(F.col("b_stack"), IDLE)
+    cpu, elapsed = F.col("b_cpu_ms") - F.col("a_cpu_ms"), F.col("b_elapsed_s") - F.col("a_elapsed_s")
+    moved = F.coalesce(elapsed > 0, F.lit(True)) & F.coalesce(cpu >= 0, F.lit(True))
+    kind = F.when(cpu > 0, "active_repeated_stack").when(F.col("b_state").isin("BLOCKED", "WAITING", "TIMED_WAITING"), "persistent_wait").otherwise("repeated_stack")
+    return j.where(same & moved).select("identity", F.col("b_name").alias("name"), F.col("b_state").alias("state"), cpu.alias("cpu_delta_ms"), elapsed.alias("elapsed_delta_s"), kind.alias("classification"))

@@ -305,7 +305,8 @@ def thread_table(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     addr = lambda x: F.concat(F.lit("0x"), x.cast("string"))
     waits = F.when(k % 10 <= 2, addr(k + 1)).when((k % 10 == 3) & (k % 20 == 3), addr(k - 3)).when(k % 10 < 4, F.lit(None)).when(k % 10 <= 8, addr(k - k % 10 + 9))
-    top = F.when(k % 6 == 3, "com.zaxxer.hikari.pool.HikariPool.getConnection").when(k % 6 == 1, "java.net.SocketInputStream.socketRead0").otherwise("com.acme.Work.step")
+    top = F.when(k % 6 == 3, "com.zaxxer.hikari.pool.HikariPool.getConnection").when(k % 6 == 1, "java.net.SocketInputStream.socketRead0").when(k % 6 == 5, "okhttp3.internal.connection.RealCall.execute")
+    top = top.when(k % 6 == 4, "java.util.concurrent.ThreadPoolExecutor.getTask").otherwise("com.acme.Work.step")
     idle = F.when(k % 6 == 3, "WAITING").when(k % 6 == 1, "RUNNABLE").otherwise("TIMED_WAITING")
     return c.select(
         F.concat(F.lit("d"), (F.floor(k / 10) % 5).cast("string")).alias("dump"),
@@ -324,9 +325,9 @@ def thread_table(spark: SparkSession, sf: str) -> DataFrame:
 
 TH_SQL = """t0 AS (SELECT c_custkey AS k, 'd' || (c_custkey // 10) % 5 AS dump, c_name AS name, c_nationkey, CASE WHEN c_custkey % 10 <= 2 THEN '0x' || (c_custkey + 1) WHEN c_custkey % 20 = 3 THEN '0x' || (c_custkey - 3) WHEN c_custkey % 10 < 4 THEN NULL WHEN c_custkey % 10 <= 8 THEN '0x' || (c_custkey - c_custkey % 10 + 9) END AS waits_for FROM customer),
 t AS (SELECT *, CASE WHEN waits_for IS NOT NULL AND k % 4 <> 1 THEN 'BLOCKED' WHEN k % 6 = 3 THEN 'WAITING' WHEN k % 6 = 1 THEN 'RUNNABLE' ELSE 'TIMED_WAITING' END AS state,
-  CASE k % 6 WHEN 3 THEN 'com.zaxxer.hikari.pool.HikariPool.getConnection' WHEN 1 THEN 'java.net.SocketInputStream.socketRead0' ELSE 'com.acme.Work.step' END AS top, '0x' || k AS held FROM t0),
+  CASE k % 6 WHEN 3 THEN 'com.zaxxer.hikari.pool.HikariPool.getConnection' WHEN 1 THEN 'java.net.SocketInputStream.socketRead0' WHEN 5 THEN 'okhttp3.internal.connection.RealCall.execute' WHEN 4 THEN 'java.util.concurrent.ThreadPoolExecutor.getTask' ELSE 'com.acme.Work.step' END AS top, '0x' || k AS held FROM t0),
 sg AS (SELECT dump, sha1(top || '|com.acme.S' || c_nationkey || '.run|java.lang.Thread.run')[1:12] AS signature, count(*) AS n, min(top) AS top FROM t GROUP BY ALL HAVING count(*) >= 2),
-ch AS (SELECT w.dump, w.name AS waiter, h.name AS holder, w.waits_for AS address FROM t w JOIN t h ON w.dump = h.dump AND w.waits_for = h.held WHERE w.state = 'BLOCKED' AND w.name <> h.name)"""
+ch AS (SELECT w.dump, w.name AS waiter, h.name AS holder, w.waits_for AS address, 'tid:' || w.k AS waiter_id, 'tid:' || h.k AS holder_id FROM t w JOIN t h ON w.dump = h.dump AND w.waits_for = h.held WHERE w.k <> h.k)"""
 _T = "WITH RECURSIVE " + TH_SQL
 
 
@@ -360,7 +361,7 @@ def td_db_pool(spark, sf):
     return TD.pool_waits(thread_table(spark, sf), TD.DB_POOL)
 
 
-@query(_T + " SELECT dump, count(*) AS waiting FROM t WHERE false GROUP BY dump")
+@query(_T + " SELECT dump, count(*) AS waiting FROM t WHERE state IN ('WAITING', 'TIMED_WAITING') AND k % 6 = 5 GROUP BY dump HAVING count(*) >= 5")
 def td_http_pool(spark, sf):
     return TD.pool_waits(thread_table(spark, sf), TD.HTTP_POOL)
 
@@ -395,8 +396,8 @@ def td_coverage(spark, sf):
     return TD.coverage(thread_table(spark, sf))
 
 
-@query(_T + " SELECT k AS tid, name, state, (k % 5 * 10.0)::DOUBLE AS cpu_delta_ms, 5.0::DOUBLE AS elapsed_delta_s FROM t WHERE state IN ('RUNNABLE', 'BLOCKED') AND k % 3 <> 0")
+@query(_T + " SELECT 'tid:' || k AS identity, name, state, (k % 5 * 10.0)::DOUBLE AS cpu_delta_ms, CASE WHEN k % 7 > 0 THEN 5.0::DOUBLE END AS elapsed_delta_s, CASE WHEN k % 5 > 0 THEN 'active_repeated_stack' WHEN state = 'RUNNABLE' THEN 'repeated_stack' ELSE 'persistent_wait' END AS classification FROM t WHERE k % 3 <> 0 AND k % 6 <> 4")
 def td_compare(spark, sf):
     a = thread_table(spark, sf)
-    b = a.withColumns({"cpu_ms": F.col("cpu_ms") + F.col("tid") % 5 * 10.0, "elapsed_s": F.col("elapsed_s") + 5.0, "stack": F.when(F.col("tid") % 3 == 0, F.array(F.lit("com.acme.Other.go"))).otherwise(F.col("stack"))})
+    b = a.withColumns({"cpu_ms": F.col("cpu_ms") + F.col("tid") % 5 * 10.0, "elapsed_s": F.when(F.col("tid") % 7 > 0, F.col("elapsed_s") + 5.0), "stack": F.when(F.col("tid") % 3 == 0, F.array(F.lit("com.acme.Other.go"))).otherwise(F.col("stack"))})
     return TD.compare(a, b)

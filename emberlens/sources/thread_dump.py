@@ -26,7 +26,7 @@ def _hint(c: Column) -> Column:
 
 def threads(lines: DataFrame) -> DataFrame:
     """dump, name, id, tid, nid, daemon, priority, state, state_detail, cpu_ms, elapsed_s, stack (array of
-    Class.method), frames, held, waits_for, rejected (frame lines not understood). One file is one dump;
+    Class.method), frames, held, waits_for, rejected (frame lines not understood), ord (place in the dump). One file is one dump;
     a line that tells a deadlock ends its threads."""
     line = F.col("line")
     d = lines.withColumn("dump", F.col("file"))
@@ -43,13 +43,13 @@ def threads(lines: DataFrame) -> DataFrame:
     locks = F.transform(F.filter("b", lambda x: x.rlike(LOCK)), lambda x: F.struct(F.regexp_extract(x, LOCK, 1).alias("op"), F.regexp_extract(x, LOCK, 2).alias("address"), F.regexp_extract(x, LOCK, 3).alias("class_name")))
     g = g.withColumns({"frames": frames, "locks": locks, "s": F.get(states, F.lit(0)), "sync": F.transform(F.filter("b", lambda x: x.rlike(SYNC_ITEM)), lambda x: F.regexp_extract(x, SYNC_ITEM, 1))})
     of = lambda *ops: F.transform(F.filter("locks", lambda x: x["op"].isin(*ops)), lambda x: x["address"])
-    waited = of("waiting on", "parking to wait for")
+    wanted = F.get(F.filter("locks", lambda x: x["op"] != "locked"), F.lit(0))
     rejected = F.size(F.filter("b", lambda x: x.rlike(r"^\s*at\s") & ~x.rlike(FRAME)))
     return g.select(
         "dump", F.regexp_replace(h(1), r"\\(.)", "$1").alias("name"), full(2).cast("int").alias("id"), full(7).alias("tid"), full(8).alias("nid"), (full(3) == "daemon").isNotNull().alias("daemon"), full(4).cast("int").alias("priority"),
         F.coalesce(found(F.col("s"), STATE, 1), _hint(F.coalesce(h(9), F.lit("")))).alias("state"), F.when(F.regexp_extract("s", STATE, 2) != "", F.regexp_extract("s", STATE, 2)).alias("state_detail"), full(5).cast("double").alias("cpu_ms"), full(6).cast("double").alias("elapsed_s"),
         F.transform("frames", lambda f: F.concat(f["class_name"], F.lit("."), f["method"])).alias("stack"), "frames", "locks",
-        F.array_distinct(F.concat(F.array_except(of("locked"), waited), F.col("sync"))).alias("held"), F.coalesce(F.get(of("waiting to lock"), F.lit(0)), F.get(of("parking to wait for"), F.lit(0))).alias("waits_for"), rejected.alias("rejected"),
+        F.array_distinct(F.concat(F.array_except(of("locked"), of("waiting on")), F.col("sync"))).alias("held"), F.when(wanted["op"] != "waiting on", wanted["address"]).alias("waits_for"), rejected.alias("rejected"), F.col("k").alias("ord"),
     )
 
 
