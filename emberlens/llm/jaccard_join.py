@@ -11,9 +11,15 @@ each set first meets the hub of its shingle groups, the member with fewest rare
 pairs between different components of what that links are then searched, all of them, so no link
 between different components is missed and the components are exact.
 
-Which shingles are frequent is counted over all documents by 24-bit prints in buckets; at most
+Which shingles are frequent is counted over all different sets by 24-bit prints in buckets; at most
 MAX_FREQUENT enter the order, which holds for any such list, right or wrong.
 
+Pairs are verified on the sets of 64-bit shingle hashes, and copies are sets whose sizes and two
+64-bit sums agree; texts aren't compared. Two different shingles fall together with probability
+2**-64, so a pair of sets of n shingles is misjudged with probability n**2 / 2**64 at most (1e-9 for
+100,000 words), and two different sets are taken for copies with some 2**-128. The hashes have no
+secret key: texts made to collide are outside of that bound.
+
 Defined results: texts that are null or without words have an empty set, are linked with nothing
 and are a component of their own; texts of fewer words than a shingle are one shingle; rows that
 share an id are one vertex and are answered each; rows with null id are answered with a null
@@ -26,18 +32,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlens.llm.components import components
 from emberlens.llm.shingles import chunks_of, distinct, hash_shingles, mix
-from emberlens.session import cut_lineage
+from emberlens.session import cut_lineage, delete_path, ship_package, table_path, write_table
 
 WIDTH, PERCENT = 4, 85
 FREQUENT, MAX_FREQUENT = 64, 1 << 20
 #: Ids up to which a list of them is broadcast, 8 bytes each; beyond it is shuffled.
 BROADCAST_IDS = 1_000_000
 ORDERS = (11, 12, 13)
+#: Documents with one shingle from which on its entries are dealt out by salts; entries of one text that
+#: are joined at one key; members that are compared with one copy of their hub.
+SPLIT, PIECE, BLOCK = 100_000, 4_096, 256
+#: Prints that a task sorts at once, and the largest gap but one of two neighbours in 16 bits.
+PRINTS_HELD, GAP = 1_000_000, 65_535
+ROLE = ("id", "hub", "block", "own")
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -80,7 +93,8 @@ def _print_of(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _prints(width: int, bits: int) -> Callable:
-    """Sorted prints of a task's documents, three bytes each, by bucket."""
+    """Sorted prints of a task's documents, by bucket, as 16-bit gaps; a gap of GAP or more begins with that
+    many of GAP, which add up but end no gap."""
 
     def run(batches: Batches) -> Batches:
         held, size = [], 0
@@ -88,16 +102,22 @@ def _prints(width: int, bits: int) -> Callable:
         def flush() -> pa.RecordBatch:
             p = np.sort(np.concatenate(held))
             edges = np.searchsorted(p, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(24))
-            data = p.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            low = (p & np.uint64(0xFFFFFF)).astype(np.int64)
+            gaps = np.diff(low, prepend=0)
             full = np.flatnonzero(np.diff(edges))
-            blobs = [data[edges[k] : edges[k + 1]].tobytes() for k in full]
+            gaps[edges[full]] = low[edges[full]]
+            ends = np.cumsum(gaps // GAP + 1)
+            units = np.full(ends[-1], GAP, dtype="<u2")
+            units[ends - 1] = gaps % GAP
+            cut = np.concatenate([[0], ends])[edges]
+            blobs = [units[cut[k] : cut[k + 1]].tobytes() for k in full]
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "prints"])
 
         for b in batches:
             for _, s in _sets(b, width):
                 held.append(_print_of(s, bits))
                 size += len(s)
-                if size > 500_000:
+                if size > PRINTS_HELD:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -108,20 +128,26 @@ def _prints(width: int, bits: int) -> Callable:
 
 def _tally(least: int) -> Callable:
     def run(t: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(t["prints"].to_pylist()), dtype=np.uint8).reshape(-1, 3).astype(np.int64)
-        p, n = np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_counts=True)
-        p = p[n >= least] + (t["bucket"][0].as_py() << 24)
+        parts = []
+        for blob in t["prints"]:
+            units = np.frombuffer(blob.as_buffer(), dtype="<u2")
+            parts.append(np.cumsum(units, dtype=np.uint32)[units != GAP])
+        p, n = np.unique(np.concatenate(parts), return_counts=True)
+        p = p[n >= least].astype(np.int64) + (t["bucket"][0].as_py() << 24)
         return pa.table({"print": pa.array(p), "n": pa.array(n[n >= least])})
 
     return run
 
 
-def frequent_prints(texts: DataFrame, width: int, bits: int, least: int, most: int) -> np.ndarray:
-    """Sorted prints of the shingles in at least ``least`` documents, the ``most`` most frequent."""
-    d = texts.select("text").where("text is not null").mapInArrow(_prints(width, bits), "bucket int, prints binary")
+def frequent_prints(texts: DataFrame, width: int, bits: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted prints of the shingles in at least ``least`` documents, the ``most`` most frequent, and
+    their numbers of documents."""
+    d = texts.select("text").mapInArrow(_prints(width, bits), "bucket int, prints binary")
     n = d.groupBy("bucket").applyInArrow(_tally(least), "print bigint, n bigint")
-    top = n.orderBy(F.desc("n"), "print").limit(most).select("print").toArrow()["print"].to_numpy()
-    return np.sort(top.astype(np.uint64))
+    top = n.orderBy(F.desc("n"), "print").limit(most).toArrow()
+    p, n = top["print"].to_numpy().astype(np.uint64), top["n"].to_numpy()
+    order = np.argsort(p)
+    return p[order], n[order]
 
 
 def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int, seed: int) -> np.ndarray:
@@ -135,77 +161,152 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int, seed: int) -> np.
     return s[np.argsort(key)]
 
 
-def _is_in(s: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarray:
+def _documents_with(s: np.ndarray, counts: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
+    """The number of documents with each frequent shingle of a set, 0 for all others."""
+    prints, n = counts
     if not len(prints):
-        return np.zeros(len(s), dtype=bool)
+        return np.zeros(len(s), dtype=np.int64)
     p = _print_of(s, bits)
     at = np.searchsorted(prints, p)
     at[at == len(prints)] = 0
-    return prints[at] == p
+    return np.where(prints[at] == p, n[at], 0)
+
 
+def _entries(width: int, percent: int, bits: int, counts, split: int) -> Callable:
+    """A row for each member of each prefix under the first order: shingle, salt, id, set size, position.
 
-def _entries(width: int, percent: int, bits: int, prints) -> Callable:
-    """A row for each member of each prefix under the first order: shingle, id, set size, position."""
+    The entries of a shingle that more than ``split`` documents have are dealt to as many salts as it
+    has that number of documents; all others have the salt -1.
+    """
 
     def run(batches: Batches) -> Batches:
         for b in batches:
-            ids, tokens, doc, size, pos = b.column("id").to_numpy(), [], [], [], []
+            ids, tokens, salts, doc, size, pos = b.column("id").to_numpy(), [], [], [], [], []
             for i, s in _sets(b, width):
-                if len(s):
-                    p = _prefix(s, _is_in(s, prints.value, bits), percent, ORDERS[0])
-                    tokens.append(p), doc.append(np.full(len(p), ids[i])), size.append(np.full(len(p), len(s), dtype=np.int32)), pos.append(np.arange(len(p), dtype=np.int32))
+                if not len(s):
+                    continue
+                k = _documents_with(s, counts.value, bits)
+                p = _prefix(s, k > 0, percent, ORDERS[0])
+                salt = np.full(len(p), -1, dtype=np.int32)
+                if k.max(initial=0) > split:
+                    ways = _documents_with(p, counts.value, bits) // split + 1
+                    draw = int(mix(ids[i : i + 1].view(np.uint64), 5)[0] >> np.uint64(1))
+                    salt = np.where(ways > 1, draw % ways, -1).astype(np.int32)
+                tokens.append(p), salts.append(salt), doc.append(np.full(len(p), ids[i]))
+                size.append(np.full(len(p), len(s), dtype=np.int32)), pos.append(np.arange(len(p), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([_longs(tokens), *[pa.array(np.concatenate(x)) for x in (doc, size, pos)]], ["token", "id", "n", "pos"])
+                columns = [pa.array(np.concatenate(x)) for x in (salts, doc, size, pos)]
+                yield pa.RecordBatch.from_arrays([_longs(tokens), *columns], ["token", "salt", "id", "n", "pos"])
 
     return run
 
 
-def _meetings(batches: Batches) -> Batches:
-    """Of entries sorted by shingle, those whose shingle has more than one; the last group of a batch
-    may go on in the next, so one row is held back."""
-    held: pa.Table | None = None
-    last_sent = None
-    for b in batches:
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        k = t["token"].to_numpy()
-        with_next = np.zeros(len(k), dtype=bool)
-        with_next[:-1] = k[:-1] == k[1:]
-        keep = with_next.copy()
-        keep[1:] |= with_next[:-1]
-        if len(k):
-            keep[0] |= last_sent is not None and k[0] == last_sent
-            held = t.slice(len(k) - 1)
-            done = t.slice(0, len(k) - 1).filter(pa.array(keep[:-1]))
-            if done.num_rows:
-                last_sent = done["token"][-1].as_py()
-            yield from done.combine_chunks().to_batches()
-    if held is not None and last_sent is not None and held["token"][0].as_py() == last_sent:
-        yield from held.combine_chunks().to_batches()
-
-
-def _filters(width: int, percent: int, bits: int, prints) -> Callable:
-    """Prefixes under the other orders, as 32-bit prints."""
+def _near(n, pos, m, at, percent: int):
+    """Size and positional bounds of two entries at one shingle; for arrays and columns alike."""
+    rest, other = n - pos, m - at
+    whole = (n + m) * percent
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (rest * (100 + percent) >= whole) & (other * (100 + percent) >= whole)
+
+
+def _meetings(percent: int) -> Callable:
+    """Of entries sorted by shingle, salt, position and id those whose shingle has more than one, each
+    with the hub of its group, which comes first, where the two can link. A salted group keeps a group
+    of one as well, and its hub names itself. All that is kept from batch to batch is the hub."""
 
     def run(batches: Batches) -> Batches:
+        hub, unsent = None, False
         for b in batches:
-            rows, lists = [], [[] for _ in ORDERS[1:]]
-            for i, s in _sets(b, width):
-                rows.append(i)
-                f = _is_in(s, prints.value, bits)
-                for out, seed in zip(lists, ORDERS[1:], strict=True):
-                    out.append(_prefix(s, f, percent, seed) if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), *[_lists(x, np.int32) for x in lists]], ["id", *[f"f{k}" for k in range(len(lists))]])
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy() for c in ("token", "salt", "id", "n", "pos")]
+            if hub is not None:
+                cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(hub, cols, strict=True)]
+            token, salt, ids, n, pos = cols
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(token)))
+            first = np.repeat(starts, sizes)
+            kept = np.repeat(sizes > 1, sizes) | (salt >= 0)
+            linked = _near(n.astype(np.int64), pos, n[first].astype(np.int64), pos[first], percent) & (ids != ids[first])
+            linked |= new & (salt >= 0)
+            send = kept.copy()
+            if hub is not None:
+                send[0] &= unsent
+            hub, unsent = tuple(c[starts[-1]] for c in cols), not kept[-1]
+            if send.any():
+                hubs = pa.array(ids[first][send], mask=~linked[send])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[send]) for c in (token, ids, n, pos)], hubs], ["token", "id", "n", "pos", "hub"])
 
     return run
 
 
-def _members(width: int) -> Callable:
+def _once(b: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch without rows that repeat the row before, by id and text, and where each row's text is."""
+    if b.num_rows < 2:
+        return b, np.zeros(b.num_rows, dtype=np.int64)
+    same = pc.and_(*[pc.equal(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)) for c in ("id", "text")])
+    fresh = np.append(True, ~same.to_numpy(zero_copy_only=False))
+    return b.filter(pa.array(fresh)), np.cumsum(fresh) - 1
+
+
+def _dealt(width: int, lists_of: Callable[[np.ndarray], list[np.ndarray]], kind) -> Callable:
+    """The rows of a batch with lists made of each text's set in place of the text."""
+
     def run(batches: Batches) -> Batches:
         for b in batches:
-            rows, sets = [], []
-            for i, s in _sets(b, width):
-                rows.append(i), sets.append(s)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), _lists(sets)], ["id", "s"])
+            texts, at = _once(b)
+            lists = [lists_of(s) for _, s in _sets(texts, width)]
+            columns = [_lists(list(x), kind).take(pa.array(at)) for x in zip(*lists, strict=True)]
+            if columns:
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ROLE], *columns], [*ROLE, *[f"l{k}" for k in range(len(columns))]])
+
+    return run
+
+
+def _members_of(hub: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values are in the sorted array hub."""
+    if not len(hub):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(hub, values)
+    at[at == len(hub)] = 0
+    return hub[at] == values
+
+
+def _against_hub(n_lists: int, agree: Callable) -> Callable:
+    """Pairs (id, hub) of rows sorted by hub and block, the hub's own rows first, that agree. The hub's
+    lists, one for each of its different texts, are kept from batch to batch."""
+
+    def run(batches: Batches) -> Batches:
+        key, hubs = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            hub, block, own, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "block", "own", "id"))
+            lists = []
+            for k in range(n_lists):
+                c = b.column(f"l{k}")
+                ends = np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                flat = c.flatten().to_numpy(zero_copy_only=False)
+                lists.append((flat.view(np.uint64) if flat.dtype == np.int64 else flat, ends))
+            starts = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (block[1:] != block[:-1])))
+            found, of = [], []
+            for i, j in zip(starts, np.append(starts[1:], len(hub)), strict=True):
+                if key != (hub[i], block[i]):
+                    key, hubs = (hub[i], block[i]), []
+                k = i + int(own[i:j].sum())
+                for r in range(i, k):
+                    mine = [np.sort(flat[ends[r] : ends[r + 1]]) for flat, ends in lists]
+                    if not any(all(np.array_equal(x, y) for x, y in zip(mine, h, strict=True)) for h in hubs):
+                        hubs.append(mine)
+                if k < j:
+                    fits = np.zeros(j - k, dtype=bool)
+                    for h in hubs:
+                        shared = [np.bincount(np.repeat(np.arange(j - k), np.diff(ends[k : j + 1])), _members_of(x, flat[ends[k] : ends[j]]), j - k) for x, (flat, ends) in zip(h, lists, strict=True)]
+                        fits |= agree(shared, len(h[0]), np.diff(lists[0][1][k : j + 1]))
+                    found.append(ids[k:j][fits]), of.append(np.full(int(fits.sum()), hub[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(of))], ["id", "hub"])
 
     return run
 
@@ -213,41 +314,49 @@ def _members(width: int) -> Callable:
 class JaccardJoin:
     """The join of one table of texts (id, text)."""
 
-    def __init__(self, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, broadcast_ids: int = BROADCAST_IDS):
+    def __init__(self, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, max_frequent: int = MAX_FREQUENT, broadcast_ids: int = BROADCAST_IDS, split: int = SPLIT, piece: int = PIECE):
+        ship_package(texts.sparkSession)
         self.texts, self.width, self.percent, self.broadcast_ids = texts, width, percent, broadcast_ids
-        self.frequent, self.max_frequent = frequent, max_frequent
-        self.bits = max(8, min(16, (4 * texts.rdd.getNumPartitions() - 1).bit_length()))
+        self.frequent, self.max_frequent, self.split, self.piece = frequent, max_frequent, split, piece
+        self.bits = max(8, min(18, (4 * texts.rdd.getNumPartitions() - 1).bit_length()))
+
+    def _small(self, d: DataFrame) -> DataFrame:
+        """d, which is stored, to be broadcast if its rows are few enough."""
+        return F.broadcast(d) if d.count() <= self.broadcast_ids else d
 
-    def _only(self, ids: DataFrame, how: str) -> DataFrame:
-        """The texts with (left_semi) or without (left_anti) an id."""
-        ids = cut_lineage(ids)
-        return self.texts.join(F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids, "id", how)
+    def _agreeing(self, pairs: DataFrame, lists_of: Callable, n_lists: int, kind, agree: Callable) -> DataFrame:
+        """Those of the pairs (id, hub) whose lists agree.
 
-    def _can_link(self, a: str, b: str) -> Column:
-        """Size and positional bounds of two entries at one shingle."""
-        n = F.col(f"{a}.n") + F.col(f"{b}.n")
-        most = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-        near = (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * self.percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * self.percent)
-        return near & (most * (100 + self.percent) >= n * self.percent)
+        The lists of members go to their hub's, in blocks of BLOCK members, each with a copy of the
+        hub's, so that no hub is a hot key.
+        """
+        blocks = cut_lineage(pairs.groupBy("hub").agg(F.floor(F.count("*") / BLOCK).cast("int").alias("last")))
+        large = self._small(cut_lineage(blocks.where("last > 0")))
+        members = pairs.join(large, "hub", "left").withColumn("last", F.coalesce("last", F.lit(0)))
+        members = members.select("id", "hub", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int").alias("block"), F.lit(False).alias("own"))
+        hubs = blocks.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), "last")).alias("block"), F.lit(True).alias("own"))
+        roles = cut_lineage(members.unionByName(hubs))
+        sent = self.candidates.join(self._small(roles), "id").select(*ROLE, "text")
+        item = "bigint" if kind is np.int64 else "int"
+        schema = "id bigint, hub bigint, block int, own boolean, " + ", ".join(f"l{k} array<{item}>" for k in range(n_lists))
+        sent = sent.mapInArrow(_dealt(self.width, lists_of, kind), schema)
+        sent = sent.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("own"))
+        return cut_lineage(sent.mapInArrow(_against_hub(n_lists, agree), "id bigint, hub bigint").distinct())
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that meet under all orders and whose sets are similar."""
-        pairs = cut_lineage(pairs)
-        ids = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-        names = [f"f{k}" for k in range(len(ORDERS) - 1)]
-        f = cut_lineage(self._only(ids(pairs), "left_semi").mapInArrow(_filters(self.width, self.percent, self.bits, self.prints), "id bigint, " + ", ".join(f"{x} array<int>" for x in names)))
-        side = lambda t, c, cols: t.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
-        met = pairs.join(side(f, "a", names), "a").join(side(f, "b", names), "b")
-        for x in names:
-            met = met.where(F.arrays_overlap(f"a_{x}", f"b_{x}"))
-        met = cut_lineage(met.select("a", "b").distinct())
-        s = cut_lineage(self._only(ids(met), "left_semi").mapInArrow(_members(self.width), "id bigint, s array<bigint>"))
-        both = F.size(F.array_intersect("a_s", "b_s"))
-        similar = both * 100 >= (F.size("a_s") + F.size("b_s") - both) * self.percent
-        return cut_lineage(met.join(side(s, "a", ["s"]), "a").join(side(s, "b", ["s"]), "b").where(similar).select("a", "b").distinct())
+        """Those of the pairs (id, hub) that meet under all other orders and whose sets are similar."""
+        counts, bits, percent = self.counts, self.bits, self.percent
+
+        def prefixes(s: np.ndarray) -> list[np.ndarray]:
+            often = _documents_with(s, counts.value, bits) > 0
+            return [_prefix(s, often, percent, seed) if len(s) else s for seed in ORDERS[1:]]
+
+        met = self._agreeing(cut_lineage(pairs), prefixes, len(ORDERS) - 1, np.int32, lambda shared, n, m: np.logical_and.reduce([x > 0 for x in shared]))
+        return self._agreeing(met, lambda s: [s], 1, np.int64, lambda shared, n, m: shared[0] * 100 >= (n + m - shared[0]) * percent)
 
     def links(self) -> DataFrame:
         """Links (u, v) between ids that generate all components; also sets ``rows`` (id, n, rep)."""
+        spark = self.texts.sparkSession
         outline = cut_lineage(self.texts.mapInArrow(_outline(self.width), "id bigint, n bigint, k1 bigint, k2 bigint"))
         known = outline.where("id is not null and n > 0")
         reps = cut_lineage(known.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
@@ -256,37 +365,65 @@ class JaccardJoin:
         many = known.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("id")
         shared = known.join(many, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
-        self.prints = self.texts.sparkSession.sparkContext.broadcast(frequent_prints(self.texts, self.width, self.bits, self.frequent, self.max_frequent))
-        rest = known.groupBy("id").agg(F.min("rep").alias("least"), F.count_if(F.col("id") == F.col("rep")).alias("own")).where("own = 0").select("id")
-        some = self._only(rest, "left_anti").where("id is not null and text is not null")
-        entries = some.mapInArrow(_entries(self.width, self.percent, self.bits, self.prints), "token bigint, id bigint, n int, pos int")
-        dealt = entries.repartition("token").sortWithinPartitions("token", "pos", "id")
-        g = cut_lineage(dealt.mapInArrow(_meetings, "token bigint, id bigint, n int, pos int"))
-
-        hubs = g.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("h")).select("token", F.col("h.pos").alias("pos"), F.col("h.id").alias("id"), F.col("h.n").alias("n"))
-        met = g.alias("x").join(hubs.alias("y"), "token").where((F.col("x.id") != F.col("y.id")) & self._can_link("x", "y"))
-        met = met.select(F.col("x.id").alias("m"), F.col("y.id").alias("hub")).groupBy("m", "hub").agg(F.count("*").alias("k"))
-        best = met.groupBy("m").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
-        first = self._confirmed(best.select(F.least("m", "hub").alias("a"), F.greatest("m", "hub").alias("b")).distinct())
-        found = first.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(shared)
-        second = self._confirmed(self._across(g, components(found)))
-        return found.unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rest = cut_lineage(known.groupBy("id").agg(F.count_if(F.col("id") == F.col("rep")).alias("own")).where("own = 0").select("id"))
+        some = self.texts.join(self._small(rest), "id", "left_anti").where("id is not null and text is not null")
+        counts = frequent_prints(some, self.width, self.bits, self.frequent, self.max_frequent)
+        self.counts = spark.sparkContext.broadcast(counts)
+        entries = some.mapInArrow(_entries(self.width, self.percent, self.bits, self.counts, self.split), "token bigint, salt int, id bigint, n int, pos int")
+        dealt = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "id")
+        stored = table_path(spark, "meetings")
+        dealt.mapInArrow(_meetings(self.percent), "token bigint, id bigint, n int, pos int, hub bigint").write.parquet(stored)
+        g = spark.read.parquet(stored)
+
+        ids = cut_lineage(g.select("id").distinct())
+        # too many to be broadcast, they are looked up once, so that all texts cross a shuffle once at most
+        self.candidates = some if ids.count() <= self.broadcast_ids else write_table(some.join(ids, "id", "left_semi"), "candidates")
+
+        met = g.where("hub <> id").select("id", "hub")
+        if counts[1].max(initial=0) > self.split:
+            met = met.unionByName(self._between_salts(g.where("hub = id")))
+        met = met.groupBy("id", "hub").agg(F.count("*").alias("k"))
+        first = self._confirmed(met.groupBy("id").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub")))
+        found = first.select(F.col("id").alias("u"), F.col("hub").alias("v")).unionByName(shared)
+        second = self._confirmed(self._across(g.drop("hub"), components(found)))
+        delete_path(spark, stored)
+        return found.unionByName(second.select(F.col("id").alias("u"), F.col("hub").alias("v")))
+
+    def _between_salts(self, hubs: DataFrame) -> DataFrame:
+        """Each salt's hub meets the first of its shingle's hubs."""
+        top = hubs.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("h")).select("token", F.col("h.pos").alias("at"), F.col("h.id").alias("hub"), F.col("h.n").alias("m"))
+        return hubs.drop("hub").join(top, "token").where((F.col("id") != F.col("hub")) & _near(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), self.percent)).select("id", "hub")
+
+    def _with_component(self, g: DataFrame, parts: DataFrame) -> DataFrame:
+        """Entries with the component of their id. Beyond what is broadcast they are joined in pieces of
+        each prefix, so that a long text is no hot key."""
+        parts = parts.withColumnRenamed("node", "id")
+        if parts.count() <= self.broadcast_ids:
+            g = g.join(F.broadcast(parts), "id", "left")
+        else:
+            piece = F.floor(F.col("pos") / self.piece).cast("int")
+            last = g.groupBy("id").agg(F.max(piece).alias("last"))
+            parts = parts.join(last, "id").select("id", "component", F.explode(F.sequence(F.lit(0), "last")).alias("piece"))
+            g = g.withColumn("piece", piece).join(parts, ["id", "piece"], "left").drop("piece")
+        return g.withColumn("component", F.coalesce("component", "id"))
 
     def _across(self, g: DataFrame, parts: DataFrame) -> DataFrame:
-        """All pairs (a, b) of different components that meet under the first order.
+        """All pairs (id, hub) of different components that meet under the first order.
 
         In each shingle group the members outside of its largest component meet the others; a member
         too far back for the smallest set of the group meets nobody.
         """
-        g = g.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        g = cut_lineage(g)
+        g = self._with_component(g, parts)
+        mixed = g.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        g = cut_lineage(g.join(mixed, "token", "left_semi").select("token", "id", "n", "pos", "component"))
         sizes = g.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("n").alias("n"))
-        tokens = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main"), F.min("n").alias("least")).where("parts > 1")
-        g = g.join(tokens.drop("parts"), "token").where((F.col("n") - F.col("pos")) * (100 + self.percent) >= (F.col("n") + F.col("least")) * self.percent)
+        tokens = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.min("n").alias("least"))
+        g = g.join(tokens, "token").where((F.col("n") - F.col("pos")) * (100 + self.percent) >= (F.col("n") + F.col("least")) * self.percent)
         few = g.where("component <> main")
         one_way = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-        met = few.alias("x").join(g.alias("y"), "token").where((F.col("x.component") != F.col("y.component")) & one_way & self._can_link("x", "y"))
-        return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        near = _near(*[F.col(c) for c in ("x.n", "x.pos", "y.n", "y.pos")], self.percent)
+        met = few.alias("x").join(g.alias("y"), "token").where((F.col("x.component") != F.col("y.component")) & one_way & near)
+        return met.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("hub")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

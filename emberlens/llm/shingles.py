@@ -2,17 +2,20 @@
 
 A word is a run of anything but blanks (space, tab to carriage return) with A-Z lower-cased; a
 shingle is ``width`` words in a row, and a text with fewer words, but some, is one shingle. Shingles
-are known by a 64-bit hash: polynomial hashes of the words, mixed, then a polynomial of those.
+are known by a 64-bit hash: polynomial hashes of the words, mixed, then a polynomial of those. Words
+of more than LONG_WORD bytes are hashed by BLAKE2, as polynomials modulo 2**64 fall together on some
+pairs of strings from 1024 bytes on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-BATCH_BYTES = 500_000
+BATCH_BYTES, LONG_WORD = 500_000, 512
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -73,6 +76,8 @@ def hash_shingles(raw: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.n
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(raw)), out=sums[1:])
     words = mix((sums[end] - sums[begin]) * _power("down", _INVERSE, len(raw) + 1)[begin])
     del sums
+    for i in np.flatnonzero(end - begin > LONG_WORD):
+        words[i] = int.from_bytes(blake2b(lower[begin[i] : end[i]].tobytes(), digest_size=8).digest())
     first = np.searchsorted(begin, bounds)  # of each text's words
     n_words = np.diff(first)
     n = len(words)

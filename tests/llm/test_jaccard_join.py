@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from emberlens.llm.components import components
-from emberlens.llm.jaccard_join import jaccard_components, one_of_each
+from emberlens.llm.jaccard_join import frequent_prints, jaccard_components, one_of_each
 from emberlens.llm.shingles import chunks_of, hash_shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,29 @@ def test_shuffled_id_lists_give_the_same(spark):
     assert got == {i: c for i, _, c in brute(rows)}
 
 
+@pytest.mark.parametrize("how", [{"split": 2, "frequent": 2}, {"split": 5, "frequent": 3, "broadcast_ids": 0, "piece": 3}])
+def test_salted_shingles_and_pieces_give_the_same(spark, how):
+    rows = corpus(5)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(d, **how).collect()}
+    assert got == {i: c for i, _, c in brute(rows)}
+
+
+def test_gaps_of_prints_count_as_they_are(spark):
+    rows = [(" ".join(f"p{i}x{k % 7}" for k in range(4)),) for i in range(5) for _ in range(i + 1)]
+    prints, n = frequent_prints(spark.createDataFrame(rows, "text string").repartition(3), 4, 8, 2, 100)
+    assert sorted(n) == [2, 3, 4, 5] and list(prints) == sorted(prints)
+
+
+def test_long_words_are_told_apart():
+    a = "ab"
+    for _ in range(10):  # a pair of words on which polynomials modulo 2**64 fall together
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [a, a.translate(str.maketrans("ab", "ba"))]
+    h = [hash_shingles(raw, bounds, 4)[0] for _, raw, bounds in chunks_of(pa.array(texts))][0]
+    assert len(h) == 2 and h[0] != h[1]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"a{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, long), (8, long + " end"), (9, "one two"), (9, "one two"), (None, "one two"), (10, "a b c d e"), (10, "p q r s t"), (11, "P q r s t"), (12, "ÀB cd ef gh"), (13, "àb cd ef gh")]
