@@ -1,25 +1,32 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built, made into a table of transitions
-over a small alphabet. A text is parsed into phrases, each the longest match in the language's
-training text from where the last phrase ended; with n training characters and c phrases over N
-characters the cross entropy is c * log2(n) / N bits a character. The language that needs fewest
-normalised phrases wins, ties going to the label seen more often.
-
-Texts are parsed whole, in blocks of BLOCK characters that each begin a phrase, many blocks at a
-time. Letters are lower-cased; each run of anything else is one blank.
+For each language a suffix automaton of labelled text is built. A text is parsed into phrases, each
+the longest match in the language's training text from where the last phrase ended; with n training
+characters and c phrases over N characters the cross entropy is c * log2(n) / N bits a character.
+The language that needs fewest normalised phrases wins, ties going to the label seen more often.
+
+Texts are parsed whole. Many blocks of BLOCK characters are parsed at a time, first each as if it
+began a phrase; then, from left to right, a block is parsed again from the state in which the block
+before it ended, until it meets its first parse, behind which both are the same. So no phrase ends at
+a block's border. Every learned letter of any script has a code of its own; the transitions are kept
+sparse, in some 16 bytes each. Letters are lower-cased and keep their combining marks; each run of
+anything else is one blank.
 
 Learning takes a bounded sample: of each language the texts with the least hash in DOCS_PER_LANG
-classes, joined up to CHARS_PER_LANG characters. Only text and label enter.
+classes, joined up to CHARS_PER_LANG characters; the driver gets at most some three times that a
+language. Only text and label enter. Languages are labels, hundreds at most: each worker holds an
+automaton of each, some 3 MB.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for every
-text if nothing was learned; rows that repeat are answered each; an empty table gives an empty
-result; other columns are ignored.
+text if nothing was learned; very long texts are parsed whole, at some 40 bytes a character; rows
+that repeat are answered each; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,11 +35,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOCS_PER_LANG, CHARS_PER_LANG = 64, 40_000
-BLOCK, BATCH_CHARS, MAX_LETTERS = 512, 1_000_000, 250
+BLOCK, BATCH_CHARS = 512, 4_000_000
 UND = "und"
 
 
@@ -43,9 +50,19 @@ class Training:
     languages: tuple[tuple[str, int, str], ...]
 
 
+def kept(c: str) -> bool:
+    """Letters and the marks that belong to them."""
+    return c.isalpha() or unicodedata.category(c)[0] == "M"
+
+
+def lowered(c: str) -> str:
+    """The first character of the lower case, so that one character stays one."""
+    return c.lower()[:1]
+
+
 def fold(text: str) -> str:
     """Lower-cased letters, each run of other characters one blank, a blank at both ends."""
-    return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    return " " + " ".join("".join(lowered(c) if kept(c) else " " for c in text).split()) + " "
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -80,7 +97,9 @@ def learn(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col:
     seen: Counter = Counter()
     for r in classes:
         seen[r.lang] += r.n
-    rows = t.where(F.col("h").isin([r.h for r in classes])).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars_per_lang)).alias("text")).collect() if classes else []
+    chosen = t.where(F.col("h").isin([r.h for r in classes])).groupBy("lang", "h").agg(F.min(F.substring("text", 1, 2 * chars_per_lang)).alias("text"))
+    before = F.sum(F.char_length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    rows = chosen.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < 2 * chars_per_lang).select("lang", "h", "text").collect() if classes else []
     out = []
     for lang, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
         parts, have = [], 0
@@ -94,65 +113,167 @@ def learn(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col:
     return Training(tuple(out))
 
 
+class Transitions:
+    """The transitions of a suffix automaton in one array, rows laid over each other.
+
+    A state is known by its place; the transition by letter code c is at place + c. There its upper
+    half names the place it belongs to, its lower half the next state's place.
+    """
+
+    def __init__(self, states: list[dict[str, int]], code: dict[str, int], width: int):
+        rows = [(sorted((code[c], to) for c, to in out.items())) for out in states]
+        self._room = np.zeros(2 * sum(map(len, rows)) + 4 * width + 64, dtype=bool)  # slots taken
+        self._named = np.zeros(len(self._room), dtype=bool)  # places taken
+        place = np.full(len(rows), -1, dtype=np.int64)
+        many = sorted((i for i, r in enumerate(rows) if len(r) > 1), key=lambda i: (-len(rows[i]), i))
+        low, before = 0, 0
+        for i in many:
+            codes = np.array([c for c, _ in rows[i]])
+            low = low if len(codes) == before else 0
+            place[i] = low = self._fit(codes, low)
+            before = len(codes)
+        single = np.array([i for i, r in enumerate(rows) if len(r) == 1], dtype=np.int64)
+        codes = np.array([rows[i][0][0] for i in single], dtype=np.int64)
+        for turn in range(12):  # each single transition gets a free slot of its own, if its place is free as well
+            if not len(single):
+                break
+            free = np.flatnonzero(~self._room)
+            free = np.roll(free[free >= width], -turn)[: len(single)]
+            n = len(free)
+            at = free - codes[:n]
+            first = np.zeros(n, dtype=bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            good = first & ~self._named[at]
+            place[single[:n][good]] = at[good]
+            self._room[free[good]] = self._named[at[good]] = True
+            left = np.append(~good, np.ones(len(single) - n, dtype=bool))
+            single, codes = single[left], codes[left]
+        low = 0
+        for i, c in zip(single, codes, strict=True):
+            place[i] = low = self._fit(np.array([c]), low)
+        for i, r in enumerate(rows):
+            if not r:
+                place[i] = self._fit(np.empty(0, dtype=np.int64), 0)
+        self.nowhere = int(np.flatnonzero(~self._named)[0])  # the state behind a letter that the text lacks
+        self._named[self.nowhere] = True
+        self.root = int(place[0])
+        self.edges = np.full(int(place.max(initial=0)) + width + 1, -1, dtype=np.int64)
+        for i, r in enumerate(rows):
+            for c, to in r:
+                self.edges[place[i] + c] = place[i] << 32 | place[to]
+        self.begin = np.full(width, self.nowhere, dtype=np.int64)
+        for c, to in rows[0]:
+            self.begin[c] = place[to]
+        if self.nowhere + width > len(self.edges):
+            self.edges = np.append(self.edges, np.full(self.nowhere + width - len(self.edges), -1))
+        del self._room, self._named
+
+    def _fit(self, codes: np.ndarray, low: int) -> int:
+        """The first place from low on that is free and whose slots are."""
+        reach = int(codes[-1]) if len(codes) else 0
+        while True:
+            n = min(2048, len(self._room) - reach - low)
+            if n <= 0:
+                more = np.zeros(len(self._room), dtype=bool)
+                self._room, self._named = np.append(self._room, more), np.append(self._named, more)
+                continue
+            fits = ~self._named[low : low + n]
+            for c in codes:
+                fits = fits & ~self._room[low + c : low + c + n]
+            at = int(fits.argmax())
+            if fits[at]:
+                self._named[low + at] = True
+                self._room[low + at + codes] = True
+                return low + at
+            low += n
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase begins with the character). The root is left at once."""
+        edge = self.edges.take(state + code)
+        fresh = (edge >> 32) != state
+        to = np.where(fresh, self.begin.take(code), edge & 0xFFFFFFFF)
+        return to, fresh
+
+
 class CrossParser:
-    """Tables of all languages over one alphabet. Code 0 is the blank, 1 a letter never learned."""
+    """Automata of all languages over one alphabet. Code 0 is the blank, 1 a letter never learned."""
 
     def __init__(self, training: Training):
-        letters = Counter(c for _, _, t in training.languages for c in t if c != " ")
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
+        known = sorted({c for _, _, t in training.languages for c in t if c != " "})
         code = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
-        self.width = len(known) + 2
-        self.codes = np.zeros(0x110000, dtype=np.uint8)
+        self.codes, self.letter = np.zeros(0x110000, dtype=np.int32), np.zeros(0x110000, dtype=bool)
         for cp in range(0x110000):
-            if (c := chr(cp)).isalpha():
-                self.codes[cp] = code.get(c.lower()[:1], 1)
+            if kept(c := chr(cp)):
+                self.codes[cp] = code.get(lowered(c), 1)
+                self.letter[cp] = c.isalpha()
         self.langs = [lang for lang, _, _ in training.languages]
         self.bits = [math.log2(max(2, len(t))) for _, _, t in training.languages]
-        self.tables = [self._table(t, code) for _, _, t in training.languages]
-
-    def _table(self, text: str, code: dict[str, int]) -> np.ndarray:
-        """Entry: 2 * width * next state, plus 1 where a phrase begins with the character. The root is left
-        at once; a state behind all others follows a character that the training text lacks."""
-        states = suffix_automaton(text)
-        kind = np.int32 if (len(states) + 1) * self.width < 2**29 else np.int64
-        t = np.full((len(states) + 1, self.width), -1, dtype=kind)
-        for s, out in enumerate(states):
-            for c, to in out.items():
-                t[s, code.get(c, 1)] = to
-        begin = np.where(t[0] < 0, kind(len(states)), t[0])
-        fresh = t < 0
-        t = np.where(fresh, begin[None, :], t) * kind(2 * self.width)
-        fresh[0] = False
-        return (t + fresh).astype(kind, copy=False).ravel()
+        self.automata = [Transitions(suffix_automaton(t), code, len(code) + 1) for _, _, t in training.languages]
+
+    @staticmethod
+    def phrases(automaton: Transitions, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, follows: np.ndarray, lane: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+        """Phrases that begin inside each block behind its first character. Blocks come in order of their
+        texts; follows tells those that go on with the text of the block before. Lanes are the blocks in
+        order of their size, steps the codes of each lane at each of its characters."""
+        state, fresh_n = np.full(len(begin), automaton.root), np.zeros(len(begin), dtype=np.int64)
+        states, marks = [], []
+        for t, code in enumerate(steps):
+            n = len(code)
+            to, fresh = automaton.step(state[:n], code)
+            if t == 0:
+                fresh[:] = False
+            state[:n] = to
+            fresh_n[:n] += fresh
+            states.append(to), marks.append(fresh)
+        ended, count = state[lane], fresh_n[lane]  # in the order of the blocks
+        entered = np.full(len(begin), automaton.root)
+        while True:
+            came = np.where(follows, np.roll(ended, 1), automaton.root)
+            todo = np.flatnonzero(came != entered)
+            if not len(todo):
+                return count
+            entered[todo] = came[todo]
+            now, where = came[todo], np.arange(len(todo))
+            for t in range(BLOCK):
+                in_text = t < size[todo[where]]
+                if not in_text.all():  # parsed to its end without meeting the first parse
+                    over = where[~in_text]
+                    ended[todo[over]] = now[over]
+                    where = where[in_text]
+                if not len(where):
+                    break
+                at, now_at = todo[where], lane[todo[where]]
+                to, fresh = automaton.step(now[where], codes[begin[at] + t])
+                met = to == states[t][now_at]
+                count[at] += fresh.astype(np.int64) - marks[t][now_at]
+                states[t][now_at], marks[t][now_at], now[where] = to, fresh, to
+                where = where[~met]
+            ended[todo[where]] = now[where]
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language (-1: none) and score of each text."""
-        codes = self.codes[np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        points = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        codes = self.codes[points]
         ends = np.cumsum([1] + [len(t) + 1 for t in texts])
         keep = np.ones(len(codes), dtype=bool)
         keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
         place = np.cumsum(keep)  # folded characters up to and with each
-        codes = codes[keep]
+        codes, lettered = codes[keep], np.concatenate([[0], np.cumsum(self.letter[points[keep]])])
         first, stop = place[ends[:-1] - 1] - 1, place[ends[1:] - 1]  # with the blanks around
-        lettered = np.concatenate([[0], np.cumsum(codes != 0)])
         letters = lettered[stop] - lettered[first]
         n_blocks = np.where(letters > 0, -(-(stop - first) // BLOCK), 0)
         owner = np.repeat(np.arange(len(texts)), n_blocks)
         begin = first[owner] + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks))
         size = np.minimum(BLOCK, stop[owner] - begin)
+        follows = np.append(False, owner[1:] == owner[:-1])[: len(owner)]
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        active = len(size) - np.searchsorted(size[::-1], np.arange(BLOCK), side="right")
+        start, sizes, lane = begin[order], size[order], np.empty(len(order), dtype=np.int64)
+        lane[order] = np.arange(len(order))
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(BLOCK), side="right")
+        steps = [codes[start[:n] + t] for t, n in enumerate(active) if n]
         cost = np.zeros((len(self.langs), len(texts)))
-        steps = [codes[begin[:n] + t] for t, n in enumerate(active) if n]
-        for k, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(owner), dtype=table.dtype), np.ones(len(owner), dtype=np.int32)
-            for c in steps:
-                n = len(c)
-                entry = table.take((state[:n] >> 1) + c)
-                phrases[:n] += entry & 1
-                state[:n] = entry & ~1
-            cost[k] = np.bincount(owner, phrases, len(texts)) * self.bits[k]
+        for k, automaton in enumerate(self.automata):
+            cost[k] = (np.bincount(owner, self.phrases(automaton, codes, begin, size, follows, lane, steps), len(texts)) + 1) * self.bits[k]
         if not self.langs:
             return np.full(len(texts), -1), np.zeros(len(texts))
         best = cost.argmin(0)

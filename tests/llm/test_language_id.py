@@ -14,16 +14,14 @@ def sample(lang, n, seed):
 
 
 def phrases(train, text):
-    """Greedy longest matches by plain search, blocks beginning a phrase."""
-    n = 0
-    for i in range(0, len(text), BLOCK):
-        block, at = text[i : i + BLOCK], 0
-        while at < len(block):
-            k = 1
-            while at + k < len(block) and block[at : at + k + 1] in train:
-                k += 1
-            n += 1
-            at += k
+    """Greedy longest matches by plain search."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in train:
+            k += 1
+        n += 1
+        at += k
     return n
 
 
@@ -57,6 +55,33 @@ def test_parser_counts_phrases_as_plain_search_does():
         assert abs(score[i] - (1 - low / other)) < 1e-9
 
 
+def test_no_phrase_ends_at_a_block(spark):
+    rng = random.Random(3)
+    own = fold(sample("en", 3000, 5))
+    parser = CrossParser(Training((("en", 1, own), ("de", 1, fold(sample("de", 400, 6))))))
+    texts = [own[BLOCK // 2 : BLOCK * 7], own[3:700] + own[1200 : 1200 + 3 * BLOCK]] + [own[i : i + rng.randrange(1, 3000)] + own[j:] for i, j in [(rng.randrange(9000), rng.randrange(9000)) for _ in range(6)]]
+    folded = [fold(t) for t in texts]
+    best, score = parser.parse(texts)
+    for i, t in enumerate(folded):
+        costs = sorted(phrases(tr, t) * math.log2(len(tr)) for tr in (own, fold(sample("de", 400, 6))))
+        assert best[i] == 0 and abs(score[i] - (1 - costs[0] / costs[1])) < 1e-9
+
+
+def test_scripts_with_more_letters_than_a_byte():
+    rng = random.Random(7)
+    letters = {"a": range(0x4E00, 0x4E00 + 1500), "b": range(0x4E00 + 700, 0x4E00 + 3500)}
+    text = {k: "".join(chr(rng.choice(r)) for _ in range(9000)) for k, r in letters.items()}
+    parser = CrossParser(Training(tuple((k, 1, fold(t)) for k, t in text.items())))
+    for k, t in text.items():
+        best, _ = parser.parse([t[i : i + 60] for i in range(0, 9000, 90)])
+        assert {parser.langs[i] for i in best} == {k}
+
+
+def test_marks_stay_with_their_letters():
+    assert fold("\u0939\u093f\u0928\u094d\u0926\u0940 x") == " \u0939\u093f\u0928\u094d\u0926\u0940 x "
+    assert CrossParser(Training((("hi", 1, fold("\u0939\u093f")),))).parse(["\u093f", "\u0939"])[0].tolist() == [-1, 0]
+
+
 def test_documents(spark):
     rows = [(i, sample(k, 40, i), k, "s") for i in range(120) for k in WORDS if i % 3 == list(WORDS).index(k)]
     odd = [(500, None, "en", "s"), (501, "", "en", "s"), (502, "12 34 !!", "de", "s"), (None, sample("fr", 30, 9), None, "s"), (3, sample("en", 30, 7), None, None), (3, sample("en", 30, 7), None, None), (504, sample("de", 20_000, 3), "de", "s")]
