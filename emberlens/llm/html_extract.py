@@ -2,16 +2,21 @@
 
 First pass: every page is parsed leniently, its containers are scored by the text they hold that
 is neither boilerplate nor links, and the page votes for the generalised tag-class path of its best
-one. Votes are summed per host in Spark. Second pass: the page's container at its host's winning
-path is extracted; a page without that path uses its own best container.
+one. Votes are summed per host in Spark. Second pass: the page's containers at its host's winning
+path are extracted; a page without that path uses its own best container.
 
-Boilerplate subtrees (by tag, role, class or id) and hidden elements are left out wherever they
-stand. Character references are decoded, white space inside a block is one space, blocks follow in
-page order, joined by a line feed.
+What is left out, wherever it stands: elements whose tag or role says that they are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts or styles; hidden elements; elements one of whose
+class or id names has a SURE word, or has a USUAL word and besides only words that say nothing
+(``cookie-notice``, ``comment-list``, but not ``notice-of-appeal``), unless they hold the main
+heading. Names of WEAK words (``share``, ``tags``, ``byline``) need evidence: either all text of the
+element is links, or the host's pages repeat one another's text at its path, which is counted in the
+first pass. All else stays. Character references are decoded, white space inside a block is one
+space, blocks follow in page order, joined by a line feed.
 
-Defined results: null and empty html give empty text; a null url has the empty host; repeated rows
-are answered each; an empty table gives an empty result; other columns are ignored. Memory is that
-of one page.
+Defined results: null and empty html give empty text; a null url has the empty host; very long pages
+are parsed whole, in time about in proportion; repeated rows are answered each; an empty table gives
+an empty result; other columns are ignored, whatever their names. Memory is that of one page.
 """
 
 from __future__ import annotations
@@ -19,20 +24,22 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlens.llm.url_reputation import host_of
-from emberlens.session import cut_lineage
+from emberlens.session import cut_lineage, ship_package
 
 BROADCAST_HOSTS = 200_000
 #: A tag with quoted values that may hold angle brackets, or else up to the next bracket; possessive, so
 #: that broken markup costs no more than its length.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]{0,2000}"|'[^']{0,2000}'|[^<>"'])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"'])*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""",
     re.S,
 )
 ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -43,11 +50,20 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option legend".split()
 )
 CONTAINER = frozenset("article blockquote body center dd div dl fieldset li main ol section table tbody td tr ul".split())
-DROP_TAGS = frozenset("head nav header footer aside form script style title noscript template iframe object embed svg math canvas audio video map button select textarea menu dialog search noembed noframes datalist".split())
+DROP_TAGS = frozenset("head nav header footer aside form script style title noscript template iframe embed textarea menu dialog search noembed noframes datalist".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alertdialog alert status".split())
-DROP_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login signin sidebar sidebars sidenav aside rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager paging toolbar share sharing social related recommended recommendations teaser teasers outbrain taboola comment comments commentlist disqus respond reply replies discussion footer header masthead topbar copyright legal search skip tags tagcloud meta byline".split()
+SURE = frozenset("advert adverts advertisement advertisements advertising adsense adslot sidebar sidebars sidenav navbar breadcrumb breadcrumbs pagination outbrain taboola disqus commentlist masthead topbar gdpr popup".split())
+USUAL = frozenset(
+    "ad ads banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent notice notices notification notifications alert alerts modal overlay newsletter subscribe subscription signup login signin aside rail widget widgets menu menus nav navigation pager paging toolbar comment comments respond footer header search skip".split()
 )
+WEAK = frozenset("share sharing social related recommended recommendations teaser teasers reply replies discussion copyright legal tags tagcloud meta byline".split())
+#: Words that say where or how an element stands, not what it holds.
+NEUTRAL = frozenset(
+    "area article bar blog bottom box btn button buttons close col column container content desktop div entry fixed float form global google group gpt head icon icons inline inner input item items js label left like link links list main media mobile module outer page panel post posts primary region right row secondary section site slot small sticky story strip submit text thread title top unit user view wrap wrapper".split()
+)
+#: Pages of a host with text at one weak path from which on repeats count, and how many each text has on
+#: the average for the path to be boilerplate.
+EVIDENCE, REPEATS = 3, 2
 #: Prefixes of class names that tell a state of an element, not what it is.
 STATES = ("has-", "no-", "is-", "with-", "js-", "without-")
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
@@ -55,12 +71,25 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 
 
+@lru_cache(maxsize=50_000)
+def kind_of(token: str) -> str | None:
+    """``drop`` or ``weak`` by the words of a class or id name, else None."""
+    words = [w.lower() for w in WORDS.findall(token)]
+    if any(w in SURE for w in words):
+        return "drop"
+    telling = [w for w in words if len(w) > 1 and w not in NEUTRAL]
+    if not telling or any(w not in USUAL and w not in WEAK for w in telling):
+        return None
+    return "drop" if any(w in USUAL for w in telling) else "weak"
+
+
 class Page:
     """Elements of one page in order of their start tags, and its pieces of text."""
 
     def __init__(self, source: str):
         self.parent, self.tag, self.name, self.drop = [-1], ["#root"], [""], [False]
         self.unless = [False]  # dropped by its words alone, which a main heading inside overrules
+        self.weak: list[int] = []
         self.texts: list[tuple[int, str]] = []  # (element, text); a block boundary is (-1, "")
         self._read(source)
         self._settle()
@@ -90,7 +119,10 @@ class Page:
                 tokens = [t for n in names for t in n.split() if not t.lower().startswith(STATES)]
                 if tag == "article":  # what kind it is comes first; the rest tells its state
                     tokens = tokens[:1]
-                by_words = any(w.lower() in DROP_WORDS for t in tokens for w in WORDS.findall(t))
+                kinds = {kind_of(t) for t in tokens}
+                by_words = "drop" in kinds
+                if "weak" in kinds and not by_words and not drop:
+                    self.weak.append(len(self.tag))
         first = css.split()[0] if css.split() else ""
         self.parent.append(top)
         self.tag.append(tag)
@@ -147,6 +179,14 @@ class Page:
                 continue
             stack.append(node)
 
+    def drop_weak(self, spots: Collection[str]) -> None:
+        """Weak elements at the given spots go."""
+        gone = [i for i in self.weak if self.spot(i) in spots]
+        if gone:
+            for i in gone:
+                self.drop[i] = True
+            self._settle()
+
     def _settle(self) -> None:
         parent, tag = self.parent, self.tag
         heads = [False] * len(tag)  # holds a main heading or the main element
@@ -155,16 +195,31 @@ class Page:
                 heads[i] = True
             if heads[i]:
                 heads[parent[i]] = True
-        mass, links = [0] * len(tag), [False] * len(tag)
+        mass, linked, links = [0] * len(tag), [0] * len(tag), [False] * len(tag)
         for i in range(1, len(tag)):
             self.drop[i] = self.drop[i] or self.drop[parent[i]] or (self.unless[i] and not heads[i])
             links[i] = tag[i] == "a" or links[parent[i]]
         for i, t in self.texts:
             if i >= 0 and not self.drop[i]:
-                mass[i] += 0 if links[i] else len(t.strip())
+                (linked if links[i] else mass)[i] += len(t.strip())
         for i in range(len(tag) - 1, 0, -1):
             mass[parent[i]] += mass[i]
+            linked[parent[i]] += linked[i]
         self.mass = mass
+        menus = [i for i in self.weak if not self.drop[i] and linked[i] and not mass[i] and not links[i]]
+        if menus:  # weak elements of links alone
+            for i in menus:
+                self.drop[i] = True
+            for i in range(1, len(tag)):
+                self.drop[i] = self.drop[i] or self.drop[parent[i]]
+
+    def spot(self, i: int) -> str:
+        """The path of an element that may be no container."""
+        return f"{self.path(self.parent[i])}>{self.tag[i]}.{self.name[i]}"
+
+    def weak_texts(self) -> list[tuple[str, str]]:
+        """(spot, text) of the weak elements that stand."""
+        return [(self.spot(i), t) for i in self.weak if not self.drop[i] and (t := self.text(i))]
 
     def path(self, i: int) -> str:
         steps = []
@@ -218,23 +273,28 @@ class Page:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, path, weight of each page's vote; and host, path, text (a hash) of its weak elements."""
     for b in batches:
-        hosts, paths, weights = [], [], []
+        rows: list[tuple[str, str, int | None, int | None]] = []
         for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             page = Page(source)
             best = page.best()
-            hosts.append(host), paths.append(page.path(best)), weights.append(int(1000 * math.log1p(page.mass[best])))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.int64())], ["host", "path", "weight"])
+            rows.append((host, page.path(best), int(1000 * math.log1p(page.mass[best])), None))
+            rows += [(host, spot, None, int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)) for spot, text in page.weak_texts()]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "weight", "text"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for path, source in zip(b.column("path").to_pylist(), b.column("html").to_pylist(), strict=True):
+        for path, weak, source in zip(b.column("path").to_pylist(), b.column("weak").to_pylist(), b.column("html").to_pylist(), strict=True):
             if not source:
                 texts.append("")
                 continue
             page = Page(source)
+            if weak:
+                page.drop_weak(set(weak))
             at = page.at_path(path) if path else []
             if not at:
                 best = page.best()
@@ -244,11 +304,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the path that wins the votes of each host's pages, ties to the first path."""
+    """host, path, weak: the path that wins the votes of each host's pages, ties to the first path, and
+    the spots of weak elements whose texts repeat over its pages."""
+    ship_package(pages.sparkSession)
     d = pages.select(F.col(url_col).alias("_url"), F.col(html_col).alias("html")).where("html is not null and html <> ''")
-    votes = d.select(host_of(F.col("_url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, weight bigint")
-    votes = votes.where("weight > 0").groupBy("host", "path").agg(F.sum("weight").alias("votes"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+    seen = d.select(host_of(F.col("_url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, weight bigint, text bigint")
+    seen = cut_lineage(seen.groupBy("host", "path", "text").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
+    votes = seen.where("text is null and weight > 0").groupBy("host").agg(F.min_by("path", F.struct(-F.col("weight"), "path")).alias("path"))
+    spots = seen.where("text is not null").groupBy("host", "path").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where((F.col("n") >= EVIDENCE) & (F.col("n") >= REPEATS * F.col("texts")))
+    return votes.join(spots.groupBy("host").agg(F.collect_list("path").alias("weak")), "host", "left")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -256,6 +320,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     winners = cut_lineage(host_paths(pages, url_col, html_col))
     few = winners.count() <= broadcast_hosts
     d = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", host_of(F.col("_url")))
-    d = d.join(F.broadcast(winners) if few else winners, "host", "left").select("id", F.col("_url").alias("url"), "html", "path")
+    d = d.join(F.broadcast(winners) if few else winners, "host", "left").select("id", F.col("_url").alias("url"), "html", "path", "weak")
     kind = d.schema["id"].dataType.simpleString()
     return d.mapInArrow(_extract, f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
