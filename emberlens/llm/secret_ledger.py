@@ -3,18 +3,25 @@
 Every historical version of every path is content-addressed by the SHA-256 of its text. A ledger
 row says that one blob was scanned under one rule version, and what was found. Only pairs of blob
 and rule version that the ledger lacks are scanned, each once however many paths hold the blob;
-findings are then joined back to all paths and versions.
+findings are then joined back to all paths and versions. A ledger is a Parquet table that grows by
+the rows of each scan (``scan_into``).
 
-Defined results: a null text is the empty text; repeated rows are reported each; an empty table
-gives an empty result; null paths and versions are carried through; other columns are ignored.
-Offsets are code points, ends exclusive.
+Matches become rows, and their places running sums over the matches of one blob and rule, so that time
+grows with the text and its matches and not with their product; masks are set by pieces of CHUNK
+characters for the same reason.
+
+Defined results: a null text is the empty text; very long texts are scanned whole, one text to a
+task; repeated rows are reported each; an empty table gives an empty result; null paths and versions
+are carried through; other columns are ignored, whatever their names. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.session import cut_lineage
@@ -46,25 +53,30 @@ RULES = (
     Rule("hosttoken", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1, r"(?:gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9]", False),
 )
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: Characters of the pieces that a text is cut to where masks are set.
+CHUNK = 4_096
 
 
-def spans_of(text: Column, rule: Rule, index: int) -> Column:
-    """All kept spans of one rule in text. Starts are running sums over the pieces between matches
-    and the matches themselves, so that positions need no Python."""
+def lengths_of(text: Column, rule: Rule, index: int) -> Column:
+    """array<struct<kind, at, gap, hit, key>> of one rule's matches: lengths of what stands before each, of
+    the match and of the group that counts."""
     hit = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     key = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hit
     pairs = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hit.alias("hit"), key.alias("key"))
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    n = lambda x, name: F.char_length(x[name]).alias(name)
+    all_ = F.transform(pairs, lambda x, i: F.struct(F.lit(index).alias("kind"), i.alias("at"), n(x, "gap"), n(x, "hit"), n(x, "key")))
+    return F.when(text.rlike(rule.screen), F.filter(all_, lambda x: x["hit"].isNotNull()))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        stop = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(index).alias("kind"), stop.alias("stop"))
-        kept = F.coalesce(F.char_length(x["key"]) >= rule.least, F.lit(False))
-        return F.struct(stop.alias("at"), F.when(kept, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.screen), found).otherwise(F.expr(f"cast(array() as {SPAN})"))
+def spans_of(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, spans of every blob (blob, text): all kept spans of all rules by start, then kind."""
+    found = F.flatten(F.array_compact(F.array(*[lengths_of(F.col("text"), r, i) for i, r in enumerate(rules)])))
+    each = blobs.select("blob", F.explode_outer(found).alias("m"))
+    upto = F.sum(F.col("m.gap") + F.col("m.hit")).over(Window.partitionBy("blob", "m.kind").orderBy("m.at"))
+    least = F.get(F.array(*[F.lit(r.least) for r in rules]), F.col("m.kind"))
+    span = F.struct((upto - F.col("m.hit")).cast("int").alias("start"), F.col("m.kind").alias("kind"), upto.cast("int").alias("stop"))
+    kept = each.select("blob", F.when(F.col("m.key") >= least, span).alias("span"))
+    return kept.groupBy("blob").agg(F.sort_array(F.collect_list("span")).alias("spans"))
 
 
 def address(versions: DataFrame, path_col: str, version_col: str | None, text_col: str) -> DataFrame:
@@ -85,8 +97,7 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rules: tu
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
         fresh = fresh.join(seen, "blob", "left_anti")
     one = fresh.groupBy("blob").agg(F.first("text").alias("text"))
-    spans = F.sort_array(F.concat(*[spans_of(F.col("text"), r, i) for i, r in enumerate(rules)]))
-    return one.select("blob", F.lit(rule_version).alias("rule_version"), spans.alias("spans"))
+    return spans_of(one, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "path", version_col: str | None = "version", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -98,6 +109,21 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, path_col
     return addressed.select("path", "version", "blob").join(known, "blob"), added
 
 
+def scan_into(versions: DataFrame, path: str, **how) -> DataFrame:
+    """Findings of every path and version, with the ledger at a path of a store that all executors
+    share: read if it is there, and grown by what was scanned."""
+    spark = versions.sparkSession
+    try:
+        ledger = cut_lineage(spark.read.parquet(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    findings, added = scan_versions(versions, ledger, **how)
+    added.write.mode("append").parquet(path)
+    return findings
+
+
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES, base_only: bool = False) -> Column:
     """Spans as comma-joined kind:start:stop."""
     names = F.array(*[F.lit(r.kind) for r in rules])
@@ -112,29 +138,49 @@ def digest_findings(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> Dat
     )
 
 
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """blob, spans array<struct<start, stop>>: those that touch or overlap made one."""
+    each = hits.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.stop")
+    in_order = Window.partitionBy("blob").orderBy("start", "stop")
+    reached = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("first", (F.col("start") > F.coalesce(reached, F.lit(-1))).cast("int"))
+    each = each.withColumn("part", F.sum("first").over(in_order))
+    parts = each.groupBy("blob", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return parts.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+
+
 def redact(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """text with every span replaced by the mask; spans that touch or overlap become one mask."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with every one of its merged spans replaced by the mask."""
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        part = lambda k, at, n: F.substring(F.coalesce(F.get(chunks, k), F.lit("")), at, n)
+        apart = F.concat(part(i, a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), part(j, F.lit(1), b % CHUNK))
+        return F.when(i == j, part(i, a % CHUNK + 1, b - a)).otherwise(apart)
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["stop"] <= acc["at"], acc["out"]).when((s["start"] <= acc["at"]) & (acc["at"] > 0), acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+    def masked(bound: Column) -> Column:
+        chunks, n = bound["chunks"], bound["n"]
+        stop = lambda i: F.when(i > 0, F.get(spans, i - 1)["stop"]).otherwise(0)
+        pieces = F.transform(spans, lambda s, i: F.concat(between(chunks, stop(i), s["start"]), F.lit(mask)))
+        return F.concat(F.array_join(pieces, ""), between(chunks, F.element_at(spans, -1)["stop"], n))
 
-    end = F.aggregate(spans, empty, step)
-    return F.when(F.size(spans) > 0, F.concat(end["out"], F.substring(text, end["at"] + 1, F.char_length(text)))).otherwise(text)
+    # bound to a variable, which is computed once for a text
+    bound = F.struct(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0)).alias("chunks"), F.char_length(text).alias("n"))
+    return F.when(F.size(spans) > 0, F.get(F.transform(F.array(bound), masked), F.lit(0))).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, ledger: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with every finding masked in text, and n_chars of the texts that changed set anew."""
-    addressed = docs.select("*", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("_blob"))
-    scanned = scan_unseen(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob")), ledger)
+    taken = {c.lower() for c in docs.columns}
+    blob, spans = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("blob", "spans"))
+    content = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    scanned = scan_unseen(docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), content.alias("blob")), ledger)
     known = scanned if ledger is None else scanned.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
-    hits = cut_lineage(known.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
+    hits = cut_lineage(merged_spans(known.where(F.size("spans") > 0)).select(F.col("blob").alias(blob), F.col("spans").alias(spans)))
     few = hits.count() <= broadcast_rows
-    d = addressed.join(F.broadcast(hits) if few else hits, "_blob", "left")
-    text = F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    d = docs.withColumn(blob, content).join(F.broadcast(hits) if few else hits, blob, "left")
+    text = F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col(spans).isNotNull(), F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
     return d.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
