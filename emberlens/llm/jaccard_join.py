@@ -363,7 +363,7 @@ class JaccardJoin:
         self.rows = cut_lineage(outline.join(reps, ["k1", "k2"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")))
         known = self.rows.where("rep is not null")
         many = known.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v").select("id")
-        shared = known.join(many, "id").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+        shared = cut_lineage(known.join(self._small(cut_lineage(many)), "id").select(F.col("id").alias("u"), F.col("rep").alias("v")))
 
         rest = cut_lineage(known.groupBy("id").agg(F.count_if(F.col("id") == F.col("rep")).alias("own")).where("own = 0").select("id"))
         some = self.texts.join(self._small(rest), "id", "left_anti").where("id is not null and text is not null")

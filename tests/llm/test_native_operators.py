@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from emberlens.llm.chat_format import ChatTemplate, digest_chats, format_chats, read_back
 from emberlens.llm.decontaminate import decontaminate, find_leaks
-from emberlens.llm.secret_ledger import digest_findings, redact_documents, scan_versions
+from emberlens.llm.secret_ledger import digest_findings, redact_documents, scan_into, scan_versions
 from emberlens.llm.url_reputation import host_reputation, judge_urls, parse_urls
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -162,3 +163,36 @@ def test_leaks_match_plain_containment(spark):
     left = decontaminate(d, b)
     assert left.columns == d.columns and left.count() == len(rows) - sum(i in {k for k, _ in want} for i, _ in rows)
     assert find_leaks(d.limit(0), b).count() == 0 and find_leaks(d, b.limit(0)).count() == 0
+
+
+def test_redaction_of_many_hits_in_one_text_is_linear(spark):
+    rng = random.Random(4)
+    took = {}
+    for n in (500, 20_000):
+        parts = [rng.choice([f"token=abcdefgh{i}", f"x{i} é", "\U0001f600" * 7, "0123456789abcdef" * 2, f"AKIA{'Z' * 16} secret: {'q' * 9}"]) for i in range(n)]
+        text = " ".join(parts)
+        want = " ".join("[secret]" if p.startswith(("token", "0123")) else "[secret] [secret]" if p.startswith("AKIA") else p for p in parts)
+        began = time.perf_counter()
+        got = redact_documents(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")).first()
+        took[n] = time.perf_counter() - began
+        assert got.text == want and got.n_chars == len(want)
+    assert took[20_000] < took[500] + 20
+
+
+def test_redaction_takes_columns_of_any_name(spark):
+    names = ["blob", "_blob", "BLOB_", "spans", "_spans", "hits", "rule_version"]
+    d = spark.createDataFrame([(1, "secret=abcdefgh9", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = redact_documents(d)
+    assert got.columns == d.columns and got.first() == (1, "[secret]", *names)
+
+
+def test_ledger_at_a_path_scans_each_blob_once(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    first = spark.createDataFrame([("a", 1, "token=abcdefgh1"), ("b", 1, "clean")], "path string, version int, text string")
+    second = spark.createDataFrame([("a", 2, "token=abcdefgh1 moved"), ("b", 2, "clean"), ("c", 1, "token=abcdefgh1")], "path string, version int, text string")
+    n = lambda d: {(r.path, r.version): len(r.spans) for r in d.collect()}
+    assert n(scan_into(first, path)) == {("a", 1): 1, ("b", 1): 0}
+    assert n(scan_into(second, path)) == {("a", 2): 1, ("b", 2): 0, ("c", 1): 1}
+    ledger = spark.read.parquet(path)
+    assert ledger.count() == ledger.select("blob").distinct().count() == 3
+    assert n(scan_into(first, path, rule_version="next")) == {("a", 1): 1, ("b", 1): 0} and spark.read.parquet(path).count() == 5
