@@ -212,13 +212,16 @@ def gc_megabytes(number: Column, unit: Column) -> Column:
 
 def gc_fields(line: Column) -> Column:
     """struct<gc_id, before_mb, after_mb, total_mb, pause_ms, head>; sizes are null where the line has
-    none, head is the text before them."""
+    none, head is the text before them. The pause stands behind the sizes where there are any; what
+    stands before them may be the uptime."""
     has = line.rlike(GC_SIZES)
     size = lambda i: F.when(has, gc_megabytes(F.regexp_extract(line, GC_SIZES, i), F.regexp_extract(line, GC_SIZES, i + 1)))
     ms, secs = r"(\d+(?:\.\d+)?)\s*ms\b", r",\s*(\d+(?:\.\d+)?)\s*secs\b"
-    pause = F.when(line.rlike(ms), F.regexp_extract(line, ms, 1).cast("double")).when(line.rlike(secs), F.regexp_extract(line, secs, 1).cast("double") * 1000)
+    parts = F.split(line, GC_SIZES, 2)
+    tail = F.when(has, F.get(parts, F.lit(1))).otherwise(line)
+    pause = F.when(tail.rlike(ms), F.regexp_extract(tail, ms, 1).cast("double")).when(line.rlike(secs), F.regexp_extract(line, secs, 1).cast("double") * 1000)
     gc_id = F.when(line.rlike(r"GC\((\d+)\)"), F.regexp_extract(line, r"GC\((\d+)\)", 1).cast("int"))
-    head = F.when(has, F.get(F.split(line, GC_SIZES, 2), F.lit(0))).otherwise(line)
+    head = F.when(has, F.get(parts, F.lit(0))).otherwise(line)
     return F.struct(gc_id.alias("gc_id"), size(1).alias("before_mb"), size(3).alias("after_mb"), size(5).alias("total_mb"), pause.alias("pause_ms"), head.alias("head"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberlens.functions import text as T
 
+# fixed values: keys of fields that may name the same flow
 LINK_KEY = r"(?i)((trace|span|correlation|request|txn|transaction|session|order|payment|invoice|job|batch).{0,4}id$|^id$)"
 MAX_LINKS, MIN_LINK = 3, 6
 
@@ -51,8 +52,9 @@ def links(steps: DataFrame, exclude: list[str]) -> DataFrame:
     return own.where("n = 1").select("bucket", "key", "value")
 
 
-def flow_steps(lines: DataFrame, good: str, bad: str, follow_links: bool = True) -> DataFrame:
-    """Steps of both flows in time order: bucket, seq, key, ts_ms, line, payload, is_error."""
+def flow_steps(lines: DataFrame, good: str, bad: str, follow_links: bool = True, pair: Column | None = None) -> DataFrame:
+    """Steps of both flows in time order: pair, bucket, seq, key, ts_ms, line, payload, is_error. pair parts
+    the lines into runs that are compared each for itself, as by file; there is one without it."""
     if good == bad:
         raise ValueError("the two references are one")
     wanted = {"good": [good], "bad": [bad]}
@@ -63,8 +65,9 @@ def flow_steps(lines: DataFrame, good: str, bad: str, follow_links: bool = True)
             wanted[r.bucket].append(r.value)
         steps = scan(lines, wanted)
     line = F.col("line")
-    d = steps.select("bucket", "file", "line_no", "line", F.unix_millis(T.parse_ts(line)).alias("ts_ms"), F.coalesce(T.call_site(line), T.template(line, (good, bad))).alias("key"), T.significant_payload(line).alias("payload"), (T.is_error(line) | T.has_stack("continuations")).alias("is_error"))
-    order = Window.partitionBy("bucket").orderBy(F.col("ts_ms").isNull(), "ts_ms", "file", "line_no")
+    run = F.lit("1") if pair is None else pair.cast("string")
+    d = steps.select(run.alias("pair"), "bucket", "file", "line_no", "line", F.unix_millis(T.parse_ts(line)).alias("ts_ms"), F.coalesce(T.call_site(line), T.template(line, (good, bad))).alias("key"), T.significant_payload(line).alias("payload"), (T.is_error(line) | T.has_stack("continuations")).alias("is_error"))
+    order = Window.partitionBy("pair", "bucket").orderBy(F.col("ts_ms").isNull(), "ts_ms", "file", "line_no")
     return d.withColumn("seq", F.row_number().over(order) - 1)
 
 
@@ -98,19 +101,21 @@ def field_diffs(good: Column, bad: Column, skip: list[str]) -> Column:
 
 
 def compare_flows(steps: DataFrame, good: str, bad: str) -> DataFrame:
-    """Aligned steps of two flows with the field differences of equal steps, in order."""
-    a = align(steps.withColumn("pair", F.lit("1")))
-    side = lambda s: steps.where(F.col("bucket") == s).select(F.col("seq").alias(f"{s}_seq"), F.col("payload").alias(f"{s}_payload"), F.col("is_error").alias(f"{s}_error"))
-    d = a.join(side("good"), "good_seq", "left").join(side("bad"), "bad_seq", "left")
+    """Aligned steps of the two flows of each pair with the field differences of equal steps, in order."""
+    a = align(steps)
+    side = lambda s: steps.where(F.col("bucket") == s).select("pair", F.col("seq").alias(f"{s}_seq"), F.col("payload").alias(f"{s}_payload"), F.col("is_error").alias(f"{s}_error"))
+    d = a.join(side("good"), ["pair", "good_seq"], "left").join(side("bad"), ["pair", "bad_seq"], "left")
     diffs = F.when(F.col("kind") == "SAME", field_diffs(F.col("good_payload"), F.col("bad_payload"), [good, bad]))
-    return d.select("idx", "kind", "key", "good_seq", "bad_seq", diffs.alias("fields"), F.coalesce("bad_error", F.lit(False)).alias("bad_error"), F.coalesce("good_error", F.lit(False)).alias("good_error"))
+    return d.select("pair", "idx", "kind", "key", "good_seq", "bad_seq", diffs.alias("fields"), F.coalesce("bad_error", F.lit(False)).alias("bad_error"), F.coalesce("good_error", F.lit(False)).alias("good_error"))
 
 
 def break_index(compared: DataFrame) -> DataFrame:
-    """One row: the first step that isn't the same in both flows."""
-    return compared.where((F.col("kind") != "SAME") | (F.size("fields") > 0)).agg(F.min("idx").alias("break_index"))
+    """pair, break_index: the first step that isn't the same in both flows, null where there is none."""
+    differs = (F.col("kind") != "SAME") | (F.size("fields") > 0)
+    return compared.groupBy("pair").agg(F.min(F.when(differs, F.col("idx"))).alias("break_index"))
 
 
 def errors_only_in_bad(steps: DataFrame) -> DataFrame:
-    good = steps.where("bucket = 'good' and is_error").select("key").distinct()
-    return steps.where("bucket = 'bad' and is_error").join(good, "key", "left_anti").select("seq", "key", "line")
+    """pair, seq, key, line of the errors of bad flows whose key no error of the good one has."""
+    good = steps.where("bucket = 'good' and is_error").select("pair", "key").distinct()
+    return steps.where("bucket = 'bad' and is_error").join(good, ["pair", "key"], "left_anti").select("pair", "seq", "key", "line")

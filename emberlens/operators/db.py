@@ -66,7 +66,9 @@ def i1(tables: DataFrame, queries: DataFrame, indexes: DataFrame) -> DataFrame:
     indexes carry table (with schema) and columns."""
     t = tables.where((F.col("size_bytes") >= 100 * MB) & (F.col("seq_scans") >= 1000)).select("schema_name", "name", "size_bytes")  # both bounds ours
     q = queries.select(F.lower(F.regexp_extract("normalized_sql", r"(?i)\bfrom\s+([a-z_0-9.]+)", 1)).alias("t"), filter_columns(F.col("normalized_sql")).alias("cols"), "total_time_ms").where(F.size("cols") > 0)
-    j = t.join(q, (F.col("t") == F.col("name")) | (F.col("t") == F.concat_ws(".", "schema_name", "name")))
+    # a query names a table with or without its schema
+    named = t.withColumn("t", F.explode(F.array(F.lower("name"), F.lower(F.concat_ws(".", "schema_name", "name")))))
+    j = named.join(q, "t")
     lead = indexes.select(F.col("table").alias("_t"), F.get("columns", F.lit(0)).alias("_lead")).distinct()
     j = j.join(lead, (F.col("_t") == F.concat_ws(".", "schema_name", "name")) & (F.col("_lead") == F.get("cols", F.lit(0))), "left_anti")
     g = j.groupBy("name").agg(F.max("size_bytes").alias("size_bytes"), F.sum("total_time_ms").alias("ms"))

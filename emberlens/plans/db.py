@@ -37,7 +37,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey <= 200")
+    p = table(spark, sf, "part")
     k = F.col("p_partkey")
     return p.select(
         F.lit("public").alias("schema_name"), F.concat(F.lit("t"), k.cast("string")).alias("name"), (k * 10 * R.MB).alias("size_bytes"), (k * 50).alias("seq_scans"), (k % 60 / 100).alias("dead_tuple_ratio"),
@@ -46,7 +46,7 @@ def tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indexes(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey <= 400")
+    p = table(spark, sf, "part")
     k = F.col("p_partkey")
     cols = F.when(k % 4 == 0, F.array(F.lit("a"))).when(k % 4 == 1, F.array(F.lit("a"), F.lit("b"))).when(k % 4 == 2, F.array(F.lit("b"))).otherwise(F.array(F.lit("c")))
     return p.select(
@@ -90,7 +90,7 @@ def db_q3(spark, sf):
     return R.q3(statements(spark, sf))
 
 
-_I1 = _Q + ", u AS (SELECT 't' || s % 7 AS t, sum(t) AS ms FROM q WHERE s % 5 <> 0 GROUP BY 1), tb AS (SELECT 't' || range AS name, range * 10 AS mb, range * 50 AS sc FROM range(1, 201))"
+_I1 = _Q + ", u AS (SELECT 't' || s % 7 AS t, sum(t) AS ms FROM q WHERE s % 5 <> 0 GROUP BY 1), tb AS (SELECT 't' || p_partkey AS name, p_partkey * 10 AS mb, p_partkey * 50 AS sc FROM part)"
 
 
 @query(_I1 + " SELECT 'R-I1' AS rule, 'indexes' AS category, CASE WHEN mb >= 1024 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, name AS object, 'medium' AS confidence, ms AS impact FROM (SELECT name, mb * 40 AS mb, ms, sc FROM tb JOIN u ON u.t = tb.name WHERE name IN ('t5', 't6')) WHERE mb >= 100")
@@ -100,7 +100,7 @@ def db_i1(spark, sf):
     return R.i1(t, statements(spark, sf), ix)
 
 
-_IX = """WITH ix AS (SELECT p_partkey AS k, 'public.t' || p_partkey // 4 AS tab, 'i' || p_partkey AS name, ['a', 'a,b', 'b', 'c'][p_partkey % 4 + 1] AS cols, p_partkey * 1048576 AS size, p_partkey % 10 = 0 AS pk, p_partkey % 9 = 0 AS uq FROM part WHERE p_partkey <= 400)"""
+_IX = """WITH ix AS (SELECT p_partkey AS k, 'public.t' || p_partkey // 4 AS tab, 'i' || p_partkey AS name, ['a', 'a,b', 'b', 'c'][p_partkey % 4 + 1] AS cols, p_partkey * 1048576 AS size, p_partkey % 10 = 0 AS pk, p_partkey % 9 = 0 AS uq FROM part)"""
 
 
 @query(_IX + " SELECT 'R-I2' AS rule, 'indexes' AS category, CASE WHEN size >= 104857600 THEN 'MEDIUM' ELSE 'LOW' END AS severity, tab || '.' || name AS object, 'medium' AS confidence, size::DOUBLE AS impact FROM ix WHERE k % 3 = 0 AND NOT pk AND NOT uq AND size >= 10485760")
@@ -126,7 +126,7 @@ def db_c1(spark, sf):
     return R.c1(table(spark, sf, "region").select(F.lit(85).alias("current"), F.when(k > 0, k * 25).alias("peak"), F.lit(100).alias("max_limit")))
 
 
-_TB = "WITH tb AS (SELECT p_partkey AS k, 'public.t' || p_partkey AS name, p_partkey * 10 * 1048576 AS size, p_partkey % 60 / 100 AS dead FROM part WHERE p_partkey <= 200)"
+_TB = "WITH tb AS (SELECT p_partkey AS k, 'public.t' || p_partkey AS name, p_partkey * 10 * 1048576 AS size, p_partkey % 60 / 100 AS dead FROM part)"
 
 
 @query(_TB + " SELECT 'R-G1' AS rule, 'ops' AS category, 'MEDIUM' AS severity, name AS object, 'medium' AS confidence, round(size * (1 + 3 * (k % 50)::DOUBLE / 100), 3) AS impact FROM tb WHERE size >= 104857600 AND k % 50 >= 20")

@@ -322,9 +322,9 @@ def hp_class_findings(spark, sf):
     return H.class_findings(H.histogram(objects(spark, sf), classes(spark)))
 
 
-@query(_H + " SELECT 'C' || c_custkey AS oid, 'com.acme.Cache' || c_custkey AS class_name, 'all' AS field, retained FROM customer JOIN dm ON node = 'C' || c_custkey WHERE c_custkey <= 60 ORDER BY retained DESC, class_name LIMIT 20")
+@query(_H + " SELECT 'C' || c_custkey AS oid, 'com.acme.Cache' || c_custkey AS class_name, 'all' AS field, retained FROM customer JOIN dm ON node = 'C' || c_custkey ORDER BY retained DESC, class_name LIMIT 20")
 def hp_static_suspects(spark, sf):
-    s = table(spark, sf, "customer").where("c_custkey <= 60").select(F.concat(F.lit("com.acme.Cache"), F.col("c_custkey").cast("string")).alias("class_name"), F.lit("all").alias("field"), _id("C", "c_custkey").alias("oid"))
+    s = table(spark, sf, "customer").select(F.concat(F.lit("com.acme.Cache"), F.col("c_custkey").cast("string")).alias("class_name"), F.lit("all").alias("field"), _id("C", "c_custkey").alias("oid"))
     return H.static_suspects(s, dom(spark, sf))
 
 

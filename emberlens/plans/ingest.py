@@ -90,9 +90,9 @@ def cmp_align(spark, sf):
     return C.align(_pairs(spark, sf))
 
 
-@query("SELECT (user_id // 2)::VARCHAR AS pair, count(*) FILTER (user_id % 2 = 0) AS good, count(*) FILTER (user_id % 2 = 1) AS bad FROM events WHERE user_id < 40 GROUP BY ALL")
+@query("SELECT (user_id // 2)::VARCHAR AS pair, count(*) FILTER (user_id % 2 = 0) AS good, count(*) FILTER (user_id % 2 = 1) AS bad FROM events GROUP BY ALL")
 def cmp_order(spark, sf):
-    a = C.align(_pairs(spark, sf).where("cast(pair as bigint) < 20"))  # those of the SQL
+    a = C.align(_pairs(spark, sf))
     return a.groupBy("pair").agg(F.count("good_seq").alias("good"), F.count("bad_seq").alias("bad"))
 
 
@@ -106,15 +106,20 @@ def cmp_fields(spark, sf):
 
 
 def _flow(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of events 10 to 60 with a flow id each, as one file."""
-    e = event_lines(spark, sf).where("event_id between 10 and 60")
-    ref = F.when(F.col("event_id") % 2 == 0, "good-77 requestId=abcdef1").otherwise("bad-88 requestId=fedcba2")
-    return cut_lineage(e.select(F.lit("f").alias("file"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 8 == 3, F.col("line")).otherwise(F.concat("line", F.lit(" ref="), ref)).alias("line")))
+    """All lines with a flow id each, but for stack frames; two neighbouring users share a file, and the
+    even one's flow is the good one."""
+    e = event_lines(spark, sf)
+    ref = F.when(F.col("user_id") % 2 == 0, "good-77 requestId=abcdef1").otherwise("bad-88 requestId=fedcba2")
+    return cut_lineage(e.select(F.floor(F.col("user_id") / 2).cast("string").alias("file"), F.col("event_id").alias("line_no"), F.when(F.col("event_id") % 8 == 3, F.col("line")).otherwise(F.concat("line", F.lit(" ref="), ref)).alias("line")))
 
 
-@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'good' ELSE 'bad' END AS bucket, event_id AS line_no, CASE WHEN event_id % 8 = 2 THEN 1 ELSE 0 END AS n FROM events WHERE event_id BETWEEN 10 AND 60 AND event_id % 8 <> 3")
+_FLOW = """WITH f AS (SELECT user_id // 2 AS file, user_id, event_id, event_id % 8 <> 3 AS hit FROM events),
+o AS (SELECT *, max(CASE WHEN hit THEN event_id END) OVER (PARTITION BY file ORDER BY event_id) AS owner FROM f)"""
+
+
+@query(_FLOW + " SELECT file::VARCHAR AS file, CASE WHEN max(CASE WHEN hit THEN user_id END) % 2 = 0 THEN 'good' ELSE 'bad' END AS bucket, owner AS line_no, count(*) FILTER (NOT hit)::INT AS n FROM o WHERE owner > 0 GROUP BY file, owner")
 def cmp_scan(spark, sf):
-    return C.scan(_flow(spark, sf), {"good": ["good-77"], "bad": ["bad-88"]}).select("bucket", "line_no", F.size("continuations").alias("n"))
+    return C.scan(_flow(spark, sf), {"good": ["good-77"], "bad": ["bad-88"]}).select("file", "bucket", "line_no", F.size("continuations").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('good', 'requestId', 'abcdef1'), ('bad', 'requestId', 'fedcba2')) t(bucket, key, value)")
@@ -125,12 +130,13 @@ def cmp_links(spark, sf):
 
 @query()
 def cmp_break(spark, sf):
-    return C.break_index(C.compare_flows(cut_lineage(C.flow_steps(_flow(spark, sf), "good-77", "bad-88")), "good-77", "bad-88"))
+    steps = cut_lineage(C.flow_steps(_flow(spark, sf), "good-77", "bad-88", pair=F.col("file")))
+    return C.break_index(C.compare_flows(steps, "good-77", "bad-88"))
 
 
 @query()
 def cmp_errors(spark, sf):
-    return C.errors_only_in_bad(cut_lineage(C.flow_steps(_flow(spark, sf), "good-77", "bad-88")))
+    return C.errors_only_in_bad(cut_lineage(C.flow_steps(_flow(spark, sf), "good-77", "bad-88", pair=F.col("file"))))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '''=' || p_name WHEN p_partkey % 3 = 1 THEN '''-' || p_name ELSE p_name END AS cell FROM part")

@@ -47,23 +47,48 @@ def server_lines(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     at = F.concat(F.date_format(t, "yyyy-MM-dd"), F.lit("T"), F.date_format(t, "HH:mm:ss"), F.lit(".000Z "))
     level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
-    head = F.concat(at, level, F.lit(" [exec-1] com.acme.Shop requestId=r"), i.cast("string"), F.lit(" served"))
+    head = F.concat(at, level, F.lit(" [exec-1] com.acme.Shop - requestId=r"), i.cast("string"), F.lit(" served"))
     trace = F.concat(F.lit("\njava.lang.IllegalStateException: no\n\tat com.acme.Shop.pay(Shop.java:42)\nCaused by: java.lang.OutOfMemoryError: heap "), (i % 3).cast("string"))
     return e.select("event_id", F.when(F.col("event_type") == "error", F.concat(head, trace)).otherwise(head).alias("value"))
 
 
+def mixed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same events as five kinds of servers write them: one with date and level, one with a date alone,
+    one with a level alone, one in JSON, and one with the thread in parentheses."""
+    e = table(spark, sf, "events")
+    t, i, failed = F.col("ts").cast("timestamp"), F.col("event_id").cast("string"), F.col("event_type") == "error"
+    day, clock = F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "HH:mm:ss")
+    level = F.when(failed, "ERROR").otherwise("INFO")
+    stack = F.concat(F.lit("java.lang.IllegalStateException: no\n\tat com.acme.Shop.pay(Shop.java:42)\nCaused by: java.lang.OutOfMemoryError: heap "), (F.col("event_id") % 3).cast("string"))
+    fields = {"@timestamp": F.concat(day, F.lit("T"), clock, F.lit("Z")), "severity": F.lower(level), "threadName": F.lit("exec-1"), "loggerName": F.lit("com.acme.Shop"), "correlationId": F.concat(F.lit("r"), i), "msg": F.lit("served"), "stacktrace": F.when(failed, stack)}
+    forms = [
+        F.concat(day, F.lit("T"), clock, F.lit(".000Z "), level, F.lit(" [exec-1] com.acme.Shop - requestId=r"), i, F.lit(" served")),
+        F.concat(day, F.lit(" "), clock, F.lit(" worker started requestId=r"), i),
+        F.concat(F.lit("WARN  [exec-1] com.acme.Shop: requestId=r"), i, F.lit(" slow")),
+        F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])),
+        F.concat(day, F.lit(" "), clock, F.lit(",000 "), level, F.lit("  [com.acme.Shop] (exec-1) correlation-id: r"), i, F.lit(" served")),
+    ]
+    value = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        value = F.when(F.col("event_id") % 5 == k, form if k == 3 else F.when(failed, F.concat(form, F.lit("\n"), stack)).otherwise(form)).otherwise(value)
+    return e.select("event_id", value.alias("value"))
+
+
 def _events(spark, sf):
-    d = server_lines(spark, sf).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value")
+    d = mixed_lines(spark, sf).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value")
     return server_log.events(S.read_lines(spark, _written(d, spark)))
 
 
-@query("SELECT event_type = 'error' AS failed, count(*) AS events, (CASE WHEN event_type = 'error' THEN count(*) ELSE 0 END) AS frames, (CASE WHEN event_type = 'error' THEN count(*) ELSE 0 END) AS markers FROM events GROUP BY failed, event_type = 'error'".replace("GROUP BY failed, event_type = 'error'", "GROUP BY ALL").replace("(CASE WHEN event_type = 'error' THEN count(*) ELSE 0 END)", "count(*) FILTER (event_type = 'error')"))
+_ML = "WITH ml AS (SELECT *, event_id % 5 AS form, event_type = 'error' AS failed, CASE event_id % 5 WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'WARN' ELSE CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END END AS level FROM events)"
+
+
+@query(_ML + " SELECT level, CASE WHEN form = 3 THEN 'json' ELSE 'text' END AS format, count(*) AS events, count(*) FILTER (failed) AS frames, count(*) FILTER (failed) AS markers FROM ml GROUP BY ALL")
 def src_server_log(spark, sf):
     e = _events(spark, sf)
-    return e.groupBy((F.col("level") == "ERROR").alias("failed")).agg(F.count("*").alias("events"), F.sum(F.size("frames")).alias("frames"), F.sum(F.size("markers")).alias("markers"))
+    return e.groupBy("level", "format").agg(F.count("*").alias("events"), F.sum(F.size("frames")).alias("frames"), F.sum(F.size("markers")).alias("markers"))
 
 
-@query("SELECT 'r' || event_id AS request_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'exec-1' AS thread, 'com.acme.Shop' AS logger, epoch_ns(ts) // 1000000000 AS at, CASE WHEN event_type = 'error' THEN 'java.lang.OutOfMemoryError' END AS exception FROM events")
+@query(_ML + " SELECT 'r' || event_id AS request_id, level, CASE WHEN form <> 1 THEN 'exec-1' END AS thread, CASE WHEN form <> 1 THEN 'com.acme.Shop' END AS logger, CASE WHEN form IN (0, 3) THEN epoch_ns(ts) // 1000000000 END AS at, CASE WHEN failed THEN 'java.lang.OutOfMemoryError' END AS exception FROM ml")
 def log_events(spark, sf):
     return _events(spark, sf).select("request_id", "level", "thread", "logger", F.unix_seconds("ts").alias("at"), "exception")
 
@@ -79,9 +104,10 @@ def fn_frame(spark, sf):
     return server_lines(spark, sf).select("event_id", F.inline(server_log.frames_of(F.split("value", "\n"))))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'exec-1' AS thread FROM events")
+@query(_ML + " SELECT event_id, CASE form WHEN 1 THEN NULL WHEN 3 THEN lower(level) ELSE level END AS level, CASE WHEN form <> 1 THEN 'exec-1' END AS thread, CASE WHEN form <> 2 THEN strftime(ts, '%Y-%m-%d') END AS day FROM ml")
 def fn_log_header(spark, sf):
-    return server_lines(spark, sf).select("event_id", server_log.header(F.substring_index("value", "\n", 1)).alias("h")).select("event_id", "h.level", "h.thread")
+    d = mixed_lines(spark, sf).select("event_id", server_log.header(F.substring_index("value", "\n", 1)).alias("h"))
+    return d.select("event_id", "h.level", "h.thread", F.substring("h.raw_timestamp", 1, 10).alias("day"))
 
 
 @query("SELECT event_id, event_type = 'error' AS stack FROM events")
@@ -142,23 +168,23 @@ def src_ddl(spark, sf):
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey <= 300")
+    p = table(spark, sf, "part")
     k = F.col("p_partkey").cast("string")
     src = F.concat(F.lit("package com.acme;\nimport com.other.Util;\n// class No\npublic class C"), k, F.lit(" {\n  public void run"), k, F.lit("(int a) { new Util(); }\n}"))
     return p.select(F.concat(F.lit("/src/C"), k, F.lit(".java")).alias("path"), src.alias("source"))
 
 
-@query("SELECT '/src/C' || p_partkey || '.java' AS path, unnest(['type', 'method']) AS kind, unnest(['C' || p_partkey, 'run' || p_partkey]) AS name FROM part WHERE p_partkey <= 300")
+@query("SELECT '/src/C' || p_partkey || '.java' AS path, unnest(['type', 'method']) AS kind, unnest(['C' || p_partkey, 'run' || p_partkey]) AS name FROM part")
 def src_symbols(spark, sf):
     return snapshots.symbols(_sources(spark, sf)).select("path", "kind", "name")
 
 
-@query("SELECT '/src/C' || p_partkey || '.java' AS path, 'com.other.Util' AS class_name, 'new' AS kind FROM part WHERE p_partkey <= 300")
+@query("SELECT '/src/C' || p_partkey || '.java' AS path, 'com.other.Util' AS class_name, 'new' AS kind FROM part")
 def src_refs(spark, sf):
     return snapshots.references(_sources(spark, sf), spark.createDataFrame([("com.other.Util",), ("com.acme.Missing",)], "class_name string"))
 
 
-@query("SELECT 'com.acme.C' || p_partkey AS class_name, '/src/C' || p_partkey || '.java' AS path FROM part WHERE p_partkey <= 300")
+@query("SELECT 'com.acme.C' || p_partkey AS class_name, '/src/C' || p_partkey || '.java' AS path FROM part")
 def src_lookup(spark, sf):
     names = table(spark, sf, "part").select(F.concat(F.lit("com.acme.C"), F.col("p_partkey").cast("string")).alias("class_name"))
     return snapshots.lookup(snapshots.symbols(_sources(spark, sf)), names)

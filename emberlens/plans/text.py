@@ -114,17 +114,18 @@ def _pairs(c):
 _PAYLOAD = """CASE event_id % 8 WHEN 0 THEN {order}'a=' || event_id % 5 || ';b=x;kind=' || upper(event_type){ord2} || ';user=' || user_id
   WHEN 1 THEN {order}'a=' || event_id % 5 || ';b=x;kind=' || upper(event_type){ord2} || ';user=' || user_id WHEN 2 THEN 'thread=' || who
   WHEN 5 THEN 'a=' || event_id % 5 || ';b=x;kind=' || upper(event_type){ord2} || ';user=' || user_id WHEN 6 THEN 'kind=' || event_type{tr} ELSE '' END"""
+_FRAMES = "WHEN 3 THEN 'Handler.java=12' WHEN 4 THEN 'by=java.lang.IllegalStateException:' ELSE ''"
 _SITE = "upper(event_type[1]) || event_type[2:] || 'Controller=' || (event_id % 90 + 1) || ';' || "
 
 
-@query(_L + ", x AS (SELECT * FROM l JOIN l0 USING (event_id)) SELECT event_id, " + _PAYLOAD.format(order=_SITE, ord2=" || ';orderId=' || event_id", tr=" || ';trace_id=t' || event_id").replace("ELSE ''", "WHEN 3 THEN 'java=12' WHEN 4 THEN 'by=java.lang.IllegalStateException:;java.lang.IllegalStateException=order' ELSE ''") + " AS pairs FROM x WHERE event_id % 8 NOT IN (3, 4)")
+@query(_L + ", x AS (SELECT * FROM l JOIN l0 USING (event_id)) SELECT event_id, " + _PAYLOAD.format(order=_SITE, ord2=" || ';orderId=' || event_id", tr=" || ';trace_id=t' || event_id").replace("ELSE ''", _FRAMES) + " AS pairs FROM x")
 def fn_payload(spark, sf):
-    return event_lines(spark, sf).where("event_id % 8 not in (3, 4)").select("event_id", _pairs(T.payload(F.col("line"))).alias("pairs"))
+    return event_lines(spark, sf).select("event_id", _pairs(T.payload(F.col("line"))).alias("pairs"))
 
 
-@query(_L + ", x AS (SELECT * FROM l JOIN l0 USING (event_id)) SELECT event_id, " + _PAYLOAD.format(order=_SITE, ord2="", tr="") + " AS pairs FROM x WHERE event_id % 8 NOT IN (3, 4)")
+@query(_L + ", x AS (SELECT * FROM l JOIN l0 USING (event_id)) SELECT event_id, " + _PAYLOAD.format(order=_SITE, ord2="", tr="").replace("ELSE ''", _FRAMES) + " AS pairs FROM x")
 def fn_significant_payload(spark, sf):
-    return event_lines(spark, sf).where("event_id % 8 not in (3, 4)").select("event_id", _pairs(T.significant_payload(F.col("line"))).alias("pairs"))
+    return event_lines(spark, sf).select("event_id", _pairs(T.significant_payload(F.col("line"))).alias("pairs"))
 
 
 @query(_L + r""", x AS (SELECT * FROM l JOIN l0 USING (event_id)) SELECT event_id, CASE event_id % 8

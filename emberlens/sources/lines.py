@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from emberlens.functions import text as T
 
 FIRST_LINES = 5_000
+#: Lines of a file that one window holds.
+BLOCK = 65_536
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -25,6 +27,21 @@ def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return d.withColumn("k", in_block).join(ahead, ["file", "block"]).select("file", (F.col("k") + F.col("ahead")).alias("line_no"), "line")
 
 
+def running(lines: DataFrame, start: Column, out: str, count: bool = False) -> DataFrame:
+    """lines with the place of the last starting line of their file at or before each, 0 before the first;
+    or with the number of starting lines so far. Within blocks of BLOCK lines and over the blocks of a
+    file, so that no window spans a file."""
+    flag = F.coalesce(start, F.lit(False))
+    d = lines.withColumn("_b", F.floor(F.col("line_no") / BLOCK)).withColumn("_s", F.when(flag, F.lit(1).cast("bigint") if count else F.col("line_no")))
+    fold = F.sum if count else F.max
+    ahead = d.groupBy("file", "_b").agg(fold("_s").alias("_n"))
+    ahead = ahead.select("file", "_b", fold("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
+    own = F.coalesce(fold("_s").over(Window.partitionBy("file", "_b").orderBy("line_no")), F.lit(0))
+    before = F.coalesce("_ahead", F.lit(0))
+    d = d.withColumn("_own", own).join(ahead, ["file", "_b"])
+    return d.withColumn(out, F.col("_own") + before if count else F.greatest("_own", before)).drop("_b", "_s", "_own", "_ahead")
+
+
 def file_order(lines: DataFrame) -> DataFrame:
     """file, file_rank: by the first timestamp within the first lines, files without one last, then path."""
     ts = T.parse_ts(F.col("line"))
@@ -36,11 +53,11 @@ def file_order(lines: DataFrame) -> DataFrame:
 def assemble(lines: DataFrame, order: DataFrame, starts: Column) -> DataFrame:
     """Lines with rec_id: a record is a starting line with all lines up to the next start, in the order
     of the files, open records going on in the next file. Lines before any start have rec_id 0."""
-    d = lines.join(order.select("file", "file_rank"), "file").withColumn("start", F.coalesce(starts, F.lit(False)).cast("int"))
-    own = F.sum("start").over(Window.partitionBy("file").orderBy("line_no"))
-    per_file = d.groupBy("file", "file_rank").agg(F.sum("start").alias("n"))
+    d = running(lines.join(order.select("file", "file_rank"), "file"), starts, "own", count=True)
+    per_file = lines.groupBy("file").agg(F.count_if(F.coalesce(starts, F.lit(False))).alias("n")).join(order.select("file", "file_rank"), "file")
+    # one row for each file
     ahead = per_file.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return d.withColumn("own", own).join(ahead, "file").withColumn("rec_id", F.col("own") + F.col("ahead")).drop("own", "ahead", "start")
+    return d.join(ahead, "file").withColumn("rec_id", F.col("own") + F.col("ahead")).drop("own", "ahead")
 
 
 def read_records(lines: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Server-log events assembled from numbered lines: headers, exceptions, frames, identifiers, markers.
 
-A line with a header, in text or as JSON, begins an event; others belong to it. One event holds at
-most MAX_LINES lines and MAX_FRAMES frames; what is cut is counted.
+A line with a header, in text or as JSON, begins an event; others belong to it. An event that reaches
+MAX_LINES lines is truncated, and the lines behind it are events without a header; of one event at most
+MAX_FRAMES frames and MAX_CHARS characters of text are kept, of one line LINE_CHARS.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.functions import text as T
+from emberlens.sources.lines import running
 
-MAX_LINES, MAX_FRAMES, MAX_MARKERS, MAX_CHARS = 256, 128, 8, 32_768
+MAX_LINES, MAX_FRAMES, MAX_MARKERS, MAX_CHARS, LINE_CHARS = 256, 128, 8, 32_768, 65_536
 # fixed values: shapes of frames, exceptions, markers and identifiers
 FRAME = r"^\s*at\s+(?:[^\s(]*/)?([\w$]+(?:\.[\w$]+)*)\.([\w$<>]+)\(([^():]+)(?::(\d+))?\)"
 EXCEPTION = r"(?<![\w.])((?:[\w$]+\.)*[\w$]*(?:Exception|Error|Throwable))\b"
@@ -32,13 +34,17 @@ TRACE_ID = r"""(?i)\b(?:trace[_-]?id|traceId)\s*[=:]\s*["']?([\w.-]{1,128})"""
 REQUEST_ID = r"""(?i)\b(?:request[_-]?id|requestId|correlation[_-]?id)\s*[=:]\s*["']?([\w.-]{1,128})"""
 JSON_KEYS = {
     "level": ("level", "log.level", "severity"), "raw_timestamp": ("@timestamp", "timestamp", "time", "date"), "thread": ("thread_name", "thread", "threadName"), "logger": ("logger_name", "logger", "loggerName"),
-    "trace_id": ("trace_id", "traceId", "trace.id"), "request_id": ("request_id", "requestId", "correlation_id"), "message": ("message", "msg", "formattedMessage"), "stack": ("stack_trace", "stacktrace", "exception"),
+    "trace_id": ("trace_id", "traceId", "trace.id"), "request_id": ("request_id", "requestId", "correlationId"), "message": ("message", "msg", "formattedMessage"), "stack": ("stack_trace", "stacktrace", "exception"),
 }
+NO_HEADER = r"^\s*(?:at |Caused by:|Suppressed:|\.\.\. )"
+BRACKETED, PARENTHESISED = r"\[([^\]\r\n]{1,256})\]", r"\(([^)\r\n]{1,256})\)"
+LOGGER = r"(?<![\w.])([\w$]+(?:\.[\w$]+)+)\s*(?:\s+-|\s*:|\])"
 ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?"
 
 
 def is_json(line: Column) -> Column:
-    return line.rlike(r"^\s*\{.*\}\s*$")
+    """A whole JSON object."""
+    return F.ltrim(line).startswith("{") & F.get_json_object(line, "$").isNotNull()
 
 
 def json_field(line: Column, name: str) -> Column:
@@ -55,16 +61,25 @@ def timestamp(raw: Column, zone: str | None = None) -> Column:
 
 
 def header(line: Column) -> Column:
-    """struct<level, raw_timestamp, thread, logger, message, json> of a starting line, else null: JSON, or
-    text with a date in its first 160 characters and a level in its first 512."""
-    raw = T.found(F.substring(line, 1, 160), ISO)
-    word = T.found(F.substring(line, 1, 512), T.LEVEL, 1)
+    """struct<level, raw_timestamp, thread, logger, message, json> of a starting line, else null: a JSON
+    object, or text with a date in its first 160 characters or a level in its first 512.
+
+    The thread is in the first brackets that hold no level or date, or, as some servers put it, in
+    parentheses behind the level, where the logger is as well.
+    """
+    raw = T.found(F.substring(line, 1, 160), r"\b" + ISO)
+    head = F.substring(line, 1, 512)
+    word = T.found(head, T.LEVEL, 1)
+    after = F.when(word.isNotNull(), F.substring(F.get(F.split(line, T.LEVEL, 2), F.lit(1)), 1, 1024))
+    brackets = F.regexp_extract_all(F.substring(line, 1, 1024), F.lit(BRACKETED), F.lit(1))
+    plain = F.get(F.filter(brackets, lambda x: ~x.rlike("^(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|SEVERE)$") & ~x.rlike(rf"^{ISO}$")), F.lit(0))
+    thread = F.when(word.isNotNull(), F.coalesce(T.found(F.substring(after, 1, 512), PARENTHESISED, 1), plain))
     text = F.when(
-        raw.isNotNull() & word.isNotNull(),
-        F.struct(word.alias("level"), raw.alias("raw_timestamp"), T.thread(line).alias("thread"), T.found(line, r"\b((?:[a-z_][\w$]*\.){1,12}[A-Za-z_$][\w$]*)\b", 1).alias("logger"), line.alias("message"), F.lit(False).alias("json")),
+        (raw.isNotNull() | word.isNotNull()) & ~line.rlike(NO_HEADER),
+        F.struct(word.alias("level"), raw.alias("raw_timestamp"), thread.alias("thread"), T.found(after, LOGGER, 1).alias("logger"), F.rtrim(line).alias("message"), F.lit(False).alias("json")),
     )
-    j = F.struct(*[json_field(line, k).alias(k) for k in ("level", "raw_timestamp", "thread", "logger", "message")], F.lit(True).alias("json"))
-    return F.when(is_json(line) & (json_field(line, "message").isNotNull() | json_field(line, "level").isNotNull()), j).otherwise(text)
+    j = F.struct(*[json_field(line, k).alias(k) for k in ("level", "raw_timestamp", "thread", "logger")], F.coalesce(json_field(line, "message"), F.lit("")).alias("message"), F.lit(True).alias("json"))
+    return F.when(is_json(line), j).otherwise(text)
 
 
 def markers_of(lines: Column) -> Column:
@@ -73,8 +88,10 @@ def markers_of(lines: Column) -> Column:
     def one(x: Column) -> Column:
         c = F.lit(None).cast("struct<kind:string,detail:string>")
         for kind, p in reversed(MARKERS):
-            c = F.when(x.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(x, p, 1).alias("detail"))).otherwise(c)
-        return c
+            detail = F.trim(F.regexp_extract(x, p, 1))
+            detail = F.substring(T.artifact_name(detail) if kind in ("deploy", "undeploy") else detail, 1, 200)
+            c = F.when(x.rlike(p), F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))).otherwise(c)
+        return F.when(~F.ltrim(x).startswith("at "), c)
 
     return F.slice(F.array_distinct(F.filter(F.transform(lines, one), lambda m: m.isNotNull())), 1, MAX_MARKERS)
 
@@ -87,25 +104,28 @@ def frames_of(lines: Column) -> Column:
 
 def events(lines: DataFrame, zone: str | None = None) -> DataFrame:
     """One row per event of each file: id, lines, level, ts, raw_timestamp, thread, logger, identifiers,
-    message, exception (the last named), frames, markers, excerpt, omitted_lines, truncated."""
-    d = lines.withColumn("h", header(F.col("line")))
-    d = d.withColumn("k", F.sum(F.col("h").isNotNull().cast("int")).over(Window.partitionBy("file").orderBy("line_no")))
-    n = F.row_number().over(Window.partitionBy("file", "k").orderBy("line_no"))
-    g = d.withColumn("n", n).groupBy("file", "k").agg(
+    message, exception (the last named), frames, markers, excerpt, truncated, format."""
+    d = lines.withColumn("cut", F.char_length("line") > LINE_CHARS).withColumn("line", F.substring("line", 1, LINE_CHARS)).withColumn("h", header(F.col("line")))
+    d = running(d, F.col("h").isNotNull(), "k").withColumn("k", F.greatest("k", F.lit(1)))
+    d = d.withColumn("part", F.floor((F.col("line_no") - F.col("k")) / MAX_LINES))
+    g = d.groupBy("file", "k", "part").agg(
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
-        F.first("h", ignorenulls=True).alias("h"),
-        F.sort_array(F.collect_list(F.when(F.col("n") <= MAX_LINES, F.struct("line_no", F.substring("line", 1, MAX_CHARS).alias("line"))))).alias("l"),
-        F.greatest(F.count("*") - MAX_LINES, F.lit(0)).alias("omitted_lines"),
+        F.min_by("h", "line_no").alias("h"),
+        F.sort_array(F.collect_list(F.struct("line_no", F.substring("line", 1, MAX_CHARS).alias("line")))).alias("l"),
+        F.max("cut").alias("full"),
     )
-    body = F.transform("l", lambda x: x["line"])
-    g = g.withColumn("stack", F.when(F.col("h.json"), F.split(F.coalesce(json_field(body[0], "stack"), F.lit("")), "\n")).otherwise(F.array().cast("array<string>")))
-    g = g.withColumn("body", F.concat(body, F.filter("stack", lambda x: x != "")))
+    goes_on = F.lead("part").over(Window.partitionBy("file", "k").orderBy("part")).isNotNull()
+    g = g.withColumn("full", F.col("full") | goes_on)
+    raw = F.transform("l", lambda x: x["line"])
+    # a JSON event is its message and its stack, not the line that carries them
+    inner = F.concat_ws("\n", F.col("h.message"), json_field(raw[0], "stack"))
+    g = g.withColumn("body", F.when(F.col("h.json"), F.concat(F.split(inner, "\n"), F.slice(raw, 2, MAX_LINES))).otherwise(raw)).withColumn("head", raw[0])
     text = F.array_join("body", "\n")
-    names = F.slice(F.regexp_extract_all(text, F.lit(EXCEPTION), F.lit(1)), 1, 16)
-    ids = lambda name, p: F.coalesce(F.when(F.col("h.json"), json_field(F.col("body")[0], name)), T.found(text, p, 1))
+    named = F.filter("body", lambda x: x.rlike(EXCEPTION))
+    ids = lambda name, p: F.coalesce(F.when(F.col("h.json"), json_field(F.col("head"), name)), T.found(text, p, 1))
     return g.select(
         "file", F.col("start_line").alias("id"), "start_line", "end_line", T.server_level(F.coalesce("h.level", F.lit(""))).alias("level"), timestamp(F.col("h.raw_timestamp"), zone).alias("ts"), "h.raw_timestamp", "h.thread", "h.logger",
-        ids("trace_id", TRACE_ID).alias("trace_id"), ids("request_id", REQUEST_ID).alias("request_id"), F.coalesce("h.message", F.col("body")[0]).alias("message"), F.when(F.size(names) > 0, F.element_at(names, -1)).alias("exception"),
-        frames_of(F.col("body")).alias("frames"), markers_of(F.col("body")).alias("markers"), F.substring(text, 1, MAX_CHARS).alias("excerpt"), "omitted_lines", ((F.col("omitted_lines") > 0) | (F.length(text) > MAX_CHARS)).alias("truncated"), F.when(F.col("h.json"), "json").otherwise("text").alias("format"),
+        ids("trace_id", TRACE_ID).alias("trace_id"), ids("request_id", REQUEST_ID).alias("request_id"), F.coalesce("h.message", F.rtrim("head")).alias("message"), F.when(F.size(named) > 0, F.regexp_extract(F.element_at(named, -1), EXCEPTION, 1)).alias("exception"),
+        frames_of(F.col("body")).alias("frames"), markers_of(F.col("body")).alias("markers"), F.substring(text, 1, MAX_CHARS).alias("excerpt"), (F.col("full") | (F.length(text) > MAX_CHARS)).alias("truncated"), F.when(F.col("h.json"), "json").when(F.col("h").isNotNull(), "text").otherwise("unrecognized").alias("format"),
     )

@@ -6,6 +6,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from emberlens.functions import text as T
 from emberlens.operators import compare as C
 from emberlens.operators import threads as TD
 from emberlens.sources import hprof, lines, server_log, snapshots, thread_dump
@@ -169,3 +170,44 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {(r.flow_key, r.n_records, r.has_error) for r in spark.table("eps").collect()} == {("a", 2, True), ("a", 1, False)}
     assert spark.table("tl").where("errors = 1").count() == 1 and spark.table("dd").count() == 4
+
+
+def test_server_log_headers_of_other_layouts(spark):
+    text = "\n".join(
+        [
+            "no header yet",
+            "2024-01-01 10:00:00 worker started",
+            "at nowhere",
+            "WARN: low on space",
+            "2026-01-02T03:04:05.1+02:00 ERROR [com.acme.Shop] (exec-7) traceId=t9 failed",
+            "Caused by: java.io.IOException: ERROR 2024-01-01 10:00:00",
+            '{"time": "2026-01-02T03:04:05Z", "level": "warning", "correlationId": "c1", "message": "late", "exception": "java.lang.OutOfMemoryError: Java heap space\\n\\tat a.B.c(B.java:3)"}',
+            "{not json} INFO kept",
+            '{"other": 1}',
+            "INFO long",
+            *["x"] * 300,
+        ]
+    )
+    got = {r.id: r for r in server_log.events(as_lines(spark, text)).collect()}
+    assert sorted(got) == [1, 2, 4, 5, 7, 8, 9, 10, 266]
+    assert (got[1].format, got[1].level, got[2].level, got[2].raw_timestamp, got[2].end_line) == ("unrecognized", "UNKNOWN", "UNKNOWN", "2024-01-01 10:00:00", 3)
+    assert (got[4].level, got[4].raw_timestamp, got[4].thread) == ("WARN", None, None)
+    assert (got[5].thread, got[5].logger, got[5].trace_id, got[5].exception, got[5].end_line) == ("exec-7", "com.acme.Shop", "t9", "java.io.IOException", 6)
+    assert (got[7].level, got[7].request_id, got[7].message, got[7].exception, got[7].format) == ("WARN", "c1", "late", "java.lang.OutOfMemoryError", "json")
+    assert [m.kind for m in got[7].markers] == ["oom"] and got[7].frames[0].line == 3 and got[7].excerpt.startswith("late\n")
+    assert (got[8].format, got[8].level, got[9].format, got[9].level, got[9].message) == ("text", "INFO", "json", "UNKNOWN", "")
+    assert got[10].truncated and got[10].end_line == 265 and got[266].format == "unrecognized" and not got[266].truncated
+
+
+def test_pause_stands_behind_the_sizes(spark):
+    rows = [("[1234ms][info][gc] GC(3) Pause Young (Normal) 10M->5M(20M) 2.500ms", 2.5), ("1.2: [GC (x) 33M->5M(128M), 0.0072 secs]", 7.2), ("[5ms] GC(1) Pause Mark Start 0.012ms", 5.0), ("[77ms] 1M->1M(2M)", None)]
+    d = spark.createDataFrame(rows, "line string, want double")
+    assert all(r.p == r.want or abs(r.p - r.want) < 1e-9 for r in d.select(T.gc_fields(F.col("line")).pause_ms.alias("p"), "want").collect())
+
+
+def test_starting_lines_are_found_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    rows = [(f, i, "s" if i % k == 0 else "") for f, k in (("a", 5), ("b", 60)) for i in range(1, 51)]
+    d = spark.createDataFrame(rows, "file string, line_no long, line string")
+    got = {(r.file, r.line_no): (r.at, r.n) for r in lines.running(lines.running(d, F.col("line") == "s", "at"), F.col("line") == "s", "n", count=True).collect()}
+    assert got == {(f, i): ((i // k * k, i // k)) for f, k in (("a", 5), ("b", 60)) for i in range(1, 51)}
