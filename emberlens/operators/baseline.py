@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlens.operators.quantiles import nearest_rank
+
 SEPARATOR = "\u0001"
 
 
@@ -37,28 +39,30 @@ def in_window(start: Column, low: int | None, high: int | None) -> Column:
 
 
 def paths(members: DataFrame) -> DataFrame:
-    """Counts of whole collapsed sequences per cluster with their rank: count, then text."""
+    """Counts of whole collapsed sequences per cluster: signature, path, n, text."""
     n = members.where(F.size("path") > 0).groupBy("signature", "path").agg(F.count("*").alias("n"))
-    n = n.withColumn("text", F.array_join("path", SEPARATOR))
-    w = Window.partitionBy("signature")
-    return n.withColumns({"total": F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "text"))})
+    return n.withColumn("text", F.array_join("path", SEPARATOR))
 
 
 def modal(members: DataFrame) -> DataFrame:
-    """signature, modal (array), modal_count, total, modal_share."""
-    p = paths(members).where("rank = 1")
-    return p.select("signature", F.col("path").alias("modal"), F.col("n").alias("modal_count"), "total", (F.col("n") / F.col("total")).alias("modal_share"))
+    """signature, modal (array), modal_count, total, modal_share: the most frequent sequence, of equal ones
+    the first as text."""
+    p = paths(members).groupBy("signature").agg(F.min_by(F.struct("path", "n"), F.struct(-F.col("n"), "text")).alias("m"), F.sum("n").alias("total"))
+    return p.select("signature", F.col("m.path").alias("modal"), F.col("m.n").alias("modal_count"), "total", (F.col("m.n") / F.col("total")).alias("modal_share"))
 
 
 def alternatives(members: DataFrame, top: int) -> DataFrame:
     """The most frequent sequences behind the modal one."""
-    p = paths(members).where((F.col("rank") > 1) & (F.col("rank") <= top + 1))
-    return p.select("signature", (F.col("rank") - 1).alias("rank"), "path", "n", (F.col("n") / F.col("total")).alias("share"))
+    p = paths(members)
+    # a filtered rank alone, so that each task keeps the first few of a cluster only
+    first = p.withColumn("rank", F.row_number().over(Window.partitionBy("signature").orderBy(F.desc("n"), "text"))).where(F.col("rank") <= top + 1)
+    d = first.where("rank > 1").join(p.groupBy("signature").agg(F.sum("n").alias("total")), "signature")
+    return d.select("signature", (F.col("rank") - 1).alias("rank"), "path", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def positional(members: DataFrame) -> DataFrame:
+def positional(members: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Options at each modal position among the episodes that reach it, with share and rank."""
-    m = modal(members).select("signature", F.size("modal").alias("len"))
+    m = (modal(members) if base is None else base).select("signature", F.size("modal").alias("len"))
     at = members.select("signature", F.posexplode("path").alias("pos", "site")).join(m, "signature").where(F.col("pos") < F.col("len"))
     n = at.groupBy("signature", "pos", "site").agg(F.count("*").alias("n"))
     w = Window.partitionBy("signature", "pos")
@@ -85,10 +89,7 @@ def transitions(members: DataFrame) -> DataFrame:
 
 def timings(members: DataFrame) -> DataFrame:
     """Nearest-rank median and 95th percentile of the time of each transition."""
-    t = steps(members).where("elapsed_ms is not null")
-    return t.groupBy("signature", "src", "dst").agg(
-        F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY elapsed_ms)").cast("bigint").alias("p50_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY elapsed_ms)").cast("bigint").alias("p95_ms")
-    )
+    return nearest_rank(steps(members), ("signature", "src", "dst"), "elapsed_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
 
 
 def slowest(members: DataFrame, top: int) -> DataFrame:

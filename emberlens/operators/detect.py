@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from emberlens.config import FlowConfig
 from emberlens.operators import baseline as B
+from emberlens.operators.quantiles import nearest_rank
+from emberlens.session import cut_lineage, write_table
 
+#: Rows of a baseline up to which it is broadcast, one sequence or option each.
+BROADCAST_ROWS = 100_000
 END = "<end-of-flow>"
 FINDING = ("flow_key", "ep", "thread_id", "start_ms", "status", "has_error", "has_stack", "signature", "size", "type", "site", "index", "expected", "expected_share", "observed", "raw_score")
 
@@ -70,10 +74,12 @@ def timing(d: DataFrame, usual: DataFrame, factor: float) -> DataFrame:
 
 def corpus_stats(members: DataFrame, config: FlowConfig) -> DataFrame:
     """One row: corpus_start, corpus_end, margin_ms, over all clusters."""
-    lasted = F.when(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull(), F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)))
-    p99 = F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY lasted)").cast("bigint")
-    margin = F.coalesce(p99, F.lit(0)) if config.censor_margin_ms is None else F.lit(max(0, config.censor_margin_ms)).cast("bigint")
-    return members.withColumn("lasted", lasted).agg(F.min("start_ms").alias("corpus_start"), F.max("end_ms").alias("corpus_end"), margin.alias("margin_ms"))
+    ends = members.agg(F.min("start_ms").alias("corpus_start"), F.max("end_ms").alias("corpus_end"))
+    if config.censor_margin_ms is not None:
+        return ends.withColumn("margin_ms", F.lit(max(0, config.censor_margin_ms)).cast("bigint"))
+    lasted = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    p99 = nearest_rank(members.select(F.lit(0).alias("all"), lasted.alias("lasted")).where(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()), ("all",), "lasted", {"margin_ms": 0.99})
+    return ends.withColumn("margin_ms", F.coalesce(p99.select("margin_ms").scalar(), F.lit(0).cast("bigint")))
 
 
 def censored(members: DataFrame, stats: DataFrame) -> DataFrame:
@@ -83,24 +89,35 @@ def censored(members: DataFrame, stats: DataFrame) -> DataFrame:
     return d.withColumn("censored", (F.col("status") != "COMPLETED") & F.coalesce(near, F.lit(False))).drop("corpus_start", "corpus_end", "margin_ms")
 
 
-def judged(members: DataFrame, config: FlowConfig) -> DataFrame:
+def judged(members: DataFrame, config: FlowConfig, base: DataFrame | None = None) -> DataFrame:
     """Sampled episodes inside the evaluation window with their baseline and the censored flag."""
     sampled = members.where(~F.col("under_sampled"))
-    base = B.modal(sampled.where(B.in_window(F.col("start_ms"), config.window_start, config.window_end)))
-    d = censored(sampled.where(B.in_window(F.col("start_ms"), config.eval_start, config.eval_end)), corpus_stats(members, config))
+    if base is None:
+        base = B.modal(sampled.where(B.in_window(F.col("start_ms"), config.window_start, config.window_end)))
+    d = censored(sampled.where(B.in_window(F.col("start_ms"), config.eval_start, config.eval_end)), cut_lineage(corpus_stats(members, config)))
     return d.join(base, "signature")
 
 
 def findings(members: DataFrame, config: FlowConfig) -> DataFrame:
-    """All findings of all detectors."""
+    """All findings of all detectors. Members are written once, and what the clusters agree on is made
+    from that table; both are read by every detector."""
+    members = write_table(members, "members")
     sampled = members.where(~F.col("under_sampled")).where(B.in_window(F.col("start_ms"), config.window_start, config.window_end))
-    d = judged(members, config).where(~F.col("censored"))
-    out = truncation(d).unionByName(divergence(d, B.positional(sampled)))
-    return out.unionByName(timing(d, B.timings(sampled), config.timing_factor))
+    base = _counted(B.modal(sampled))
+    d = judged(members, config, base).where(~F.col("censored"))
+    out = truncation(d).unionByName(divergence(d, _counted(B.positional(sampled, base).where("rank = 1"))))
+    return out.unionByName(timing(d, _counted(B.timings(sampled)), config.timing_factor))
+
+
+def _counted(d: DataFrame) -> DataFrame:
+    """d stored, and broadcast if it has few rows."""
+    d = cut_lineage(d)
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
 
 
 def engine_counts(members: DataFrame, config: FlowConfig) -> DataFrame:
     """One row of counters: evaluated, censored, clusters, under-sampled clusters, skipped episodes, margin."""
+    members = write_table(members, "members")
     seen = judged(members, config).agg(F.count_if(~F.col("censored")).alias("evaluated"), F.count_if("censored").alias("censored"))
     c = members.groupBy("signature").agg(F.first("under_sampled").alias("u"), F.count("*").alias("k"))
     c = c.agg(F.count("*").alias("clusters"), F.count_if("u").alias("under_sampled"), F.coalesce(F.sum(F.when(F.col("u"), F.col("k"))), F.lit(0)).alias("skipped"))

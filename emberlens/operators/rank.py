@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlens.config import FlowConfig
+from emberlens.operators.quantiles import numbered
+from emberlens.session import cut_lineage
 
 KEY = ("signature", "type", "index", "site", "expected")
 # fixed values: severity of each finding type
@@ -64,13 +66,12 @@ def suppress(found: DataFrame, rules: Sequence[Mapping[str, str | None]]) -> Dat
 def ranked(found: DataFrame) -> DataFrame:
     """found with rank among those that aren't suppressed (null for the others)."""
     order = (F.desc("score"), "signature", F.coalesce("site", F.lit("")), "index", F.coalesce("thread_id", F.lit("")), F.coalesce(F.col("start_ms").cast("double"), F.lit(LATE)), "type", F.coalesce("expected", F.lit("")))
-    # the findings left after deduplication are few: a key is a place in a flow, not an episode
-    rank = F.row_number().over(Window.partitionBy("suppressed").orderBy(*order))
-    return found.withColumn("rank", F.when(~F.col("suppressed"), rank))
+    kept = numbered(found.where(~F.col("suppressed")), order, "rank")
+    return kept.unionByName(found.where("suppressed").withColumn("rank", F.lit(None).cast("int")))
 
 
 def rank_findings(findings: DataFrame, config: FlowConfig) -> DataFrame:
-    return ranked(suppress(score(dedupe(findings), config), config.suppressions))
+    return ranked(cut_lineage(suppress(score(dedupe(findings), config), config.suppressions)))
 
 
 def locate(episodes: DataFrame, probes: DataFrame) -> DataFrame:
