@@ -6,7 +6,9 @@ them, and unescaping gives back every text exactly.
 
 Defined results: null texts and roles count as empty; turns are ordered by turn, then role, then
 text (a null turn comes first), repeated rows are kept; a null conversation id is an id of its
-own; an empty table gives an empty result; other columns are ignored.
+own; very long texts and conversations are formatted whole, one conversation being one string and so
+one row of one task; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ bucket find the bucket in which the budget ends, and only the documents of that
 ordered. The document in which the budget ends gives the words that are still missing.
 
 Defined results: null texts have size 0; a null source is a source of its own, last in order; a
-null id draws like the empty id; documents whose id repeats are taken each, in text size order;
-an empty table gives an empty result; other columns are ignored.
+null id draws by the text; documents whose id repeats are taken each, in text size order; of very long
+texts the words are counted whole, and one may be taken in part; an empty table gives an empty result;
+other columns are ignored, whatever their names. Sources are few: one task orders them, one row each.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def uniform_of(doc_id: Column) -> Column:
-    """A uniform draw in (0, 1) from the id."""
-    h = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13)
+def uniform_of(doc_id: Column, text: Column) -> Column:
+    """A uniform draw in (0, 1) from the id, or from the text where that is null."""
+    h = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.md5(text), F.lit(""))), 1, 13)
     return (F.conv(h, 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -66,15 +67,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     quality: (doc_id, quality 0/1) of some documents; quality_weights are those of quality 0, of
     unlabelled documents and of quality 1.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    draw = uniform_of(F.col(id_col), F.col(text_col))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), draw.alias("draw"))
     low, mid, high = (float(x) for x in quality_weights)
     if quality is None:
         d = d.withColumn("w", F.lit(mid))
     else:
         q = quality.select(F.col("doc_id"), F.col("quality")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
         d = d.join(q, "doc_id", "left").withColumn("w", F.when(F.col("quality") == 1, high).when(F.col("quality") == 0, low).otherwise(mid)).drop("quality")
-    key = -F.log(uniform_of(F.col("doc_id"))) / F.col("w")
-    d = d.withColumn("key", key)
+    d = d.withColumn("key", -F.log("draw") / F.col("w"))
     spread = 1 - F.exp(-F.col("key") * min(quality_weights))
     cell = F.least(F.floor(spread * float(FAN**LEVELS)), F.lit(FAN**LEVELS - 1)).cast("bigint")
     d = cut_lineage(d.select("doc_id", "source", "size", "key", cell.alias("cell")))

@@ -75,7 +75,7 @@ SQL["op8_source_mix"] = r"""
 WITH RECURSIVE q AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / (CASE quality WHEN 1 THEN 3.0::DOUBLE WHEN 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END) AS key
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / (CASE quality WHEN 1 THEN 3.0::DOUBLE WHEN 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END) AS key
   FROM documents LEFT JOIN q USING (doc_id)),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT source, source_size, 3 * source_size AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s0),

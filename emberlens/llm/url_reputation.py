@@ -7,7 +7,7 @@ spread between the groups of that level. A host is blocked when the lower poster
 its rate of blocked pages is above a threshold.
 
 Defined results: a null url, or one without ``://``, has empty host and path and fits no rule;
-rows that repeat are judged each; an empty table gives an empty result; other columns of the
+very long urls are read whole; rows that repeat are judged each; an empty table gives an empty result; other columns of the
 input are ignored, whatever their names.
 """
 
@@ -23,6 +23,8 @@ from emberlens.session import cut_lineage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 1000
 KAPPA_RANGE = (1.0, 10_000.0)
+# fixed values: common public suffixes of two labels; others may be passed in
+TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "com.br", "com.cn", "com.tw", "com.hk", "com.sg", "com.mx", "com.ar", "com.tr", "co.in", "co.za", "co.il")
 
 
 def host_of(url: Column) -> Column:
@@ -62,11 +64,14 @@ def parse_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str =
     return d.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
 
 
-def registered_domain(host: Column, two_label_suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+def registered_domain(host: Column, two_label_suffixes: Sequence[str] = TWO_LABELS) -> tuple[Column, Column]:
     """The registered domain and the suffix: the last label, or two for the suffixes named."""
-    last2 = F.substring_index(host, ".", -2)
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(?::\d*)?$", "")
+    last2 = F.substring_index(name, ".", -2)
     two = last2.isin(list(two_label_suffixes)) if two_label_suffixes else F.lit(False)
-    return F.when(two, F.substring_index(host, ".", -3)).otherwise(last2), F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
+    number = name.rlike(r"^\d+(?:\.\d+){3}$|^\[")
+    domain = F.when(number, name).when(two, F.substring_index(name, ".", -3)).otherwise(last2)
+    return domain, F.when(number, "").when(two, last2).otherwise(F.substring_index(name, ".", -1))
 
 
 def _strength(groups: DataFrame, parents: DataFrame, on: list[str]) -> Column:
@@ -90,7 +95,7 @@ def _strength(groups: DataFrame, parents: DataFrame, on: list[str]) -> Column:
     return s.select(F.coalesce(kappa, F.lit(KAPPA_RANGE[1])).alias("k")).scalar()
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label_suffixes: Sequence[str] = ()) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label_suffixes: Sequence[str] = TWO_LABELS) -> DataFrame:
     """Per host of ``outcomes`` (host, blocked boolean or null where unlabelled): labelled pages,
     blocked ones, posterior mean and lower bound of the blocked rate."""
     domain, suffix = registered_domain(F.col("host"), two_label_suffixes)
@@ -113,7 +118,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label_suffixes: S
     return h.select("host", F.col("n").alias("n_labelled"), F.col("b").alias("n_blocked"), "rate", (F.col("rate") - z * sd).alias("rate_low"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcomes: DataFrame | None = None, threshold: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcomes: DataFrame | None = None, threshold: float = 0.5, z: float = 1.645, two_label_suffixes: Sequence[str] = TWO_LABELS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A verdict for every page.
 
     outcomes: (host, blocked) of labelled pages; by default the pages that a rule decides serve as
@@ -123,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], outcomes: Dat
     own = d.select("host", (F.col("rule_verdict") == "block").alias("blocked"))
     if outcomes is not None:
         own = own.select("host", F.lit(None).cast("boolean").alias("blocked")).unionByName(outcomes.select("host", "blocked"))
-    rep = host_reputation(own, z)
+    rep = host_reputation(own, z, two_label_suffixes)
     judged = d.join(rep, "host", "left")
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("rate_low") > threshold, "block").otherwise("allow"))
     return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "n_labelled", "n_blocked", F.round("rate_low", 6).alias("rate_low"))

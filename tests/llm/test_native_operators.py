@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberlens.llm.chat_format import ChatTemplate, digest_chats, format_chats, read_back
 from emberlens.llm.decontaminate import decontaminate, find_leaks
 from emberlens.llm.secret_ledger import digest_findings, redact_documents, scan_into, scan_versions
-from emberlens.llm.url_reputation import host_reputation, judge_urls, parse_urls
+from emberlens.llm.url_reputation import host_reputation, judge_urls, parse_urls, registered_domain
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -196,3 +196,13 @@ def test_ledger_at_a_path_scans_each_blob_once(spark, tmp_path):
     ledger = spark.read.parquet(path)
     assert ledger.count() == ledger.select("blob").distinct().count() == 3
     assert n(scan_into(first, path, rule_version="next")) == {("a", 1): 1, ("b", 1): 0} and spark.read.parquet(path).count() == 5
+
+
+def test_domains_of_two_label_suffixes_ports_and_numbers(spark):
+    hosts = ["a.site.co.uk", "b.other.co.uk", "user@www.shop.com:8080", "shop.com.", "10.0.0.1:80", "localhost", ""]
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in d.select(*registered_domain(F.col("host"))).collect()]
+    assert got == [("site.co.uk", "co.uk"), ("other.co.uk", "co.uk"), ("shop.com", "com"), ("shop.com", "com"), ("10.0.0.1", ""), ("localhost", "localhost"), ("", "")]
+    rows = [(f"p{i}.bad.co.uk", True) for i in range(30)] + [(f"p{i}.good.co.uk", False) for i in range(30)]
+    rep = {r.host: r.rate for r in host_reputation(spark.createDataFrame(rows, "host string, blocked boolean")).collect()}
+    assert rep["p1.bad.co.uk"] > 0.9 and rep["p1.good.co.uk"] < 0.1

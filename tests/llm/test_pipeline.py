@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from emberlens.llm.language_id import identify_documents
@@ -56,6 +57,19 @@ def test_stages_take_odd_tables(spark, sf_dir):
         assert out.count() <= 4
 
 
+def test_stages_carry_columns_of_any_name(spark, sf_dir):
+    path, _, _ = sf_dir
+    names = ["_blob", "blob", "spans", "id", "c0", "n", "hub", "lang_pred", "size", "taken", "h", "words"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"is {n}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select(names).collect()} == {tuple(f"is {n}" for n in names)}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0
+
+
 def test_near_copies_go_from_a_similarity_of_eight_tenths(spark):
     words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
     base, other = words(0, 304), words(1, 304)
