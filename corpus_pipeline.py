@@ -4,6 +4,12 @@ one kept: language identification, near duplicates, benchmark decontamination, s
 Every stage but the last returns the columns of ``documents``; the last returns what the mix takes:
 doc_id, size, source_size, target, taken and source of every document of which words are taken.
 Between stages the documents are written as Parquet to the shared folder and read again.
+
+Defined results: a null text and a text without letters go in the first stage; rows with a null id stay
+apart from all others and are neither copies nor leaks, but are masked and mixed; of rows that repeat an
+id one stays; very long texts are worked on whole; a null source is a source of its own; an empty table
+gives an empty result; columns beside those of ``documents`` are carried along to the mix, whatever
+their names.
 """
 
 from __future__ import annotations
