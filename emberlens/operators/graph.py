@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.session import cut_lineage
 
 MAX_OBJECTS = 2_000_000
+#: Rounds of a search whose fronts are kept as tables of their own.
+FRONTS = 16
+
+
+def _united(fronts: list[DataFrame]) -> DataFrame:
+    out = fronts[0]
+    for f in fronts[1:]:
+        out = out.unionByName(f)
+    return out
+
 
+def reachable(edges: DataFrame, start: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Nodes (node) reached from start along edges (src, dst), none of ``without`` among them, however far.
 
-def reachable(edges: DataFrame, start: DataFrame, without: DataFrame | None = None, rounds: int = 10_000) -> DataFrame:
-    """Nodes (node) reached from start along edges (src, dst), none of ``without`` among them."""
+    Each round stores its front alone; FRONTS of them are made one table at a time.
+    """
     e = edges.select("src", "dst")
-    seen = start.select("node").distinct()
+    front = start.select("node").distinct()
     if without is not None:
         e = e.join(without.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-        seen = seen.join(without, "node", "left_anti")
-    seen = front = cut_lineage(seen)
-    for _ in range(rounds):
-        front = cut_lineage(front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        front = front.join(without, "node", "left_anti")
+    front = cut_lineage(front)
+    seen = [front]
+    while True:
+        front = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = cut_lineage(front.join(_united(seen), "node", "left_anti"))
         if front.isEmpty():
-            break
-        seen = cut_lineage(seen.unionByName(front))
-    return seen
+            return _united(seen)
+        seen.append(front)
+        if len(seen) == FRONTS:
+            seen = [cut_lineage(_united(seen))]
 
 
 def distances(edges: DataFrame, start: DataFrame, depth: int = 40) -> DataFrame:
@@ -56,7 +70,7 @@ def cycles(step: DataFrame) -> DataFrame:
             break
         d = kept
     d = d.withColumn("cycle", F.least("node", "next"))
-    for _ in range(64):
+    while True:  # doubles its reach each round
         ahead = d.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("cycle").alias("other"))
         nxt = cut_lineage(d.join(ahead, "next").select("node", F.col("far").alias("next"), F.least("cycle", "other").alias("cycle"), (F.col("other") < F.col("cycle")).alias("moved")))
         d = nxt.drop("moved")
@@ -143,37 +157,35 @@ def immediate_dominators(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray
     return out
 
 
-def _dominate(tables: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-    t = tables
-    kind = np.array(t["kind"].to_pylist())
-    a, b, size = np.array(t["a"].to_pylist(), dtype=object), np.array(t["b"].to_pylist(), dtype=object), t["size"].to_numpy()
-    objects = kind == "o"
-    names = np.concatenate([["0x0"], np.sort(a[objects].astype(str))])
-    place = {x: i for i, x in enumerate(names.tolist())}
-    if len(names) - 1 > MAX_OBJECTS:
-        raise ValueError(f"{len(names) - 1} objects; the dominator kernel holds {MAX_OBJECTS}")
-    shallow = np.zeros(len(names), dtype=np.int64)
-    for x, s in zip(a[objects], size[objects], strict=True):
-        shallow[place[x]] += int(s)
-    pairs = [(place[x], place[y]) for x, y in zip(a[kind == "e"], b[kind == "e"], strict=True) if x in place and y in place]
-    pairs += [(0, place[x]) for x in a[kind == "r"] if x in place]
-    src, dst = (np.array([p[i] for p in pairs], dtype=np.int64) for i in (0, 1))
-    idom = immediate_dominators(len(names), src, dst)
-    retained = shallow.copy()
-    depth = np.full(len(names), -1, dtype=np.int64)
+def _dominate(t: pa.Table) -> pa.Table:
+    kind = t["kind"].combine_chunks()
+    of = lambda k: t.filter(pc.equal(kind, k))
+    objects, edges, roots = of("o"), of("e"), of("r")
+    known = objects.group_by("a").aggregate([("size", "sum")]).sort_by("a")
+    names = pa.concat_arrays([pa.array(["0x0"], pa.string()), known["a"].combine_chunks().cast(pa.string())])
+    n = len(names)
+    if n - 1 > MAX_OBJECTS:
+        raise ValueError(f"{n - 1} objects; the dominator kernel holds {MAX_OBJECTS}")
+    shallow = np.concatenate([[0], known["size_sum"].to_numpy().astype(np.int64)])
+    place = lambda c: pc.fill_null(pc.index_in(c, value_set=names[1:]), -1).to_numpy().astype(np.int64) + 1
+    src, dst, top = place(edges["a"]), place(edges["b"]), place(roots["a"])
+    both = (src > 0) & (dst > 0)
+    src, dst = np.concatenate([src[both], np.zeros(int((top > 0).sum()), dtype=np.int64)]), np.concatenate([dst[both], top[top > 0]])
+    idom = immediate_dominators(n, src, dst)
+    depth, retained, up = [-1] * n, shallow.tolist(), idom.tolist()
     depth[0] = 0
-    for v in np.flatnonzero(idom >= 0):
+    for v in np.flatnonzero(idom >= 0).tolist():
         chain = []
         while depth[v] < 0:
             chain.append(v)
-            v = idom[v]
-        for k, x in enumerate(reversed(chain)):
-            depth[x] = depth[v] + k + 1
-    for v in np.argsort(-depth, kind="stable"):
-        if v and idom[v] >= 0:
-            retained[idom[v]] += retained[v]
-    known = np.flatnonzero(idom >= 0)
-    return pa.table({"node": names[known].tolist(), "parent": names[idom[known]].tolist(), "depth": depth[known], "retained": retained[known]})
+            v = up[v]
+        for x in reversed(chain):
+            depth[x] = depth[up[x]] + 1
+    for v in np.argsort(-np.array(depth), kind="stable").tolist():
+        if v and up[v] >= 0:
+            retained[up[v]] += retained[v]
+    found = np.flatnonzero(idom >= 0)
+    return pa.table({"node": names.take(pa.array(found)), "parent": names.take(pa.array(idom[found])), "depth": np.array(depth)[found], "retained": np.array(retained)[found]})
 
 
 def dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.functions.text import is_user_code, outer_class, package_of
-from emberlens.operators.graph import cut_lineage
+from emberlens.operators.graph import cut_lineage, reachable
 
 
 def histogram(objects: DataFrame, classes: DataFrame) -> DataFrame:
@@ -29,16 +29,19 @@ def histogram_page(hist: DataFrame, text: str = "", by_package: bool = False, so
     return d.orderBy(way(sort), way("name")).offset(offset).limit(limit)
 
 
-def class_chain(classes: DataFrame, depth: int = 64) -> DataFrame:
+def class_chain(classes: DataFrame) -> DataFrame:
     """cid, ancestor, hops of every class, itself included."""
     up = classes.select(F.col("cid").alias("ancestor"), F.col("super").alias("next"))
     out = front = cut_lineage(classes.select("cid", F.col("cid").alias("ancestor"), F.lit(0).alias("hops")))
-    for k in range(1, depth):
-        front = cut_lineage(front.join(up, "ancestor").where("next is not null").select("cid", F.col("next").alias("ancestor"), F.lit(k).alias("hops")))
+    k = 0
+    while True:
+        k += 1
+        front = front.join(up, "ancestor").where("next is not null").select("cid", F.col("next").alias("ancestor"), F.lit(k).alias("hops"))
+        # in a damaged dump a class may be its own ancestor
+        front = cut_lineage(front.join(out.select("cid", "ancestor"), ["cid", "ancestor"], "left_anti"))
         if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+            return out
+        out = cut_lineage(out.unionByName(front))
 
 
 def ref_fields(classes: DataFrame, fields: DataFrame) -> DataFrame:
@@ -100,16 +103,10 @@ def dom_top(dom: DataFrame, root: str = "0x0", top: int = 25, share: float = 0.8
     return heads.select("node", "retained", "chain")
 
 
-def dom_subtree(dom: DataFrame, top: str, depth: int = 100_000) -> DataFrame:
+def dom_subtree(dom: DataFrame, top: str) -> DataFrame:
     """All nodes below one in the dominator tree, itself included: its retained set."""
-    e = dom.where(F.col("node") != F.col("parent")).select(F.col("parent").alias("at"), "node")
-    out = front = cut_lineage(dom.where(F.col("node") == top).select("node"))
-    for _ in range(depth):
-        front = cut_lineage(front.select(F.col("node").alias("at")).join(e, "at").select("node"))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out
+    e = dom.where(F.col("node") != F.col("parent")).select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    return reachable(cut_lineage(e), dom.where(F.col("node") == top).select("node"))
 
 
 def roots_browse(roots: DataFrame, objects: DataFrame, classes: DataFrame, kind: str | None = None) -> DataFrame:
