@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlens.session import cut_lineage
+
 MB, GB = 1 << 20, 1 << 30
 # fixed values: points per severity
 POINTS = {"CRITICAL": 15, "HIGH": 8, "MEDIUM": 3, "LOW": 1, "INFO": 0}
@@ -191,6 +193,60 @@ def procedures(procs: DataFrame) -> DataFrame:
     return d.select("r.rule", F.lit("procedures").alias("category"), "r.severity", F.concat_ws(".", "schema_name", "name").alias("object"), F.lit("low").alias("confidence"), F.lit(0.0).alias("impact"))
 
 
+# fixed values: names of one kind of type
+TYPE_KINDS = (("int", r"^(?:tiny|small|medium|big)?int(?:eger)?\d*\b|^(?:big|small)?serial"), ("text", r"^(?:n?(?:var)?char|character|(?:tiny|medium|long)?text|uuid|enum)"), ("decimal", r"^(?:numeric|decimal|number)"), ("float", r"^(?:float|double|real)"), ("time", r"^(?:date|time|year)"), ("bool", r"^bool"))
+_TYPE = r"((?:[a-z]+(?:\s+varying|\s+precision)?)\s*(?:\(\s*\d+(?:\s*,\s*\d+)?\s*\))?)"
+_NO_TYPE = ("cursor", "from", "where", "as", "is", "in", "on", "and", "or", "then", "set", "into", "constant")
+
+
+def type_kind(name: Column) -> Column:
+    """The kind of a type; decimals of other precision or scale are of another kind."""
+    low = F.regexp_replace(F.lower(F.trim(name)), r"\s+", "")
+    c = F.lit(None).cast("string")
+    for kind, p in reversed(TYPE_KINDS):
+        c = F.when(F.lower(F.trim(name)).rlike(p), F.concat(F.lit("decimal"), F.regexp_extract(low, r"\(.*\)", 0)) if kind == "decimal" else F.lit(kind)).otherwise(c)
+    return c
+
+
+def type_mismatches(procs: DataFrame, columns: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """Columns of routines that are compared for equality with variables, parameters or columns of temporary
+    tables of another kind of type: rule, category, severity, object, confidence, impact, left, left_type,
+    right, right_type.
+
+    Lexical: procs (schema_name, name, definition), columns (schema_name, table, name, data_type),
+    parameters (schema_name, routine, name, data_type). A table that several schemas have, a name declared
+    twice, a bare name that a column of the routine's tables has as well, and routines with nested selects
+    in a predicate are left alone.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("definition", r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " "), r"'(?:[^']|'')*'", "''")
+    p = procs.select("schema_name", F.col("name").alias("routine"), F.lower(body).alias("s"))
+    p = cut_lineage(p.where(~F.col("s").rlike(r"(?:exists|in|=|<|>)\s*\(\s*select\b")))
+    key = ["schema_name", "routine"]
+    pairs = lambda pattern, a, b: F.arrays_zip(F.regexp_extract_all("s", F.lit(pattern), F.lit(1)).alias(a), F.regexp_extract_all("s", F.lit(pattern), F.lit(2)).alias(b))
+    declared = p.select(*key, F.explode(pairs(r"(?:\bdeclare|;)\s+([a-z_]\w*)\s+" + _TYPE, "name", "type")).alias("x")).select(*key, "x.*").where(~F.split("type", r"[\s(]")[0].isin(*_NO_TYPE))
+    if parameters is not None:
+        declared = declared.unionByName(parameters.select("schema_name", "routine", F.lower("name").alias("name"), F.lower("data_type").alias("type")))
+    declared = declared.where(type_kind(F.col("type")).isNotNull())
+    declared = declared.groupBy(*key, "name").agg(F.first("type").alias("type"), F.count("*").alias("k")).where("k = 1").drop("k")
+    named = p.select(*key, F.explode(pairs(r"\b(?:from|join|update)\s+([a-z_][\w.]*)(?:\s+(?:as\s+)?(?!(?:where|join|on|set|inner|left|right|cross|group|order|limit|union)\b)([a-z_]\w*))?", "table", "alias")).alias("x")).select(*key, "x.table", F.when(F.col("x.alias") != "", F.col("x.alias")).otherwise(F.substring_index("x.table", ".", -1)).alias("alias")).distinct()
+    temp = p.select(*key, F.explode(pairs(r"create\s+(?:global\s+|local\s+)?temp(?:orary)?\s+table\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)", "table", "columns")).alias("x")).select(*key, "x.*")
+    temp = temp.select(*key, "table", F.explode(F.regexp_extract_all("columns", F.lit(r"(?:^|,)\s*[a-z_]\w*\s+" + _TYPE), F.lit(0))).alias("c"))
+    temp = temp.select(*key, "table", F.regexp_extract("c", r"^,?\s*([a-z_]\w*)", 1).alias("column"), F.trim(F.regexp_extract("c", r"^,?\s*[a-z_]\w*\s+(.*)$", 1)).alias("type"))
+    c = columns.select(F.lower("schema_name").alias("cs"), F.lower("table").alias("ct"), F.lower("name").alias("column"), F.lower("data_type").alias("type"))
+    plain = c.groupBy(F.col("ct").alias("table"), "column").agg(F.first("type").alias("type"), F.countDistinct("cs").alias("k")).where("k = 1").drop("k")
+    full = c.groupBy(F.concat_ws(".", "cs", "ct").alias("table"), "column").agg(F.first("type").alias("type"))
+    typed = named.join(plain.unionByName(full), "table").unionByName(named.join(temp, [*key, "table"]).select("table", *key, "alias", "column", "type"))
+    typed = cut_lineage(typed.select(*key, F.concat_ws(".", "alias", "column").alias("name"), "column", "type").distinct())
+    once = typed.groupBy(*key, "name").agg(F.first("type").alias("type"), F.count("*").alias("k")).where("k = 1").drop("k")
+    bare = declared.join(typed.select(*key, F.col("column").alias("name")).distinct(), [*key, "name"], "left_anti")
+    known = cut_lineage(once.unionByName(bare.select(*key, "name", "type")))
+    equal = p.select(*key, F.explode(pairs(r"(?<![\w.])([a-z_]\w*(?:\.\w+)?)\s*=\s*([a-z_]\w*(?:\.\w+)?)(?![\w.(])", "left", "right")).alias("x")).select(*key, "x.*").distinct()
+    side = lambda n: known.select(*key, F.col("name").alias(n), F.col("type").alias(f"{n}_type"))
+    j = equal.join(side("left"), [*key, "left"]).join(side("right"), [*key, "right"]).where(type_kind(F.col("left_type")) != type_kind(F.col("right_type")))
+    j = j.where(F.col("left").contains(".") | F.col("right").contains("."))
+    return j.select(F.lit("SP1").alias("rule"), F.lit("procedures").alias("category"), F.lit("MEDIUM").alias("severity"), F.concat_ws(".", *key).alias("object"), F.lit("medium").alias("confidence"), F.lit(0.0).alias("impact"), "left", "left_type", "right", "right_type")
+
+
 def redact(sql: Column) -> Column:
     """SQL without comments and with every literal a question mark; identifiers stay."""
     s = F.regexp_replace(sql, r"(?s)/\*.*?\*/", " ")

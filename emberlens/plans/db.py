@@ -166,6 +166,17 @@ def db_sp(spark, sf):
     return R.procedures(spark.createDataFrame(rows, "schema_name string, name string, definition string"))
 
 
+@query("SELECT 'SP1' AS rule, 'procedures' AS category, 'MEDIUM' AS severity, 'app.r' || p_partkey AS object, 'medium' AS confidence, 0.0::DOUBLE AS impact, CASE p_partkey % 4 WHEN 0 THEN 'o.id' WHEN 1 THEN 'p_id' ELSE 't.id' END AS left, CASE p_partkey % 4 WHEN 0 THEN 'bigint' WHEN 1 THEN 'varchar(20)' ELSE 'varchar(20)' END AS left_type, CASE p_partkey % 4 WHEN 0 THEN 'v_id' ELSE 'o.id' END AS right, CASE p_partkey % 4 WHEN 0 THEN 'varchar(12)' ELSE 'bigint' END AS right_type FROM part WHERE p_partkey % 4 < 3")
+def db_sp1(spark, sf):
+    k, n = F.col("p_partkey") % 4, F.concat(F.lit("r"), F.col("p_partkey").cast("string"))
+    body = F.when(k == 0, "BEGIN DECLARE v_id VARCHAR(12); SELECT o.id FROM app.orders o WHERE o.id = v_id; END").when(k == 1, "SELECT o.id FROM app.orders o WHERE p_id = o.id -- o.id = v")
+    body = body.when(k == 2, "CREATE TEMPORARY TABLE tmp (id varchar(20), amount decimal(12,2)); SELECT o.id FROM orders o JOIN tmp t ON t.id = o.id;").otherwise("DECLARE v_id bigint; v_amount numeric(12,2); BEGIN SELECT o.id FROM app.orders o WHERE o.amount = v_amount AND o.id = v_id; END")
+    procs = table(spark, sf, "part").select(F.lit("app").alias("schema_name"), n.alias("name"), body.alias("definition"))
+    columns = spark.createDataFrame([("app", "orders", "id", "bigint"), ("app", "orders", "amount", "decimal(12,2)")], "schema_name string, table string, name string, data_type string")
+    given = procs.select("schema_name", F.col("name").alias("routine"), F.lit("p_id").alias("name"), F.lit("varchar(20)").alias("data_type"))
+    return R.type_mismatches(procs, columns, given)
+
+
 def _all(spark, sf):
     s = statements(spark, sf)
     return R.q1(s).unionByName(R.q2(s)).unionByName(R.q3(s))

@@ -63,7 +63,7 @@ def src_file_order(spark, sf):
     return S.file_order(log_dir(spark, sf)).agg(F.count("*").alias("files"))
 
 
-@query()
+@query("SELECT 5 AS fields, 'yyyy-MM-dd HH:mm:ss.SSS' AS timestamp")
 def src_detect_format(spark, sf):
     piped = log_dir(spark, sf).where(F.col("line").contains("|"))
     r = S.detect_format(piped) or {}

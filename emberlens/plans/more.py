@@ -15,8 +15,8 @@ from emberlens.operators import segment as SEG
 from emberlens.plans import evidence as PE
 from emberlens.plans import flow as PF
 from emberlens.plans import heap as PH
-from emberlens.plans.adapters import EVENTS_CONFIG
-from emberlens.session import shared_dir, table
+from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL
+from emberlens.session import shared_dir, table, write_table
 from emberlens.sources import lines as S
 from emberlens.sources import server_log, snapshots, thread_dump
 
@@ -271,19 +271,29 @@ def hp_hashes(spark, sf):
     return PH._hashes(spark, sf).agg(F.first(F.col("etype").cast("string")).alias("etype"), F.count("*").alias("arrays"), F.countDistinct("digest").alias("digests"))
 
 
-@query()
+_TOLD = """, ran AS (SELECT f.flow_key, f.ep, count(*) AS n, min(rank) AS rank FROM f LEFT JOIN rk ON rk.signature = f.signature AND rk.type = f.type AND rk.index = f.index AND rk.site IS NOT DISTINCT FROM f.site AND rk.expected IS NOT DISTINCT FROM f.expected GROUP BY ALL)
+SELECT m.flow_key AS thread_id, m.start_ms AS at_ms, m.ep, ran.rank,
+  CASE WHEN m.size < 10 THEN 'under-sampled cluster' WHEN censored IS NULL THEN 'outside the evaluation window' WHEN censored THEN 'censored' WHEN n IS NULL THEN 'no finding' WHEN ran.rank IS NULL THEN 'suppressed' WHEN ran.rank <= 20 THEN 'reported' ELSE 'ranked too low' END AS outcome
+FROM m LEFT JOIN judged j ON j.flow_key = m.flow_key AND j.ep = m.ep LEFT JOIN ran ON ran.flow_key = m.flow_key AND ran.ep = m.ep"""
+
+
+@query("WITH " + RANKING_SQL + _TOLD)
 def val_explain(spark, sf):
+    """Asked at the start of every episode."""
     from emberlens.operators import detect as D
 
-    members = PF._members(spark, sf)
-    probes = spark.createDataFrame([(str(i), 1_704_067_200_000 + 7_919_000 * i) for i in range(1, 60)], "thread_id string, at_ms bigint")
-    located = R.locate(PF._episodes(spark, sf), probes)
+    members = write_table(PF._members(spark, sf), "members")
+    episodes = PF._episodes(spark, sf)
+    located = R.locate(episodes, episodes.select("thread_id", F.col("start_ms").alias("at_ms")))
     return E.explain(located, D.judged(members, PF.RULED), D.findings(members, PF.RULED), PF._ranking(spark, sf), EVENTS_CONFIG.top_n, members.select("flow_key", "ep", "under_sampled"))
 
 
-@query()
+@query("WITH " + RANKING_SQL + " SELECT rank, type, signature, occurrences, round(score, 6) AS score FROM rk WHERE rank <= 20")
 def sink_report_json(spark, sf):
-    return spark.createDataFrame([(snapshots.report_json(PF._ranking(spark, sf)), snapshots.report_text(PF._ranking(spark, sf)))], "json string, text string")
+    """The report, read again."""
+    text = spark.createDataFrame([(snapshots.report_json(PF._ranking(spark, sf)),)], "json string")
+    found = F.from_json("json", "struct<findings: array<struct<rank: int, type: string, signature: string, occurrences: bigint, score: double>>>")["findings"]
+    return text.select(F.inline(found))
 
 
 @query("SELECT 'queries' AS section, 'partial' AS status UNION ALL SELECT 'tables', 'missing' UNION ALL SELECT 'settings', 'empty' UNION ALL SELECT 'sessions', 'available'")
@@ -395,6 +405,15 @@ def fn_gc_ts(spark, sf):
     return G.events(one).select(F.col("log").cast("bigint").alias("line_no"), "ts_s")
 
 
+@query("SELECT '/C' || p_partkey || '.java' AS path, unnest(CASE p_partkey % 3 WHEN 0 THEN ['put', 'null assignment'] WHEN 1 THEN ['clear', 'assignment'] ELSE ['get'] END) AS operation, unnest(CASE p_partkey % 3 WHEN 0 THEN ['candidate_write', 'candidate_cleanup'] WHEN 1 THEN ['candidate_cleanup', 'candidate_write'] ELSE ['other_usage'] END) AS category FROM part")
+def src_field_ops(spark, sf):
+    k, n = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    use = F.when(k == 0, "cache.put(a, b);\n    this.cache = null;").when(k == 1, "cache.clear(); // cache.put(1)\n    cache = make();").otherwise("cache.get(a); String t = \"cache.put(x)\";")
+    source = F.concat(F.lit("class C"), n, F.lit(" {\n  private Map<String, String> cache = null;\n  void run(String a) {\n    "), use, F.lit("\n  }\n}"))
+    d = table(spark, sf, "part").select(F.concat(F.lit("/C"), n, F.lit(".java")).alias("path"), source.alias("source"))
+    return snapshots.field_operations(d).select("path", "operation", "category")
+
+
 @query("SELECT p_partkey, p_brand FROM part")
 def sink_artifact(spark, sf):
     path = snapshots.write_artifact(table(spark, sf, "part").select("p_partkey", "p_brand"), f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}", "a1")
@@ -442,6 +461,6 @@ def fn_display_value(spark, sf):
     return table(spark, sf, "part").select("p_partkey", snapshots.display_value(sample, wide).alias("value"))
 
 
-@query()
+@query("WITH " + RANKING_SQL + " SELECT string_agg(printf('%3d. [%s] %s: at %s expected %s x%d score %.6f', rank, type, signature, coalesce(site, 'None'), coalesce(expected, 'None'), occurrences, round(score, 9)), chr(10) ORDER BY rank) AS text FROM rk WHERE rank <= 20")
 def sink_report_text(spark, sf):
     return spark.createDataFrame([(snapshots.report_text(PF._ranking(spark, sf)),)], "text string")

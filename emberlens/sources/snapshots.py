@@ -95,6 +95,30 @@ def fields(sources: DataFrame) -> DataFrame:
     return sources.select("path", F.explode(pairs).alias("x")).select("path", "x.field", "x.type")
 
 
+# fixed values: methods of collections and caches that may fill or empty the field they are called on
+FILLS = ("put", "putAll", "putIfAbsent", "add", "addAll", "offer", "push", "set", "compute", "computeIfAbsent", "merge", "register", "addListener")
+EMPTIES = ("remove", "removeAll", "removeIf", "clear", "poll", "pop", "invalidate", "invalidateAll", "cleanUp", "unregister", "removeListener")
+
+
+def field_operations(sources: DataFrame) -> DataFrame:
+    """path, field, operation, category of what files do to their own fields, lexically: calls on a field and
+    assignments. category: candidate_write, candidate_cleanup (null is assigned, or a method that empties)
+    or other_usage. A name that is declared anew in the file, as local or parameter, counts only behind
+    ``this.``."""
+    s = sources.select("path", masked(F.col("source")).alias("s"))
+    call = r"(?<![\w.])(this\s*\.\s*)?([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\s*\("
+    put = r"(?:^|[;{})])\s*(this\s*\.\s*)?([A-Za-z_]\w*)\s*=(?!=)\s*(null\s*;)?"
+    group = lambda p, i: F.regexp_extract_all("s", F.lit(p), F.lit(i))
+    calls = F.transform(F.arrays_zip(group(call, 1).alias("own"), group(call, 2).alias("field"), group(call, 3).alias("what")), lambda x: F.struct((x["own"] != "").alias("own"), x["field"].alias("field"), x["what"].alias("operation")))
+    puts = F.transform(F.arrays_zip(group(put, 1).alias("own"), group(put, 2).alias("field"), group(put, 3).alias("what")), lambda x: F.struct((x["own"] != "").alias("own"), x["field"].alias("field"), F.when(x["what"] == "", "assignment").otherwise("null assignment").alias("operation")))
+    each = s.select("path", "s", F.explode(F.concat(calls, puts)).alias("x")).select("path", "s", "x.*")
+    d = each.join(fields(sources).select("path", "field").distinct(), ["path", "field"])
+    anew = F.concat(F.lit(r"[\w>\]]\s+"), F.col("field"), F.lit(r"\s*[=;,):]"))
+    d = d.where(F.col("own") | (F.regexp_count("s", anew) <= 1))
+    write, clean = F.col("operation").isin("assignment", *FILLS), F.col("operation").isin("null assignment", *EMPTIES)
+    return d.select("path", "field", "operation", F.when(write, "candidate_write").when(clean, "candidate_cleanup").otherwise("other_usage").alias("category"))
+
+
 def method_context(sources: DataFrame, wanted: DataFrame, most: int = 200) -> DataFrame:
     """path, method, first_line, body of the methods asked for (path, method): from the declaring line to
     the brace that closes it, at most so many lines."""
