@@ -36,9 +36,10 @@ def incident_evidence(hist: DataFrame, frames: DataFrame, threads: DataFrame, to
 
 
 def build_verified(locations: DataFrame, manifest: DataFrame) -> DataFrame:
-    """locations with whether the source they point into is that of the running build. manifest: one row
-    (build_id, valid); locations carry build_id."""
-    return locations.join(F.broadcast(manifest.select(F.col("build_id").alias("_b"), F.col("valid").alias("_v")).limit(1)), F.lit(True), "left").withColumn("verified", F.coalesce(F.col("_v") & (F.col("_b") == F.col("build_id")), F.lit(False))).drop("_b", "_v")
+    """locations with whether the source they point into is that of a build that the manifest (build_id,
+    valid) has as valid. locations carry build_id."""
+    known = manifest.where("valid and build_id is not null").select("build_id").distinct().withColumn("_v", F.lit(True))
+    return locations.join(known, "build_id", "left").withColumn("verified", F.coalesce("_v", F.lit(False))).select(*locations.columns, "verified")
 
 
 def database_threads(threads: DataFrame, confirmed: bool, gap_s: Column | int | None) -> DataFrame:

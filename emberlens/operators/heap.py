@@ -55,14 +55,22 @@ def strong(edges: DataFrame) -> DataFrame:
     return edges.where((F.col("strength") != "weak") & (F.col("field") != "java.lang.ref.Reference.referent"))
 
 
-def object_detail(objects: DataFrame, classes: DataFrame, edges: DataFrame, dom: DataFrame, ids: DataFrame) -> DataFrame:
-    """Class, size, dominator and number of edges in and out of the objects asked for."""
+def object_detail(objects: DataFrame, classes: DataFrame, edges: DataFrame, dom: DataFrame, ids: DataFrame, roots: DataFrame | None = None, first: int = 50) -> DataFrame:
+    """Class, size, dominator, root kinds, number of edges in and out, and a page of the outgoing ones by
+    field (the ``first``, which is the feature) of the objects asked for."""
     want = ids.select("oid").distinct()
     o = objects.join(want, "oid", "left_semi").join(classes.select(F.col("cid").alias("class_id"), "name"), "class_id", "left")
     inn = edges.join(want.withColumnRenamed("oid", "dst"), "dst", "left_semi").groupBy(F.col("dst").alias("oid")).agg(F.count("*").alias("n_in"))
-    out = edges.join(want.withColumnRenamed("oid", "src"), "src", "left_semi").groupBy(F.col("src").alias("oid")).agg(F.count("*").alias("n_out"))
-    d = o.join(dom.select(F.col("node").alias("oid"), "parent", "retained"), "oid", "left").join(inn, "oid", "left").join(out, "oid", "left")
-    return d.select("oid", "name", "shallow", "parent", "retained", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
+    mine = edges.join(want.withColumnRenamed("oid", "src"), "src", "left_semi").select(F.col("src").alias("oid"), "field", F.col("dst").alias("to"))
+    out = mine.groupBy("oid").agg(F.count("*").alias("n_out"))
+    page = mine.withColumn("k", F.row_number().over(Window.partitionBy("oid").orderBy("field", "to"))).where(F.col("k") <= first)
+    page = page.groupBy("oid").agg(F.array_sort(F.collect_list(F.struct("field", "to"))).alias("values"))
+    d = o.join(dom.select(F.col("node").alias("oid"), "parent", "retained"), "oid", "left").join(inn, "oid", "left").join(out, "oid", "left").join(page, "oid", "left")
+    cols = ["oid", "name", "shallow", "parent", "retained", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"), "values"]
+    if roots is None:
+        return d.select(*cols)
+    kinds = roots.select(F.col("node").alias("oid"), "kind").join(want, "oid", "left_semi").groupBy("oid").agg(F.array_sort(F.collect_set("kind")).alias("root_kinds"))
+    return d.join(kinds, "oid", "left").select(*cols, "root_kinds")
 
 
 def search(objects: DataFrame, classes: DataFrame, text: str, exact: bool = False, loader: str | None = None, limit: int = 100) -> DataFrame:
@@ -195,6 +203,45 @@ def list_entries(edges: DataFrame, table_oid: str, size: int) -> DataFrame:
     return grid.join(e, "index", "left")
 
 
+# fixed values: fields of the nodes of hash maps
+NEXT, KEY, VALUE = ("java.util.HashMap$Node.next", "java.util.HashMap$Entry.next"), ("java.util.HashMap$Node.key", "java.util.HashMap$Entry.key"), ("java.util.HashMap$Node.value", "java.util.HashMap$Entry.value")
+
+
+def map_entries(maps: DataFrame, edges: DataFrame) -> DataFrame:
+    """oid, node, key, value of the entries of hash maps: the nodes in their tables and all that follow in
+    the bucket chains, however long; null keys and values have no edge. maps: (oid, table_oid, size)."""
+    e = cut_lineage(edges.where(F.col("field").startswith("[") | F.col("field").isin(*NEXT)).select("src", "dst", "field"))
+    slots = e.where(F.col("field").startswith("["))
+    front = cut_lineage(maps.join(slots, F.col("table_oid") == F.col("src")).select("oid", F.col("dst").alias("node")).distinct())
+    follow = e.where(F.col("field").isin(*NEXT)).select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    seen = front
+    while True:
+        front = front.join(follow, "node").select("oid", F.col("next").alias("node")).distinct()
+        front = cut_lineage(front.join(seen, ["oid", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(front))
+    part = lambda names, c: edges.where(F.col("field").isin(*names)).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias(c))
+    return seen.join(part(KEY, "key"), "node", "left").join(part(VALUE, "value"), "node", "left").select("oid", "node", "key", "value")
+
+
+def map_coverage(maps: DataFrame, entries: DataFrame) -> DataFrame:
+    """oid, logical_size, found, complete: whether as many entries were found as a map says it has."""
+    n = entries.groupBy("oid").agg(F.count("*").alias("found"))
+    d = maps.select("oid", F.col("size").alias("logical_size")).join(n, "oid", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return d.withColumn("complete", F.col("found") == F.col("logical_size"))
+
+
+def stages_of(objects: DataFrame, limits: dict[str, int | None]) -> DataFrame:
+    """stage, status, reason: which analyses a heap of so many objects gets. What is over the limit of a
+    stage is skipped with the reason, nothing else is."""
+    n = F.col("n")
+    rows = [F.struct(F.lit(stage).alias("stage"), F.lit(most).cast("bigint").alias("most")) for stage, most in limits.items()]
+    d = objects.agg(F.count("*").alias("n")).select("n", F.explode(F.array(*rows)).alias("s")).select("n", "s.*")
+    over = F.coalesce(n > F.col("most"), F.lit(False))
+    return d.select("stage", F.when(over, "skipped").otherwise("run").alias("status"), F.when(over, F.format_string("%d objects, the limit is %d", n, "most")).alias("reason"))
+
+
 def waste_report(dups: DataFrame, total: Column, least: int = 1_048_576, share: float = 0.03) -> DataFrame:
     """Whether duplicates are worth a finding, and its severity."""
     d = dups.agg(F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted"), F.count("*").alias("groups")).withColumn("pct", F.col("wasted") / total)

@@ -137,10 +137,11 @@ def hp_weak(spark, sf):
     return edges(spark, sf).join(H.strong(edges(spark, sf)), ["src", "dst", "field", "strength"], "left_anti").groupBy((F.col("field") == "java.lang.ref.Reference.referent").alias("referent")).agg(F.count("*").alias("n"))
 
 
-@query(_H + " SELECT ob.oid, name, shallow, parent, retained, (SELECT count(*) FROM ed WHERE dst = ob.oid) AS n_in, (SELECT count(*) FROM ed WHERE src = ob.oid) AS n_out FROM ob JOIN cl ON cid = class_id LEFT JOIN dm ON node = ob.oid WHERE ob.oid IN ('C1', 'C7', 'O5', 'N3', 'R4', 'S2')")
+@query(_H + " SELECT ob.oid, name, shallow, parent, retained, (SELECT count(*) FROM ed WHERE dst = ob.oid) AS n_in, (SELECT count(*) FROM ed WHERE src = ob.oid) AS n_out, (SELECT string_agg(field || '=' || dst, ',' ORDER BY field, dst) FROM (SELECT src, field, dst FROM ed QUALIFY row_number() OVER (PARTITION BY src ORDER BY field, dst) <= 5) WHERE src = ob.oid) AS fields FROM ob JOIN cl ON cid = class_id LEFT JOIN dm ON node = ob.oid WHERE ob.oid IN ('C1', 'C7', 'O5', 'N3', 'R4', 'S2')")
 def hp_object_detail(spark, sf):
     ids = spark.createDataFrame([(x,) for x in ("C1", "C7", "O5", "N3", "R4", "S2")], "oid string")
-    return H.object_detail(objects(spark, sf), classes(spark), edges(spark, sf), dom(spark, sf), ids)
+    d = H.object_detail(objects(spark, sf), classes(spark), edges(spark, sf), dom(spark, sf), ids, first=5)
+    return d.withColumn("fields", F.array_join(F.transform("values", lambda x: F.concat(x["field"], F.lit("="), x["to"])), ",")).drop("values")
 
 
 @query(_H + " SELECT oid, name, shallow FROM ob JOIN cl ON cid = class_id WHERE contains(lower(name), 'customer') AND loader = 'app' ORDER BY oid LIMIT 100")
@@ -260,9 +261,9 @@ def hp_waste_empty(spark, sf):
     return H.empty_arrays(objects(spark, sf))
 
 
-@query(_H + ", s AS (SELECT src, count(*) AS k FROM ed WHERE field LIKE '[%' GROUP BY src) SELECT oid, length, coalesce(k, 0) AS occupied, shallow FROM ob LEFT JOIN s ON src = oid WHERE kind = 'object_array' AND coalesce(k, 0) * 2 < length")
+@query(_H + ", s AS (SELECT src, count(*) AS k FROM ed WHERE field LIKE '[%' GROUP BY src) SELECT oid, length * 20 AS length, coalesce(k, 0) AS occupied, shallow FROM ob LEFT JOIN s ON src = oid WHERE kind = 'object_array' AND coalesce(k, 0) * 2 < length * 20")
 def hp_waste_sparse(spark, sf):
-    return H.sparse_arrays(objects(spark, sf), edges(spark, sf))
+    return H.sparse_arrays(objects(spark, sf).withColumn("length", F.col("length") * 20), edges(spark, sf))
 
 
 _TLE = [("T1", "M1", "java.lang.Thread.threadLocals"), ("M1", "A1", "java.lang.ThreadLocal$ThreadLocalMap.table"), ("A1", "E1", "[3]"), ("A1", "E2", "[5]"), ("A1", "E3", "[9]"), ("E1", "C1", "java.lang.ref.Reference.referent"), ("E1", "C2", "java.lang.ThreadLocal$ThreadLocalMap$Entry.value"), ("E2", "X9", "java.lang.ref.Reference.referent"), ("E3", "C4", "java.lang.ThreadLocal$ThreadLocalMap$Entry.value")]

@@ -428,11 +428,28 @@ def src_yaml_config(spark, sf):
     return spark.createDataFrame([(",".join(c.entry_sites), c.idle_gap_ms, c.signature_k, c.timing_factor, c.rarity_weight)], "entry_sites string, idle_gap_ms int, signature_k int, timing_factor double, rarity_weight double")
 
 
-@query("SELECT 'dominators' AS stage, CASE WHEN (SELECT count(*) FROM customer) > 1000 THEN 'skipped' ELSE 'run' END AS status UNION ALL SELECT 'waste', 'run'")
+@query("SELECT 'dominators' AS stage, CASE WHEN n > 1000 THEN 'skipped' ELSE 'run' END AS status, CASE WHEN n > 1000 THEN n || ' objects, the limit is 1000' END AS reason FROM (SELECT count(*) AS n FROM customer) UNION ALL SELECT 'waste', 'run', NULL")
 def hp_gating(spark, sf):
-    n = table(spark, sf, "customer").count()
-    limits = {"dominators": 1000, "waste": None}
-    return spark.createDataFrame([(k, "skipped" if v is not None and n > v else "run") for k, v in limits.items()], "stage string, status string")
+    from emberlens.operators import heap as H
+
+    return H.stages_of(table(spark, sf, "customer"), {"dominators": 1000, "waste": None})
+
+
+@query("SELECT 'C' || o_custkey AS oid, 'O' || o_orderkey AS node, 'K' || o_orderkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN 'V' || o_orderkey END AS value FROM orders")
+def hp_map_entries(spark, sf):
+    """A customer is a map of four buckets, its orders are the nodes."""
+    from pyspark.sql import Window
+
+    from emberlens.operators import heap as H
+
+    name = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    chain = Window.partitionBy("o_custkey", F.col("o_orderkey") % 4).orderBy("o_orderkey")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(chain).alias("before"))
+    node = name("O", "o_orderkey")
+    e = o.select(F.coalesce(name("O", "before"), name("T", "o_custkey")).alias("src"), node.alias("dst"), F.when(F.col("before").isNull(), F.concat(F.lit("["), (F.col("o_orderkey") % 4).cast("string"), F.lit("]"))).otherwise(H.NEXT[0]).alias("field"))
+    e = e.unionByName(o.select(node.alias("src"), name("K", "o_orderkey").alias("dst"), F.lit(H.KEY[0]).alias("field"))).unionByName(o.where("o_orderkey % 3 > 0").select(node.alias("src"), name("V", "o_orderkey").alias("dst"), F.lit(H.VALUE[0]).alias("field")))
+    maps = o.groupBy("o_custkey").agg(F.count("*").alias("size")).select(name("C", "o_custkey").alias("oid"), name("T", "o_custkey").alias("table_oid"), "size")
+    return H.map_entries(maps, e)
 
 
 _FIELDS = "package com.acme;\nclass A {\n  private static final java.util.Map<String, Integer> cache = null;\n  protected int size;\n  // private int no;\n  void run(int a) {\n    if (a > 0) {\n      go();\n    }\n  }\n  void go() { }\n}"
