@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.functions import text as T
+from emberlens.session import ship_package
 
 # fixed values: keys of fields that may name the same flow
 LINK_KEY = r"(?i)((trace|span|correlation|request|txn|transaction|session|order|payment|invoice|job|batch).{0,4}id$|^id$)"
@@ -88,6 +89,7 @@ def _align(t: pa.Table) -> pa.Table:
 
 def align(steps: DataFrame) -> DataFrame:
     """pair, idx, kind, good_seq, bad_seq, key. steps: (pair, bucket good or bad, seq, key)."""
+    ship_package(steps.sparkSession)
     return steps.select("pair", "bucket", "seq", "key").groupBy("pair").applyInArrow(lambda t: _align(t), "pair string, idx int, kind string, good_seq int, bad_seq int, key string")
 
 

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlens.session import cut_lineage
+from emberlens.session import cut_lineage, ship_package
 
 MAX_OBJECTS = 2_000_000
 #: Rounds of a search whose fronts are kept as tables of their own.
@@ -59,16 +59,21 @@ def distances(edges: DataFrame, start: DataFrame, depth: int = 40) -> DataFrame:
 def cycles(step: DataFrame) -> DataFrame:
     """node, cycle (its least member) of the nodes on cycles of a functional graph (node, next).
 
-    Nodes that nobody points at are peeled off until none is left; what stays are the cycles, whose
-    least members spread by pointer doubling.
+    Steps are doubled until the nodes that are reached no longer become fewer: those are the nodes on
+    cycles, after as many rounds as the longest way into a cycle has binary digits. Their least members
+    spread by doubling as well.
     """
-    d = cut_lineage(step.select("node", "next").join(step.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next"))
+    step = cut_lineage(step.select("node", "next"))
+    d, reached = step, None
     while True:
-        kept = cut_lineage(d.join(d.select(F.col("next").alias("node")).distinct(), "node", "left_semi").select("node", "next"))
-        kept = cut_lineage(kept.join(kept.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next"))
-        if kept.count() == d.count():
+        ends = cut_lineage(d.select(F.col("next").alias("node")).distinct())
+        n = ends.count()
+        if n == reached or not n:
             break
-        d = kept
+        reached = n
+        ahead = d.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        d = cut_lineage(d.join(ahead, "next").select("node", F.col("far").alias("next")))
+    d = step.join(ends, "node", "left_semi")
     d = d.withColumn("cycle", F.least("node", "next"))
     while True:  # doubles its reach each round
         ahead = d.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("cycle").alias("other"))
@@ -195,6 +200,7 @@ def dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
     whole graph at once, so one task holds it, up to MAX_OBJECTS objects; heaps beyond that are
     refused, and reachability and retained sets remain distributed.
     """
+    ship_package(objects.sparkSession)
     o = objects.select(F.lit("o").alias("kind"), F.col("oid").alias("a"), F.lit(None).cast("string").alias("b"), F.col("shallow").cast("bigint").alias("size"))
     e = edges.select(F.lit("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("bigint").alias("size"))
     r = roots.select(F.lit("r").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("bigint").alias("size"))

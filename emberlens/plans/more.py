@@ -360,11 +360,11 @@ def src_hprof(spark, sf):
     return j.groupBy("class_name", "kind").agg(F.count("*").alias("n"), F.sum("shallow").alias("bytes"))
 
 
-@query("SELECT 'hprof' AS format UNION ALL SELECT 'gzip' UNION ALL SELECT 'phd' UNION ALL SELECT 'javacore'")
+@query("SELECT 'hprof' AS format UNION ALL SELECT 'gzip' UNION ALL SELECT 'phd' UNION ALL SELECT 'javacore' UNION ALL SELECT 'system_dump' UNION ALL SELECT 'classic' UNION ALL SELECT 'unknown'")
 def src_heap_format(spark, sf):
     from emberlens.sources.hprof import heap_format
 
-    heads = [nation_dump(spark, sf)[:64], b"\x1f\x8b\x08", b"\x00\x14portable heap dump", b"0SECTION       TITLE\n1TISIGINFO"]
+    heads = [nation_dump(spark, sf)[:64], b"\x1f\x8b\x08", b"\x00\x14portable heap dump", b"0SECTION       TITLE\n1TISIGINFO", b"\x7fELF\x02", b"// Version: 1", b"PK"]
     return spark.createDataFrame([(heap_format(h),) for h in heads], "format string")
 
 

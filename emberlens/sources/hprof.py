@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlens.session import ship_package
+
 # fixed values: element widths by type, bytes behind the id of each kind of root, array type names
 WIDTH = {4: 1, 5: 2, 6: 4, 7: 8, 8: 1, 9: 2, 10: 4, 11: 8}
 ROOT_EXTRA = {0xFF: 0, 0x01: None, 0x02: 8, 0x03: 8, 0x04: 4, 0x05: 0, 0x06: 4, 0x07: 0, 0x08: 8}
@@ -23,15 +26,47 @@ REFERENT = "java.lang.ref.Reference.referent"
 SCHEMA = "dump string, table string, a string, b string, c string, d string, n long, m long"
 
 
+# fixed values: how files of each kind begin
+ELF_AND_OTHERS = (b"\x7fELF", b"\xfe\xed\xfa\xcf", b"\xcf\xfa\xed\xfe", b"MDMP")
+EXPANDED_BYTES = 2 << 30
+
+
 def heap_format(head: bytes) -> str:
     """What kind of dump a file begins like."""
-    if head.startswith(b"JAVA PROFILE"):
+    head = head[:512]
+    if head.startswith(b"JAVA PROFILE 1.0."):
         return "hprof"
     if head.startswith(b"\x1f\x8b"):
         return "gzip"
-    if head[2:].startswith(b"portable heap dump"):
+    if b"portable heap dump" in head[:40]:
         return "phd"
-    return "javacore" if b"TISIGINFO" in head[:4096] else "unknown"
+    if head.startswith(ELF_AND_OTHERS):
+        return "system_dump"
+    if b"0SECTION" in head or b"1TISIGINFO" in head:
+        return "javacore"
+    return "classic" if b"// Version:" in head or b"// JVM version:" in head else "unknown"
+
+
+def native(data: bytes, most: int = EXPANDED_BYTES) -> bytes:
+    """The bytes of an HPROF dump, expanded if they are compressed, up to a budget; other kinds are refused."""
+    kind = heap_format(data)
+    if kind == "gzip":
+        out, at, more = [], 0, data
+        while more:  # a file may have several members
+            d = zlib.decompressobj(31)
+            part = d.decompress(more, most - at + 1)
+            at += len(part)
+            if at > most:
+                raise ValueError(f"the dump expands to more than {most} bytes")
+            out.append(part)
+            if not d.eof:
+                raise ValueError("the compressed dump ends early")
+            more = d.unused_data
+        data = b"".join(out)
+        kind = heap_format(data)
+    if kind != "hprof":
+        raise ValueError(f"{kind} isn't a heap dump that is read here")
+    return data
 
 
 class Dump:
@@ -175,25 +210,30 @@ class Dump:
                 yield "hash", hex(oid), hashlib.sha256(d[at : at + n * WIDTH[kind]]).hexdigest(), None, None, kind, n
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(expanded_bytes: int):
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     kinds = [pa.string()] * 6 + [pa.int64()] * 2
-    for b in batches:
-        for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-            held: list[tuple] = []
-            for row in Dump(data.as_py()).rows():
-                held.append((path, *row))
-                if len(held) == 20_000:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                held: list[tuple] = []
+                for row in Dump(native(data.as_py(), expanded_bytes)).rows():
+                    held.append((path, *row))
+                    if len(held) == 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                        held = []
+                if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+    return run
 
 
-def read_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of all dumps below a path; tables_of splits them."""
+def read_dumps(spark: SparkSession, path: str, expanded_bytes: int = EXPANDED_BYTES) -> DataFrame:
+    """All rows of all dumps below a path, compressed ones included; tables_of splits them."""
+    ship_package(spark)
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return d.mapInArrow(_walk, SCHEMA)
+    return d.mapInArrow(_walk(expanded_bytes), SCHEMA)
 
 
 def tables_of(rows: DataFrame) -> dict[str, DataFrame]:

@@ -83,3 +83,10 @@ def test_searches_go_to_the_end(spark):
     c = spark.createDataFrame([(f"c{i}", f"c{i + 1}" if i < 20 else None) for i in range(21)] + [("x", "y"), ("y", "x")], "cid string, super string")
     got = {(r.cid, r.ancestor): r.hops for r in H.class_chain(c).collect()}
     assert got[("c0", "c20")] == 20 and ("x", "y") in got and len(got) == 21 * 22 // 2 + 4
+
+
+def test_cycles_behind_long_ways(spark):
+    step = [(f"a{i:02}", f"a{i + 1:02}") for i in range(30)] + [("a30", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("s", "s"), ("x", "y"), ("y", "z")]
+    got = {r.node: r.cycle for r in G.cycles(spark.createDataFrame(step, "node string, next string")).collect()}
+    assert got == {"c1": "c1", "c2": "c1", "c3": "c1", "s": "s"}
+    assert G.cycles(spark.createDataFrame(step[-2:], "node string, next string")).count() == 0

@@ -1,9 +1,11 @@
 """Sources on small files made here."""
 
+import gzip
 import hashlib
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlens.functions import text as T
@@ -211,3 +213,15 @@ def test_starting_lines_are_found_over_blocks(spark, monkeypatch):
     d = spark.createDataFrame(rows, "file string, line_no long, line string")
     got = {(r.file, r.line_no): (r.at, r.n) for r in lines.running(lines.running(d, F.col("line") == "s", "at"), F.col("line") == "s", "n", count=True).collect()}
     assert got == {(f, i): ((i // k * k, i // k)) for f, k in (("a", 5), ("b", 60)) for i in range(1, 51)}
+
+
+def test_compressed_dumps_are_expanded_under_a_budget(spark, tmp_path):
+    data = build_hprof(8)
+    (tmp_path / "plain.hprof").write_bytes(data)
+    (tmp_path / "two.hprof.gz").write_bytes(gzip.compress(data[:50]) + gzip.compress(data[50:]))
+    rows = hprof.read_dumps(spark, str(tmp_path)).groupBy("dump").count().collect()
+    assert len(rows) == 2 and rows[0]["count"] == rows[1]["count"]
+    assert hprof.native(gzip.compress(data), len(data)) == data
+    for bad, why in ((gzip.compress(data), "expands"), (gzip.compress(data)[:-9], "ends early"), (b"\x7fELF", "system_dump")):
+        with pytest.raises(ValueError, match=why):
+            hprof.native(bad, len(data) - 1 if why == "expands" else len(data))
