@@ -49,7 +49,7 @@ ORDERS = (11, 12, 13)
 #: are joined at one key; members that are compared with one copy of their hub.
 SPLIT, PIECE, BLOCK = 100_000, 4_096, 256
 #: Prints that a task sorts at once, and the largest gap but one of two neighbours in 16 bits.
-PRINTS_HELD, GAP = 1_000_000, 65_535
+PRINTS_HELD, GAP = 400_000, 65_535
 ROLE = ("id", "hub", "block", "own")
 
 Batches = Iterator[pa.RecordBatch]
@@ -102,8 +102,8 @@ def _prints(width: int, bits: int) -> Callable:
         def flush() -> pa.RecordBatch:
             p = np.sort(np.concatenate(held))
             edges = np.searchsorted(p, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(24))
-            low = (p & np.uint64(0xFFFFFF)).astype(np.int64)
-            gaps = np.diff(low, prepend=0)
+            low = (p & np.uint64(0xFFFFFF)).astype(np.int32)
+            gaps = np.diff(low, prepend=np.int32(0))
             full = np.flatnonzero(np.diff(edges))
             gaps[edges[full]] = low[edges[full]]
             ends = np.cumsum(gaps // GAP + 1)
@@ -145,7 +145,7 @@ def frequent_prints(texts: DataFrame, width: int, bits: int, least: int, most: i
     d = texts.select("text").mapInArrow(_prints(width, bits), "bucket int, prints binary")
     n = d.groupBy("bucket").applyInArrow(_tally(least), "print bigint, n bigint")
     top = n.orderBy(F.desc("n"), "print").limit(most).toArrow()
-    p, n = top["print"].to_numpy().astype(np.uint64), top["n"].to_numpy()
+    p, n = top["print"].to_numpy().astype(np.uint64), np.minimum(top["n"].to_numpy(), 2**31 - 1).astype(np.int32)
     order = np.argsort(p)
     return p[order], n[order]
 
@@ -165,7 +165,7 @@ def _documents_with(s: np.ndarray, counts: tuple[np.ndarray, np.ndarray], bits:
     """The number of documents with each frequent shingle of a set, 0 for all others."""
     prints, n = counts
     if not len(prints):
-        return np.zeros(len(s), dtype=np.int64)
+        return np.zeros(len(s), dtype=np.int32)
     p = _print_of(s, bits)
     at = np.searchsorted(prints, p)
     at[at == len(prints)] = 0
@@ -189,7 +189,7 @@ def _entries(width: int, percent: int, bits: int, counts, split: int) -> Callabl
                 p = _prefix(s, k > 0, percent, ORDERS[0])
                 salt = np.full(len(p), -1, dtype=np.int32)
                 if k.max(initial=0) > split:
-                    ways = _documents_with(p, counts.value, bits) // split + 1
+                    ways = _documents_with(p, counts.value, bits).astype(np.int64) // split + 1
                     draw = int(mix(ids[i : i + 1].view(np.uint64), 5)[0] >> np.uint64(1))
                     salt = np.where(ways > 1, draw % ways, -1).astype(np.int32)
                 tokens.append(p), salts.append(salt), doc.append(np.full(len(p), ids[i]))
@@ -392,7 +392,7 @@ class JaccardJoin:
     def _between_salts(self, hubs: DataFrame) -> DataFrame:
         """Each salt's hub meets the first of its shingle's hubs."""
         top = hubs.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("h")).select("token", F.col("h.pos").alias("at"), F.col("h.id").alias("hub"), F.col("h.n").alias("m"))
-        return hubs.drop("hub").join(top, "token").where((F.col("id") != F.col("hub")) & _near(F.col("n"), F.col("pos"), F.col("m"), F.col("at"), self.percent)).select("id", "hub")
+        return hubs.drop("hub").join(top, "token").where((F.col("id") != F.col("hub")) & _near(*[F.col(c).cast("bigint") for c in ("n", "pos", "m", "at")], self.percent)).select("id", "hub")
 
     def _with_component(self, g: DataFrame, parts: DataFrame) -> DataFrame:
         """Entries with the component of their id. Beyond what is broadcast they are joined in pieces of
@@ -418,10 +418,10 @@ class JaccardJoin:
         g = cut_lineage(g.join(mixed, "token", "left_semi").select("token", "id", "n", "pos", "component"))
         sizes = g.groupBy("token", "component").agg(F.count("*").alias("k"), F.min("n").alias("n"))
         tokens = sizes.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.min("n").alias("least"))
-        g = g.join(tokens, "token").where((F.col("n") - F.col("pos")) * (100 + self.percent) >= (F.col("n") + F.col("least")) * self.percent)
+        g = g.join(tokens, "token").where((F.col("n") - F.col("pos")).cast("bigint") * (100 + self.percent) >= (F.col("n") + F.col("least")).cast("bigint") * self.percent)
         few = g.where("component <> main")
         one_way = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-        near = _near(*[F.col(c) for c in ("x.n", "x.pos", "y.n", "y.pos")], self.percent)
+        near = _near(*[F.col(c).cast("bigint") for c in ("x.n", "x.pos", "y.n", "y.pos")], self.percent)
         met = few.alias("x").join(g.alias("y"), "token").where((F.col("x.component") != F.col("y.component")) & one_way & near)
         return met.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("hub")).distinct()
 

@@ -38,8 +38,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlens.session import ship_package
+
 DOCS_PER_LANG, CHARS_PER_LANG = 64, 40_000
-BLOCK, BATCH_CHARS = 512, 4_000_000
+BLOCK, BATCH_CHARS = 512, 1_000_000
 UND = "und"
 
 
@@ -321,6 +323,7 @@ def predict_batches(training: Training, keep_text: bool = False):
 def identify(docs: DataFrame, training: Training, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), known_only: bool = False) -> DataFrame:
     """carry columns, lang_pred, score of every row, or of those in which a language is found. Where
     known_only, the carried columns alone, which may then have any names."""
+    ship_package(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
     named = {c: "text" if c == text_col else n for c, n in zip(carry, names, strict=True)}
     d = docs.select(*[F.col(c).alias(n) for c, n in named.items()], *([] if text_col in carry else [F.col(text_col).alias("text")]))
