@@ -77,7 +77,7 @@ def test_places_over_ranges(spark):
 
 
 def test_searches_go_to_the_end(spark):
-    n = 40
+    n = 20
     e = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(n)], "src string, dst string")
     assert G.reachable(e, spark.createDataFrame([("n000",)], "node string")).count() == n + 1
     c = spark.createDataFrame([(f"c{i}", f"c{i + 1}" if i < 20 else None) for i in range(21)] + [("x", "y"), ("y", "x")], "cid string, super string")

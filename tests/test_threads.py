@@ -44,7 +44,7 @@ def test_parked_threads_that_hold_each_others_locks_are_a_deadlock(spark):
 
 
 def test_chains_of_any_length_and_holders_that_come_last(spark):
-    n = 60
+    n = 26
     rows = [("d", f"t{i:03}", i, "WAITING", [f"0x{i}"], f"0x{i + 1}" if i < n - 1 else None, i) for i in range(n)]
     rows += [("d", "later", 900, "RUNNABLE", ["0x1"], None, 900), ("e", "later", 1, "RUNNABLE", [], "0x5", 0)]
     t = spark.createDataFrame(rows, "dump string, name string, tid int, state string, held array<string>, waits_for string, ord int")
