@@ -44,4 +44,4 @@ def numbered(d: DataFrame, order: Sequence[Column | str], name: str) -> DataFram
     # one row for each range
     ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return s.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn(name, (own + F.col("_ahead")).cast("int")).drop("_at", "_part", "_ahead")
+    return s.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn(name, own + F.col("_ahead")).drop("_at", "_part", "_ahead")

@@ -66,7 +66,7 @@ def suppress(found: DataFrame, rules: Sequence[Mapping[str, str | None]]) -> Dat
 def ranked(found: DataFrame) -> DataFrame:
     """found with rank among those that aren't suppressed (null for the others)."""
     order = (F.desc("score"), "signature", F.coalesce("site", F.lit("")), "index", F.coalesce("thread_id", F.lit("")), F.coalesce(F.col("start_ms").cast("double"), F.lit(LATE)), "type", F.coalesce("expected", F.lit("")))
-    kept = numbered(found.where(~F.col("suppressed")), order, "rank")
+    kept = numbered(found.where(~F.col("suppressed")), order, "rank").withColumn("rank", F.col("rank").cast("int"))
     return kept.unionByName(found.where("suppressed").withColumn("rank", F.lit(None).cast("int")))
 
 
