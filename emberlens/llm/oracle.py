@@ -128,3 +128,92 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Lloyd's rounds unrolled, one row for each component."""
+    d2 = "sum((x.v - c.v) * (x.v - c.v))"
+    near = "SELECT x.i, x.p, c.e, {d2} AS d FROM x JOIN c{r} c USING (p, j) GROUP BY ALL"
+    sql = """
+WITH k AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS i FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT i, (o - 1) // (n // 8) AS p, (o - 1) % (n // 8) AS j, v FROM (
+    SELECT i, len(embedding) AS n, unnest(list_transform(embedding, lambda c: floor(4096 * c::DOUBLE)::BIGINT)) AS v, unnest(range(1, len(embedding) + 1)) AS o FROM k)),
+c0 AS MATERIALIZED (SELECT p, i - 1 AS e, j, v::HUGEINT AS v FROM x WHERE i <= 16)"""
+    for r in range(rounds + 1):
+        sql += f""",
+n{r} AS ({near.format(d2=d2, r=r)}), a{r} AS MATERIALIZED (SELECT i, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM n{r} GROUP BY ALL)"""
+        if r < rounds:
+            sql += f""",
+m{r} AS (SELECT p, e, j, sum(v)::HUGEINT AS s, count(*)::HUGEINT AS n FROM x JOIN a{r} USING (i, p) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT p, e, j, coalesce((s - ((s % n) + n) % n) // n, v) AS v FROM c{r} LEFT JOIN m{r} USING (p, e, j))"""
+    return (
+        sql
+        + f""",
+codes AS (SELECT i, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY i),
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN codes USING (i), books"""
+    )
+
+
+SQL["op11_vector_codes"] = _vector_codes()
+
+SQL["op12_phrases"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+f1 AS MATERIALIZED (SELECT lang, phrase, count(*) AS n FROM (SELECT lang, unnest(w) AS phrase FROM p) GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, phrase, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM p) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS MATERIALIZED (SELECT lang, phrase, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase FROM p) GROUP BY ALL HAVING count(*) >= 10),
+every AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3),
+cuts AS (
+  SELECT lang, phrase, 2 AS size, n AS a, 1 AS k, split_part(phrase, ' ', 1) AS head, split_part(phrase, ' ', 2) AS rest FROM f2
+  UNION ALL SELECT lang, phrase, 3, n, 1, split_part(phrase, ' ', 1), split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3) FROM f3
+  UNION ALL SELECT lang, phrase, 3, n, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) FROM f3),
+s AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, h.n AS l, t.n AS r, (1000000::HUGEINT * c.a * c.a) // (h.n::HUGEINT * t.n) AS score
+  FROM cuts c JOIN every h ON h.lang = c.lang AND h.phrase = c.head JOIN every t ON t.lang = c.lang AND t.phrase = c.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS f FROM (
+    SELECT lang, n AS a, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2) AS phrase FROM f3
+    UNION ALL SELECT lang, n, split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3) FROM f3) GROUP BY ALL),
+z AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE size = 3 OR f IS NULL OR 100 * f < 50 * a),
+m AS (SELECT lang, sum(n)::BIGINT AS n FROM f1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM z JOIN m USING (lang) QUALIFY rank <= 2000"""
+
+#: Checksums fold chunks of 64 bytes: the state is moved on by 64 bytes through four tables and meets the chunk's own sum.
+_CRC = r"""
+tab AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b::BIGINT] || [0,0,0,0,0,0,0,0]::BIGINT[], lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(b))),
+far AS (
+  SELECT list(v ORDER BY k, b) AS f FROM (SELECT k, b, list_reduce([b::BIGINT << (8 * k)::INT] || list_transform(range(64), lambda i: 0::BIGINT), lambda a, x: xor(a >> 8, t[a % 256 + 1])) AS v FROM range(256) r(b), range(4) s(k), tab)),
+raw AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (SELECT i, c, substr(h, (length(h) % 128 + 128 * (c - 1) + 1)::BIGINT, 128) AS h FROM (SELECT i, h, unnest(range(1, length(h) // 128 + 1)) AS c FROM raw)
+  UNION ALL SELECT i, 0, substr(h, 1, length(h) % 128) FROM raw),
+sums AS (
+  SELECT i, c, list_reduce([CASE WHEN c = 0 THEN 4294967295 ELSE 0 END::BIGINT] || list_transform(range(1, length(h), 2), lambda j: (instr('0123456789ABCDEF', h[j]) - 1) * 16 + instr('0123456789ABCDEF', h[j + 1]) - 1), lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])) AS v FROM chunks, tab),
+crcs AS (
+  SELECT i, xor(list_reduce(list(v ORDER BY c), lambda a, x: xor(x, xor(xor(f[a % 256 + 1], f[256 + (a >> 8) % 256 + 1]), xor(f[512 + (a >> 16) % 256 + 1], f[768 + (a >> 24) + 1])))), 4294967295) AS crc FROM sums, (SELECT f FROM far) GROUP BY i, f)"""
+SQL["op13_hilbert_shards"] = (
+    f"WITH {_CRC},"
+    + r"""
+d AS (SELECT raw.i, raw.doc_id, strlen(coalesce(text, '')) + 1 AS size, crc AS text_crc32, lang, source, n_chars
+  FROM (SELECT row_number() OVER () AS i, * FROM documents) o JOIN raw USING (i) JOIN crcs USING (i)),
+"""
+    + ",\n".join(f"q{k} AS (SELECT {c} AS v, (coalesce(sum(count(*)) OVER (ORDER BY {c} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT * 1024 // sum(count(*)) OVER ())::BIGINT AS cell FROM d GROUP BY {c})" for k, c in enumerate(("lang", "source", "n_chars")))
+    + r""",
+c AS (SELECT d.*, [q0.cell, q1.cell, q2.cell] AS x FROM d JOIN q0 ON q0.v IS NOT DISTINCT FROM d.lang JOIN q1 ON q1.v IS NOT DISTINCT FROM d.source JOIN q2 ON q2.v IS NOT DISTINCT FROM d.n_chars),
+u AS (SELECT *, list_reduce([x] || flatten(list_transform(range(9), lambda b: list_transform(range(3), lambda k: [1 << (9 - b)::INT, k]))), lambda a, s:
+    CASE WHEN a[s[2] + 1] & s[1] <> 0 THEN [xor(a[1], s[1] - 1), a[2], a[3]]
+      WHEN s[2] = 0 THEN a
+      WHEN s[2] = 1 THEN [xor(a[1], xor(a[1], a[2]) & (s[1] - 1)), xor(a[2], xor(a[1], a[2]) & (s[1] - 1)), a[3]]
+      ELSE [xor(a[1], xor(a[1], a[3]) & (s[1] - 1)), a[2], xor(a[3], xor(a[1], a[3]) & (s[1] - 1))] END) AS y FROM c),
+g AS (SELECT *, [y[1], xor(y[1], y[2]), xor(xor(y[1], y[2]), y[3])] AS w FROM u),
+t AS (SELECT *, list_reduce([0::BIGINT] || list_transform(range(9), lambda b: 1::BIGINT << (9 - b)::INT), lambda a, b: CASE WHEN w[3] & b <> 0 THEN xor(a, b - 1) ELSE a END) AS t FROM g),
+h AS (SELECT *, list_sum(list_transform(range(30), lambda k: ((xor(w[k % 3 + 1], t) >> (9 - k // 3)::INT) & 1) << (29 - k)::INT))::BIGINT AS curve FROM t),
+z AS (SELECT *, row_number() OVER (ORDER BY curve, size, text_crc32, doc_id NULLS LAST) - 1 AS o, count(*) OVER () AS n FROM h),
+s AS (SELECT *, o * 8 // n AS shard FROM z)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, o - (shard * n + 7) // 8 AS slot, NULL::INT AS grown_shard, curve FROM s"""
+)

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from emberlens.llm import oracle
 from emberlens.llm.chat_format import digest_chats, format_chats
 from emberlens.llm.decontaminate import find_leaks
+from emberlens.llm.hilbert_shards import shard_documents
 from emberlens.llm.html_extract import extract_pages
 from emberlens.llm.impact_search import top_k
 from emberlens.llm.jaccard_join import jaccard_components
 from emberlens.llm.language_id import identify_documents
 from emberlens.llm.mixing import mix
+from emberlens.llm.phrases import mine_phrases
 from emberlens.llm.secret_ledger import digest_findings, scan_versions
 from emberlens.llm.token_counts import count_tokens, revision
 from emberlens.llm.url_reputation import judge_urls
+from emberlens.llm.vector_codes import coded_with_labels
 from emberlens.session import table
 
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -69,6 +72,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), revision(F.col("text")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded_with_labels(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
