@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberlens.llm import phrases
 from emberlens.llm.hilbert_shards import hilbert_index, shard_boxes, shard_documents, shards_meeting, write_shards
 from emberlens.llm.lookup import look_up
-from emberlens.llm.phrases import Frequent, count_block, mine_phrases
+from emberlens.llm.phrases import Levels, count_block, mine_phrases
 from emberlens.llm.vector_codes import Codebooks, assign, coded_with_labels, compress
 
 
@@ -139,7 +139,7 @@ def corpus(seed, n=300):
     return rows + [("en", None), ("en", ""), ("fr", " \t.,"), ("en", "ha " * 500), ("xx", "only once here"), *[("en", "new york city new york")] * 40]
 
 
-@pytest.mark.parametrize("exact", [1 << 21, 0])
+@pytest.mark.parametrize("exact", [(1 << 20, 1 << 22), (0, 0), (1 << 20, 0)])
 def test_phrases_match_plain_counting(spark, exact):
     rows = corpus(1)
     d = spark.createDataFrame([(i, *r, 1, "x") for i, r in enumerate(rows)], "doc_id long, lang string, text string, n int, phrase string").repartition(4)
@@ -157,7 +157,7 @@ def test_long_texts_are_counted_across_blocks(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], ["lang", "text"])
     for k in (1, 2, 3):
         got = Counter()
-        for b in phrases._counts(k, None)(iter([batch])):
+        for b in phrases._spelt(k, None)(iter([batch])):
             for r in b.to_pylist():
                 got[r["lang"], r["phrase"]] += r["n"]
         want = Counter()
@@ -171,13 +171,21 @@ def test_long_texts_are_counted_across_blocks(monkeypatch):
 
 
 def test_only_phrases_with_frequent_parts_are_counted(spark):
-    d = spark.createDataFrame([("en", "a b"), ("en", "b c")], "lang string, phrase string")
-    for exact in (10, 0):
-        known = phrases.frequent_of(d, exact)
-        assert known.holds("en", [b"a b", b"b c", b"c d"]).tolist() == [True, True, False]
-        assert not known.holds("de", [b"a b"])[0]
-        assert count_block([b"a", b"b", b"c", b"d", b".", b"a", b"b"], 3, "en", known)[0] == [b"a b c"]
-    assert not Frequent(np.empty(0, np.uint64)).holds("en", [b"a"]).any()
+    known = phrases.filter_of(spark.createDataFrame([("en", "a b"), ("en", "b c")], "lang string, phrase string"))
+    assert known.holds("en", [b"a b", b"b c", b"c d"]).tolist() == [True, True, False]
+    assert not known.holds("de", [b"a b"])[0]
+    tokens = [b"a", b"b", b"c", b"d", b".", b"a", b"b"]
+    assert count_block(tokens, 3, "en", known)[0] == [b"a b c"]
+    words = spark.createDataFrame([(x, w) for x in ("en", "de") for w in "abcd"], "lang string, phrase string").selectExpr("xxhash64(lang, phrase) AS h", "lang", "phrase").toArrow()
+    levels = Levels(words)
+    assert levels.clear() and (levels.numbers("fr", [b"a"]) == -1).all()
+    pairs, counts = levels.count(tokens, 2, "en")
+    spelt = dict(zip(levels.spell(pairs, 2)[1].to_pylist(), counts.tolist()))
+    assert spelt == {"a b": 2, "b c": 1, "c d": 1}
+    levels.codes.append(np.sort(pairs[[p in ("a b", "b c") for p in spelt]]))
+    triples, _ = levels.count(tokens, 3, "en")
+    lang, names = levels.spell(triples, 3)
+    assert (lang.to_pylist(), names.to_pylist()) == (["en"], ["a b c"])
 
 
 # ---- shards
