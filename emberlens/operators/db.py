@@ -223,7 +223,7 @@ def type_mismatches(procs: DataFrame, columns: DataFrame, parameters: DataFrame
     p = cut_lineage(p.where(~F.col("s").rlike(r"(?:exists|in|=|<|>)\s*\(\s*select\b")))
     key = ["schema_name", "routine"]
     pairs = lambda pattern, a, b: F.arrays_zip(F.regexp_extract_all("s", F.lit(pattern), F.lit(1)).alias(a), F.regexp_extract_all("s", F.lit(pattern), F.lit(2)).alias(b))
-    declared = p.select(*key, F.explode(pairs(r"(?:\bdeclare|;)\s+([a-z_]\w*)\s+" + _TYPE, "name", "type")).alias("x")).select(*key, "x.*").where(~F.split("type", r"[\s(]")[0].isin(*_NO_TYPE))
+    declared = p.select(*key, F.explode(pairs(r"(?:\bdeclare|;)\s+(?!(?:begin|declare)\b)([a-z_]\w*)\s+" + _TYPE, "name", "type")).alias("x")).select(*key, "x.*").where(~F.split("type", r"[\s(]")[0].isin(*_NO_TYPE))
     if parameters is not None:
         declared = declared.unionByName(parameters.select("schema_name", "routine", F.lower("name").alias("name"), F.lower("data_type").alias("type")))
     declared = declared.where(type_kind(F.col("type")).isNotNull())

@@ -24,10 +24,12 @@ def prefix_length(a: Column, b: Column) -> Column:
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of sites. Each site becomes one character, by its place
-    among the distinct sites of both."""
+    """Levenshtein distance of two arrays of sites. Each site becomes one character, by its place among the
+    distinct sites of both: code points from 256 on, surrogates left out."""
     both = F.array_distinct(F.concat(a, b))
-    text = lambda x: F.array_join(F.transform(x, lambda s: F.chr((F.array_position(both, s) + 31).cast("int"))), "")
+    place = lambda s: F.array_position(both, s) + 255
+    point = lambda p: F.when(p < 0xD800, p).otherwise(p + 0x800)
+    text = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda s: F.lpad(F.hex(point(place(s))), 8, "0")), "")), "UTF-32")
     return F.levenshtein(text(a), text(b))
 
 

@@ -133,6 +133,29 @@ def test_edit_distance(spark):
     assert [r[0] for r in d.select(D.edit_distance(F.col("a"), F.col("b"))).collect()] == [1, 1, 0, 2]
 
 
+def test_edit_distance_of_many_sites(spark):
+    rng = random.Random(8)
+    long = [f"site{i}" for i in range(1_000)]
+    other = long[:]
+    for _ in range(40):
+        other[rng.randrange(len(other))] = f"new{rng.randrange(500)}"
+        del other[rng.randrange(len(other))]
+        other.insert(rng.randrange(len(other)), rng.choice(long))
+    cases = [(long, other), (long[:400], long[100:400] + long[:100]), (long[:300], long[:299] + ["x"]), ([], long), (long, long)]
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    d = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
+    got = {r.i: r.n for r in d.select("i", D.edit_distance(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert got == {i: plain(a, b) for i, (a, b) in enumerate(cases)}
+
+
 def test_dominators_against_removal():
     rng = np.random.default_rng(3)
     for _ in range(30):
