@@ -225,3 +225,50 @@ def test_compressed_dumps_are_expanded_under_a_budget(spark, tmp_path):
     for bad, why in ((gzip.compress(data), "expands"), (gzip.compress(data)[:-9], "ends early"), (b"\x7fELF", "system_dump")):
         with pytest.raises(ValueError, match=why):
             hprof.native(bad, len(data) - 1 if why == "expands" else len(data))
+
+
+def dumps_rows(d):
+    return sorted(map(tuple, d.drop("dump").collect()), key=repr)
+
+
+def test_dumps_in_ranges_give_the_same_rows(spark, tmp_path):
+    for size in (4, 8):
+        (tmp_path / f"h{size}.hprof").write_bytes(build_hprof(size))
+    (tmp_path / "h8.hprof.gz").write_bytes(gzip.compress(build_hprof(8)))
+    whole = hprof.read_dumps(spark, str(tmp_path))
+    cut = hprof.read_dumps(spark, str(tmp_path), range_bytes=40)
+    assert dumps_rows(cut) == dumps_rows(whole)
+    assert {r.dump for r in cut.select("dump").distinct().collect()} == {r.dump for r in whole.select("dump").distinct().collect()}
+    files = spark.createDataFrame([(f"file:{tmp_path}/h8.hprof", len(build_hprof(8)))], "path string, length long")
+    rows, left = hprof.read_ranges(spark, files, 40)
+    assert rows.rdd.getNumPartitions() > 3 and not left
+    assert hprof.read_ranges(spark, files.selectExpr("replace(path, 'file:', 'nosuch://') AS path", "length"), 40)[1] == [f"nosuch://{tmp_path}/h8.hprof"]
+
+
+def test_records_behind_their_segment_are_errors():
+    data = build_hprof(8)
+    read = lambda at, n: data[at : at + n]
+    start = next(r for r in hprof.record_heads(read, len(data), 1 << 20) if r[0] == "range")
+    for cut in (3, 11, 60):
+        with pytest.raises(ValueError, match="segment"):
+            list(hprof.Range(read, start[1], start[2] - cut, 8).rows(hprof.Layout()))
+    with pytest.raises(ValueError, match="file"):
+        list(hprof.record_heads(read, len(data) - 20, 1 << 20))
+
+
+def test_dumps_over_two_gigabytes(spark, tmp_path):
+    """A sparse file: an array of 2.2 GB between two instances."""
+    i = lambda x: x.to_bytes(8, "big")
+    small = build_hprof(8)
+    n = 2_200_000_000
+    array = b"\x23" + i(0x777) + struct.pack(">II", 0, n) + b"\x08"
+    behind = b"\x21" + i(0x778) + struct.pack(">I", 0) + i(0x200) + struct.pack(">I", 20) + i(0x777) + i(0) + struct.pack(">I", 1)
+    with open(tmp_path / "big.hprof", "wb") as f:
+        f.write(small[: -9])
+        f.write(b"\x1c" + struct.pack(">II", 0, len(array) + n + len(behind)) + array)
+        f.seek(n, 1)
+        f.write(behind + small[-9:])
+    t = hprof.tables_of(hprof.read_dumps(spark, str(tmp_path)))
+    o = {r.oid: (r.kind, r.shallow, r.length) for r in t["objects"].collect()}
+    assert o["0x777"] == ("primitive:8", 2_200_000_016, n) and o["0x778"][0] == "instance" and len(o) == 7
+    assert ("0x778", "0x777", "com.acme.Node.next") in {(r.src, r.dst, r.field) for r in t["edges"].collect()}
