@@ -80,7 +80,7 @@ def curve_order(docs: DataFrame, dims: Sequence[str] = DIMENSIONS, bits: int = B
     d = write_table(d, "curve")
     for i in range(len(dims)):
         cells = depth_cells(d.groupBy(F.col(f"_d{i}").alias("value")).agg(F.count("*").alias("n")), bits)
-        d = look_up(d, cells.select(F.col("value").alias(f"_d{i}"), F.col("cell").alias(f"_c{i}")), [f"_d{i}"], F.xxhash64("doc_id", "text_crc32"))
+        d = look_up(d, cells.select(F.col("value").alias(f"_d{i}"), F.col("cell").alias(f"_c{i}")), [f"_d{i}"])
     cells = [F.col(f"_c{i}") for i in range(len(dims))]
     d = d.select("doc_id", "size", "text_crc32", "row", F.array(*cells).alias("cells"), hilbert_index(cells, bits).alias("curve"), F.monotonically_increasing_id().alias("_tie"))
     return numbered(d, ["curve", "size", "text_crc32", F.col("doc_id").isNull(), "doc_id", "_tie"], "place").drop("_tie")

@@ -265,9 +265,9 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
 
     cuts = candidates.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).withColumn("head", F.expr("substring_index(phrase, ' ', cut)"))
     cuts = cuts.withColumn("rest", F.expr("substring(phrase, length(head) + 2)"))
-    salt = F.xxhash64("phrase", "cut")
     for part, out in (("head", "l"), ("rest", "r")):
-        cuts = look_up(cuts, every.select("lang", F.col("phrase").alias(part), F.col("n").alias(out)), ["lang", part], salt)
+        cuts = look_up(cuts, every.select("lang", F.col("phrase").alias(part), F.col("n").alias(out)), ["lang", part])
+        cuts = write_table(cuts, "cuts")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     cuts = cuts.withColumn("upper", (F.lit(1_000_000).cast("decimal(7,0)") * (wide("a") * wide("a")).cast("decimal(31,0)")).cast("decimal(38,0)")).withColumn("lower", (wide("l") * wide("r")).cast("decimal(38,0)"))
     cuts = cuts.withColumn("score", F.expr("upper div lower"))
@@ -279,6 +279,6 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * cover_percent))
 
     placed = numbered(kept.drop("size", "longer"), ["lang", F.desc("score"), F.desc("a"), "phrase"], "place")
-    first = placed.groupBy("lang").agg(F.min("place").alias("first"))
-    ranked = placed.join(first, "lang").withColumn("rank", (F.col("place") - F.col("first") + 1).cast("bigint")).where(F.col("rank") <= top)
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    first = placed.groupBy("lang").agg(F.min("place").alias("first")).join(words, "lang")
+    ranked = look_up(placed, first, ["lang"]).withColumn("rank", (F.col("place") - F.col("first") + 1).cast("bigint"))
+    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

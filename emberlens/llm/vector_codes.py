@@ -263,5 +263,5 @@ def coded_with_labels(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
         codes = write_table(codes, "codes")
     total = F.least(F.sum(F.col("error").cast("decimal(20,0)")), F.lit(LONG - 1).cast("decimal(38,0)")).cast("bigint")
     labels = codes.groupBy("label").agg(total.alias("label_error"))
-    out = look_up(codes, labels, ["label"], F.xxhash64("vec_id", "code"), how="left")
+    out = look_up(codes, labels, ["label"], how="left")
     return out.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

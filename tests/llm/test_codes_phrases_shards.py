@@ -95,11 +95,13 @@ def test_other_parts_and_entries(spark):
         compress(d, entries=300)
 
 
-def test_lookups_beyond_the_limit_are_salted(spark):
-    d = spark.createDataFrame([(i, "hot" if i % 3 else None, i % 7) for i in range(300)], "i long, k string, x long")
-    known = spark.createDataFrame([("hot", 1), (None, 2), ("cold", 3)], "k string, v int")
-    few, many = (sorted((r.i, r.v) for r in look_up(d, known, ["k"], F.col("i"), "left", limit=n).collect()) for n in (100, 0))
-    assert few == many == [(i, 1 if i % 3 else 2) for i in range(300)]
+def test_lookups_of_hot_and_other_keys(spark):
+    d = spark.createDataFrame([(i, ("hot", None, "lost")[i % 3] if i < 240 else f"k{i}", i % 7) for i in range(300)], "i long, k string, x long")
+    known = spark.createDataFrame([("hot", 1), (None, 2), ("cold", 3)] + [(f"k{i}", i) for i in range(250, 320)], "k string, v int")
+    for how in ("left", "inner"):
+        broad, hot, cold = (sorted(((r.i, r.x, r.v) for r in look_up(d, known, ["k"], how, limit=n, hot_keys=h).collect()), key=str) for n, h in ((100, 10), (0, 10), (0, 1)))
+        assert broad == hot == cold and len(hot) == (300 if how == "left" else 210)
+        assert dict((i, v) for i, _, v in hot)[1] == 2
 
 
 # ---- phrases
