@@ -8,7 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlens.session import cut_lineage, ship_package
+from emberlens.operators.contract import CORE, PATHS, ROOT, contract, dominator_tree, label_tree, labels, paths_of, reached
+from emberlens.session import cut_lineage, ship_package, write_table
 
 MAX_OBJECTS = 2_000_000
 #: Rounds of a search whose fronts are kept as tables of their own.
@@ -22,28 +23,75 @@ def _united(fronts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def reachable(edges: DataFrame, start: DataFrame, without: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, without: DataFrame | None = None, limit: int = CORE) -> DataFrame:
     """Nodes (node) reached from start along edges (src, dst), none of ``without`` among them, however far.
 
-    Each round stores its front alone; FRONTS of them are made one table at a time.
+    The first FRONTS rounds go a step each, with fronts stored alone. What is farther is contracted (see
+    ``contract``): a core of up to ``limit`` edges is searched by one task, a larger one step by step.
     """
     e = edges.select("src", "dst")
     front = start.select("node").distinct()
     if without is not None:
         e = e.join(without.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
         front = front.join(without, "node", "left_anti")
-    front = cut_lineage(front)
-    seen = [front]
+    seen, front, far = _steps(e, cut_lineage(front), FRONTS)
+    if not far:
+        return seen
+    # edges to nodes not seen yet lead from the front or from such nodes
+    seen = cut_lineage(seen)
+    rest = e.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    first = front.select(F.col("node").alias("src"), F.lit(ROOT).alias("_at"))
+    rest = rest.join(first, "src", "left").select(F.coalesce("_at", "src").alias("src"), "dst")
+    c = contract(rest, limit)
+    if c.n_core <= limit:
+        ship_package(edges.sparkSession)
+        core = c.core.withColumn("graph", F.lit(1)).groupBy("graph").applyInArrow(lambda t: _reach(t), "node string")
+    else:
+        core, _, _ = _steps(c.core, edges.sparkSession.createDataFrame([(ROOT,)], "node string"), None)
+    root = edges.sparkSession.createDataFrame([(ROOT,)], "node string")
+    more = reached(c, cut_lineage(core.unionByName(root).distinct())).where(F.col("node") != ROOT)
+    return seen.unionByName(more)
+
+
+def _steps(e: DataFrame, front: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes seen after ``most`` rounds (or all), the last front, and whether it leads on."""
+    seen, k = [front], 0
     while True:
-        front = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = cut_lineage(front.join(_united(seen), "node", "left_anti"))
-        if front.isEmpty():
-            return _united(seen)
+        k += 1
+        nxt = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        nxt = cut_lineage(nxt.join(_united(seen), "node", "left_anti"))
+        if nxt.isEmpty():
+            return _united(seen), front, False
+        front = nxt
         seen.append(front)
+        if k == most:
+            return _united(seen), front, True
         if len(seen) == FRONTS:
             seen = [cut_lineage(_united(seen))]
 
 
+def _numbered(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names of all nodes of an edge table, the root first, and the ends of its edges as their places."""
+    src, dst = t["src"].combine_chunks(), t["dst"].combine_chunks()
+    names = pc.unique(pa.concat_arrays([pa.array([ROOT], pa.string()), src, dst]))
+    return names, pc.index_in(src, value_set=names).to_numpy().astype(np.int64), pc.index_in(dst, value_set=names).to_numpy().astype(np.int64)
+
+
+def _reach(t: pa.Table) -> pa.Table:
+    names, src, dst = _numbered(t)
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order], np.searchsorted(src[order], np.arange(len(names) + 1)).tolist()
+    to, seen, todo = to.tolist(), bytearray(len(names)), [0]
+    seen[0] = 1
+    while todo:
+        v = todo.pop()
+        for u in to[first[v] : first[v + 1]]:
+            if not seen[u]:
+                seen[u] = 1
+                todo.append(u)
+    return pa.table({"node": names.take(pa.array(np.flatnonzero(np.frombuffer(seen, dtype=np.uint8))))})
+
+
 def distances(edges: DataFrame, start: DataFrame, depth: int = 40) -> DataFrame:
     """node, depth of the shortest way from start, up to a depth."""
     e = edges.select("src", "dst")
@@ -63,21 +111,21 @@ def cycles(step: DataFrame) -> DataFrame:
     cycles, after as many rounds as the longest way into a cycle has binary digits. Their least members
     spread by doubling as well.
     """
-    step = cut_lineage(step.select("node", "next"))
+    step = write_table(step.select("node", "next"), "cycles")
     d, reached = step, None
     while True:
-        ends = cut_lineage(d.select(F.col("next").alias("node")).distinct())
+        ends = write_table(d.select(F.col("next").alias("node")).distinct(), "cycles")
         n = ends.count()
         if n == reached or not n:
             break
         reached = n
         ahead = d.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        d = cut_lineage(d.join(ahead, "next").select("node", F.col("far").alias("next")))
+        d = write_table(d.join(ahead, "next").select("node", F.col("far").alias("next")), "cycles")
     d = step.join(ends, "node", "left_semi")
     d = d.withColumn("cycle", F.least("node", "next"))
     while True:  # doubles its reach each round
         ahead = d.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("cycle").alias("other"))
-        nxt = cut_lineage(d.join(ahead, "next").select("node", F.col("far").alias("next"), F.least("cycle", "other").alias("cycle"), (F.col("other") < F.col("cycle")).alias("moved")))
+        nxt = write_table(d.join(ahead, "next").select("node", F.col("far").alias("next"), F.least("cycle", "other").alias("cycle"), (F.col("other") < F.col("cycle")).alias("moved")), "cycles")
         d = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
@@ -167,41 +215,56 @@ def _dominate(t: pa.Table) -> pa.Table:
     of = lambda k: t.filter(pc.equal(kind, k))
     objects, edges, roots = of("o"), of("e"), of("r")
     known = objects.group_by("a").aggregate([("size", "sum")]).sort_by("a")
-    names = pa.concat_arrays([pa.array(["0x0"], pa.string()), known["a"].combine_chunks().cast(pa.string())])
-    n = len(names)
-    if n - 1 > MAX_OBJECTS:
-        raise ValueError(f"{n - 1} objects; the dominator kernel holds {MAX_OBJECTS}")
+    names = pa.concat_arrays([pa.array([ROOT], pa.string()), known["a"].combine_chunks().cast(pa.string())])
     shallow = np.concatenate([[0], known["size_sum"].to_numpy().astype(np.int64)])
     place = lambda c: pc.fill_null(pc.index_in(c, value_set=names[1:]), -1).to_numpy().astype(np.int64) + 1
     src, dst, top = place(edges["a"]), place(edges["b"]), place(roots["a"])
     both = (src > 0) & (dst > 0)
     src, dst = np.concatenate([src[both], np.zeros(int((top > 0).sum()), dtype=np.int64)]), np.concatenate([dst[both], top[top > 0]])
-    idom = immediate_dominators(n, src, dst)
-    depth, retained, up = [-1] * n, shallow.tolist(), idom.tolist()
-    depth[0] = 0
-    for v in np.flatnonzero(idom >= 0).tolist():
-        chain = []
-        while depth[v] < 0:
-            chain.append(v)
-            v = up[v]
-        for x in reversed(chain):
-            depth[x] = depth[up[x]] + 1
-    for v in np.argsort(-np.array(depth), kind="stable").tolist():
-        if v and up[v] >= 0:
-            retained[up[v]] += retained[v]
-    found = np.flatnonzero(idom >= 0)
-    return pa.table({"node": names.take(pa.array(found)), "parent": names.take(pa.array(idom[found])), "depth": np.array(depth)[found], "retained": np.array(retained)[found]})
-
-
-def dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """node, parent, depth, retained of every object reached from the virtual root 0x0.
-
-    objects: (oid, shallow); edges: (src, dst), strong ones; roots: (node). A dominator tree needs the
-    whole graph at once, so one task holds it, up to MAX_OBJECTS objects; heaps beyond that are
-    refused, and reachability and retained sets remain distributed.
+    idom = immediate_dominators(len(names), src, dst)
+    found = pa.array(np.flatnonzero(idom >= 0))
+    one = np.ones(len(found), dtype=np.int64)
+    tree = pa.table({"node": names.take(found), "parent": names.take(pa.array(idom[found.to_numpy()])), "weight": shallow[found.to_numpy()], "size": one, "span": one})
+    out = label_tree(tree)
+    # both are in order of the node
+    parent = tree.sort_by("node")["parent"]
+    out = out.sort_by("node")
+    return pa.table({"node": out["node"], "parent": parent, "depth": out["depth"], "retained": out["weight"], "pre": out["pre"], "last": out["last"]})
+
+
+def _core_paths(t: pa.Table) -> pa.Table:
+    names, src, dst = _numbered(t)
+    return paths_of(names, immediate_dominators(len(names), src, dst))
+
+
+DOMINATORS = "node string, parent string, depth bigint, retained bigint, pre bigint, last bigint"
+
+
+def dominators(objects: DataFrame, edges: DataFrame, roots: DataFrame, limit: int = CORE) -> DataFrame:
+    """node, parent, depth, retained, pre, last of every object reached from the virtual root 0x0; the nodes that
+    one dominates are those whose pre lies between its pre and its last.
+
+    objects: (oid, shallow); edges: (src, dst), strong ones; roots: (node). Heaps of up to ``limit`` objects and
+    four times as many edges are answered by one task. Larger ones are contracted (see ``contract``) and only
+    their core meets in one task, which refuses more than MAX_OBJECTS edges; dominators of the core are
+    carried back to all objects, and depths, sizes and places come from contracting the tree.
     """
-    ship_package(objects.sparkSession)
-    o = objects.select(F.lit("o").alias("kind"), F.col("oid").alias("a"), F.lit(None).cast("string").alias("b"), F.col("shallow").cast("bigint").alias("size"))
-    e = edges.select(F.lit("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("bigint").alias("size"))
-    r = roots.select(F.lit("r").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("bigint").alias("size"))
-    return o.unionByName(e).unionByName(r).withColumn("heap", F.lit(1)).groupBy("heap").applyInArrow(lambda t: _dominate(t), "node string, parent string, depth bigint, retained bigint")
+    spark = objects.sparkSession
+    ship_package(spark)
+    if objects.count() <= limit and edges.count() <= 4 * limit:
+        o = objects.select(F.lit("o").alias("kind"), F.col("oid").alias("a"), F.lit(None).cast("string").alias("b"), F.col("shallow").cast("bigint").alias("size"))
+        e = edges.select(F.lit("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("bigint").alias("size"))
+        r = roots.select(F.lit("r").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("bigint").alias("size"))
+        return o.unionByName(e).unionByName(r).withColumn("heap", F.lit(1)).groupBy("heap").applyInArrow(lambda t: _dominate(t), DOMINATORS)
+    known = cut_lineage(objects.groupBy("oid").agg(F.sum("shallow").cast("bigint").alias("weight")))
+    inside = lambda d, c: d.join(known.select(F.col("oid").alias(c)), c, "left_semi")
+    top = inside(roots.select(F.lit(ROOT).alias("src"), F.col("node").alias("dst")), "dst").select("src", "dst")
+    c = contract(inside(inside(edges.select("src", "dst"), "src"), "dst").select("src", "dst").unionByName(top), limit)
+    if c.n_core > MAX_OBJECTS:
+        raise ValueError(f"the core keeps {c.n_core} edges; the dominator kernel holds {MAX_OBJECTS}")
+    # an edge of the root to itself makes sure that there is a group
+    loop = spark.createDataFrame([(ROOT, ROOT)], "src string, dst string")
+    core = c.core.unionByName(loop).withColumn("graph", F.lit(1)).groupBy("graph").applyInArrow(lambda t: _core_paths(t), PATHS)
+    tree = dominator_tree(c, cut_lineage(core)).select("node", "parent")
+    tree = cut_lineage(tree.join(known.withColumnRenamed("oid", "node"), "node", "left").select("node", "parent", F.coalesce("weight", F.lit(0)).alias("weight")))
+    return tree.select("node", "parent").join(labels(tree, max(limit, 1)), "node").select("node", "parent", "depth", F.col("weight").alias("retained"), "pre", "last")

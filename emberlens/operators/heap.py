@@ -112,9 +112,10 @@ def dom_top(dom: DataFrame, root: str = "0x0", top: int = 25, share: float = 0.8
 
 
 def dom_subtree(dom: DataFrame, top: str) -> DataFrame:
-    """All nodes below one in the dominator tree, itself included: its retained set."""
-    e = dom.where(F.col("node") != F.col("parent")).select(F.col("parent").alias("src"), F.col("node").alias("dst"))
-    return reachable(cut_lineage(e), dom.where(F.col("node") == top).select("node"))
+    """All nodes below one in the dominator tree, itself included: its retained set, a range of places.
+    dom: (node, pre, last)."""
+    at = dom.where(F.col("node") == top).select(F.col("pre").alias("_first"), F.col("last").alias("_last")).limit(1)
+    return dom.join(F.broadcast(at), F.col("pre").between(F.col("_first"), F.col("_last"))).select("node")
 
 
 def roots_browse(roots: DataFrame, objects: DataFrame, classes: DataFrame, kind: str | None = None) -> DataFrame:
