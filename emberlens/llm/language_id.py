@@ -30,7 +30,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +203,8 @@ class CrossParser:
         known = sorted({c for _, _, t in training.languages for c in t if c != " "})
         code = {" ": 0} | {c: i + 2 for i, c in enumerate(known)}
         self.codes, self.letter = np.zeros(0x110000, dtype=np.int32), np.zeros(0x110000, dtype=bool)
-        for cp in range(0x110000):
+        # planes 4 to 13 have no letters, nor has what follows the marks of plane 14
+        for cp in [*range(0x40000), *range(0xE0000, 0xE1000)]:
             if kept(c := chr(cp)):
                 self.codes[cp] = code.get(lowered(c), 1)
                 self.letter[cp] = c.isalpha()
@@ -286,11 +286,6 @@ class CrossParser:
         return np.where(letters > 0, best, -1), np.clip(np.nan_to_num(score), 0.0, 1.0)
 
 
-@lru_cache(maxsize=2)
-def parser_of(training: Training) -> CrossParser:
-    return CrossParser(training)
-
-
 def _chunks(texts: pa.Array) -> Iterator[list[str]]:
     """The texts in lists of some BATCH_CHARS bytes each, or of one text; null texts are empty."""
     sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
@@ -302,35 +297,40 @@ def _chunks(texts: pa.Array) -> Iterator[list[str]]:
         i = j
 
 
-def predict_batches(training: Training, keep_text: bool = False):
-    """For mapInArrow: lang_pred and score are added to a batch, and its column ``text`` goes unless kept."""
+def predict_batches(parser, keep_text: bool = False):
+    """For mapInArrow, with a broadcast CrossParser: lang_pred and score are added to a batch, and its column ``text`` goes unless kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = parser_of(training)
-        names = pa.array([*parser.langs, UND])
+        held = parser.value
+        names = pa.array([*held.langs, UND])
         for b in batches:
             best, score = [np.empty(0, int)], [np.empty(0)]
             for chunk in _chunks(b.column("text")):
-                i, s = parser.parse(chunk)
+                i, s = held.parse(chunk)
                 best.append(i), score.append(s)
             i, s = np.concatenate(best), np.concatenate(score)
             rest = [n for n in b.schema.names if keep_text or n != "text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], names.take(pa.array(np.where(i < 0, len(parser.langs), i))), pa.array(s)], [*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in rest], names.take(pa.array(np.where(i < 0, len(held.langs), i))), pa.array(s)], [*rest, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, training: Training, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), known_only: bool = False) -> DataFrame:
-    """carry columns, lang_pred, score of every row, or of those in which a language is found. Where
-    known_only, the carried columns alone, which may then have any names."""
-    ship_package(docs.sparkSession)
+def identify(docs: DataFrame, training: Training, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry columns, lang_pred, score of every row. The automata are built once and broadcast."""
+    out, named = _identified(docs, training, text_col, carry)
+    return out.select(*[F.col(n).alias(c) for c, n in named.items()], "lang_pred", "score")
+
+
+def _identified(docs: DataFrame, training: Training, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """Carried columns under names of our own (second: by their names), lang_pred and score."""
+    spark = docs.sparkSession
+    ship_package(spark)
     names = [f"c{i}" for i in range(len(carry))]
     named = {c: "text" if c == text_col else n for c, n in zip(carry, names, strict=True)}
     d = docs.select(*[F.col(c).alias(n) for c, n in named.items()], *([] if text_col in carry else [F.col(text_col).alias("text")]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if text_col in carry or f.name != "text")
-    out = d.mapInArrow(predict_batches(training, text_col in carry), f"{kinds}, lang_pred string, score double")
-    carried = [F.col(n).alias(c) for c, n in named.items()]
-    return out.where(F.col("lang_pred") != UND).select(carried) if known_only else out.select(*carried, "lang_pred", "score")
+    parser = spark.sparkContext.broadcast(CrossParser(training))
+    return d.mapInArrow(predict_batches(parser, text_col in carry), f"{kinds}, lang_pred string, score double"), named
 
 
 def held_out(doc_id: Column) -> Column:
@@ -349,7 +349,10 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(d, training, carry=("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents in which a language is found, with all their columns; those without a letter go."""
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, lang_col: str = "lang") -> DataFrame:
+    """The documents in which a language is found, or one of those wanted, with all their columns; where
+    ``lang_col`` is null it becomes the language found. Those without a letter go."""
     training = learn(docs, learnable(F.col("doc_id")))
-    return identify(docs, training, carry=tuple(docs.columns), known_only=True)
+    out, named = _identified(docs, training, "text", tuple(docs.columns))
+    out = out.where(F.col("lang_pred") != UND) if languages is None else out.where(F.col("lang_pred").isin(*languages))
+    return out.select(*[(F.coalesce(F.col(n), F.col("lang_pred")) if c == lang_col else F.col(n)).alias(c) for c, n in named.items()])

@@ -51,8 +51,9 @@ _SECRETS = [
     ("assign", _ASSIGN, 2, 8),
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]{32,}", 0, 32),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s{0,4}(?:(?:Proc-Type|DEK-Info): [\x20-\x7E]{0,200}\s{1,4}){0,2}[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # group 1 is the span, behind what can't stand in a token
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1),
     ("hosttoken", "(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1),
 ]
 SQL["op5_secret_ledger"] = (
@@ -61,7 +62,7 @@ SQL["op5_secret_ledger"] = (
     + r"""),
 pieces AS (SELECT i, kind, name, least, gaps, hits, keys, unnest(range(1, len(hits) + 1)) AS j FROM runs),
 spans AS (
-  SELECT i, kind, name, list_sum(list_transform(gaps[1:j], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:j-1], lambda x: length(x))), 0)::BIGINT AS start, length(hits[j]) AS n
+  SELECT i, kind, name, list_sum(list_transform(gaps[1:j], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[1:j-1], lambda x: length(x))), 0)::BIGINT + CASE kind WHEN 4 THEN length(hits[j]) - length(keys[j]) ELSE 0 END AS start, length(CASE kind WHEN 4 THEN keys[j] ELSE hits[j] END) AS n
   FROM pieces WHERE length(keys[j]) >= least),
 found AS (
   SELECT i, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

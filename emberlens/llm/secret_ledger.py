@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from emberlens.session import cut_lineage
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 #: Blobs with findings up to which these are broadcast, some 200 bytes each.
 BROADCAST_ROWS = 100_000
 
@@ -48,8 +48,9 @@ RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"'\x20]*[:=]"),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY", False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ", False),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s{0,4}(?:(?:Proc-Type|DEK-Info): [\x20-\x7E]{0,200}\s{1,4}){0,2}[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY", False),
+    # from the head of a run on, so that no text is gone over again and again
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ", False),
     Rule("hosttoken", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})", 0, 1, r"(?:gh[pousr]_|glpat-|xox[abprs]-)[A-Za-z0-9]", False),
 )
 SPAN = "array<struct<start:int,kind:int,stop:int>>"

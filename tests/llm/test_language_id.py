@@ -98,6 +98,8 @@ def test_documents(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     kept = keep_identified(d)
     assert kept.columns == d.columns and kept.count() == len(rows) + len(odd) - 3
+    assert kept.where("doc_id is null").first().lang == "fr"
+    assert {r.doc_id for r in keep_identified(d, ("de",)).collect()} == {i for i, lang in want.items() if lang == "de" and i != 3} | {504}
     assert identify_documents(d.limit(0)).count() == 0
 
 

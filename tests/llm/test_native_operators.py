@@ -107,6 +107,19 @@ def test_spans_match_plain_search(spark):
     assert scan_versions(d.limit(0), None, path_col="doc_id", version_col=None)[0].count() == 0
 
 
+def test_tokens_begin_at_the_head_of_a_run(spark):
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\nMIIB+/=\n-----END RSA PRIVATE KEY-----"
+    texts = [jwt, f"x {jwt}.", f"x{jwt}", f"-{jwt}", f"a.{jwt},{jwt}", pem, f"é{pem} {jwt}", "eyJ" * 350_000, "eyJaaaaaaaa." * 90_000, "-eyJ" * 250_000]
+    began = time.perf_counter()
+    found, _ = scan_versions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None, path_col="doc_id", version_col=None)
+    got = {r.doc_id: r.spans for r in digest_findings(found).collect()}
+    assert time.perf_counter() - began < 40
+    n, m = len(jwt), len(pem)
+    want = {0: f"jwt:0:{n}", 1: f"jwt:2:{n + 2}", 2: "", 3: "", 4: f"jwt:2:{n + 2},jwt:{n + 3}:{2 * n + 3}", 5: f"pem:0:{m}", 6: f"pem:1:{m + 1},jwt:{m + 2}:{m + n + 2}", 7: "", 9: ""}
+    assert {i: got[i] for i in want} == want and got[8].startswith("jwt:0:")
+
+
 def test_ledger_scans_only_what_is_unseen(spark):
     v1 = spark.createDataFrame([("a", 1, "token=abcdefgh1"), ("b", 1, "clean"), ("c", 1, "token=abcdefgh1")], "path string, version int, text string")
     found, ledger = scan_versions(v1)

@@ -70,6 +70,14 @@ def test_stages_carry_columns_of_any_name(spark, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() > 0
 
 
+def test_missing_languages_are_filled(spark, sf_dir):
+    path, rows, _ = sf_dir
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    unlabelled = docs.withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, unlabelled, path).collect()}
+    assert got == {r[0]: r[2] for r in rows if r[0] not in (102, 103)}
+
+
 def test_near_copies_go_from_a_similarity_of_eight_tenths(spark):
     words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
     base, other = words(0, 304), words(1, 304)
