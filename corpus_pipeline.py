@@ -31,7 +31,7 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, in which no language can be told, go."""
+    """Documents in which no language can be told go; of the others a null ``lang`` becomes the one found."""
     ship_package(spark)
     return keep_identified(docs)
 
