@@ -1,15 +1,17 @@
 """Garbage-collection analytics over lines (seq_key..., line) or events.
 
-Logs are ordered: a log is one group, its lines carry a number. Everything but the two running
-formulas (allocation between collections, time since the first stamp) is an aggregate.
+Logs are ordered: a log is one group, its lines carry a number. Numbers of events, the time since the first
+stamp and the allocation between collections are running values, for which a large log is cut into ranges;
+everything else is an aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlens.functions.text import GC_SIZES, gc_fields
+from emberlens.operators.ranges import WINDOW_ROWS, first, last, percentiles, running, total
 
 # fixed values: texts that tell collectors apart, in order
 COLLECTORS = (("ZGC", "ZGC"), ("Shenandoah", "Shenandoah"), ("G1 Evacuation", "G1"), ("Pause Young (Normal)", "G1"), ("Pause Remark", "G1"), ("PSYoungGen", "Parallel"), ("ParOldGen", "Parallel"), ("Parallel", "Parallel"), ("ParNew", "CMS"), ("CMS", "CMS"), ("DefNew", "Serial"), ("Tenured", "Serial"))
@@ -17,29 +19,31 @@ UPTIME, LEGACY, ISO = r"\[(\d+(?:\.\d+)?)s\]", r"^(?:[\d\-T:.+]+:\s*)?(\d+(?:\.\
 SAMPLE = 200
 
 
+# fixed values: words that tell phases apart, the last that fits
+PHASES = (("cleanup", "concurrent"), ("mark", "concurrent"), ("remark", "concurrent"), ("concurrent", "concurrent"), ("allocation stall", "stall"), ("young", "young"), ("mixed", "mixed"), ("full", "full"))
+
+
 def phase_of(head: Column) -> Column:
-    low = F.lower(head)
-    c = F.when(low.contains("concurrent") | low.contains("remark") | low.contains("mark") | low.contains("cleanup"), "concurrent").otherwise("other")
-    for word, phase in (("allocation stall", "stall"), ("young", "young"), ("mixed", "mixed"), ("full", "full")):
+    low, c = F.lower(head), F.lit("other")
+    for word, phase in PHASES:
         c = F.when(low.contains(word), phase).otherwise(c)
     return c
 
 
-def events(lines: DataFrame) -> DataFrame:
+def events(lines: DataFrame, limit: int = WINDOW_ROWS) -> DataFrame:
     """log, seq, ts_s, gc_id, phase, cause, before_mb, after_mb, total_mb, pause_ms of every line with
     sizes. lines: (log, line_no, line)."""
     d = lines.where(F.col("line").rlike(GC_SIZES)).withColumn("f", gc_fields(F.col("line")))
-    w = Window.partitionBy("log").orderBy("line_no")
-    seq = F.row_number().over(w) - 1
     stamp = lambda p: F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1))
     iso = F.unix_micros(F.try_to_timestamp(F.regexp_replace(stamp(ISO), r"([+-]\d{2})(\d{2})$", "$1:$2"))) / 1e6
-    d = d.withColumns({"seq": seq, "iso": iso, "uptime": F.coalesce(stamp(UPTIME), stamp(LEGACY)).cast("double")})
-    first_iso = F.first(F.when(F.col("uptime").isNull(), F.col("iso")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumns({"iso": iso, "uptime": F.coalesce(stamp(UPTIME), stamp(LEGACY)).cast("double")})
+    first_iso = first(F.when(F.col("uptime").isNull(), F.col("iso")))
+    d = running(d, ["log"], ["line_no"], {"seq": total(F.lit(1)), "first_iso": first_iso}, limit).withColumn("seq", (F.col("seq") - 1).cast("int"))
     groups = F.regexp_extract_all(F.col("f.head"), F.lit(r"\(([^)]*)\)"), F.lit(1))
     return d.select(
         "log",
         "seq",
-        F.coalesce("uptime", F.col("iso") - first_iso, F.col("seq").cast("double")).alias("ts_s"),
+        F.coalesce("uptime", F.col("iso") - F.col("first_iso"), F.col("seq").cast("double")).alias("ts_s"),
         F.coalesce("f.gc_id", "seq").alias("gc_id"),
         phase_of(F.col("f.head")).alias("phase"),
         F.when(F.size(groups) > 0, F.trim(F.element_at(groups, -1))).otherwise("").alias("cause"),
@@ -68,14 +72,14 @@ def collector(lines: DataFrame) -> DataFrame:
     return g.select("log", F.get(names, F.col("r")).alias("collector"), F.when(F.col("u"), "unified").otherwise("legacy").alias("logging"), "sample_stalls")
 
 
-def pauses(ev: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def pauses(ev: DataFrame, extra: DataFrame | None = None, limit: int = WINDOW_ROWS) -> DataFrame:
     """log, n_pauses, total_ms, p50, p95, p99 (interpolated), max_ms of all positive pauses."""
     p = ev.where("pause_ms > 0").select("log", "pause_ms")
     if extra is not None:
         p = p.unionByName(extra)
-    q = F.percentile("pause_ms", F.array(*[F.lit(x) for x in (0.5, 0.95, 0.99)]))
-    g = p.groupBy("log").agg(F.count("*").alias("n_pauses"), F.sum("pause_ms").alias("total_ms"), q.alias("q"), F.max("pause_ms").alias("max_ms"))
-    return g.select("log", "n_pauses", "total_ms", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))], "max_ms")
+    g = p.groupBy("log").agg(F.count("*").alias("n_pauses"), F.sum("pause_ms").alias("total_ms"), F.max("pause_ms").alias("max_ms"))
+    q = percentiles(p, ["log"], "pause_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, limit)
+    return g.join(q, "log", "left").select("log", "n_pauses", "total_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")
 
 
 def durations(ev: DataFrame) -> DataFrame:
@@ -95,10 +99,11 @@ def _sized(ev: DataFrame) -> DataFrame:
     return ev.where(F.col("phase").isin("young", "mixed", "full"))
 
 
-def allocation(ev: DataFrame) -> DataFrame:
+def allocation(ev: DataFrame, limit: int = WINDOW_ROWS) -> DataFrame:
     """log, alloc_mb: growth from each collection to the next, in input order."""
-    grown = F.greatest(F.col("before_mb") - F.lag("after_mb").over(Window.partitionBy("log").orderBy("seq")), F.lit(0.0))
-    return _sized(ev).withColumn("g", grown).groupBy("log").agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("alloc_mb"))
+    d = running(_sized(ev), ["log"], ["seq"], {"_left": last(F.col("after_mb"))}, limit)
+    grown = F.greatest(F.col("before_mb") - F.col("_left"), F.lit(0.0))
+    return d.withColumn("g", F.when(F.col("_left").isNotNull(), grown)).groupBy("log").agg(F.coalesce(F.sum("g"), F.lit(0.0)).alias("alloc_mb"))
 
 
 def trend(ev: DataFrame) -> DataFrame:
@@ -106,10 +111,10 @@ def trend(ev: DataFrame) -> DataFrame:
     return _sized(ev).groupBy("log").agg((F.coalesce(F.regr_slope("after_mb", "ts_s"), F.lit(0.0)) * 60).alias("trend_mb_min"))
 
 
-def baseline_reset(ev: DataFrame) -> DataFrame:
+def baseline_reset(ev: DataFrame, limit: int = WINDOW_ROWS) -> DataFrame:
     """log, n_sized, peak_after_mb, reset: whether the last quarter falls back near the least of the first."""
-    w = Window.partitionBy("log")
-    d = _sized(ev).withColumns({"i": F.row_number().over(w.orderBy("seq")), "n": F.count("*").over(w)})
+    sized = _sized(ev)
+    d = running(sized, ["log"], ["seq"], {"i": total(F.lit(1))}, limit).join(sized.groupBy("log").agg(F.count("*").alias("n")), "log")
     q = F.greatest(F.lit(2), F.floor(F.col("n") / 4))
     g = d.groupBy("log").agg(F.max("n").alias("n_sized"), F.min(F.when(F.col("i") <= q, F.col("after_mb"))).alias("early"), F.min(F.when(F.col("i") > F.col("n") - q, F.col("after_mb"))).alias("late"), F.max("after_mb").alias("peak_after_mb"))
     reset = (F.col("n_sized") < 8) | (F.col("late") <= F.col("early") * 1.5) | ((F.col("late") - F.col("early")) / F.greatest(F.col("early"), F.lit(1.0)) < 0.5)
@@ -118,8 +123,7 @@ def baseline_reset(ev: DataFrame) -> DataFrame:
 
 def downsample(ev: DataFrame, cap: int = 400) -> DataFrame:
     """At most cap events per log at even steps."""
-    n = F.count("*").over(Window.partitionBy("log"))
-    d = ev.withColumn("n", n)
+    d = ev.join(ev.groupBy("log").agg(F.count("*").alias("n")), "log").select(*ev.columns, "n")
     step = F.col("n") / cap
     k = F.ceil(F.col("seq") / step)
     keep = (F.col("n") <= cap) | ((k < cap) & (F.floor(k * step) == F.col("seq")))

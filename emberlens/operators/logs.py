@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.functions.text import is_user_code
+from emberlens.operators.ranges import last, running
 from emberlens.session import cut_lineage
 
 BUCKET_S, BEFORE_S, AFTER_S = 600, 7_200, 1_200
@@ -57,12 +58,19 @@ def oom_frames(markers: DataFrame, frames: DataFrame, sampled: int = 200) -> Dat
 
 def restarts(markers: DataFrame, events: DataFrame, captures: DataFrame) -> DataFrame:
     """Per capture (capture_id, at): whether the server started between the last out-of-memory before it
-    and the capture itself."""
+    and the capture itself.
+
+    An as-of join: captures and markers are one sequence in time, along which the last marker of each kind is
+    carried in ranges. At one time an out-of-memory comes before a capture, a start behind it.
+    """
     m = markers.where(F.col("kind").isin("oom", "server_start")).join(events.select(F.col("id").alias("event_id"), "ts"), "event_id").where("ts is not null")
-    # captures are few: one row per dump that is looked at
-    j = captures.join(m, (F.col("ts") < F.col("at")) | ((F.col("ts") == F.col("at")) & (F.col("kind") == "oom")), "left")
-    g = j.groupBy("capture_id").agg(F.max(F.when(F.col("kind") == "oom", F.col("ts"))).alias("last_oom"), F.max(F.when(F.col("kind") == "server_start", F.col("ts"))).alias("last_start"))
-    return g.select("capture_id", "last_oom", F.coalesce(F.col("last_start") > F.col("last_oom"), F.lit(False)).alias("restarted"))
+    none = F.lit(None).cast("timestamp")
+    m = m.select(F.lit(None).cast(captures.schema["capture_id"].dataType).alias("capture_id"), F.col("ts").alias("t"), F.when(F.col("kind") == "oom", 0).otherwise(2).alias("turn"), F.when(F.col("kind") == "oom", F.col("ts")).alias("oom"), F.when(F.col("kind") != "oom", F.col("ts")).alias("start"))
+    c = captures.select("capture_id", F.col("at").alias("t"), F.lit(1).alias("turn"), none.alias("oom"), none.alias("start"))
+    d = running(m.unionByName(c), [], ["t", "turn"], {"last_oom": last(F.col("oom")), "last_start": last(F.col("start"))}).where("turn = 1")
+    # without a time nothing is before a capture; one that is asked for twice has one answer
+    d = d.withColumns({x: F.when(F.col("t").isNotNull(), F.col(x)) for x in ("last_oom", "last_start")}).groupBy("capture_id").agg(F.max("last_oom").alias("last_oom"), F.max("last_start").alias("last_start"))
+    return d.select("capture_id", "last_oom", F.coalesce(F.col("last_start") > F.col("last_oom"), F.lit(False)).alias("restarted"))
 
 
 def redeploys(markers: DataFrame, loaders: DataFrame) -> DataFrame:

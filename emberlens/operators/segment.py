@@ -1,21 +1,22 @@
 """Flow segmentation: records to episodes, episodes to runs.
 
 Records carry flow_key, ts_ms, call_site, level, has_stack and their arrival order (o1, o2). Every
-strategy is one window pass over the records of a flow; the episode aggregate that follows keeps
-that partitioning, so segmentation costs one shuffle.
+strategy is a state machine over the records of a flow, put as running values: one window pass where all
+flows are small (the episode aggregate that follows keeps that partitioning, so segmentation costs one
+shuffle), ranges that cut flows where one is large (see ``ranges``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlens.operators.ranges import WINDOW_ROWS, largest, last, running, total
 
-def in_flow() -> WindowSpec:
-    """The records of a flow in arrival order."""
-    return Window.partitionBy("flow_key").orderBy("o1", "o2")
+
+ORDER = ("o1", "o2")
 
 
 def group_key(records: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -35,29 +36,30 @@ def _has_group(pattern: str) -> bool:
     return re.compile(pattern).groups > 0
 
 
-def idle_gap(records: DataFrame, gap_ms: int, terminals: Sequence[str] = ()) -> DataFrame:
+def idle_gap(records: DataFrame, gap_ms: int, terminals: Sequence[str] = (), limit: int = WINDOW_ROWS) -> DataFrame:
     """A new episode where more than gap_ms passed since the last known time; clocks that run
     backwards and unknown times pass no time. Closed episodes saw a terminal site."""
-    last = F.last("ts_ms", ignorenulls=True).over(in_flow().rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.coalesce((F.col("ts_ms") - last > gap_ms).cast("int"), F.lit(0))
-    d = records.withColumn("_new", starts).withColumn("ep", F.sum("_new").over(in_flow())).drop("_new")
+    most = largest(records, ["flow_key"])
+    d = running(records, ["flow_key"], ORDER, {"_last": last(F.col("ts_ms"))}, limit, most)
+    starts = F.coalesce((F.col("ts_ms") - F.col("_last") > gap_ms).cast("int"), F.lit(0))
+    d = running(d.withColumn("_new", starts), ["flow_key"], ORDER, {"ep": total(F.col("_new"))}, limit, most).drop("_new", "_last")
     return d.withColumn("closing", _among("call_site", terminals))
 
 
-def entry_marker(records: DataFrame, entries: Sequence[str], terminals: Sequence[str] = ()) -> DataFrame:
+def entry_marker(records: DataFrame, entries: Sequence[str], terminals: Sequence[str] = (), limit: int = WINDOW_ROWS) -> DataFrame:
     """An episode opens at an entry site and ends at the next or with its first terminal site;
     records outside of episodes go."""
-    d = records.withColumn("ep", F.sum(_among("call_site", entries).cast("int")).over(in_flow())).where("ep > 0")
+    most = largest(records, ["flow_key"])
+    d = running(records, ["flow_key"], ORDER, {"ep": total(_among("call_site", entries).cast("int"))}, limit, most).where("ep > 0")
     d = d.withColumn("closing", _among("call_site", terminals))
-    earlier = Window.partitionBy("flow_key", "ep").orderBy("o1", "o2").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn("_done", F.coalesce(F.sum(F.col("closing").cast("int")).over(earlier), F.lit(0))).where("_done = 0").drop("_done")
+    return running(d, ["flow_key", "ep"], ORDER, {"_done": total(F.col("closing").cast("int"), inclusive=False)}, limit, most).where("_done = 0").drop("_done")
 
 
-def correlation(records: DataFrame, terminals: Sequence[str] = ()) -> DataFrame:
+def correlation(records: DataFrame, terminals: Sequence[str] = (), limit: int = WINDOW_ROWS) -> DataFrame:
     """All records of a key are one episode, in time order, unknown times last."""
     late = F.coalesce(F.col("ts_ms"), F.lit(2**62))
-    order = F.row_number().over(Window.partitionBy("flow_key").orderBy(late, "o1", "o2"))
-    return records.withColumn("o1", order.cast("bigint")).withColumns({"o2": F.lit(0).cast("bigint"), "ep": F.lit(0).cast("bigint"), "closing": _among("call_site", terminals)})
+    d = running(records, ["flow_key"], [late, *ORDER], {"_place": total(F.lit(1))}, limit)
+    return d.withColumn("o1", F.col("_place").cast("bigint")).drop("_place").withColumns({"o2": F.lit(0).cast("bigint"), "ep": F.lit(0).cast("bigint"), "closing": _among("call_site", terminals)})
 
 
 def _among(c: str, sites: Sequence[str]) -> Column:

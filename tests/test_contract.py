@@ -118,10 +118,19 @@ def test_retained_sets_of_deep_trees_are_ranges(spark):
     n = 100_000
     d = spark.range(n).select(named("id").alias("node"), named("id - 1").alias("parent"), "id")
     tree = d.selectExpr("node", "if(id = 0, node, parent) AS parent", "1 AS weight")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
     lab = C.labels(tree, limit=1_000)
     dom = lab.join(tree.select("node", "parent"), "node")
     assert H.dom_subtree(dom, "n0090000").count() == n - 90_000
     assert lab.where("depth <> pre or weight <> last - pre + 1").isEmpty()
+    bushy = spark.range(1, 5_000).selectExpr("format_string('b%05d', id) AS node", "format_string('b%05d', greatest(id div 7, 1)) AS parent", "id AS weight")
+    lab = {r.node: r for r in C.labels(bushy, limit=20).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.pre for r in lab.values()) == list(range(4_999))
+    for i in range(2, 5_000):
+        up, me = lab[f"b{max(i // 7, 1):05d}"], lab[f"b{i:05d}"]
+        assert up.pre < me.pre <= me.last <= up.last and me.depth == up.depth + 1
+    assert lab["b00001"].weight == sum(range(1, 5_000))
 
 
 def test_reachability_however_far(spark):
