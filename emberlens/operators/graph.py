@@ -92,11 +92,13 @@ def _reach(t: pa.Table) -> pa.Table:
     return pa.table({"node": names.take(pa.array(np.flatnonzero(np.frombuffer(seen, dtype=np.uint8))))})
 
 
-def distances(edges: DataFrame, start: DataFrame, depth: int = 40) -> DataFrame:
-    """node, depth of the shortest way from start, up to a depth."""
+def distances(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, depth of the shortest way from start; a depth, where given, is the farthest that is looked for."""
     e = edges.select("src", "dst")
     seen = front = cut_lineage(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    for k in range(1, depth + 1):
+    k = 0
+    while depth is None or k < depth:
+        k += 1
         front = cut_lineage(front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(k)))
         if front.isEmpty():
             break
@@ -139,7 +141,9 @@ def retained_without(edges: DataFrame, roots: DataFrame, removed: DataFrame) ->
 
 
 def paths_to_roots(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth: int = 40, per_target: int = 5) -> DataFrame:
-    """Shortest ways from each target back to a root: target, root, hops, path (array from the root)."""
+    """Shortest ways from each target back to a root: target, root, hops, path (array from the root), partial:
+    whether ways of more than ``depth`` steps were left. A target all whose ways are longer has one row that
+    says so, with nulls."""
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("up"))
     r = roots.select(F.col("node").alias("at")).distinct().withColumn("is_root", F.lit(True))
     front = cut_lineage(targets.select(F.col("node").alias("target"), F.col("node").alias("at"), F.array("node").alias("path")))
@@ -155,7 +159,9 @@ def paths_to_roots(edges: DataFrame, roots: DataFrame, targets: DataFrame, depth
         front = cut_lineage(front.withColumn("k", F.row_number().over(meet)).where("k = 1").drop("k"))
         if front.isEmpty():
             break
-    return out.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("hops", "path"))).where(F.col("k") <= per_target).drop("k")
+    more = front.select("target", F.lit(True).alias("partial")).distinct()
+    best = out.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("hops", "path"))).where(F.col("k") <= per_target).drop("k")
+    return best.join(more, "target", "full").select("target", "root", "hops", "path", F.coalesce("partial", F.lit(False)).alias("partial"))
 
 
 def immediate_dominators(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:

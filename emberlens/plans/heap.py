@@ -163,7 +163,7 @@ def _paths(spark, sf):
     return GR.paths_to_roots(H.strong(edges(spark, sf)), roots(spark, sf), t)
 
 
-@query(_PATHS + " SELECT target, root, hops, array_to_string(path, '>') AS path FROM ph")
+@query(_PATHS + " SELECT target, root, hops, array_to_string(path, '>') AS path, false AS partial FROM ph")
 def hp_root_paths(spark, sf):
     return _paths(spark, sf).withColumn("path", F.array_join("path", ">"))
 

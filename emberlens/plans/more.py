@@ -18,7 +18,7 @@ from emberlens.plans import heap as PH
 from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL
 from emberlens.session import shared_dir, table, write_table
 from emberlens.sources import lines as S
-from emberlens.sources import server_log, snapshots, thread_dump
+from emberlens.sources import artifacts, server_log, snapshots, thread_dump
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -416,8 +416,11 @@ def src_field_ops(spark, sf):
 
 @query("SELECT p_partkey, p_brand FROM part")
 def sink_artifact(spark, sf):
-    path = snapshots.write_artifact(table(spark, sf, "part").select("p_partkey", "p_brand"), f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}", "a1")
-    return spark.read.parquet(path)
+    folder, parts = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}", table(spark, sf, "part")
+    artifacts.write_artifact(parts.select("p_partkey"), folder, "parts")
+    artifacts.write_artifact(parts.select("p_partkey", "p_brand"), folder, "parts")
+    artifacts.vacuum(spark, folder, "parts")
+    return artifacts.read_artifact(spark, folder, "parts")
 
 
 @query("SELECT 'signup' AS entry_sites, 43200000 AS idle_gap_ms, 2 AS signature_k, 1.2::DOUBLE AS timing_factor, 2.0::DOUBLE AS rarity_weight")

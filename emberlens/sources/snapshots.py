@@ -161,13 +161,6 @@ def write_histogram_csv(hist: DataFrame, path: str) -> None:
     hist.select(guarded(F.col("class_name")).alias("class_name"), "instances", "bytes").orderBy(F.desc("bytes"), "class_name").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_artifact(df: DataFrame, folder: str, analysis: str) -> str:
-    """One analysis as Parquet under its id; a failed write leaves no readable artifact."""
-    path = f"{folder}/{analysis}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 def report_json(ranked: DataFrame, top: int = 20) -> str:
     """The top findings as JSON, numbers rounded to six places; at most ``top`` rows reach the driver."""
     rows = ranked.where(F.col("rank") <= top).orderBy("rank").limit(top).collect()
