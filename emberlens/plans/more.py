@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlens.functions import text as T
+from emberlens.operators import baseline as BASE
+from emberlens.operators import detect as DET
 from emberlens.operators import evidence as E
 from emberlens.operators import gc as G
 from emberlens.operators import rank as R
@@ -18,7 +20,7 @@ from emberlens.plans import heap as PH
 from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL
 from emberlens.session import shared_dir, table, write_table
 from emberlens.sources import lines as S
-from emberlens.sources import artifacts, server_log, snapshots, thread_dump
+from emberlens.sources import artifacts, server_log, snapshots, synthetic, thread_dump
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -305,13 +307,34 @@ def db_coverage(spark, sf):
     return spark.createDataFrame(list(got.items()), "section string, status string")
 
 
-@query("SELECT count(*) AS lines, count(*) FILTER (event_id % 50 = 0) AS entries FROM events")
+_NAMES = "[" + ", ".join(f"'{k}'" for k in synthetic.SHAPES) + "]"
+
+
+def _draw_sql(kind: int, counter: str) -> str:
+    """The generator's draw in SQL."""
+    x = str(7_919 + kind * 104_729)
+    for c in (counter, str(kind)):
+        x = f"(SELECT xor(x, x >> 15) FROM (SELECT (({x})::BIGINT + {c}) * {synthetic.FACTOR} % {synthetic.MODULUS} AS x))"
+    return f"({x} >> 12)"
+
+
+@query(
+    f"""WITH k AS (SELECT count(*) // 10 AS m FROM events), e AS (
+  SELECT n, {_draw_sql(1, 'n')} % 5 AS s, {_draw_sql(2, 'n')} % 50 AS rare, {_draw_sql(3, 'n')} % 3 AS kind, m FROM (SELECT unnest(range(m)) AS n, m FROM k)),
+p AS (SELECT {_NAMES}[s + 1] AS shape, CASE WHEN n >= 16 AND n < m - 16 - m % 16 AND rare = 0 THEN ['TRUNCATION', 'DIVERGENCE', 'TIMING'][kind + 1] END AS type FROM e)
+SELECT shape, type, count(*) AS planted, count(*) AS found, 0 AS beside FROM p WHERE type IS NOT NULL GROUP BY ALL"""
+)
 def src_synthetic(spark, sf):
-    """Episodes made from a count: records at even steps, a new flow every fifty."""
-    n = table(spark, sf, "events").count()
-    d = spark.range(n).select(F.lit("t").alias("flow_key"), F.lit("t").alias("thread_id"), (F.col("id") * 10).alias("ts_ms"), F.when(F.col("id") % 50 == 0, "in").otherwise("step").alias("call_site"), F.lit("INFO").alias("level"), F.lit("").alias("message"), F.col("id").alias("o1"), F.col("id").alias("o2"))
-    e = SEG.episodes(SEG.entry_marker(d, ["in"]))
-    return e.agg(F.sum("n_records").alias("lines"), F.count("*").alias("entries"))
+    """Of flows made from the number of events: defects planted and found for each shape and kind, and findings beside them."""
+    s = synthetic.Scenario(table(spark, sf, "events").count() // 10)
+    c = s.config()
+    eps = SEG.episodes(SEG.entry_marker(synthetic.records(spark, s), c.entry_sites, c.terminal_sites))
+    # a cluster is one shape, told by its first site
+    shape = F.element_at(F.create_map(*[F.lit(x) for k, v in synthetic.SHAPES.items() for x in (v[0], k)]), F.substring_index("signature", " > ", 1))
+    found = DET.findings(BASE.clustered(eps, c.signature_k, 1), c).select("flow_key", "ep", "type", "index", shape.alias("_shape"), F.lit(1).alias("hit"))
+    both = synthetic.truth(spark, s).withColumn("made", F.lit(1)).join(found, ["flow_key", "ep", "type", "index"], "full")
+    d = both.groupBy(F.coalesce("shape", "_shape").alias("shape"), "type").agg(F.count("made").alias("planted"), F.count_if(F.col("made").isNotNull() & F.col("hit").isNotNull()).alias("found"), F.count_if(F.col("made").isNull()).alias("beside"))
+    return d.select("shape", "type", "planted", "found", F.col("beside").cast("int").alias("beside"))
 
 
 # ---- files that only the driver can write: a few small ones, put into the shared folder
