@@ -7,10 +7,10 @@ smallest hashes of a set's shingles, with k the least number for which an item c
 threshold must share one of them: of n shingles at most n - ceil(t * n) may be absent, so
 n - ceil(t * n) + 1 sketch hashes miss no item, and the partition takes that number at its upper size.
 
-Documents probe each partition with their shingle hashes up to its own largest sketch hash. Sketches
-are broadcast while their rows stay within a limit, partitions of short items first, whose hashes reach
-furthest; the rest is probed through a shuffle by hash, of which the bound of those partitions keeps out
-the most. Documents that meet a set are cut to shingles once for a block of sets, and the shingles of
+Sketches are broadcast while their rows stay within a limit, partitions of short items first, whose hashes
+reach furthest; those meet all shingle hashes of the documents in one map-side join. The rest is probed
+through a shuffle by hash, of which the largest sketch hash of the remaining partitions keeps out the most.
+Documents that meet a set are cut to shingles once for a block of sets, and the shingles of
 each, as strings, are counted in the document.
 
 Words are runs of letters, marks and digits of the lower-cased text; a shingle is five words.
