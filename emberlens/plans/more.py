@@ -319,14 +319,14 @@ def _draw_sql(kind: int, counter: str) -> str:
 
 
 @query(
-    f"""WITH k AS (SELECT count(*) // 10 AS m FROM events), e AS (
+    f"""WITH k AS (SELECT count(*) AS m FROM events), e AS (
   SELECT n, {_draw_sql(1, 'n')} % 5 AS s, {_draw_sql(2, 'n')} % 50 AS rare, {_draw_sql(3, 'n')} % 3 AS kind, m FROM (SELECT unnest(range(m)) AS n, m FROM k)),
 p AS (SELECT {_NAMES}[s + 1] AS shape, CASE WHEN n >= 16 AND n < m - 16 - m % 16 AND rare = 0 THEN ['TRUNCATION', 'DIVERGENCE', 'TIMING'][kind + 1] END AS type FROM e)
 SELECT shape, type, count(*) AS planted, count(*) AS found, 0 AS beside FROM p WHERE type IS NOT NULL GROUP BY ALL"""
 )
 def src_synthetic(spark, sf):
     """Of flows made from the number of events: defects planted and found for each shape and kind, and findings beside them."""
-    s = synthetic.Scenario(table(spark, sf, "events").count() // 10)
+    s = synthetic.Scenario(table(spark, sf, "events").count())
     c = s.config()
     eps = SEG.episodes(SEG.entry_marker(synthetic.records(spark, s), c.entry_sites, c.terminal_sites))
     # a cluster is one shape, told by its first site
