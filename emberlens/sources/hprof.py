@@ -239,8 +239,8 @@ def _walk(expanded_bytes: int):
 
 # ---- ranges of large dumps
 
-#: Bytes of a dump from which on it is read in ranges, about so many bytes each, and what a task holds of it.
-RANGE_BYTES, WINDOW = 64 << 20, 4 << 20
+#: Bytes of a dump from which on it is read in ranges, about so many bytes a task, and what a task holds of it.
+RANGE_BYTES, WINDOW = 16 << 20, 4 << 20
 HEADS = "path string, kind string, a bigint, b bigint, id_size int, text string"
 CLASSES = "path string, cid bigint, super bigint, statics array<bigint>, fields array<struct<name: bigint, kind: int>>"
 
@@ -541,7 +541,9 @@ def read_ranges(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_
     heads = write_table(files.select("path", "length").repartition(n_files).mapInArrow(_heads(range_bytes), HEADS), "hprof-heads")
     whole = [r.path for r in heads.where("kind = 'whole'").select("path").collect()]
     ranges = heads.where("kind = 'range'").select("path", "a", "b", "id_size")
-    n = max(1, ranges.count())
+    some = ranges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("b") - F.col("a")), F.lit(0)).alias("size")).first()
+    # dumps of small segments have several of them in a task
+    n = max(1, min(some.n, max(-(-some.size // range_bytes), spark.sparkContext.defaultParallelism)))
     classes = write_table(ranges.repartition(n).mapInArrow(_class_layouts, CLASSES), "hprof-classes")
     loads = heads.where("kind = 'load'").select("path", F.col("a").alias("cid"), F.col("b").alias("name"))
     used = classes.select("path", F.explode(F.concat("statics", F.transform("fields", lambda f: f["name"]))).alias("a")).unionByName(loads.select("path", F.col("name").alias("a"))).distinct()
