@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from emberlens.functions.text import is_user_code, outer_class
 from emberlens.operators.graph import cut_lineage
@@ -86,27 +89,69 @@ def heap_threads(roots: DataFrame, traces: DataFrame, objects: DataFrame) -> Dat
 
 
 def trace_retention(edges: DataFrame, roots: DataFrame, samples: DataFrame, classes_of: DataFrame, levels: int = 6) -> DataFrame:
-    """What holds sampled objects: walking references backwards level by level, the first static field,
-    field of an application class or root of each sample. classes_of: (oid, class_name)."""
-    back = edges.where("strength = 'strong'").select(F.col("dst").alias("at"), F.col("src").alias("up"), "field")
-    back = cut_lineage(back.join(classes_of.select(F.col("oid").alias("up"), "class_name"), "up", "left"))
-    r = roots.select(F.col("node").alias("at")).distinct().withColumn("is_root", F.lit(True))
-    front = cut_lineage(samples.select(F.col("oid").alias("sample"), F.col("oid").alias("at")))
-    out = None
+    """What holds sampled objects (oid, or oid and the name of its ``trace``, which else is each its own).
+
+    References are walked backwards, all samples of a trace as one front. First come samples that a static field
+    or root holds; then, of the objects that hold the front, those that a static field holds, are of an application
+    class, or are roots, in this order for one object, and the first object wins: by ``row`` of edges where there is
+    such a column (their place in the dump), else by kind and name. Each level keeps one predecessor of every
+    object; only the winner is unfolded, so its path is one that is there.
+
+    sample, level (of the last object that refers to nothing but the path), kind (static, field, root; null where no
+    level has any, then the path is the first of the longest), holder, field, path (labels from the sample on),
+    objects (of the path), partial (whether levels ended the search). classes_of: (oid, class_name).
+    """
+    names = classes_of.select(F.col("oid").alias("up"), "class_name")
+    place = F.col("row") if "row" in edges.columns else F.lit(0)
+    back = edges.where("strength = 'strong'").select(F.col("dst").alias("at"), F.col("src").alias("up"), "field", place.alias("row"))
+    back = cut_lineage(back.join(names, "up", "left"))
+    static = F.col("field").startswith("static:")
+    held = back.where(static).groupBy("at").agg(F.min_by(F.struct("up", "field", F.concat_ws(".", "class_name", F.substring("field", 8, 1 << 20)).alias("label")), F.struct("row", "up", "field")).alias("static"))
+    # what leads to a class or is led to by its loader isn't a reference of an object
+    back = back.where(~static & ~F.col("field").startswith("<"))
+    ends = roots.select(F.col("node").alias("at")).distinct().withColumn("is_root", F.lit(True)).join(held, "at", "full")
+    trace = F.col("trace") if "trace" in samples.columns else F.col("oid")
+    front = samples.select(trace.alias("sample"), F.col("oid").alias("at")).distinct().join(names.withColumnRenamed("up", "at"), "at", "left")
+    none = F.lit(None).cast(edges.schema["src"].dataType)
+    front = cut_lineage(front.select("sample", "at", none.alias("below"), F.lit(None).cast("string").alias("field"), F.lit(0).cast("bigint").alias("row"), F.coalesce("class_name", F.lit("?")).alias("label"), F.lit(False).alias("own")))
+    fronts, found = [front], []
     for k in range(levels + 1):
-        here = front.join(r, "at")
-        root = here.select("sample", F.lit(k).alias("level"), F.lit("root").alias("kind"), F.col("at").alias("holder"), F.lit("").alias("field"))
-        up = front.join(back, "at")
-        kind = F.when(F.col("field").startswith("static:"), "static").when(is_user_code(F.coalesce("class_name", F.lit(""))) & ~F.col("field").startswith("<"), "field")
-        found = up.select("sample", F.lit(k).alias("level"), kind.alias("kind"), F.col("up").alias("holder"), "field").where("kind is not null").unionByName(root)
+        here = front.join(ends, "at", "left").withColumn("kind", F.when(F.col("static").isNotNull(), "static").when(F.col("own"), "field").when(F.col("is_root"), "root"))
         rank = F.when(F.col("kind") == "static", 0).when(F.col("kind") == "field", 1).otherwise(2)
-        first = cut_lineage(found.groupBy("sample").agg(F.min_by(F.struct("level", "kind", "holder", "field"), F.struct(rank, "holder", "field")).alias("h")).select("sample", "h.*"))
-        out = first if out is None else out.unionByName(first)
-        front = up.join(first.select("sample"), "sample", "left_anti").select("sample", F.col("up").alias("at")).distinct()
-        front = cut_lineage(front)
+        # the object that wins, and how it is reported: by what holds it, or as the holder of the one below
+        holder = F.when(F.col("kind") == "static", F.col("static.up")).otherwise(F.col("at"))
+        field = F.when(F.col("kind") == "static", F.col("static.field")).when(F.col("kind") == "field", F.col("field")).otherwise("")
+        end = F.when(F.col("kind") == "static", F.array("static.label")).when(F.col("kind") == "root", F.array(F.lit("a GC root"))).otherwise(F.array().cast("array<string>"))
+        level = F.when(F.col("kind") == "field", k - 1).otherwise(k)
+        won = F.struct(level.alias("level"), "kind", holder.alias("holder"), field.alias("field"), end.alias("path"), "at")
+        first = here.where("kind is not null").groupBy("sample").agg(F.min_by(won, F.struct("row", rank, holder, field)).alias("w")).select("sample", "w.*", F.lit(False).alias("partial"))
+        first = cut_lineage(first)
+        found.append(first)
+        if k == levels:
+            break
+        up = front.join(first.select("sample"), "sample", "left_anti").select("sample", F.col("at").alias("below")).join(back.withColumnRenamed("at", "below"), "below")
+        for seen in fronts:
+            up = up.join(seen.select("sample", F.col("at").alias("up")), ["sample", "up"], "left_anti")
+        one = up.groupBy("sample", "up").agg(F.min_by(F.struct("below", "field", "row", "class_name"), F.struct("row", "field", "below")).alias("e")).select("sample", F.col("up").alias("at"), "e.*")
+        item = F.col("field").startswith("[")
+        label = F.when(item, F.concat(F.regexp_replace(F.coalesce("class_name", F.lit("?")), r"(?:\[\])?$", ""), F.lit("[]"))).otherwise(F.col("field"))
+        front = cut_lineage(one.select("sample", "at", "below", "field", F.col("row").cast("bigint").alias("row"), label.alias("label"), (~item & is_user_code(F.coalesce("class_name", F.lit("")))).alias("own")))
         if front.isEmpty():
             break
-    return out
+        fronts.append(front)
+    out = reduce(DataFrame.unionByName, found)
+    rest = fronts[0].select("sample").distinct().join(out.select("sample"), "sample", "left_anti")
+    reached = reduce(DataFrame.unionByName, [f.select("sample", "at", "row", F.lit(k).alias("level")) for k, f in enumerate(fronts)]).join(rest, "sample")
+    deepest = reached.groupBy("sample").agg(F.min_by(F.struct("level", "at"), F.struct(-F.col("level"), "row", "at")).alias("w"))
+    deepest = deepest.select("sample", "w.level", F.lit(None).cast("string").alias("kind"), F.col("w.at").alias("holder"), F.lit("").alias("field"), F.array().cast("array<string>").alias("path"), "w.at", (F.col("w.level") == levels).alias("partial"))
+    out = out.unionByName(deepest).withColumn("objects", F.array("at").cast(ArrayType(edges.schema["src"].dataType)))
+    step = lambda f: f.select("sample", "at", F.col("below").alias("_below"), F.col("label").alias("_label"))
+    for f in reversed(fronts):
+        # an object is in one front of a trace, so the others leave the row as it is
+        out = out.join(step(f), ["sample", "at"], "left")
+        out = out.withColumn("path", F.when(F.col("_label").isNull(), F.col("path")).otherwise(F.concat(F.array("_label"), "path")))
+        out = out.withColumn("objects", F.when(F.col("_below").isNull(), F.col("objects")).otherwise(F.concat(F.array("_below"), "objects"))).withColumn("at", F.coalesce("_below", "at")).drop("_below", "_label")
+    return out.drop("at").select("sample", "level", "kind", "holder", "field", "path", "objects", "partial")
 
 
 def explain(located: DataFrame, judged: DataFrame, findings: DataFrame, ranking: DataFrame, top_n: int, sampled_sites: DataFrame) -> DataFrame:

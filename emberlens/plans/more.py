@@ -254,14 +254,23 @@ def hp_threads(spark, sf):
     return E.heap_threads(r, t, PH.objects(spark, sf))
 
 
-@query("SELECT 'S' || s_suppkey AS sample, 0 AS level, 'field' AS kind, 'N' || s_nationkey AS holder, 'Nation.suppliers' AS field FROM supplier WHERE s_acctbal >= 0")
-def hp_trace_retention(spark, sf):
+def _retention(spark: SparkSession, sf: str) -> DataFrame:
     o = PH.objects(spark, sf)
     names = o.join(PH.classes(spark).select(F.col("cid").alias("class_id"), F.col("name").alias("class_name")), "class_id").select("oid", "class_name")
     s = table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("oid"))
     return E.trace_retention(PH.edges(spark, sf), PH.roots(spark, sf), s, names)
 
 
+@query("SELECT 'S' || s_suppkey AS sample, 0 AS level, 'field' AS kind, 'N' || s_nationkey AS holder, 'Nation.suppliers' AS field FROM supplier WHERE s_acctbal >= 0")
+def hp_trace_retention(spark, sf):
+    return _retention(spark, sf).select("sample", "level", "kind", "holder", "field")
+
+
+@query("SELECT 'S' || s_suppkey AS sample, 'com.acme.stock.Supplier > Nation.suppliers' AS path, 'S' || s_suppkey || ' < N' || s_nationkey AS objects, false AS partial FROM supplier WHERE s_acctbal >= 0")
+def hp_retention_paths(spark, sf):
+    return _retention(spark, sf).select("sample", F.array_join("path", " > ").alias("path"), F.array_join("objects", " < ").alias("objects"), "partial")
+
+
 @query("SELECT 'P' || p_partkey AS oid, 8 AS length FROM part WHERE p_size % 2 = 0")
 def hp_waste_constant(spark, sf):
     p = table(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("oid"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))).alias("sample"), F.lit(8).alias("length"))
