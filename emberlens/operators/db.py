@@ -137,9 +137,11 @@ def setting_number(value: Column, unit: Column) -> Column:
 
 
 def config(settings: DataFrame, engine: str, db_size: int, largest_table: int = 0) -> DataFrame:
-    """Checks of server settings (name, value, unit)."""
+    """Checks of server settings (name, value, unit); with a column ``server`` those of many servers, each checked
+    for itself, and objects are ``server.name``."""
     s = settings.withColumn("n", setting_number(F.col("value"), F.col("unit")))
-    row = s.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.lower("name"), F.struct("value", "n")))).alias("m"))  # some dozen settings
+    many = "server" in settings.columns
+    row = s.groupBy(*(["server"] if many else [])).agg(F.map_from_entries(F.collect_list(F.struct(F.lower("name"), F.struct("value", "n")))).alias("m"))  # some dozen settings
     num = lambda k: F.try_element_at("m", F.lit(k))["n"]
     txt = lambda k: F.upper(F.try_element_at("m", F.lit(k))["value"])
     if engine == "postgres":
@@ -169,8 +171,8 @@ def config(settings: DataFrame, engine: str, db_size: int, largest_table: int =
             ("performance_schema", F.when(txt("performance_schema") == "OFF", "INFO")),
             ("max_connections", F.when(num("max_connections") > 2000, "MEDIUM")),
         ]
-    d = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("o"), c.alias("s")) for k, c in checks])).alias("c"))
-    return _out(d, "R-CFG-PG" if engine == "postgres" else "R-CFG-MY", "config", F.col("c.s"), F.col("c.o"), F.lit(0.0))
+    d = row.select(*(["server"] if many else []), F.explode(F.array(*[F.struct(F.lit(k).alias("o"), c.alias("s")) for k, c in checks])).alias("c"))
+    return _out(d, "R-CFG-PG" if engine == "postgres" else "R-CFG-MY", "config", F.col("c.s"), F.concat_ws(".", "server", "c.o") if many else F.col("c.o"), F.lit(0.0))
 
 
 def num_gb(n: int) -> int:
@@ -276,13 +278,22 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 def coverage(sections: dict[str, DataFrame | None], needed: dict[str, tuple[str, ...]]) -> dict[str, str]:
     """Status of every section: missing, empty, partial (a needed column absent) or available."""
-    out = {}
+    known = [d for d in (sections.get(k) for k in needed) if d is not None]
+    if not known:
+        return dict.fromkeys(needed, "missing")
+    rows = coverage_table(sections, needed).select("section", "status").collect()  # a row for each section
+    return {r.section: r.status for r in rows}
+
+
+def coverage_table(sections: dict[str, DataFrame | None], needed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """section, status as of ``coverage``, rows of the section, and the needed columns it lacks; one job for all
+    sections, of which one at least is there."""
+    parts = []
+    spark = next(d for d in sections.values() if d is not None).sparkSession
     for name, cols in needed.items():
         d = sections.get(name)
-        if d is None:
-            out[name] = "missing"
-        elif d.isEmpty():
-            out[name] = "empty"
-        else:
-            out[name] = "available" if set(cols) <= set(d.columns) else "partial"
-    return out
+        lacking = sorted(set(cols) - set(d.columns)) if d is not None else list(cols)
+        n = d.agg(F.count("*").alias("rows")) if d is not None else spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
+        status = F.when(F.col("rows").isNull(), "missing").when(F.col("rows") == 0, "empty").when(F.lit(bool(lacking)), "partial").otherwise("available")
+        parts.append(n.select(F.lit(name).alias("section"), status.alias("status"), "rows", F.lit(",".join(lacking)).alias("lacking")))
+    return reduce(DataFrame.unionByName, parts)

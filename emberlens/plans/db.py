@@ -146,10 +146,18 @@ def db_m4(spark, sf):
     return _rounded(R.maintenance(tables(spark, sf), "mysql"))
 
 
-@query("SELECT * FROM (VALUES ('R-CFG-PG', 'config', 'LOW', 'shared_buffers', 'high', 0.0::DOUBLE), ('R-CFG-PG', 'config', 'MEDIUM', 'work_mem', 'high', 0.0), ('R-CFG-PG', 'config', 'LOW', 'effective_cache_size', 'high', 0.0), ('R-CFG-PG', 'config', 'LOW', 'random_page_cost', 'high', 0.0), ('R-CFG-PG', 'config', 'INFO', 'track_io_timing', 'high', 0.0), ('R-CFG-PG', 'config', 'LOW', 'checkpoint_completion_target', 'high', 0.0), ('R-CFG-PG', 'config', 'MEDIUM', 'max_connections', 'high', 0.0)) t(rule, category, severity, object, confidence, impact)")
+@query("""WITH s AS (SELECT 'db' || s_suppkey AS server, s_suppkey AS k, (SELECT sum(p_partkey) * 10485760 > 4294967296 FROM part) AS large FROM supplier),
+c AS (SELECT server, unnest([{'o': 'shared_buffers', 's': CASE WHEN k % 64 < 32 AND large THEN 'LOW' END}, {'o': 'work_mem', 's': CASE WHEN k % 50 * (k % 700) >= 16384 THEN 'MEDIUM' END}, {'o': 'max_connections', 's': CASE WHEN k % 700 > 500 THEN 'MEDIUM' END},
+  {'o': 'effective_cache_size', 's': CASE WHEN k % 3 = 0 THEN 'LOW' END}, {'o': 'random_page_cost', 's': CASE WHEN k % 5 = 4 THEN 'LOW' END}, {'o': 'track_io_timing', 's': CASE WHEN k % 2 = 0 THEN 'INFO' END}, {'o': 'checkpoint_completion_target', 's': CASE WHEN k % 10 < 7 THEN 'LOW' END}]) AS c FROM s)
+SELECT 'R-CFG-PG' AS rule, 'config' AS category, c.s AS severity, server || '.' || c.o AS object, 'high' AS confidence, 0.0::DOUBLE AS impact FROM c WHERE c.s IS NOT NULL""")
 def db_cfg(spark, sf):
-    rows = [("shared_buffers", "16384", "8kB"), ("work_mem", "65536", "kB"), ("max_connections", "512", None), ("effective_cache_size", "524288", "8kB"), ("random_page_cost", "4", None), ("track_io_timing", "off", None), ("checkpoint_completion_target", "0.5", None)]
-    return R.config(spark.createDataFrame(rows, "name string, value string, unit string"), "postgres", 20 * R.GB)
+    """A supplier is a server, of which each has settings of its own."""
+    k = F.col("s_suppkey")
+    of = lambda name, value, unit=None: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(unit).cast("string").alias("unit"))
+    rows = [of("shared_buffers", k % 64 * 1024, "8kB"), of("work_mem", k % 50 * 1024, "kB"), of("max_connections", k % 700), of("effective_cache_size", F.when(k % 3 == 0, 524_288).otherwise(1_048_576), "8kB"), of("random_page_cost", k % 5), of("track_io_timing", F.when(k % 2 == 0, "off").otherwise("on")), of("checkpoint_completion_target", k % 10 / 10)]
+    d = table(spark, sf, "supplier").select(F.concat(F.lit("db"), k.cast("string")).alias("server"), F.inline(F.array(*rows)))
+    size = tables(spark, sf).agg(F.sum("size_bytes")).first()[0] or 0
+    return R.config(d, "postgres", size)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT a FROM t WHERE id = ? AND name = ?' ELSE 'UPDATE t2 SET x = ? WHERE y > ?' END AS sql FROM orders")
@@ -160,10 +168,16 @@ def db_redact(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", R.redact(F.when(F.col("o_orderkey") % 2 == 0, a).otherwise(b)).alias("sql"))
 
 
-@query("SELECT * FROM (VALUES ('SP3', 'procedures', 'MEDIUM', 'public.p1', 'low', 0.0::DOUBLE), ('SP4', 'procedures', 'LOW', 'public.p1', 'low', 0.0), ('SP5', 'procedures', 'MEDIUM', 'public.p2', 'low', 0.0), ('SP6', 'procedures', 'MEDIUM', 'public.p2', 'low', 0.0), ('SP2', 'procedures', 'LOW', 'public.p3', 'low', 0.0)) t(rule, category, severity, object, confidence, impact)")
+@query("""WITH p AS (SELECT 'app.p' || p_partkey AS object, p_partkey % 6 AS k FROM part), r AS (SELECT object, unnest(CASE k WHEN 0 THEN [{'r': 'SP3', 's': 'MEDIUM'}, {'r': 'SP4', 's': 'LOW'}] WHEN 1 THEN [{'r': 'SP5', 's': 'MEDIUM'}, {'r': 'SP6', 's': 'MEDIUM'}] WHEN 2 THEN [{'r': 'SP2', 's': 'LOW'}] WHEN 3 THEN [{'r': 'SP4', 's': 'LOW'}] END) AS u FROM p WHERE k < 4)
+SELECT u.r AS rule, 'procedures' AS category, u.s AS severity, object, 'low' AS confidence, 0.0::DOUBLE AS impact FROM r""")
 def db_sp(spark, sf):
-    rows = [("public", "p1", "DECLARE c CURSOR FOR SELECT * FROM t; LOOP FETCH c INTO x; END LOOP;"), ("public", "p2", "EXECUTE format('x'); SELECT a FROM t WHERE lower(name) = 'y'; -- SELECT *"), ("public", "p3", "CREATE TEMP TABLE s AS SELECT a FROM t;"), ("public", "p4", "SELECT a FROM t WHERE b = 1;")]
-    return R.procedures(spark.createDataFrame(rows, "schema_name string, name string, definition string"))
+    """A part is a routine, in one of six forms: two of them do no harm, or only in comments and literals."""
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    body = F.when(k == 0, F.concat(F.lit("DECLARE c CURSOR FOR SELECT * FROM stock WHERE name = '"), name, F.lit("'; LOOP FETCH c INTO x; END LOOP;")))
+    body = body.when(k == 1, F.concat(F.lit("EXECUTE format('x'); SELECT a FROM stock WHERE lower(name) = '"), name, F.lit("'; -- SELECT *")))
+    body = body.when(k == 2, F.concat(F.lit("CREATE TEMP TABLE s AS SELECT a FROM stock /* "), name, F.lit(" */;"))).when(k == 3, F.concat(F.lit("CREATE TEMPORARY TABLE s (a int); CREATE INDEX i ON s (a); SELECT  * FROM s WHERE b = '"), name, F.lit("';")))
+    body = body.when(k == 4, F.concat(F.lit("SELECT a FROM stock WHERE name = 'select * from "), name, F.lit("';"))).otherwise(F.concat(F.lit("/* cursor for "), name, F.lit(" */ SELECT a FROM stock WHERE b = 1; -- loop")))
+    return R.procedures(table(spark, sf, "part").select(F.lit("app").alias("schema_name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), body.alias("definition")))
 
 
 @query("SELECT 'SP1' AS rule, 'procedures' AS category, 'MEDIUM' AS severity, 'app.r' || p_partkey AS object, 'medium' AS confidence, 0.0::DOUBLE AS impact, CASE p_partkey % 4 WHEN 0 THEN 'o.id' WHEN 1 THEN 'p_id' ELSE 't.id' END AS left, CASE p_partkey % 4 WHEN 0 THEN 'bigint' WHEN 1 THEN 'varchar(20)' ELSE 'varchar(20)' END AS left_type, CASE p_partkey % 4 WHEN 0 THEN 'v_id' ELSE 'o.id' END AS right, CASE p_partkey % 4 WHEN 0 THEN 'varchar(12)' ELSE 'bigint' END AS right_type FROM part WHERE p_partkey % 4 < 3")

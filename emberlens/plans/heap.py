@@ -109,12 +109,15 @@ def hp_hist_query(spark, sf):
     return H.histogram_page(_part_hist(spark, sf), "A", offset=1, limit=3)
 
 
-_FIELDS = [("c:O", "total", "prim"), ("c:O", "customer", "object"), ("c:C", "orders", "object"), ("c:B", "lock", "object"), ("c:B", "meta", "object"), ("c:P", "table", "object")]
-
-
-@query("SELECT * FROM (VALUES ('c:O', 3), ('c:C', 3), ('c:S', 2), ('c:N', 2), ('c:R', 2), ('c:P', 1), ('c:B', 2)) t(cid, ref_fields)")
+@query("""WITH RECURSIVE up(cid, a) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT cid, a // 10 FROM up WHERE a > 0), f AS (SELECT cid, sum(a % 4) AS n FROM up GROUP BY cid HAVING bool_or(a % 4 > 0))
+SELECT 'c' || cid AS cid, n::BIGINT AS ref_fields FROM f""")
 def hp_ref_fields(spark, sf):
-    return H.ref_fields(classes(spark), spark.createDataFrame(_FIELDS, "cid string, field string, kind string"))
+    """A part is a class whose superclass is a tenth of its key, with as many references as its key modulo 4, and one number."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part")
+    cls = p.select(_id("c", "p_partkey").alias("cid"), F.lit("C").alias("name"), F.when(k > 0, F.concat(F.lit("c"), F.floor(k / 10).cast("string"))).alias("super"), F.lit("app").alias("loader"))
+    refs = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("field"), F.when(i == 0, "prim").otherwise("object").alias("kind")))
+    return H.ref_fields(cls, p.select(_id("c", "p_partkey").alias("cid"), F.inline(refs)))
 
 
 @query(_H + " SELECT class_id, kind, count(*) AS n, sum(shallow)::BIGINT AS bytes FROM ob GROUP BY ALL")
@@ -313,9 +316,13 @@ def hp_dup_classes(spark, sf):
     return H.duplicate_classes(table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("loader")))
 
 
-@query(_H + ", k AS (SELECT loader, CASE name WHEN 'com.acme.shop.Order' THEN 'com.acme.shop' WHEN 'com.acme.shop.Customer' THEN 'com.acme.shop' WHEN 'com.acme.stock.Supplier' THEN 'com.acme.stock' WHEN 'java.util.HashMap' THEN 'java.util' ELSE 'com.acme' END AS package, count(*) AS n FROM cl GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY loader ORDER BY n DESC, package) AS rank FROM k QUALIFY rank <= 3")
+@query("""WITH k AS (SELECT p_brand AS loader, CASE WHEN p_partkey % 4 = 0 THEN 'org.shop' ELSE 'com.shop.s' || p_size % 7 END AS package, count(*) AS n FROM part GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY loader ORDER BY n DESC, package) AS rank FROM k QUALIFY rank <= 3""")
 def hp_packages(spark, sf):
-    return H.packages(classes(spark))
+    """A part is a class, its brand the loader."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("org.shop.C"), k.cast("string"))).otherwise(F.concat(F.lit("com.shop.s"), (F.col("p_size") % 7).cast("string"), F.lit(".deep.C"), k.cast("string")))
+    return H.packages(table(spark, sf, "part").select(name.alias("name"), F.col("p_brand").alias("loader")))
 
 
 @query(_H + ", " + _HIST + ", t AS (SELECT sum(bytes) AS total FROM hi) SELECT class_name, instances, bytes, 'top_class' AS rule, 'warning' AS severity FROM hi, t WHERE bytes / total > 0.3 UNION ALL SELECT class_name, instances, bytes, 'many_instances', 'warning' FROM hi WHERE instances > 100000")

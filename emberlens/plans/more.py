@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,10 @@ from emberlens.operators import segment as SEG
 from emberlens.plans import evidence as PE
 from emberlens.plans import flow as PF
 from emberlens.plans import heap as PH
-from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL
+from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL, RECORDS_SQL
 from emberlens.session import shared_dir, table, write_table
 from emberlens.sources import lines as S
-from emberlens.sources import artifacts, server_log, snapshots, synthetic, thread_dump
+from emberlens.sources import artifacts, files, server_log, snapshots, synthetic, thread_dump
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,6 +96,38 @@ def log_events(spark, sf):
     return _events(spark, sf).select("request_id", "level", "thread", "logger", F.unix_seconds("ts").alias("at"), "exception")
 
 
+# the lines of server_lines in SQL
+_SL = """WITH sl AS (SELECT event_id, event_type = 'error' AS failed, 'log/' || event_id // 4096 || '.log' AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' [exec-1] com.acme.Shop - requestId=r' || event_id || ' served' ||
+  CASE WHEN event_type = 'error' THEN chr(10) || 'java.lang.IllegalStateException: no' || chr(10) || chr(9) || 'at com.acme.Shop.pay(Shop.java:42)' || chr(10) || 'Caused by: java.lang.OutOfMemoryError: heap ' || event_id % 3 ELSE '' END || chr(10) AS value FROM events)"""
+
+
+def _server_files(spark: SparkSession, sf: str) -> str:
+    """The folder of server logs of 4,096 events each."""
+    d = server_lines(spark, sf).groupBy(F.floor(F.col("event_id") / 4096).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: F.concat(x["value"], F.lit("\n"))), "").alias("text"))
+    return _put(spark, d.select(F.concat(F.lit("log/"), F.col("k").cast("string"), F.lit(".log")).alias("name"), F.encode("text", "UTF-8").alias("data")), "logs")
+
+
+_SHORT = r"(log/[^/]*)$"
+
+
+@query(_SL + ", p AS (SELECT *, sum(strlen(value)) OVER (PARTITION BY name ORDER BY event_id)::BIGINT AS byte_end FROM sl) SELECT 'r' || event_id AS request_id, name, byte_end - strlen(value) AS byte_start, byte_end FROM p")
+def src_log_ranges(spark, sf):
+    e = server_log.events(S.read_lines(spark, _server_files(spark, sf), with_bytes=True))
+    return e.select("request_id", F.regexp_extract("file", _SHORT, 1).alias("name"), "byte_start", "byte_end")
+
+
+@query(_SL + " SELECT name, sum(strlen(value))::BIGINT AS bytes, sum(CASE WHEN failed THEN 4 ELSE 1 END)::BIGINT AS lines, count(*) AS events, 0 AS truncated_events, 0 AS unrecognized_events, 0 AS unaligned_timestamps, 0 AS oversized_lines, 0 AS omitted_frames, 0 AS omitted_markers, 0 AS omitted_chars, 0 AS replacement_characters FROM sl GROUP BY name")
+def src_log_accounts(spark, sf):
+    a = server_log.accounts(server_log.events(S.read_lines(spark, _server_files(spark, sf), with_bytes=True)))
+    counts = [F.col(c).cast("int" if c not in ("bytes", "lines", "events") else "bigint").alias(c) for c in a.columns if c != "file"]
+    return a.select(F.regexp_extract("file", _SHORT, 1).alias("name"), *counts)
+
+
+@query(_SL + " SELECT name, sum(strlen(value))::BIGINT AS length, sha256(string_agg(value, '' ORDER BY event_id)) AS sha256 FROM sl GROUP BY name")
+def src_log_digest(spark, sf):
+    return files.file_digests(spark, _server_files(spark, sf)).select(F.regexp_extract("path", _SHORT, 1).alias("name"), "length", "sha256")
+
+
 @query("SELECT 'heap ' || event_id % 3 AS detail, 'oom' AS kind, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL")
 def fn_markers(spark, sf):
     d = server_lines(spark, sf).select(F.inline(server_log.markers_of(F.split("value", "\n"))))
@@ -307,13 +340,14 @@ def sink_report_json(spark, sf):
     return text.select(F.inline(found))
 
 
-@query("SELECT 'queries' AS section, 'partial' AS status UNION ALL SELECT 'tables', 'missing' UNION ALL SELECT 'settings', 'empty' UNION ALL SELECT 'sessions', 'available'")
+@query("SELECT 'queries' AS section, 'available' AS status, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS rows, '' AS lacking UNION ALL SELECT 'tables', 'partial', (SELECT count(*) FROM part), 'owner' UNION ALL SELECT 'indexes', 'missing', NULL, 'name' UNION ALL SELECT 'sessions', 'available', (SELECT count(*) FROM customer), '' UNION ALL SELECT 'settings', 'empty', 0, ''")
 def db_coverage(spark, sf):
     from emberlens.operators import db
+    from emberlens.plans import db as PD
 
-    n = table(spark, sf, "nation")
-    got = db.coverage({"queries": n, "tables": None, "settings": n.limit(0), "sessions": n}, {"queries": ("calls",), "tables": ("name",), "settings": ("name",), "sessions": ("n_name",)})
-    return spark.createDataFrame(list(got.items()), "section string, status string")
+    people = table(spark, sf, "customer").select(F.col("c_name").alias("name"))
+    sections = {"queries": PD.statements(spark, sf), "tables": PD.tables(spark, sf), "sessions": people, "settings": people.where("name is null")}
+    return db.coverage_table(sections, {"queries": ("calls",), "tables": ("name", "owner"), "indexes": ("name",), "sessions": ("name",), "settings": ("name",)})
 
 
 _NAMES = "[" + ", ".join(f"'{k}'" for k in synthetic.SHAPES) + "]"
@@ -346,71 +380,80 @@ def src_synthetic(spark, sf):
     return d.select("shape", "type", "planted", "found", F.col("beside").cast("int").alias("beside"))
 
 
-# ---- files that only the driver can write: a few small ones, put into the shared folder
+# ---- files that tasks write into the shared folder
 
 
-def put(spark: SparkSession, name: str, data: bytes) -> str:
-    """A small file in the shared folder, written through Spark's file systems."""
-    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(data))
-    out.close()
-    return path
-
-
-def nation_dump(spark: SparkSession, sf: str) -> bytes:
-    """A heap dump in which regions hold arrays of their nations."""
+def _dump(rows: pa.Table) -> pa.Table:
+    """A heap dump of the customers of one block: nations hold arrays of their customers."""
     import struct
 
-    rows = table(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()  # 25 nations
+    pairs = sorted(zip(rows["c_nationkey"].to_pylist(), rows["c_custkey"].to_pylist(), strict=True))
     i = lambda x: x.to_bytes(8, "big")
     rec = lambda tag, body: bytes([tag]) + struct.pack(">II", 0, len(body)) + body
-    names = {1: b"com/acme/Region", 2: b"com/acme/Nation", 3: b"nations"}
+    names = {1: b"com/acme/Nation", 2: b"com/acme/Customer", 3: b"customers"}
     out = b"JAVA PROFILE 1.0.2\0" + struct.pack(">IQ", 8, 0) + b"".join(rec(1, i(k) + v) for k, v in names.items())
     out += b"".join(rec(2, struct.pack(">I", c) + i(0x10 * c) + struct.pack(">I", 0) + i(c)) for c in (1, 2))
     heap = b""
     for c, fields in ((1, [(3, 2)]), (2, [])):
         heap += b"\x20" + i(0x10 * c) + struct.pack(">I", 0) + i(0) * 6 + struct.pack(">IHHH", 0, 0, 0, len(fields)) + b"".join(i(n) + bytes([k]) for n, k in fields)
-    for r in sorted({x.n_regionkey for x in rows}):
-        own = [0x2000 + x.n_nationkey for x in rows if x.n_regionkey == r]
-        heap += b"\x21" + i(0x1000 + r) + struct.pack(">I", 0) + i(0x10) + struct.pack(">I", 8) + i(0x3000 + r)
-        heap += b"\x22" + i(0x3000 + r) + struct.pack(">II", 0, len(own)) + i(0x20) + b"".join(map(i, own))
-        heap += b"\x05" + i(0x1000 + r)
-    for x in rows:
-        heap += b"\x21" + i(0x2000 + x.n_nationkey) + struct.pack(">I", 0) + i(0x20) + struct.pack(">I", 0)
-    return out + rec(0x1C, heap) + rec(0x2C, b"")
+    for n in sorted({n for n, _ in pairs}):
+        own = [(1 << 32) + c for m, c in pairs if m == n]
+        heap += b"\x21" + i(0x1000 + n) + struct.pack(">I", 0) + i(0x10) + struct.pack(">I", 8) + i(0x3000 + n)
+        heap += b"\x22" + i(0x3000 + n) + struct.pack(">II", 0, len(own)) + i(0x20) + b"".join(map(i, own))
+        heap += b"\x05" + i(0x1000 + n)
+    for _, c in pairs:
+        heap += b"\x21" + i((1 << 32) + c) + struct.pack(">I", 0) + i(0x20) + struct.pack(">I", 0)
+    return pa.table({"name": [f"block-{rows['k'][0].as_py()}.hprof"], "data": pa.array([out + rec(0x1C, heap) + rec(0x2C, b"")], pa.binary())})
+
+
+#: Customers of a dump.
+DUMPED = 1_000
+
 
+def customer_dumps(spark: SparkSession, sf: str) -> DataFrame:
+    """Files (name, data): a heap dump for each block of customers."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / DUMPED).alias("k"))
+    return c.groupBy("k").applyInArrow(_dump, "name string, data binary")
 
-@query("SELECT 'com.acme.Nation' AS class_name, 'instance' AS kind, count(*) AS n, (count(*) * 16)::BIGINT AS bytes FROM nation UNION ALL SELECT 'com.acme.Region', 'instance', count(DISTINCT n_regionkey), (count(DISTINCT n_regionkey) * 16)::BIGINT FROM nation UNION ALL SELECT 'com.acme.Nation', 'object_array', count(*), sum(b)::BIGINT FROM (SELECT ceil((16 + 4 * count(*)) / 8) * 8 AS b FROM nation GROUP BY n_regionkey)")
+
+def _put(spark: SparkSession, made: DataFrame, kind: str) -> str:
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    files.write_files(made, folder)
+    return folder
+
+
+@query(f"""WITH g AS (SELECT c_custkey // {DUMPED} AS k, c_nationkey, count(*) AS n FROM customer GROUP BY ALL) SELECT 'com.acme.Customer' AS class_name, 'instance' AS kind, sum(n)::BIGINT AS n, (sum(n) * 16)::BIGINT AS bytes FROM g
+UNION ALL SELECT 'com.acme.Nation', 'instance', count(*), (count(*) * 16)::BIGINT FROM g UNION ALL SELECT 'com.acme.Customer', 'object_array', count(*), sum(ceil((16 + 4 * n) / 8) * 8)::BIGINT FROM g""")
 def src_hprof(spark, sf):
     from emberlens.sources import hprof
 
-    t = hprof.tables_of(hprof.read_dumps(spark, put(spark, "n.hprof", nation_dump(spark, sf))))
-    j = t["objects"].where("kind <> 'class'").join(t["classes"].select(F.col("cid").alias("class_id"), F.col("name").alias("class_name")), "class_id")
+    t = hprof.tables_of(hprof.read_dumps(spark, _put(spark, customer_dumps(spark, sf), "dumps")))
+    j = t["objects"].where("kind <> 'class'").join(t["classes"].select("dump", F.col("cid").alias("class_id"), F.col("name").alias("class_name")), ["dump", "class_id"])
     return j.groupBy("class_name", "kind").agg(F.count("*").alias("n"), F.sum("shallow").alias("bytes"))
 
 
-@query("SELECT 'hprof' AS format UNION ALL SELECT 'gzip' UNION ALL SELECT 'phd' UNION ALL SELECT 'javacore' UNION ALL SELECT 'system_dump' UNION ALL SELECT 'classic' UNION ALL SELECT 'unknown'")
+@query("SELECT p_partkey, ['hprof', 'gzip', 'phd', 'javacore', 'system_dump', 'classic', 'unknown'][p_partkey % 7 + 1] AS format FROM part")
 def src_heap_format(spark, sf):
-    from emberlens.sources.hprof import heap_format
+    """A part is a file that begins as one of seven kinds and goes on with its name."""
+    from emberlens.sources.hprof import heap_formats
 
-    heads = [nation_dump(spark, sf)[:64], b"\x1f\x8b\x08", b"\x00\x14portable heap dump", b"0SECTION       TITLE\n1TISIGINFO", b"\x7fELF\x02", b"// Version: 1", b"PK"]
-    return spark.createDataFrame([(heap_format(h),) for h in heads], "format string")
+    heads = ("JAVA PROFILE 1.0.2\0", "\x1f\x8b\x08", "\0\x14portable heap dump", "0SECTION       TITLE\n1TISIGINFO", "\x7fELF\x02", "// Version: 1", "PK")
+    k = F.col("p_partkey")
+    head = F.element_at(F.array(*[F.lit(x.encode("latin-1")) for x in heads]), (k % 7 + 1).cast("int"))
+    d = table(spark, sf, "part").select(k.alias("path"), F.concat(head, F.encode("p_name", "UTF-8")).alias("content"))
+    return heap_formats(d).select(F.col("path").alias("p_partkey"), "format")
 
 
-@query("SELECT 'A.java' AS name UNION ALL SELECT 'B.kt'")
+@query("SELECT 's' || s_suppkey || ['.java', '.kt', '.scala'][s_suppkey % 3 + 1] AS name, s_name AS word FROM supplier WHERE s_suppkey % 5 < 3")
 def src_source_tree(spark, sf):
-    a = put(spark, "A.java", b"package x; class A {}")
-    root = a.rsplit("/", 1)[0]
-    jvm = spark.sparkContext._jvm
-    for name in ("B.kt", "build/C.java", "notes.txt"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-        out.write(bytearray(b"class X"))
-        out.close()
-    return snapshots.read_sources(spark, root).select(F.substring_index("path", "/", -1).alias("name"))
+    """A supplier is a file: of five, one lies in a build folder and one is a text."""
+    k = F.col("s_suppkey")
+    of = lambda ending: F.concat(F.lit("s"), k.cast("string"), ending)
+    ending = F.element_at(F.array(F.lit(".java"), F.lit(".kt"), F.lit(".scala")), (k % 3 + 1).cast("int"))
+    name = F.when(k % 5 == 3, F.concat(F.lit("app/build/"), of(ending))).when(k % 5 == 4, F.concat(F.lit("app/"), of(F.lit(".txt")))).otherwise(F.concat(F.lit("app/src/"), of(ending)))
+    made = table(spark, sf, "supplier").select(name.alias("name"), F.encode(F.concat(F.lit("// "), "s_name"), "UTF-8").alias("data"))
+    d = snapshots.read_sources(spark, _put(spark, made, "sources"))
+    return d.select(F.substring_index("path", "/", -1).alias("name"), F.substring("source", 4, 100).alias("word"))
 
 
 @query("SELECT 'RUNNABLE' AS state, count(*) FILTER (c_custkey % 2 = 1) AS n FROM customer UNION ALL SELECT 'BLOCKED', count(*) FILTER (c_custkey % 2 = 0) FROM customer")
@@ -455,12 +498,20 @@ def sink_artifact(spark, sf):
     return artifacts.read_artifact(spark, folder, "parts")
 
 
-@query("SELECT 'signup' AS entry_sites, 43200000 AS idle_gap_ms, 2 AS signature_k, 1.2::DOUBLE AS timing_factor, 2.0::DOUBLE AS rarity_weight")
+@query(
+    "WITH "
+    + RECORDS_SQL
+    + """, a AS (SELECT *, sum((call_site = 'view')::INT) OVER (PARTITION BY flow_key ORDER BY ts_ms, event_id)::BIGINT AS ep FROM r),
+b AS (SELECT *, coalesce(sum((call_site IN ('purchase', 'error'))::INT) OVER (PARTITION BY flow_key, ep ORDER BY ts_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM a WHERE ep > 0)
+SELECT flow_key, count(DISTINCT ep) AS episodes, count(*) AS n_records FROM b WHERE done = 0 GROUP BY flow_key"""
+)
 def src_yaml_config(spark, sf):
+    """Events segmented as a configuration document says."""
     from emberlens.config import FlowConfig
 
-    c = FlowConfig.from_mapping({"segmentation": {"entryCallSites": ["signup"], "idleGapMillis": 43_200_000}, "clustering": {"signatureK": 2}, "detection": {"timingFactor": 1.2}, "ranking": {"weights": {"rarity": 2.0}}})
-    return spark.createDataFrame([(",".join(c.entry_sites), c.idle_gap_ms, c.signature_k, c.timing_factor, c.rarity_weight)], "entry_sites string, idle_gap_ms int, signature_k int, timing_factor double, rarity_weight double")
+    c = FlowConfig.from_mapping({"segmentation": {"strategy": "entry", "entryCallSites": ["view"], "terminalCallSites": ["purchase", "error"], "idleGapMillis": 43_200_000}, "clustering": {"signatureK": 2}})
+    d = SEG.episodes(SEG.entry_marker(PF._records(spark, sf), c.entry_sites, c.terminal_sites))
+    return d.groupBy("flow_key").agg(F.count("*").alias("episodes"), F.sum("n_records").alias("n_records"))
 
 
 @query("SELECT 'dominators' AS stage, CASE WHEN n > 1000 THEN 'skipped' ELSE 'run' END AS status, CASE WHEN n > 1000 THEN n || ' objects, the limit is 1000' END AS reason FROM (SELECT count(*) AS n FROM customer) UNION ALL SELECT 'waste', 'run', NULL")

@@ -16,14 +16,14 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlparse
+from functools import reduce
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlens.session import ship_package, write_table
+from emberlens.sources.files import WINDOW, opened
 
 # fixed values: element widths by type, bytes behind the id of each kind of root, array type names
 WIDTH = {4: 1, 5: 2, 6: 4, 7: 8, 8: 1, 9: 2, 10: 4, 11: 8}
@@ -55,6 +55,17 @@ def heap_format(head: bytes) -> str:
     return "classic" if b"// Version:" in head or b"// JVM version:" in head else "unknown"
 
 
+def heap_formats(files: DataFrame) -> DataFrame:
+    """path, format of files (path, content): what ``heap_format`` says of their heads, as columns; a null content
+    is unknown."""
+    # as one character a byte
+    head = F.decode(F.substring("content", 1, 512), "ISO-8859-1")
+    begins = lambda *xs: reduce(lambda a, b: a | b, [head.startswith(x.decode("latin-1")) for x in xs])
+    kind = F.when(begins(b"JAVA PROFILE 1.0."), "hprof").when(begins(b"\x1f\x8b"), "gzip").when(F.substring(head, 1, 40).contains("portable heap dump"), "phd").when(begins(*ELF_AND_OTHERS), "system_dump")
+    kind = kind.when(head.contains("0SECTION") | head.contains("1TISIGINFO"), "javacore").when(head.contains("// Version:") | head.contains("// JVM version:"), "classic")
+    return files.select("path", F.coalesce(kind, F.lit("unknown")).alias("format"))
+
+
 def native(data: bytes, most: int = EXPANDED_BYTES) -> bytes:
     """The bytes of an HPROF dump, expanded if they are compressed, up to a budget; other kinds are refused."""
     kind = heap_format(data)
@@ -239,33 +250,12 @@ def _walk(expanded_bytes: int):
 
 # ---- ranges of large dumps
 
-#: Bytes of a dump from which on it is read in ranges, about so many bytes a task, and what a task holds of it.
-RANGE_BYTES, WINDOW = 16 << 20, 4 << 20
+#: Bytes of a dump from which on it is read in ranges, about so many bytes a task.
+RANGE_BYTES = 16 << 20
 HEADS = "path string, kind string, a bigint, b bigint, id_size int, text string"
 CLASSES = "path string, cid bigint, super bigint, statics array<bigint>, fields array<struct<name: bigint, kind: int>>"
 
 
-def _opened(path: str) -> Callable[[int, int], bytes] | None:
-    """A reader (offset, length) of a file, or None if its store can't be opened from here."""
-    try:
-        if (urlparse(path).scheme or "file") == "file":
-            f = open(unquote(urlparse(path).path), "rb")  # noqa: SIM115
-        else:
-            store, at = pyarrow.fs.FileSystem.from_uri(path)
-            f = store.open_input_file(at)
-    except (OSError, ValueError, pa.ArrowException):
-        return None
-
-    def read(at: int, n: int) -> bytes:
-        f.seek(at)
-        out = f.read(n)
-        if len(out) < n:
-            raise ValueError("a record ends behind the file")
-        return out
-
-    return read
-
-
 @dataclass
 class Layout:
     """What a range needs of its dump's classes; ids are unsigned."""
@@ -505,7 +495,7 @@ def _heads(range_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist()):
-                read = _opened(path)
+                read = opened(path)
                 if read is None or heap_format(read(0, min(512, size))) != "hprof":
                     yield from _batches(iter([(path, "whole", None, None, None, None)]), HEADS)
                 else:
@@ -516,7 +506,7 @@ def _heads(range_bytes: int):
 
 def _ranges(b: pa.RecordBatch) -> Iterator[tuple[str, Range]]:
     for r in b.to_pylist():
-        yield r["path"], Range(_opened(r["path"]), r["a"], r["b"], r["id_size"])
+        yield r["path"], Range(opened(r["path"]), r["a"], r["b"], r["id_size"])
 
 
 def _class_layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,15 +16,39 @@ FIRST_LINES = 5_000
 BLOCK = 65_536
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """file, line_no (from 1), line of all text files below a path, compressed ones included."""
+#: Endings of files whose bytes aren't those of their lines.
+COMPRESSED = r"(?i)\.(?:gz|bz2|deflate|zst|snappy|lz4|xz)$"
+
+
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, with_bytes: bool = False) -> DataFrame:
+    """file, line_no (from 1), line of all text files below a path, compressed ones included.
+
+    with_bytes adds byte_start and byte_end (exclusive, the line feed included), which give back the line from its
+    file; of a compressed file they are places in the expanded text. A mark of the byte order is no part of a line.
+    """
     r = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     d = (r.option("pathGlobFilter", glob) if glob else r).text(path)
-    d = d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
-    in_block = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    blocks = d.groupBy("file", "block").agg(F.count("*").alias("n"))
-    ahead = blocks.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return d.withColumn("k", in_block).join(ahead, ["file", "block"]).select("file", (F.col("k") + F.col("ahead")).alias("line_no"), "line")
+    sizes = [F.col("_metadata.file_size").alias("size"), (F.octet_length("value") + F.lit(1).cast("bigint")).alias("octets")] if with_bytes else []
+    d = d.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"), *sizes)
+    in_block = Window.partitionBy("file", "block").orderBy("at")
+    over = {"n": F.count("*"), **({"octets": F.sum("octets"), "size": F.max("size")} if with_bytes else {})}
+    blocks = d.groupBy("file", "block").agg(*[c.alias(k) for k, c in over.items()])
+    # a row for each block of a file
+    before, whole = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
+    sums = [F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")]
+    if with_bytes:
+        plain = ~F.col("file").rlike(COMPRESSED)
+        # lines were counted with a feed each, which the last may lack; what is left beside it is the mark
+        extra = F.when(plain & (F.max("size").over(whole) - F.sum("octets").over(whole) >= 2), 3).otherwise(0)
+        sums += [F.coalesce(F.sum("octets").over(before), F.lit(0)).alias("octets_ahead"), extra.alias("mark"), F.when(plain, F.max("size").over(whole)).alias("end")]
+    ahead = blocks.select("file", "block", *sums)
+    d = d.drop("size").withColumn("k", F.row_number().over(in_block))
+    if with_bytes:
+        d = d.withColumn("upto", F.sum("octets").over(in_block))
+    d = d.join(ahead, ["file", "block"])
+    stop = F.col("octets_ahead") + F.col("upto") + F.col("mark")
+    places = [(stop - F.col("octets")).alias("byte_start"), F.least(stop, F.col("end")).alias("byte_end")] if with_bytes else []
+    return d.select("file", (F.col("k") + F.col("ahead")).alias("line_no"), "line", *places)
 
 
 def running(lines: DataFrame, start: Column, out: str, count: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A line with a header, in text or as JSON, begins an event; others belong to it. An event that reaches
 MAX_LINES lines is truncated, and the lines behind it are events without a header; of one event at most
-MAX_FRAMES frames and MAX_CHARS characters of text are kept, of one line LINE_CHARS.
+MAX_FRAMES frames and MAX_CHARS characters of text are kept, of one line LINE_CHARS. What is cut is counted.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def header(line: Column) -> Column:
     return F.when(is_json(line), j).otherwise(text)
 
 
-def markers_of(lines: Column) -> Column:
+def all_markers(lines: Column) -> Column:
     """array<struct<kind, detail>> of the lines of an event: the first pattern that fits each, each pair
     once."""
     def one(x: Column) -> Column:
@@ -93,7 +93,12 @@ def markers_of(lines: Column) -> Column:
             c = F.when(x.rlike(p), F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))).otherwise(c)
         return F.when(~F.ltrim(x).startswith("at "), c)
 
-    return F.slice(F.array_distinct(F.filter(F.transform(lines, one), lambda m: m.isNotNull())), 1, MAX_MARKERS)
+    return F.array_distinct(F.filter(F.transform(lines, one), lambda m: m.isNotNull()))
+
+
+def markers_of(lines: Column) -> Column:
+    """The first MAX_MARKERS markers of an event."""
+    return F.slice(all_markers(lines), 1, MAX_MARKERS)
 
 
 def frames_of(lines: Column) -> Column:
@@ -104,19 +109,27 @@ def frames_of(lines: Column) -> Column:
 
 def events(lines: DataFrame, zone: str | None = None) -> DataFrame:
     """One row per event of each file: id, lines, level, ts, raw_timestamp, thread, logger, identifiers,
-    message, exception (the last named), frames, markers, excerpt, truncated, format."""
-    d = lines.withColumn("cut", F.char_length("line") > LINE_CHARS).withColumn("line", F.substring("line", 1, LINE_CHARS)).withColumn("h", header(F.col("line")))
+    message, exception (the last named), frames, markers, excerpt, truncated, format, and what was cut or
+    replaced: oversized_lines, omitted_frames, omitted_markers, omitted_chars, replacement_characters. Lines with
+    places (``read_lines`` with_bytes) give byte_start and byte_end, others null."""
+    d = lines if "byte_start" in lines.columns else lines.withColumns({k: F.lit(None).cast("bigint") for k in ("byte_start", "byte_end")})
+    d = d.withColumn("cut", F.char_length("line") > LINE_CHARS).withColumn("replaced", F.char_length("line") - F.char_length(F.replace("line", F.lit("\ufffd"), F.lit(""))))
+    d = d.withColumn("line", F.substring("line", 1, LINE_CHARS)).withColumn("h", header(F.col("line")))
     d = running(d, F.col("h").isNotNull(), "k").withColumn("k", F.greatest("k", F.lit(1)))
     d = d.withColumn("part", F.floor((F.col("line_no") - F.col("k")) / MAX_LINES))
     g = d.groupBy("file", "k", "part").agg(
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
+        F.min("byte_start").alias("byte_start"),
+        F.max("byte_end").alias("byte_end"),
         F.min_by("h", "line_no").alias("h"),
         F.sort_array(F.collect_list(F.struct("line_no", F.substring("line", 1, MAX_CHARS).alias("line")))).alias("l"),
-        F.max("cut").alias("full"),
+        F.sum(F.when(F.coalesce("h.json", F.lit(False)), 0).otherwise(F.greatest(F.char_length("line") - MAX_CHARS, F.lit(0)))).alias("cut_chars"),
+        F.count_if("cut").alias("oversized_lines"),
+        F.sum("replaced").alias("replacement_characters"),
     )
     goes_on = F.lead("part").over(Window.partitionBy("file", "k").orderBy("part")).isNotNull()
-    g = g.withColumn("full", F.col("full") | goes_on)
+    g = g.withColumn("full", (F.col("oversized_lines") > 0) | goes_on)
     raw = F.transform("l", lambda x: x["line"])
     # a JSON event is its message and its stack, not the line that carries them
     inner = F.concat_ws("\n", F.col("h.message"), json_field(raw[0], "stack"))
@@ -124,8 +137,28 @@ def events(lines: DataFrame, zone: str | None = None) -> DataFrame:
     text = F.array_join("body", "\n")
     named = F.filter("body", lambda x: x.rlike(EXCEPTION))
     ids = lambda name, p: F.coalesce(F.when(F.col("h.json"), json_field(F.col("head"), name)), T.found(text, p, 1))
+    beyond = lambda n, most: F.greatest(n - most, F.lit(0)).cast("bigint")
+    g = g.withColumn("found", all_markers(F.col("body"))).withColumn("omitted_frames", beyond(F.size(F.filter("body", lambda x: x.rlike(FRAME))), MAX_FRAMES))
+    g = g.withColumn("omitted_chars", F.col("cut_chars") + beyond(F.length(text), MAX_CHARS))
+    full = F.col("full") | (F.col("omitted_chars") > 0) | (F.col("omitted_frames") > 0)
     return g.select(
-        "file", F.col("start_line").alias("id"), "start_line", "end_line", T.server_level(F.coalesce("h.level", F.lit(""))).alias("level"), timestamp(F.col("h.raw_timestamp"), zone).alias("ts"), "h.raw_timestamp", "h.thread", "h.logger",
+        "file", F.col("start_line").alias("id"), "start_line", "end_line", "byte_start", "byte_end", T.server_level(F.coalesce("h.level", F.lit(""))).alias("level"), timestamp(F.col("h.raw_timestamp"), zone).alias("ts"), "h.raw_timestamp", "h.thread", "h.logger",
         ids("trace_id", TRACE_ID).alias("trace_id"), ids("request_id", REQUEST_ID).alias("request_id"), F.coalesce("h.message", F.rtrim("head")).alias("message"), F.when(F.size(named) > 0, F.regexp_extract(F.element_at(named, -1), EXCEPTION, 1)).alias("exception"),
-        frames_of(F.col("body")).alias("frames"), markers_of(F.col("body")).alias("markers"), F.substring(text, 1, MAX_CHARS).alias("excerpt"), (F.col("full") | (F.length(text) > MAX_CHARS)).alias("truncated"), F.when(F.col("h.json"), "json").when(F.col("h").isNotNull(), "text").otherwise("unrecognized").alias("format"),
+        frames_of(F.col("body")).alias("frames"), F.slice("found", 1, MAX_MARKERS).alias("markers"), F.substring(text, 1, MAX_CHARS).alias("excerpt"), full.alias("truncated"), F.when(F.col("h.json"), "json").when(F.col("h").isNotNull(), "text").otherwise("unrecognized").alias("format"),
+        "oversized_lines", "omitted_frames", beyond(F.size("found"), MAX_MARKERS).alias("omitted_markers"), "omitted_chars", "replacement_characters",
     )
+
+
+def accounts(found: DataFrame) -> DataFrame:
+    """One row per file of events: bytes and lines they cover, events, those truncated, without a known level and
+    with a time that no offset aligns, and the sums of what was cut or replaced."""
+    sums = ("oversized_lines", "omitted_frames", "omitted_markers", "omitted_chars", "replacement_characters")
+    return found.groupBy("file").agg(
+        F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"),
+        F.sum(F.col("end_line") - F.col("start_line") + 1).alias("lines"),
+        F.count("*").alias("events"),
+        F.count_if("truncated").alias("truncated_events"),
+        F.count_if(F.col("level") == "UNKNOWN").alias("unrecognized_events"),
+        F.count_if(F.col("raw_timestamp").isNotNull() & F.col("ts").isNull()).alias("unaligned_timestamps"),
+        *[F.sum(c).alias(c) for c in sums],
+    )
