@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlens.operators import search_index as XI
 from emberlens.operators import gc as G
 from emberlens.session import table
 
@@ -207,6 +208,22 @@ def log_search(spark, sf):
     return L.search(log_table(spark, sf), {"level": "ERROR"}, "1", "2024-01-02", "2024-01-20", 500, 50).select("id", "level")
 
 
+@query(_G + " SELECT id, level FROM lg WHERE id > 500 AND level = 'ERROR' AND contains(lower(message), '\"k\": 1') AND ts >= '2024-01-02' AND ts <= '2024-01-20' ORDER BY id LIMIT 51")
+def log_search_indexed(spark, sf):
+    """A page of the same kind of search by an index of all events, made first."""
+    index = XI.build(log_table(spark, sf))
+    return XI.indexed_search(index, spark, '"K": 1', {"level": "ERROR"}, "2024-01-02", "2024-01-20", 500, 50).select("id", "level")
+
+
+@query(_G + " SELECT id FROM lg WHERE contains(lower(message), '\"k\": 17')")
+def log_search_candidates(spark, sf):
+    """All events that hold a text: candidates of the index, verified."""
+    d = log_table(spark, sf)
+    index = XI.build(d)
+    found = XI.candidates(index, spark, '"k": 17')
+    return index.events(spark).join(found, "id", "left_semi").where(F.lower("message").contains('"k": 17')).select("id")
+
+
 @query(_G + " SELECT level, count(*) AS n FROM lg GROUP BY level")
 def log_levels(spark, sf):
     return L.levels(log_table(spark, sf))

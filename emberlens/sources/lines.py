@@ -84,6 +84,18 @@ def assemble(lines: DataFrame, order: DataFrame, starts: Column) -> DataFrame:
     return d.join(ahead, "file").withColumn("rec_id", F.col("own") + F.col("ahead")).drop("own", "ahead")
 
 
+def record_columns(line: Column, rest: Column) -> list[Column]:
+    """What a record's first line and the array of those behind it tell."""
+    return [
+        T.thread(line).alias("thread_id"),
+        F.unix_millis(T.parse_ts(line)).alias("ts_ms"),
+        F.coalesce(T.call_site(line), T.template(line)).alias("call_site"),
+        T.level(line).alias("level"),
+        line.alias("message"),
+        T.has_stack(rest).alias("has_stack"),
+    ]
+
+
 def read_records(lines: DataFrame) -> DataFrame:
     """Best-effort records of any log layout, in the shape that segmentation takes: thread_id, ts_ms,
     call_site (else the template of the line), level, message, has_stack, o1, o2, file."""
@@ -95,18 +107,8 @@ def read_records(lines: DataFrame) -> DataFrame:
         F.min_by(F.struct("file", "file_rank", "line_no"), ~F.col("head")).alias("at"),
         F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("file_rank", "line_no", "line")))).alias("rest"),
     )
-    return r.select(
-        T.thread(line).alias("thread_id"),
-        F.unix_millis(T.parse_ts(line)).alias("ts_ms"),
-        F.coalesce(T.call_site(line), T.template(line)).alias("call_site"),
-        T.level(line).alias("level"),
-        line.alias("message"),
-        T.has_stack(F.transform("rest", lambda x: x["line"])).alias("has_stack"),
-        F.col("at.file_rank").cast("bigint").alias("o1"),
-        F.col("at.line_no").cast("bigint").alias("o2"),
-        F.col("at.file").alias("file"),
-        F.size("rest").alias("n_continuations"),
-    )
+    at = [F.col("at.file_rank").cast("bigint").alias("o1"), F.col("at.line_no").cast("bigint").alias("o2"), F.col("at.file").alias("file")]
+    return r.select(*record_columns(line, F.transform("rest", lambda x: x["line"])), *at, F.size("rest").alias("n_continuations"))
 
 
 def read_profile(lines: DataFrame, pattern_ok: Column | None = None) -> DataFrame:
