@@ -95,10 +95,12 @@ def _pairs(text: Column) -> Column:
 
 def payload(text: Column) -> Column:
     """All pairs as a map without quotes, later keys before earlier ones."""
-    pairs = F.transform(_pairs(strip_ts(F.coalesce(text, F.lit("")))), lambda p: F.struct(p["k"].alias("k"), F.trim(p["v"], F.lit('"')).alias("v")))
-    # bound to a variable, which a lambda function would otherwise compute for every element anew
-    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
-    return F.transform(F.array(pairs), lambda ps: F.map_from_entries(last(ps)))[0]
+    pairs = F.transform(_pairs(strip_ts(F.coalesce(text, F.lit("")))), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), F.trim(p["v"], F.lit('"')).alias("v")))
+    # by key and place, so that the last of a key stands before another key; bound to a variable, which a lambda
+    # function would otherwise compute for every element anew
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.coalesce(F.get(ps, i + 1)["k"] == p["k"], F.lit(False)))
+    entries = lambda ps: F.transform(last(ps), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+    return F.transform(F.array(F.sort_array(pairs)), lambda ps: F.map_from_entries(entries(ps)))[0]
 
 
 def significant_payload(text: Column) -> Column:
