@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.operators.quantiles import nearest_rank
+from emberlens.session import cut_lineage, write_table
 
 SEPARATOR = "\u0001"
+#: Clusters up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def signature(k: int) -> Column:
@@ -21,9 +24,14 @@ def clusters(eps: DataFrame, k: int, least: int) -> DataFrame:
 
 
 def clustered(eps: DataFrame, k: int, least: int) -> DataFrame:
-    """Episodes with signature, size and under_sampled of their cluster."""
+    """Episodes with signature, size and under_sampled of their cluster. They are written once; clusters are
+    counted from that table, and where they are few the episodes aren't moved to them."""
+    eps = write_table(eps, "episodes")
+    found = cut_lineage(clusters(eps, k, least))
     d = eps.withColumn("signature", signature(k))
-    return d.join(clusters(eps, k, least), "signature")
+    if found.count() <= BROADCAST_ROWS:
+        return d.join(F.broadcast(found), "signature")
+    return write_table(d.join(found, "signature"), "members")
 
 
 def in_window(start: Column, low: int | None, high: int | None) -> Column:

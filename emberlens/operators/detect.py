@@ -100,10 +100,11 @@ def judged(members: DataFrame, config: FlowConfig, base: DataFrame | None = None
     return d.join(base, "signature")
 
 
-def findings(members: DataFrame, config: FlowConfig) -> DataFrame:
+def findings(members: DataFrame, config: FlowConfig, stored: bool = False) -> DataFrame:
     """All findings of all detectors. Members are written once, and what the clusters agree on is made
-    from that table; both are read by every detector."""
-    members = write_table(members, "members")
+    from that table; both are read by every detector. stored: members are read from a table already, as
+    ``clustered`` gives them."""
+    members = members if stored else write_table(members, "members")
     sampled = members.where(~F.col("under_sampled")).where(B.in_window(F.col("start_ms"), config.window_start, config.window_end))
     base = _counted(B.modal(sampled))
     d = judged(members, config, base).where(~F.col("censored"))

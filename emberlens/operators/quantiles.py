@@ -11,6 +11,8 @@ from emberlens.session import cut_lineage
 
 #: Width of the cells in which values are first counted.
 CELL = 4_096
+#: Quantiles asked for, over all groups, up to which they are broadcast to the values.
+BROADCAST_ROWS = 100_000
 
 
 def nearest_rank(d: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
@@ -28,6 +30,8 @@ def nearest_rank(d: DataFrame, keys: Sequence[str], value: str, quantiles: dict[
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     hit = run.alias("r").join(asked.alias("a"), same("r", "a")).where("_before < _q.target and _q.target <= _upto")
     hit = cut_lineage(hit.select(*[F.col(f"a.{k}").alias(k) for k in keys], "n", "_c", "_q.name", (F.col("_q.target") - F.col("_before")).alias("_left")))
+    if hit.count() <= BROADCAST_ROWS:
+        hit = F.broadcast(hit)
     near = d.alias("d").join(hit.alias("h"), [*same("d", "h"), F.col("d._c") == F.col("h._c")])
     near = near.groupBy(*[F.col(f"h.{k}").alias(k) for k in keys], "h.n", "h.name", "h._left", "d._v").agg(F.count("*").alias("_k"))
     passed = F.sum("_k").over(Window.partitionBy(*keys, "name").orderBy("_v"))

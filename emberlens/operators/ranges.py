@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlens.session import cut_lineage
+from emberlens.session import cut_lineage, write_table
 
 #: Rows of the largest group up to which windows span groups.
 WINDOW_ROWS = 2_000_000
+#: Rows of what comes from ahead up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,13 +64,16 @@ def running(d: DataFrame, keys: Sequence[str], order: Sequence[Column | str], fo
         w = Window.partitionBy(*keys).orderBy(*order)
         nothing = F.lit(None)
         return d.withColumns({name: f.both(nothing, f.over(f.value).over(frame(w, f))) for name, f in folds.items()})
-    s = d.withColumns({f"_v{i}": f.value for i, f in enumerate(folds.values())})
-    s = cut_lineage(s.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    s = write_table(d.orderBy(*keys, *order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    s = s.withColumns({"_part": F.shiftright("_at", 33), **{f"_v{i}": f.value for i, f in enumerate(folds.values())}})
     whole = s.groupBy("_part", *keys).agg(*[f.whole(F.col(f"_v{i}")).alias(f"_w{i}") for i, f in enumerate(folds.values())])
     # a row for each range of a group
     over_parts = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")
     before = over_parts.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = whole.select("_part", *keys, *[f.over(F.col(f"_w{i}")).over(before).alias(f"_a{i}") for i, f in enumerate(folds.values())])
+    ahead = cut_lineage(whole.select("_part", *keys, *[f.over(F.col(f"_w{i}")).over(before).alias(f"_a{i}") for i, f in enumerate(folds.values())]))
+    # sorting was one shuffle, the windows are the other; the rows aren't moved for what comes from ahead
+    if ahead.count() <= BROADCAST_ROWS:
+        ahead = F.broadcast(ahead)
     inside = Window.partitionBy("_part", *keys).orderBy("_at")
     s = s.withColumns({f"_o{i}": f.over(F.col(f"_v{i}")).over(frame(inside, f)) for i, f in enumerate(folds.values())})
     on = [F.col("s._part") == F.col("a._part"), *[F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]]

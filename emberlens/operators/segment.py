@@ -49,10 +49,11 @@ def idle_gap(records: DataFrame, gap_ms: int, terminals: Sequence[str] = (), lim
 def entry_marker(records: DataFrame, entries: Sequence[str], terminals: Sequence[str] = (), limit: int = WINDOW_ROWS) -> DataFrame:
     """An episode opens at an entry site and ends at the next or with its first terminal site;
     records outside of episodes go."""
-    most = largest(records, ["flow_key"])
-    d = running(records, ["flow_key"], ORDER, {"ep": total(_among("call_site", entries).cast("int"))}, limit, most).where("ep > 0")
-    d = d.withColumn("closing", _among("call_site", terminals))
-    return running(d, ["flow_key", "ep"], ORDER, {"_done": total(F.col("closing").cast("int"), inclusive=False)}, limit, most).where("_done = 0").drop("_done")
+    opens, closes, place = _among("call_site", entries), _among("call_site", terminals), F.struct(*ORDER)
+    # closed before: the last terminal site isn't before the last entry
+    folds = {"ep": total(opens.cast("int")), "_opened": last(F.when(opens, place), inclusive=True), "_closed": last(F.when(closes, place))}
+    d = running(records, ["flow_key"], ORDER, folds, limit).where("ep > 0 and (_closed is null or _closed < _opened)")
+    return d.withColumn("closing", closes).drop("_opened", "_closed")
 
 
 def correlation(records: DataFrame, terminals: Sequence[str] = (), limit: int = WINDOW_ROWS) -> DataFrame:

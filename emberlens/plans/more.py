@@ -374,7 +374,7 @@ def src_synthetic(spark, sf):
     eps = SEG.episodes(SEG.entry_marker(synthetic.records(spark, s), c.entry_sites, c.terminal_sites))
     # a cluster is one shape, told by its first site
     shape = F.element_at(F.create_map(*[F.lit(x) for k, v in synthetic.SHAPES.items() for x in (v[0], k)]), F.substring_index("signature", " > ", 1))
-    found = DET.findings(BASE.clustered(eps, c.signature_k, 1), c).select("flow_key", "ep", "type", "index", shape.alias("_shape"), F.lit(1).alias("hit"))
+    found = DET.findings(BASE.clustered(eps, c.signature_k, 1), c, stored=True).select("flow_key", "ep", "type", "index", shape.alias("_shape"), F.lit(1).alias("hit"))
     both = synthetic.truth(spark, s).withColumn("made", F.lit(1)).join(found, ["flow_key", "ep", "type", "index"], "full")
     d = both.groupBy(F.coalesce("shape", "_shape").alias("shape"), "type").agg(F.count("made").alias("planted"), F.count_if(F.col("made").isNotNull() & F.col("hit").isNotNull()).alias("found"), F.count_if(F.col("made").isNull()).alias("beside"))
     return d.select("shape", "type", "planted", "found", F.col("beside").cast("int").alias("beside"))

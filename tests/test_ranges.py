@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emberlens.operators import baseline as B
 from emberlens.operators import gc as GC
 from emberlens.operators import logs as L
 from emberlens.operators import segment as S
@@ -101,3 +102,18 @@ def test_restarts_as_of_captures(spark):
     got = L.restarts(m, e, c)
     assert {r.capture_id: (None if r.last_oom is None else r.last_oom.minute * 60 + r.last_oom.second, r.restarted) for r in got.collect()} == want
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(d):
+    return d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_of_large_flows_are_moved_once_after_their_sort(spark):
+    rows = [("f" if i % 9 else None, "T", 10 * i, "in" if i % 5 == 0 else "out" if i % 5 == 3 else "work", "INFO", False, i, 0) for i in range(400)]
+    d = spark.createDataFrame(rows, "flow_key string, thread_id string, ts_ms long, call_site string, level string, has_stack boolean, o1 long, o2 long")
+    assert exchanges(running(d, ["flow_key"], ["o1"], {"n": total(F.lit(1)), "held": last(F.col("ts_ms"))}, 0)) == 1
+    cut, whole = (S.entry_marker(d, ["in"], ["out"], limit) for limit in (0, 10_000))
+    assert exchanges(cut) == 1
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect())) and cut.count() > 200
+    # few clusters come to their episodes
+    assert exchanges(B.clustered(S.episodes(whole), 2, 1)) == 0
