@@ -174,7 +174,7 @@ def dump_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_name AS name, '0x' || lower(to_hex(c_custkey)) AS tid, CASE WHEN c_custkey % 2 = 0 THEN 'BLOCKED' ELSE 'RUNNABLE' END AS state, 1.5::DOUBLE AS cpu_ms, 'com.acme.S' || c_nationkey || '.run' AS top, CASE WHEN c_custkey % 2 = 0 THEN '0x' || lower(to_hex(c_custkey)) END AS waits_for FROM customer")
 def td_parse(spark, sf):
-    d = dump_lines(spark, sf).coalesce(1).sortWithinPartitions("c_custkey").select("value")
+    d = dump_lines(spark, sf).repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select("value")
     t = thread_dump.threads(S.read_lines(spark, _written(d, spark)))
     return t.select("name", "tid", "state", "cpu_ms", F.col("stack")[0].alias("top"), "waits_for")
 

@@ -55,15 +55,25 @@ def running(lines: DataFrame, start: Column, out: str, count: bool = False) -> D
     """lines with the place of the last starting line of their file at or before each, 0 before the first;
     or with the number of starting lines so far. Within blocks of BLOCK lines and over the blocks of a
     file, so that no window spans a file."""
-    flag = F.coalesce(start, F.lit(False))
-    d = lines.withColumn("_b", F.floor(F.col("line_no") / BLOCK)).withColumn("_s", F.when(flag, F.lit(1).cast("bigint") if count else F.col("line_no")))
+    return _folded(lines, {out: start}, count)
+
+
+def counted(lines: DataFrame, **starts: Column) -> DataFrame:
+    """lines with the numbers of several kinds of starting lines so far, in one pass."""
+    return _folded(lines, starts, True)
+
+
+def _folded(lines: DataFrame, starts: dict[str, Column], count: bool) -> DataFrame:
+    value = lambda c: F.when(F.coalesce(c, F.lit(False)), F.lit(1).cast("bigint") if count else F.col("line_no"))
+    d = lines.withColumns({"_b": F.floor(F.col("line_no") / BLOCK), **{f"_s_{out}": value(c) for out, c in starts.items()}})
     fold = F.sum if count else F.max
-    ahead = d.groupBy("file", "_b").agg(fold("_s").alias("_n"))
-    ahead = ahead.select("file", "_b", fold("_n").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
-    own = F.coalesce(fold("_s").over(Window.partitionBy("file", "_b").orderBy("line_no")), F.lit(0))
-    before = F.coalesce("_ahead", F.lit(0))
-    d = d.withColumn("_own", own).join(ahead, ["file", "_b"])
-    return d.withColumn(out, F.col("_own") + before if count else F.greatest("_own", before)).drop("_b", "_s", "_own", "_ahead")
+    ahead = d.groupBy("file", "_b").agg(*[fold(f"_s_{out}").alias(f"_n_{out}") for out in starts])
+    earlier = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.select("file", "_b", *[F.coalesce(fold(f"_n_{out}").over(earlier), F.lit(0)).alias(f"_ahead_{out}") for out in starts])
+    inside = Window.partitionBy("file", "_b").orderBy("line_no")
+    d = d.withColumns({f"_own_{out}": F.coalesce(fold(f"_s_{out}").over(inside), F.lit(0)) for out in starts}).join(ahead, ["file", "_b"])
+    both = lambda out: F.col(f"_own_{out}") + F.col(f"_ahead_{out}") if count else F.greatest(f"_own_{out}", f"_ahead_{out}")
+    return d.withColumns({out: both(out) for out in starts}).drop("_b", *[f"{x}_{out}" for x in ("_s", "_own", "_ahead") for out in starts])
 
 
 def file_order(lines: DataFrame) -> DataFrame:

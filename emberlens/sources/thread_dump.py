@@ -5,10 +5,11 @@ A quoted header begins a thread; the lines behind it are its state, frames and l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlens.functions.text import found
+from emberlens.sources.lines import counted, running
 
 # fixed values: shapes of the lines of a dump
 HEADER = r'^"((?:[^"\\]|\\.)*)"(?:\s+#(\d+))?(?:\s+\[\d+\])?(?:\s+(daemon))?(?:\s+prio=(\d+))?(?:\s+os_prio=-?\d+)?(?:\s+cpu=([\d.]+)ms)?(?:\s+elapsed=([\d.]+)s)?(?:\s+tid=(0x[0-9a-fA-F]+))?(?:\s+nid=(0x[0-9a-fA-F]+|\d+))?(?:\s+([^\[]+?))?(?:\s+\[(0x[0-9a-fA-F]+)\])?\s*$'
@@ -29,10 +30,7 @@ def threads(lines: DataFrame) -> DataFrame:
     Class.method), frames, held, waits_for, rejected (frame lines not understood), ord (place in the dump). One file is one dump;
     a line that tells a deadlock ends its threads."""
     line = F.col("line")
-    d = lines.withColumn("dump", F.col("file"))
-    w = Window.partitionBy("dump").orderBy("line_no")
-    d = d.withColumns({"after": F.sum(line.rlike(CYCLE).cast("int")).over(w), "head": line.rlike(HEADER) & ~line.rlike(r'":\s*$')})
-    d = d.where("after = 0").withColumn("k", F.sum(F.col("head").cast("int")).over(w)).where("k > 0")
+    d = counted(lines, after=line.rlike(CYCLE), k=line.rlike(HEADER) & ~line.rlike(r'":\s*$')).where("after = 0 and k > 0").withColumnRenamed("file", "dump")
     g = d.groupBy("dump", "k").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     body = F.transform("l", lambda x: x["line"])
     g = g.select("dump", "k", body[0].alias("h"), F.slice(body, 2, F.size(body)).alias("b"))

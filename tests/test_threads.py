@@ -1,5 +1,5 @@
 from emberlens.operators import threads as TD
-from emberlens.sources import thread_dump
+from emberlens.sources import lines, thread_dump
 
 
 def lines_of(spark, text, file="d"):
@@ -62,3 +62,19 @@ def test_idle_workers_and_threads_that_share_an_identity_are_not_stuck(spark):
     after = [(n, t, s, k, None if c is None else c + 1 if n == "r" else c - 1 if n == "old" else c, e if n == "same" or e is None else e + 1) for n, t, s, k, c, e in before]
     got = TD.compare(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect()
     assert {(r.identity, r.classification, r.cpu_delta_ms, r.elapsed_delta_s) for r in got} == {("name:w", "persistent_wait", 0.0, 1.0), ("tid:1", "active_repeated_stack", 1.0, None)}
+
+
+def test_one_dump_of_all_lines_is_cut_into_blocks(spark, monkeypatch):
+    text = PARKED + '\n\nFound one Java-level deadlock:\n=====\n' + "\n".join(f'"w{i}":\n  waiting to lock monitor 0x{i} (object 0x2, a X),\n  which is held by "h{i}"' for i in range(6))
+    d = lines_of(spark, text)
+    seen = thread_dump.threads(d), thread_dump.reported_deadlocks(d)
+    for x in seen:
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        # windows over blocks of lines, and over one row for each block
+        assert "windowspecdefinition(file" in plan and "line_no" in plan
+        assert all("_b" in w.split("]")[0] for w in plan.split("windowspecdefinition(")[1:])
+    whole = [sorted(map(str, x.collect())) for x in seen]
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    cut = [sorted(map(str, x.collect())) for x in (thread_dump.threads(d), thread_dump.reported_deadlocks(d))]
+    assert cut == whole and [len(x) for x in cut] == [4, 6]
+    assert {(r.waiter, r.address, r.holder) for r in thread_dump.reported_deadlocks(d).collect()} == {(f"w{i}", f"0x{i}", f"h{i}") for i in range(6)}
