@@ -53,11 +53,12 @@ def threads(lines: DataFrame) -> DataFrame:
 
 def reported_deadlocks(lines: DataFrame) -> DataFrame:
     """dump, waiter, address, holder as the JVM itself reports them."""
-    w = Window.partitionBy("file").orderBy("line_no")
     line = F.col("line")
-    d = lines.withColumn("after", F.sum(line.rlike(CYCLE).cast("int")).over(w)).where("after > 0")
-    name = found(line, r'^"([^"]+)":\s*$', 1)
-    d = d.withColumn("waiter", F.last(name, ignorenulls=True).over(w))
-    text = F.concat_ws(" ", line, F.lead("line").over(w))
-    d = d.withColumn("text", text).where(line.rlike(r"^\s*waiting (?:to lock|for)"))
-    return d.select(F.col("file").alias("dump"), "waiter", found(F.col("text"), r"waiting (?:to lock|for) (?:monitor )?(\S+)", 1).alias("address"), found(F.col("text"), r'which is held by "([^"]+)"', 1).alias("holder"))
+    waiter = r'^"([^"]+)":\s*$'
+    d = running(counted(lines, after=line.rlike(CYCLE)).where("after > 0"), line.rlike(waiter), "at")
+    # a waiter with the lines behind it
+    g = d.groupBy("file", "at").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    pairs = F.transform("l", lambda x, i: F.struct(x["line"].alias("line"), F.concat_ws(" ", x["line"], F.get("l", i + 1)["line"]).alias("text")))
+    waits = F.filter(pairs, lambda x: x["line"].rlike(r"^\s*waiting (?:to lock|for)"))
+    d = g.select(F.col("file").alias("dump"), found(F.col("l")[0]["line"], waiter, 1).alias("waiter"), F.explode(waits).alias("w"))
+    return d.select("dump", "waiter", found(F.col("w.text"), r"waiting (?:to lock|for) (?:monitor )?(\S+)", 1).alias("address"), found(F.col("w.text"), r'which is held by "([^"]+)"', 1).alias("holder"))
