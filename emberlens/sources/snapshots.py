@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlens.session import few
+
 SECTIONS = {
     "queries": "query_digest string, normalized_sql string, calls long, total_time_ms double, mean_time_ms double, rows_returned long, rows_examined long, calls_per_day double, time_per_day_ms double",
     "tables": "schema_name string, name string, size_bytes long, row_estimate long, seq_scans long, dead_tuple_ratio double, last_autovacuum string, data_free_bytes long, growth_30d_pct double",
@@ -80,7 +82,7 @@ def references(sources: DataFrame, classes: DataFrame) -> DataFrame:
     s = sources.select("path", masked(F.col("source")).alias("s"))
     names = s.select("path", "s", F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(r"\b([A-Z]\w*)\b"), F.lit(1)))).alias("simple"))
     c = classes.select("class_name", F.substring_index("class_name", ".", -1).alias("simple"), F.regexp_replace("class_name", r"\.[^.]*$", "").alias("package"))
-    j = names.join(c, "simple")
+    j = names.join(few(c), "simple")
     has = lambda *p: F.contains(F.col("s"), F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in p]))
     same = F.regexp_extract("s", r"(?m)^\s*package\s+([\w.]+)", 1) == F.col("package")
     known = has("import ", F.col("class_name")) | has("import ", F.col("package"), ".*") | same

@@ -88,3 +88,20 @@ def test_random_graphs(spark):
 
 def test_nothing_sampled(spark):
     assert asked(spark, [("a", "b", "F.x", "strong", 1)], ["a"], [], {"a": "A"}) == {}
+
+
+def test_few_classes_come_to_their_objects(spark):
+    """All objects of a class, or all files that name one, met in one task."""
+    from emberlens.operators import heap as H
+    from emberlens.sources import snapshots
+
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    o = spark.range(50).selectExpr("concat('o', id) oid", "'c' class_id", "'instance' kind", "16L shallow", "0L length")
+    c = spark.createDataFrame([("c", "com.acme.A", None, "app"), ("d", "com.acme.B", None, "web")], "cid string, name string, super string, loader string")
+    d = H.loaders(o, c)
+    assert "broadcast" in plan(d)
+    assert sorted(map(tuple, d.collect())) == [("app", 1, 50, 800), ("web", 1, 0, 0)]
+    s = spark.range(30).selectExpr("concat('/', id) path", "'package a; import b.Util; class X { void f() { new Util(); } }' source")
+    r = snapshots.references(s, spark.createDataFrame([("b.Util",)], "class_name string"))
+    assert "broadcast" in plan(r)
+    assert {(x.class_name, x.kind) for x in r.collect()} == {("b.Util", "new")} and r.count() == 30
