@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType
 
 from emberlens.functions.text import is_user_code, outer_class
 from emberlens.operators.graph import cut_lineage
+from emberlens.session import few
 
 MAX_GAP_S = 300
 # fixed values: prefixes of frames that belong to database drivers
@@ -104,9 +105,10 @@ def trace_retention(edges: DataFrame, roots: DataFrame, samples: DataFrame, clas
     names = classes_of.select(F.col("oid").alias("up"), "class_name")
     place = F.col("row") if "row" in edges.columns else F.lit(0)
     back = edges.where("strength = 'strong'").select(F.col("dst").alias("at"), F.col("src").alias("up"), "field", place.alias("row"))
-    back = cut_lineage(back.join(names, "up", "left"))
+    # names are looked up for what is met, not for every edge: few objects may hold most of them
+    back = cut_lineage(back)
     static = F.col("field").startswith("static:")
-    held = back.where(static).groupBy("at").agg(F.min_by(F.struct("up", "field", F.concat_ws(".", "class_name", F.substring("field", 8, 1 << 20)).alias("label")), F.struct("row", "up", "field")).alias("static"))
+    held = back.where(static).join(names, "up", "left").groupBy("at").agg(F.min_by(F.struct("up", "field", F.concat_ws(".", "class_name", F.substring("field", 8, 1 << 20)).alias("label")), F.struct("row", "up", "field")).alias("static"))
     # what leads to a class or is led to by its loader isn't a reference of an object
     back = back.where(~static & ~F.col("field").startswith("<"))
     ends = roots.select(F.col("node").alias("at")).distinct().withColumn("is_root", F.lit(True)).join(held, "at", "full")
@@ -132,7 +134,10 @@ def trace_retention(edges: DataFrame, roots: DataFrame, samples: DataFrame, clas
         up = front.join(first.select("sample"), "sample", "left_anti").select("sample", F.col("at").alias("below")).join(back.withColumnRenamed("at", "below"), "below")
         for seen in fronts:
             up = up.join(seen.select("sample", F.col("at").alias("up")), ["sample", "up"], "left_anti")
-        one = up.groupBy("sample", "up").agg(F.min_by(F.struct("below", "field", "row", "class_name"), F.struct("row", "field", "below")).alias("e")).select("sample", F.col("up").alias("at"), "e.*")
+        one = up.groupBy("sample", "up").agg(F.min_by(F.struct("below", "field", "row"), F.struct("row", "field", "below")).alias("e")).select("sample", "up", "e.*")
+        one = cut_lineage(one)
+        met = names.join(few(one.select("up").distinct()), "up", "left_semi").groupBy("up").agg(F.min("class_name").alias("class_name"))
+        one = one.join(few(cut_lineage(met)), "up", "left").withColumnRenamed("up", "at")
         item = F.col("field").startswith("[")
         label = F.when(item, F.concat(F.regexp_replace(F.coalesce("class_name", F.lit("?")), r"(?:\[\])?$", ""), F.lit("[]"))).otherwise(F.col("field"))
         front = cut_lineage(one.select("sample", "at", "below", "field", F.col("row").cast("bigint").alias("row"), label.alias("label"), (~item & is_user_code(F.coalesce("class_name", F.lit("")))).alias("own")))

@@ -19,7 +19,7 @@ from emberlens.plans import evidence as PE
 from emberlens.plans import flow as PF
 from emberlens.plans import heap as PH
 from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL, RECORDS_SQL
-from emberlens.session import shared_dir, table, write_table
+from emberlens.session import few, shared_dir, table, write_table
 from emberlens.sources import lines as S
 from emberlens.sources import artifacts, files, server_log, snapshots, synthetic, thread_dump
 
@@ -289,7 +289,7 @@ def hp_threads(spark, sf):
 
 def _retention(spark: SparkSession, sf: str) -> DataFrame:
     o = PH.objects(spark, sf)
-    names = o.join(PH.classes(spark).select(F.col("cid").alias("class_id"), F.col("name").alias("class_name")), "class_id").select("oid", "class_name")
+    names = o.join(few(PH.classes(spark).select(F.col("cid").alias("class_id"), F.col("name").alias("class_name"))), "class_id").select("oid", "class_name")
     s = table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("oid"))
     return E.trace_retention(PH.edges(spark, sf), PH.roots(spark, sf), s, names)
 
