@@ -19,7 +19,7 @@ from emberlens.plans import evidence as PE
 from emberlens.plans import flow as PF
 from emberlens.plans import heap as PH
 from emberlens.plans.adapters import EVENTS_CONFIG, RANKING_SQL, RECORDS_SQL
-from emberlens.session import few, shared_dir, table, write_table
+from emberlens.session import few, shared_dir, table
 from emberlens.sources import lines as S
 from emberlens.sources import artifacts, files, server_log, snapshots, synthetic, thread_dump
 
@@ -326,10 +326,10 @@ def val_explain(spark, sf):
     """Asked at the start of every episode."""
     from emberlens.operators import detect as D
 
-    members = write_table(PF._members(spark, sf), "members")
-    episodes = PF._episodes(spark, sf)
-    located = R.locate(episodes, episodes.select("thread_id", F.col("start_ms").alias("at_ms")))
-    return E.explain(located, D.judged(members, PF.RULED), D.findings(members, PF.RULED), PF._ranking(spark, sf), EVENTS_CONFIG.top_n, members.select("flow_key", "ep", "under_sampled"))
+    members = PF._members(spark, sf)
+    found = PF._findings(members)
+    located = R.locate(members, members.select("thread_id", F.col("start_ms").alias("at_ms")))
+    return E.explain(located, D.judged(members, PF.RULED), found, PF._ranking(spark, sf, found), EVENTS_CONFIG.top_n, members.select("flow_key", "ep", "under_sampled"))
 
 
 @query("WITH " + RANKING_SQL + " SELECT rank, type, signature, occurrences, round(score, 6) AS score FROM rk WHERE rank <= 20")

@@ -50,3 +50,17 @@ def test_every_query_has_a_schema(spark):
     for name, f in registry.queries().items():
         if name not in registry.oracle_sql():
             assert f(spark, SF).columns, name
+
+
+def test_findings_are_made_once_for_a_query(spark, monkeypatch):
+    """Validation and explanation made episodes and findings for themselves and for the ranking again."""
+    from emberlens.operators import detect, segment
+
+    made = []
+    for where, name in ((detect, "findings"), (segment, "episodes")):
+        whole = getattr(where, name)
+        monkeypatch.setattr(where, name, lambda *a, _f=whole, _n=name, **k: (made.append(_n), _f(*a, **k))[1])
+    for query in ("val_validate", "val_explain"):
+        made.clear()
+        registry.queries()[query](spark, "/root/testdata/sf0.001")
+        assert sorted(made) == ["episodes", "findings"]
