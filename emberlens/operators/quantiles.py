@@ -49,15 +49,3 @@ def numbered(d: DataFrame, order: Sequence[Column | str], name: str) -> DataFram
     ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return s.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn(name, own + F.col("_ahead")).drop("_at", "_part", "_ahead")
-
-
-def running_sums(d: DataFrame, order: Sequence[Column | str], value: str, name: str) -> DataFrame:
-    """d with the sum of a whole number over the rows before each in an order, 0 for the first: within ranges,
-    shifted by the sums of the ranges before."""
-    s = cut_lineage(d.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
-    sums = s.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row for each range
-    ahead = sums.select("_part", before.alias("_ahead"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn(name, own).join(F.broadcast(ahead), "_part").withColumn(name, F.col(name) + F.col("_ahead")).drop("_at", "_part", "_ahead")

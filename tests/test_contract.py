@@ -88,6 +88,28 @@ def test_contracted_dominators_are_those_of_the_kernel(spark):
         assert mine == {u for u in reach - {v} if v not in plain_reach(edges, roots, {u})}
 
 
+def test_chains_that_grow_in_later_rounds_keep_their_order(spark):
+    """Of two nodes of a chain that was found in two rounds, the lower one was taken for what dominates both."""
+    tree = lambda p, k: [(p, p + x) for x in "01"] + [e for x in "01" for e in tree(p + x, k - 1)] if k else []
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("c", "x"), ("x", "y"), ("d", "e"), ("e", "f0"), ("e", "f1"), *tree("f0", 4), *tree("f1", 4)]
+    edges += [("c", "z"), ("d", "z"), ("b", "w"), ("d", "w"), ("a", "v"), ("e", "v"), ("f0000", "u"), ("f1111", "u")]
+    o, e, r = frames(spark, edges, ["a"])
+    for limit in (0, C.CORE):
+        up = {x.node: x.parent for x in G.dominators(o, e, r, limit=limit).collect()}
+        assert [up[k] for k in "zwvud"] == ["c", "b", "a", "e", "c"]
+
+
+def test_children_of_one_node_are_dealt_to_parts(spark, monkeypatch):
+    """All children of a node were sorted before; places stay gapless where they are dealt to several windows."""
+    monkeypatch.setattr(C, "SIBLINGS", 100)
+    tree = spark.range(2_000).selectExpr("id AS node", "if(id < 1500, 0, id - 1500) AS parent", "1 AS weight")
+    lab = {r.node: r for r in C.labels(tree, limit=10).collect()}
+    assert sorted(r.pre for r in lab.values()) == list(range(2_000))
+    for i in range(1, 2_000):
+        up, me = lab[max(i - 1_500, 0)], lab[i]
+        assert up.pre < me.pre <= me.last <= up.last
+
+
 def test_a_core_is_refused_only_beyond_the_kernel(spark, monkeypatch):
     n = 1_000
     edges = [(f"a{i:04d}", f"a{i + 1:04d}") for i in range(n)] + [(f"a{i:04d}", f"b{i:04d}") for i in range(n)] + [(f"a{i:04d}", "shared") for i in range(n)]
