@@ -189,3 +189,42 @@ def test_heavy_paths():
         if r["top"] != r["node"]:
             assert rows[r["parent"]]["top"] == r["top"] and rows[r["parent"]]["pos"] == [r["pos"][0] - 1]
     assert max(r["level"] for r in rows.values()) <= 8
+
+
+def test_retained_sizes_without_places_are_the_same(spark):
+    edges, roots = random_graphs(3, 5)
+    o, e, r = frames(spark, edges, roots, extra=["alone"])
+    kept = lambda d: {(x.node, x.parent, x.retained) for x in d.select("node", "parent", "retained").collect()}
+    whole = kept(G.dominators(o, e, r))
+    assert kept(G.dominators(o, e, r, limit=20, places=False)) == whole == kept(G.dominators(o, e, r, places=False))
+
+
+def test_weights_of_chains_and_bushes(spark):
+    rng = random.Random(5)
+    parent = [0] + [i - 1 if 40 < i < 140 else rng.randrange(i) for i in range(1, 400)]
+    total = [i % 5 + 1 for i in range(400)]
+    for v in range(399, 0, -1):
+        total[parent[v]] += total[v]
+    tree = spark.createDataFrame([(i, p, i % 5 + 1) for i, p in enumerate(parent)], "node long, parent long, weight long")
+    assert {r.node: r.weight for r in C.weights(tree, limit=100).collect()} == dict(enumerate(total))
+
+
+def test_chains_of_top_dominators(spark):
+    """The largest child goes on where it holds most, the first by name of two that do as much."""
+    rows = [("0x0", "0x0", 300), ("a", "0x0", 100), ("b", "a", 90), ("c", "b", 80), ("d", "c", 10), ("e", "0x0", 100), ("f", "e", 79), ("g", "0x0", 50), ("i", "g", 25), ("h", "g", 25)]
+    dom = spark.createDataFrame(rows, "node string, parent string, retained long")
+    top = {r.node: r.chain for r in H.dom_top(dom).collect()}
+    assert top == {"a": ["a", "b", "c"], "e": ["e"], "g": ["g"]}
+    assert {r.node: r.chain for r in H.dom_top(dom, share=0.5, hops=1).collect()} == {"a": ["a", "b"], "e": ["e", "f"], "g": ["g", "h"]}
+
+
+def test_details_of_few_objects_move_no_other_rows(spark):
+    o = spark.createDataFrame([(f"o{i}", "c", 8) for i in range(50)], "oid string, class_id string, shallow long")
+    c = spark.createDataFrame([("c", "C")], "cid string, name string")
+    e = spark.createDataFrame([("o0", f"o{i}", f"f{i}") for i in range(1, 50)], "src string, dst string, field string")
+    dom = spark.createDataFrame([(f"o{i}", "o0", 8) for i in range(50)], "node string, parent string, retained long")
+    d = H.object_detail(o, c, e, dom, spark.createDataFrame([("o0",), ("o7",)], "oid string"), first=2)
+    assert {(r.oid, r.n_in, r.n_out, r.parent, len(r["values"] or [])) for r in d.collect()} == {("o0", 0, 49, "o0", 2), ("o7", 1, 0, "o0", 0)}
+    # objects, dominators and both ends of the edges
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi, (oid") + d._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi, (src") >= 3
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 5
