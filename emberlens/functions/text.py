@@ -5,7 +5,7 @@ All patterns carry (?U), so that word characters, digits and boundaries are thos
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ TS_SLASHES = r"(?U)\d{2}/\d{2}/\d{4}[T ]\d{2}:\d{2}:\d{2}"
 TS_CLOCK = r"(?U)\d{2}:\d{2}:\d{2}[.,]\d{1,3}"
 TIMESTAMPS = (TS_FRACTION, TS_SECONDS, TS_SLASHES, TS_CLOCK)
 # fixed values: fields of a line
-CALL_SITE = r"(?U)\b([A-Za-z_][A-Za-z0-9_.$]*):(\d{1,6})\b"
+CALL_SITE = r"(?U)\b([A-Za-z_][A-Za-z0-9_.$]*+):(\d{1,6})\b"
 LEVEL = r"(?U)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|SEVERE)\b"
 THREAD_BRACKET = r"(?U)\[([A-Za-z][\w.\-]{1,60})\]"
 THREAD_KV = r"""(?U)\bthread(?:[Nn]ame)?\s*[=:]\s*"?([\w.\-]+)"?"""
@@ -25,7 +25,8 @@ THREAD_STYLE = r"(?U)\b((?:http-[\w.\-]*exec-\d+|pool-\d+-thread-\d+|[\w.\-]*exe
 STACK = r"(?U)^\s*(at\s+\S+\(|Caused by:|\.\.\.\s*\d+\s+more|[\w.$]+(Exception|Error)\b)"
 ERROR_WORD = r"(?Ui)\b(ERROR|FATAL|SEVERE|Exception|failed|failure)\b"
 VALUE = r"""("[^"]*"|\{[^}]*\}|\[[^\]]*\]|[^\s,;}\])]+)"""
-KV = r'(?U)"?([A-Za-z_][A-Za-z0-9_.]*)"?\s*[=:]\s*' + VALUE
+# a key is tried from its first letter alone and isn't given back: neither could end in another match
+KV = r'(?U)"?(?<![A-Za-z_])([A-Za-z_][A-Za-z0-9_.]*+)"?+\s*+[=:]\s*+' + VALUE
 NOISE_KEYS = (
     "trace_id", "traceid", "span_id", "spanid", "correlationid", "correlation_id", "requestid", "request_id", "reqid", "orderid", "order_id", "paymentid", "payment_id", "id", "timestamp", "ts", "time", "date",
 )
@@ -36,6 +37,16 @@ def found(line: Column, pattern: str, group: int = 0) -> Column:
     return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, group))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def first(line: Column, pattern: str, group: int) -> Column:
+    """``found`` in one pass, for groups that are never empty where the pattern fits."""
+    return once(F.regexp_extract(line, pattern, group), lambda x: F.when(x != "", x))
+
+
 def parse_ts(line: Column) -> Column:
     """The first timestamp of a line as a UTC timestamp, null if none is valid.
 
@@ -58,7 +69,7 @@ def strip_ts(line: Column) -> Column:
 
 
 def call_site(line: Column) -> Column:
-    return found(line, CALL_SITE)
+    return first(line, CALL_SITE, 0)
 
 
 def level(line: Column) -> Column:
@@ -90,12 +101,16 @@ def _pairs(text: Column) -> Column:
     both = lambda t: F.arrays_zip(F.regexp_extract_all(t, F.lit(KV), F.lit(1)).alias("k"), F.regexp_extract_all(t, F.lit(KV), F.lit(2)).alias("v"))
     bare = lambda p: F.struct(p["k"].alias("k"), F.trim(p["v"]).alias("v"))
     nested = lambda p: F.transform(both(F.substring(p["v"], F.lit(2), F.char_length(p["v"]) - 2)), bare)
-    return F.flatten(F.transform(both(text), lambda p: F.when(p["v"].startswith("{") & p["v"].endswith("}"), nested(p)).otherwise(F.array(bare(p)))))
+    every = lambda t: F.flatten(F.transform(both(t), lambda p: F.when(p["v"].startswith("{") & p["v"].endswith("}"), nested(p)).otherwise(F.array(bare(p)))))
+    return once(text, every)
 
 
-def payload(text: Column) -> Column:
-    """All pairs as a map without quotes, later keys before earlier ones."""
-    pairs = F.transform(_pairs(strip_ts(F.coalesce(text, F.lit("")))), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), F.trim(p["v"], F.lit('"')).alias("v")))
+def payload(text: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All pairs, or those whose key is to be kept, as a map without quotes, later keys before earlier ones."""
+    found = _pairs(strip_ts(F.coalesce(text, F.lit(""))))
+    if keep is not None:
+        found = F.filter(found, lambda p: keep(p["k"]))
+    pairs = F.transform(found, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), F.trim(p["v"], F.lit('"')).alias("v")))
     # by key and place, so that the last of a key stands before another key; bound to a variable, which a lambda
     # function would otherwise compute for every element anew
     last = lambda ps: F.filter(ps, lambda p, i: ~F.coalesce(F.get(ps, i + 1)["k"] == p["k"], F.lit(False)))
@@ -115,7 +130,7 @@ def template(line: Column, refs: Sequence[str] = ()) -> Column:
             t = F.replace(t, F.lit(r), F.lit(" "))
     t = F.regexp_replace(t, LEVEL, " ")
     t = F.regexp_replace(t, r'(?U)("[A-Za-z_][A-Za-z0-9_.]*"\s*:\s*)' + VALUE, "$1?")
-    t = F.regexp_replace(t, r"(?U)(\b[A-Za-z_][A-Za-z0-9_.]*\s*=\s*)" + VALUE, "$1?")
+    t = F.regexp_replace(t, r"(?U)(\b[A-Za-z_][A-Za-z0-9_.]*+\s*+=\s*+)" + VALUE, "$1?")
     t = F.regexp_replace(t, r"(?U)\b[0-9a-fA-F]{8,}\b", "?")
     t = F.regexp_replace(t, r"(?U)\b\d+\b", "?")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "), F.lit(" |\t-"))

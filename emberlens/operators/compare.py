@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlens.functions import text as T
-from emberlens.session import ship_package
+from emberlens.session import cut_lineage, ship_package
 
 # fixed values: keys of fields that may name the same flow
 LINK_KEY = r"(?i)((trace|span|correlation|request|txn|transaction|session|order|payment|invoice|job|batch).{0,4}id$|^id$)"
@@ -45,7 +45,7 @@ def scan(lines: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
 
 def links(steps: DataFrame, exclude: list[str]) -> DataFrame:
     """bucket, key, value: the first ids beside the reference that name the same flow, none shared by flows."""
-    p = steps.select("bucket", "file", "line_no", F.posexplode(F.map_entries(T.payload(F.col("line")))).alias("at", "e"))
+    p = steps.select("bucket", "file", "line_no", F.posexplode(F.map_entries(T.payload(F.col("line"), lambda k: F.lower(k).endswith("id") & k.rlike(LINK_KEY)))).alias("at", "e"))
     p = p.select("bucket", "file", "line_no", "at", F.col("e.key").alias("key"), F.trim("e.value").alias("value")).where(F.col("key").rlike(LINK_KEY) & (F.length("value") >= MIN_LINK) & ~F.contains("value", F.lit(" ")) & ~F.col("value").isin(exclude))
     first = p.groupBy("bucket", "key").agg(F.min_by("value", F.struct("file", "line_no", "at")).alias("value"), F.min(F.struct("file", "line_no", "at")).alias("seen"))
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("seen"))).where(F.col("k") <= MAX_LINKS)
@@ -67,9 +67,11 @@ def flow_steps(lines: DataFrame, good: str, bad: str, follow_links: bool = True,
         steps = scan(lines, wanted)
     line = F.col("line")
     run = F.lit("1") if pair is None else pair.cast("string")
-    d = steps.select(run.alias("pair"), "bucket", "file", "line_no", "line", F.unix_millis(T.parse_ts(line)).alias("ts_ms"), F.coalesce(T.call_site(line), T.template(line, (good, bad))).alias("key"), T.significant_payload(line).alias("payload"), (T.is_error(line) | T.has_stack("continuations")).alias("is_error"))
     order = Window.partitionBy("pair", "bucket").orderBy(F.col("ts_ms").isNull(), "ts_ms", "file", "line_no")
-    return d.withColumn("seq", F.row_number().over(order) - 1)
+    d = steps.select(run.alias("pair"), "bucket", "file", "line_no", "line", "continuations", F.unix_millis(T.parse_ts(line)).alias("ts_ms"))
+    d = d.withColumn("seq", F.row_number().over(order) - 1)
+    # behind the window, so that only the columns and steps that are asked for are made
+    return d.select("pair", "bucket", "file", "line_no", "line", "ts_ms", F.coalesce(T.call_site(line), T.template(line, (good, bad))).alias("key"), T.significant_payload(line).alias("payload"), (T.is_error(line) | T.has_stack("continuations")).alias("is_error"), "seq")
 
 
 def _align(t: pa.Table) -> pa.Table:
@@ -119,5 +121,6 @@ def break_index(compared: DataFrame) -> DataFrame:
 
 def errors_only_in_bad(steps: DataFrame) -> DataFrame:
     """pair, seq, key, line of the errors of bad flows whose key no error of the good one has."""
-    good = steps.where("bucket = 'good' and is_error").select("pair", "key").distinct()
-    return steps.where("bucket = 'bad' and is_error").join(good, ["pair", "key"], "left_anti").select("pair", "seq", "key", "line")
+    e = cut_lineage(steps.where("is_error").select("pair", "bucket", "seq", "key", F.when(F.col("bucket") == "bad", F.col("line")).alias("line")))
+    good = e.where("bucket = 'good'").select("pair", "key").distinct()
+    return e.where("bucket = 'bad'").join(good, ["pair", "key"], "left_anti").select("pair", "seq", "key", "line")

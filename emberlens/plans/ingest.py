@@ -130,13 +130,14 @@ def cmp_links(spark, sf):
 
 @query()
 def cmp_break(spark, sf):
-    steps = cut_lineage(C.flow_steps(_flow(spark, sf), "good-77", "bad-88", pair=F.col("file")))
+    steps = C.flow_steps(_flow(spark, sf), "good-77", "bad-88", pair=F.col("file"))
+    steps = cut_lineage(steps.select("pair", "bucket", "seq", "key", "payload", "is_error"))
     return C.break_index(C.compare_flows(steps, "good-77", "bad-88"))
 
 
 @query()
 def cmp_errors(spark, sf):
-    return C.errors_only_in_bad(cut_lineage(C.flow_steps(_flow(spark, sf), "good-77", "bad-88", pair=F.col("file"))))
+    return C.errors_only_in_bad(C.flow_steps(_flow(spark, sf), "good-77", "bad-88", pair=F.col("file")))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '''=' || p_name WHEN p_partkey % 3 = 1 THEN '''-' || p_name ELSE p_name END AS cell FROM part")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import random
 import struct
 
 import pytest
@@ -272,3 +273,46 @@ def test_dumps_over_two_gigabytes(spark, tmp_path):
     o = {r.oid: (r.kind, r.shallow, r.length) for r in t["objects"].collect()}
     assert o["0x777"] == ("primitive:8", 2_200_000_016, n) and o["0x778"][0] == "instance" and len(o) == 7
     assert ("0x778", "0x777", "com.acme.Node.next") in {(r.src, r.dst, r.field) for r in t["edges"].collect()}
+
+
+def test_pairs_are_those_of_the_plain_patterns(spark):
+    rng = random.Random(7)
+    text = ["".join(rng.choices('abAB_1.9"={}:;, []$|\t', k=rng.randint(0, 60))) for _ in range(4_000)]
+    d = spark.createDataFrame([(x,) for x in text], "t string")
+    plain = r'(?U)"?([A-Za-z_][A-Za-z0-9_.]*)"?\s*[=:]\s*' + T.VALUE
+    site = r"(?U)\b([A-Za-z_][A-Za-z0-9_.$]*):(\d{1,6})\b"
+    both = [(F.regexp_extract_all("t", F.lit(p), F.lit(g)), F.regexp_extract_all("t", F.lit(q), F.lit(g))) for p, q in ((plain, T.KV), (site, T.CALL_SITE)) for g in (0, 1, 2)]
+    for a, b in both:
+        assert d.where(F.size(a) > 0).count() > 20 and d.where(a != b).count() == 0
+    assert d.where(~T.call_site(F.col("t")).eqNullSafe(T.found(F.col("t"), site))).count() == 0
+    eq = lambda k: r"(?U)(\b[A-Za-z_][A-Za-z0-9_.]*" + k + T.VALUE
+    assert d.where(F.regexp_replace("t", eq(r"\s*=\s*)"), "$1?") != F.regexp_replace("t", eq(r"+\s*+=\s*+)"), "$1?")).count() == 0
+    ends = lambda k: k.endswith("b")
+    whole, kept = F.map_filter(T.payload(F.col("t")), lambda k, _: ends(k)), T.payload(F.col("t"), ends)
+    assert d.where(F.to_json(whole) != F.to_json(kept)).count() == 0 and d.where(F.size(kept) > 0).count() > 20
+
+
+def test_only_errors_get_a_key_where_errors_are_asked_for(spark):
+    steps = C.flow_steps(as_lines(spark, "2024-01-01 00:00:01.000 INFO ref=g-1\n2024-01-01 00:00:02.000 ERROR ref=b-2"), "g-1", "b-2", follow_links=False)
+    plan = steps.where("is_error").select("key")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window [", 1)
+    assert "TRACE|DEBUG" in above and "TRACE|DEBUG" not in below
+
+
+def test_lines_that_begin_events_are_those_with_a_header(spark):
+    rng = random.Random(8)
+    parts = ["2024-03-01T10:00:00.5Z ", "2024-03-01 10:00:00,123 ", "ERROR ", "WARNING", "[http-1] ", "(main) ", "com.acme.Shop: ", "  at a.B.c(D.java:1)", "Caused by: ", '{"level": "INFO"}', "{", "x" * 150, "x" * 500, " "]
+    text = ["".join(rng.choices(parts, k=rng.randint(0, 5))) for _ in range(1_000)]
+    d = spark.createDataFrame([(x,) for x in text], "t string")
+    h = server_log.header(F.col("t"))
+    assert 0 < d.where(h.isNotNull()).count() < 1_000 and d.where(h.isNotNull() != server_log.begins(F.col("t"))).count() == 0
+
+
+def test_headers_are_read_once_an_event(spark):
+    """From its first line, of which a JSON object counts as its message."""
+    text = json.dumps({"level": "info", "message": "m" * 40_000}) + "\n" + "y" * 33_000
+    e = server_log.events(as_lines(spark, text))
+    r = e.collect()
+    assert [(x.level, x.end_line, x.omitted_chars, x.format) for x in r] == [("INFO", 2, 232 + 40_000 + 1 + 32_768 - 32_768, "json")]
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "thread_name" not in plan[plan.rindex("Aggregate [file") :]
