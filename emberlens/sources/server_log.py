@@ -60,6 +60,16 @@ def timestamp(raw: Column, zone: str | None = None) -> Column:
     return F.date_trunc("millisecond", F.try_to_timestamp(full))
 
 
+def begins_text(line: Column) -> Column:
+    """A date in the first 160 characters or a level in the first 512, but not the start of a stack frame."""
+    return (F.substring(line, 1, 160).rlike(r"\b" + ISO) | F.substring(line, 1, 512).rlike(T.LEVEL)) & ~line.rlike(NO_HEADER)
+
+
+def begins(line: Column) -> Column:
+    """Whether ``header`` isn't null, without what it tells."""
+    return is_json(line) | begins_text(line)
+
+
 def header(line: Column) -> Column:
     """struct<level, raw_timestamp, thread, logger, message, json> of a starting line, else null: a JSON
     object, or text with a date in its first 160 characters or a level in its first 512.
@@ -67,17 +77,16 @@ def header(line: Column) -> Column:
     The thread is in the first brackets that hold no level or date, or, as some servers put it, in
     parentheses behind the level, where the logger is as well.
     """
-    raw = T.found(F.substring(line, 1, 160), r"\b" + ISO)
-    head = F.substring(line, 1, 512)
-    word = T.found(head, T.LEVEL, 1)
-    after = F.when(word.isNotNull(), F.substring(F.get(F.split(line, T.LEVEL, 2), F.lit(1)), 1, 1024))
     brackets = F.regexp_extract_all(F.substring(line, 1, 1024), F.lit(BRACKETED), F.lit(1))
     plain = F.get(F.filter(brackets, lambda x: ~x.rlike("^(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|SEVERE)$") & ~x.rlike(rf"^{ISO}$")), F.lit(0))
-    thread = F.when(word.isNotNull(), F.coalesce(T.found(F.substring(after, 1, 512), PARENTHESISED, 1), plain))
-    text = F.when(
-        (raw.isNotNull() | word.isNotNull()) & ~line.rlike(NO_HEADER),
-        F.struct(word.alias("level"), raw.alias("raw_timestamp"), thread.alias("thread"), T.found(after, LOGGER, 1).alias("logger"), F.rtrim(line).alias("message"), F.lit(False).alias("json")),
-    )
+
+    def of(x: Column) -> Column:
+        word, after = x["level"], x["after"]
+        thread = F.when(word.isNotNull(), F.coalesce(T.first(F.substring(after, 1, 512), PARENTHESISED, 1), plain))
+        return F.struct(word.alias("level"), T.first(F.substring(line, 1, 160), r"\b" + ISO, 0).alias("raw_timestamp"), thread.alias("thread"), T.first(after, LOGGER, 1).alias("logger"), F.rtrim(line).alias("message"), F.lit(False).alias("json"))
+
+    behind = lambda word: F.struct(word.alias("level"), F.when(word.isNotNull(), F.substring(F.get(F.split(line, T.LEVEL, 2), F.lit(1)), 1, 1024)).alias("after"))
+    text = F.when(begins_text(line), T.once(T.once(T.first(F.substring(line, 1, 512), T.LEVEL, 1), behind), of))
     j = F.struct(*[json_field(line, k).alias(k) for k in ("level", "raw_timestamp", "thread", "logger")], F.coalesce(json_field(line, "message"), F.lit("")).alias("message"), F.lit(True).alias("json"))
     return F.when(is_json(line), j).otherwise(text)
 
@@ -114,29 +123,32 @@ def events(lines: DataFrame, zone: str | None = None) -> DataFrame:
     places (``read_lines`` with_bytes) give byte_start and byte_end, others null."""
     d = lines if "byte_start" in lines.columns else lines.withColumns({k: F.lit(None).cast("bigint") for k in ("byte_start", "byte_end")})
     d = d.withColumn("cut", F.char_length("line") > LINE_CHARS).withColumn("replaced", F.char_length("line") - F.char_length(F.replace("line", F.lit("\ufffd"), F.lit(""))))
-    d = d.withColumn("line", F.substring("line", 1, LINE_CHARS)).withColumn("h", header(F.col("line")))
-    d = running(d, F.col("h").isNotNull(), "k").withColumn("k", F.greatest("k", F.lit(1)))
+    d = d.withColumn("line", F.substring("line", 1, LINE_CHARS))
+    d = running(d, begins(F.col("line")), "k").withColumn("k", F.greatest("k", F.lit(1)))
     d = d.withColumn("part", F.floor((F.col("line_no") - F.col("k")) / MAX_LINES))
     g = d.groupBy("file", "k", "part").agg(
         F.min("line_no").alias("start_line"),
         F.max("line_no").alias("end_line"),
         F.min("byte_start").alias("byte_start"),
         F.max("byte_end").alias("byte_end"),
-        F.min_by("h", "line_no").alias("h"),
+        F.min_by("line", "line_no").alias("first"),
         F.sort_array(F.collect_list(F.struct("line_no", F.substring("line", 1, MAX_CHARS).alias("line")))).alias("l"),
-        F.sum(F.when(F.coalesce("h.json", F.lit(False)), 0).otherwise(F.greatest(F.char_length("line") - MAX_CHARS, F.lit(0)))).alias("cut_chars"),
+        F.sum(F.greatest(F.char_length("line") - MAX_CHARS, F.lit(0))).alias("cut_chars"),
         F.count_if("cut").alias("oversized_lines"),
         F.sum("replaced").alias("replacement_characters"),
     )
     goes_on = F.lead("part").over(Window.partitionBy("file", "k").orderBy("part")).isNotNull()
-    g = g.withColumn("full", (F.col("oversized_lines") > 0) | goes_on)
+    # only the first line of an event can have a header
+    g = g.withColumn("full", (F.col("oversized_lines") > 0) | goes_on).withColumn("h", header(F.col("first")))
+    g = g.withColumn("cut_chars", F.col("cut_chars") - F.when(F.coalesce("h.json", F.lit(False)), F.greatest(F.char_length("first") - MAX_CHARS, F.lit(0))).otherwise(0))
     raw = F.transform("l", lambda x: x["line"])
     # a JSON event is its message and its stack, not the line that carries them
     inner = F.concat_ws("\n", F.col("h.message"), json_field(raw[0], "stack"))
     g = g.withColumn("body", F.when(F.col("h.json"), F.concat(F.split(inner, "\n"), F.slice(raw, 2, MAX_LINES))).otherwise(raw)).withColumn("head", raw[0])
     text = F.array_join("body", "\n")
-    named = F.filter("body", lambda x: x.rlike(EXCEPTION))
-    ids = lambda name, p: F.coalesce(F.when(F.col("h.json"), json_field(F.col("head"), name)), T.found(text, p, 1))
+    # most lines lack the word, which is looked for before the pattern
+    named = F.filter("body", lambda x: (x.contains("Exception") | x.contains("Error") | x.contains("Throwable")) & x.rlike(EXCEPTION))
+    ids = lambda name, p: F.coalesce(F.when(F.col("h.json"), json_field(F.col("head"), name)), T.first(text, p, 1))
     beyond = lambda n, most: F.greatest(n - most, F.lit(0)).cast("bigint")
     g = g.withColumn("found", all_markers(F.col("body"))).withColumn("omitted_frames", beyond(F.size(F.filter("body", lambda x: x.rlike(FRAME))), MAX_FRAMES))
     g = g.withColumn("omitted_chars", F.col("cut_chars") + beyond(F.length(text), MAX_CHARS))
