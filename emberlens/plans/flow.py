@@ -248,13 +248,13 @@ def rank_suppress(spark, sf):
     return R.suppress(R.dedupe(D.findings(_members(spark, sf), RULED)), RULED.suppressions).select(*R.KEY, "suppressed", "reason")
 
 
-def _findings(members: DataFrame) -> DataFrame:
+def _stored_findings(members: DataFrame) -> DataFrame:
     """Findings of ``clustered`` episodes, written once for all that read them."""
     return write_table(D.findings(members, RULED, stored=True), "findings")
 
 
 def _ranking(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
-    found = _findings(_members(spark, sf)) if found is None else found
+    found = _stored_findings(_members(spark, sf)) if found is None else found
     scored = R.score(R.dedupe(found), RULED).withColumn("score", F.round("score", 9))
     return R.ranked(cut_lineage(R.suppress(scored, RULED.suppressions)))
 
@@ -286,5 +286,5 @@ SELECT id, best AS best_rank, coalesce(best <= 20, false) AS passed, best IS NOT
   CASE WHEN n IS NULL THEN 'not detected' WHEN best IS NULL AND sup THEN 'detected but suppressed' WHEN best IS NULL THEN 'detected but not ranked' WHEN best <= 20 THEN 'in top 20' ELSE 'ranked but below top 20' END AS note FROM b""")
 def val_validate(spark, sf):
     defects = spark.createDataFrame(DEFECTS, "id string, thread_id string, from_ms bigint, to_ms bigint, expected_site string")
-    found = _findings(_members(spark, sf))
+    found = _stored_findings(_members(spark, sf))
     return R.validate(found, _ranking(spark, sf, found), defects, C.top_n)

@@ -327,7 +327,7 @@ def val_explain(spark, sf):
     from emberlens.operators import detect as D
 
     members = PF._members(spark, sf)
-    found = PF._findings(members)
+    found = PF._stored_findings(members)
     located = R.locate(members, members.select("thread_id", F.col("start_ms").alias("at_ms")))
     return E.explain(located, D.judged(members, PF.RULED), found, PF._ranking(spark, sf, found), EVENTS_CONFIG.top_n, members.select("flow_key", "ep", "under_sampled"))
 

@@ -1,10 +1,13 @@
 """Every query that has SQL against DuckDB on the smallest tables."""
 
+import ast
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from emberlens.plans import registry
 
@@ -64,3 +67,25 @@ def test_findings_are_made_once_for_a_query(spark, monkeypatch):
         made.clear()
         registry.queries()[query](spark, "/root/testdata/sf0.001")
         assert sorted(made) == ["episodes", "findings"]
+
+
+def test_no_name_is_given_twice():
+    """A helper of three queries was replaced by a later one of the same name in its module."""
+    for path in sorted(Path(registry.__file__).parents[1].rglob("*.py")):
+        names = [x.name for x in ast.parse(path.read_text()).body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+        assert sorted(names) == sorted(set(names)), path
+
+
+def _of_one_kind(spark, kind):
+    """Rows of the query of one kind of findings, and those of that kind among all findings."""
+    from emberlens.operators import detect
+    from emberlens.plans import flow
+
+    got = registry.queries()[f"det_{kind.lower()}"](spark, SF)
+    whole = detect.findings(flow._members(spark, SF), flow.C).where(F.col("type") == kind).select(*got.columns)
+    return [sorted(map(repr, d.collect())) for d in (got, whole)]
+
+
+def test_findings_of_divergence(spark):
+    got, whole = _of_one_kind(spark, "DIVERGENCE")
+    assert got and got == whole
