@@ -76,16 +76,22 @@ def test_no_name_is_given_twice():
         assert sorted(names) == sorted(set(names)), path
 
 
-def _of_one_kind(spark, kind):
+def _of_one_kind(spark, kind, sf=SF):
     """Rows of the query of one kind of findings, and those of that kind among all findings."""
     from emberlens.operators import detect
     from emberlens.plans import flow
 
-    got = registry.queries()[f"det_{kind.lower()}"](spark, SF)
-    whole = detect.findings(flow._members(spark, SF), flow.C).where(F.col("type") == kind).select(*got.columns)
+    got = registry.queries()[f"det_{kind.lower()}"](spark, sf)
+    whole = detect.findings(flow._members(spark, sf), flow.C).where(F.col("type") == kind).select(*got.columns)
     return [sorted(map(repr, d.collect())) for d in (got, whole)]
 
 
 def test_findings_of_divergence(spark):
     got, whole = _of_one_kind(spark, "DIVERGENCE")
     assert got and got == whole
+
+
+def test_findings_of_timing(spark):
+    """The smallest tables have none."""
+    got, whole = _of_one_kind(spark, "TIMING", "/root/testdata/sf0.01")
+    assert got and got == whole
