@@ -95,3 +95,8 @@ def test_findings_of_timing(spark):
     """The smallest tables have none."""
     got, whole = _of_one_kind(spark, "TIMING", "/root/testdata/sf0.01")
     assert got and got == whole
+
+
+def test_findings_of_truncation(spark):
+    got, whole = _of_one_kind(spark, "TRUNCATION")
+    assert got and got == whole
